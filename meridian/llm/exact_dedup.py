@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, groups, partitions
 
 NO_ID = -(2**63)
 FILTER_BITS, FILTER_HASHES = 12, 4
@@ -42,9 +42,10 @@ def _filter(digests: np.ndarray, bits: int) -> np.ndarray:
 def _reduce(digests: np.ndarray, ids: np.ndarray, counts: np.ndarray, largest: bool):
     order = np.lexsort((ids, digests))
     digests, ids, counts = digests[order], ids[order], counts[order]
-    starts = np.flatnonzero(np.concatenate(([True], digests[1:] != digests[:-1]))) if len(digests) else np.zeros(0, int)
-    ends = np.append(starts[1:], len(digests))
-    return digests[starts], ids[ends - 1] if largest else ids[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+    starts, lengths = groups(digests)
+    if not len(starts):
+        return digests, ids, counts
+    return digests[starts], ids[starts + lengths - 1] if largest else ids[starts], np.add.reduceat(counts, starts)
 
 
 def _memtables(n_ranges: int, bits: int, width: int, largest: bool, memtable_rows: int):
