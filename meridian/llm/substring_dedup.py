@@ -84,15 +84,30 @@ def _postings(size: int, buckets: int):
     return run
 
 
-def _answers(table: pa.Table) -> pa.Table:
-    """Ids with the packed hashes of the windows they lose."""
-    own, shared = [], []
-    for r in table.to_pylist():
-        (own if r["own"] else shared).append((unpack_sorted(r["hashes"]), unplanes(r["ids"], np.int64)))
-    if shared:
-        h, d, first = _decide(np.concatenate([x[0] for x in shared]), np.concatenate([x[1] for x in shared]))
-        own.append((h[~first], d[~first]))
-    h, d = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
+def _answers(buckets: int):
+    """(id, window) pairs to drop, packed by range of ids: a row for each range, not for each id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, shared = [], []
+        for r in table.to_pylist():
+            (own if r["own"] else shared).append((unpack_sorted(r["hashes"]), unplanes(r["ids"], np.int64)))
+        if shared:
+            h, d, first = _decide(np.concatenate([x[0] for x in shared]), np.concatenate([x[1] for x in shared]))
+            own.append((h[~first], d[~first]))
+        h, d = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
+        at = (mix(d.astype(U64)) % U64(buckets)).astype(np.int32)
+        order = np.lexsort((h, d, at))
+        h, d, at = h[order], d[order], at[order]
+        starts, counts = groups(at)
+        parts = [slice(a, a + c) for a, c in zip(starts, counts, strict=True)]
+        return pa.table({"id_range": pa.array(at[starts], pa.int32()), "ids": pa.array([planes(d[x]) for x in parts], pa.binary()), "hashes": pa.array([planes(h[x]) for x in parts], pa.binary())})
+
+    return run
+
+
+def _by_id(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    d, h = np.concatenate([unplanes(r["ids"], np.int64) for r in rows]), np.concatenate([unplanes(r["hashes"], U64) for r in rows])
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
     starts, counts = groups(d)
@@ -103,11 +118,10 @@ def _remove(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, shas, removed = [], [], [], []
-            for text, answers in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for text, drops in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words, spans = text.split(), []
-                if answers:
-                    drops = np.concatenate([unpack_sorted(a) for a in answers])
-                    starts = np.flatnonzero(np.isin(windows(word_hashes(text), size), drops))
+                if drops:
+                    starts = np.flatnonzero(np.isin(windows(word_hashes(text), size), unpack_sorted(drops)))
                     if len(starts):
                         cover = np.zeros(len(words) + 1, dtype=np.int64)
                         np.add.at(cover, starts, 1)
@@ -137,6 +151,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     posted = rows.where("doc_id is not null").mapInArrow(_postings(window, buckets), POSTINGS)
-    answers = posted.groupBy("bucket").applyInArrow(_answers, "answer_id long, drops binary").groupBy("answer_id").agg(F.collect_list("drops").alias("answers"))
-    joined = rows.join(answers, rows.doc_id == answers.answer_id, "left").select("doc_id", "text", "answers")
+    answers = posted.groupBy("bucket").applyInArrow(_answers(buckets), "id_range int, ids binary, hashes binary").groupBy("id_range").applyInArrow(_by_id, "answer_id long, drops binary")
+    joined = rows.join(answers, rows.doc_id == answers.answer_id, "left").select("doc_id", "text", "drops")
     return joined.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
