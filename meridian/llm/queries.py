@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .line_crf import crf_quality
 from .substring_dedup import substring_dedup
 
 
@@ -21,6 +22,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -28,6 +33,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_line_crf": op9_line_crf,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
