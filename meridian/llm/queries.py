@@ -11,9 +11,14 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .line_crf import crf_quality
+from .pu_toxicity import pu_toxicity
 from .substring_dedup import substring_dedup
 
 
+def op3_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
@@ -31,6 +36,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pu_toxicity": op3_pu_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_crf": op9_line_crf,
