@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .best_fit_packing import best_fit_packing
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
@@ -15,6 +16,10 @@ from .pu_toxicity import pu_toxicity
 from .substring_dedup import substring_dedup
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op3_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +41,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_pu_toxicity": op3_pu_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
