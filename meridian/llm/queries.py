@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .line_crf import crf_quality
+from .ngram_quality import ngram_quality
 from .pu_toxicity import pu_toxicity
 from .substring_dedup import substring_dedup
 
@@ -20,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_quality(table(spark, sf_dir, "documents"))
+
+
 def op3_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +47,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_ngram_quality": op2_ngram_quality,
     "op3_pu_toxicity": op3_pu_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
