@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, groups, partitions
+from .common import RUNTIME_FILTER, cut, groups, only_ids, partitions, settings
 
 NO_ID = -(2**63)
 FILTER_BITS, FILTER_HASHES = 12, 4
@@ -117,19 +117,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = rows.select("id", "digest").mapInArrow(_memtables(n, bits, digest_bytes, largest, memtable_rows), "digest_range int, digests binary, ids binary, counts binary, filter binary")
     index = cut(runs.groupBy("digest_range").applyInArrow(_compact(bits, digest_bytes, largest), "digest binary, keep_id long, group_size long"))
     salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # bytes of the hits: a salted join, then one partial result per task and digest
-    texts = rows.join(salted.select("digest", "salt"), ["digest", "salt"], "left_semi").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
-    collided = cut(texts.where(F.col("a") != F.col("b")).select("digest"))
-    out = rows.select("id", "sha", "digest", "salt").join(salted, ["digest", "salt"], "left")
+    # every row with its entry, if its digest has one; salted, as one digest may hold a third of the rows
+    out = cut(rows.select("id", "sha", "digest", "salt").join(salted, ["digest", "salt"], "left").select("id", "sha", "digest", "keep_id", "group_size"))
+    # bytes of the hits: fetched by id, then one partial result per task and digest
+    hits = out.where("group_size is not null").select("id")
+    with settings(spark, **RUNTIME_FILTER):
+        texts = only_ids(rows, hits, "id").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
+        collided = cut(texts.where(F.col("a") != F.col("b")).select("digest"))
     done = ["id", "keep_id", "group_size", "sha"]
+    single = [F.col("id"), F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("sha")]
     if collided.isEmpty():
-        result = out.select("id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "sha")
+        result = out.select(*single)
     else:
         again = rows.join(collided, "digest", "left_semi")
         best = again.groupBy("digest", "text").agg((F.max if largest else F.min)("id").alias("keep_id"), F.count("*").alias("group_size"))
-        result = (
-            out.join(collided, "digest", "left_anti").select("id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "sha")
-            .unionByName(again.join(best, ["digest", "text"]).select(*done))
-        )
+        result = out.join(collided, "digest", "left_anti").select(*single).unionByName(again.join(best, ["digest", "text"]).select(*done))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return result.select(null("id").alias("doc_id"), null("keep_id").alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))

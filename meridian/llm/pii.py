@@ -102,7 +102,8 @@ def overlaps(x: Column, y: Column) -> Column:
 
 def _proposed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = [F.filter(matches(F.col("text"), k, p), lambda x, k=k: CHECKS[k](x["s"])) for k, p in BASE.items()]
+    valid = lambda kind: lambda x: CHECKS[kind](x["s"])
+    base = [F.filter(matches(F.col("text"), k, p), valid(k)) for k, p in BASE.items()]
     more = [matches(F.col("text"), k, p) for k, p in CANDIDATES.items()]
     return rows.withColumn("base", F.array_sort(F.concat(*base), lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["kind_no"] - y["kind_no"]))).withColumn("candidates", F.concat(*more))
 
