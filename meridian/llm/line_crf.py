@@ -170,24 +170,36 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["label", "features", "sizes"])
 
 
+def scores(model, texts: list[bytes]) -> np.ndarray:
+    out = [np.zeros(0)]
+    for group in grouped(texts):
+        features, size, lengths = line_features(group)
+        if model is None:
+            out.append(np.where(lengths > 0, 0.7, 0.0))
+            continue
+        weights, moves, cut = model
+        x = quality_of(marginals(features @ weights, moves, lengths)[0], size, lengths)
+        out.append(np.where(lengths > 0, np.where(x < cut, 0.7 * x / cut, 0.7 + 0.3 * (x - cut) / (1 - cut)), 0.0))
+    return np.clip(np.concatenate(out), 0, 1)
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
-            for texts in grouped(as_bytes(batch.column(1))):
-                features, size, lengths = line_features(texts)
-                if model is None:
-                    scores.append(np.where(lengths > 0, 0.7, 0.0))
-                    continue
-                weights, moves, cut = model
-                x = quality_of(marginals(features @ weights, moves, lengths)[0], size, lengths)
-                scores.append(np.where(lengths > 0, np.where(x < cut, 0.7 * x / cut, 0.7 + 0.3 * (x - cut) / (1 - cut)), 0.0))
-            score = np.clip(np.concatenate(scores), 0, 1) if scores else np.zeros(0)
+            score = scores(model, as_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score, pa.float64()), pa.array((score >= 0.7).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
 
+def _keep(model, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(model, as_bytes(batch.column(at))) >= 0.7))
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held_out: int, sample_docs: int):
     known = labels.where(F.col("quality").isin(0, 1)).where(fold("doc_id", folds) != held_out).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label"))
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).alias("text"))
@@ -217,3 +229,8 @@ def crf_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     model = fit(docs, labels, id_col, text_col, folds, held_out, sample_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.select("doc_id", "text", (fold("doc_id", folds) == held_out).alias("held_out")).mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def crf_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, sample_docs: int = 4000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches 0.7; in one pass, without a shuffle."""
+    return docs.mapInArrow(_keep(fit(docs, labels, id_col, text_col, folds, held_out, sample_docs), docs.columns.index(text_col)), docs.schema)

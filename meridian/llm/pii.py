@@ -101,7 +101,7 @@ def overlaps(x: Column, y: Column) -> Column:
 
 
 def _proposed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("row"))
     valid = lambda kind: lambda x: CHECKS[kind](x["s"])
     base = [F.filter(matches(F.col("text"), k, p), valid(k)) for k, p in BASE.items()]
     more = [matches(F.col("text"), k, p) for k, p in CANDIDATES.items()]
@@ -203,13 +203,16 @@ def learn(proposed: DataFrame, trees: int, rate: float) -> tuple[list, float, fl
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, trees: int = 24, rate: float = 0.4) -> DataFrame:
-    """doc_id, text, base and spans: arrays of (start, end, kind), by start, then kind; ``spans`` has the base spans and those the trees select."""
+    """doc_id, text, base and spans: arrays of (start, end, kind), by start, then kind; ``spans`` has the base spans and those the trees select.
+
+    ``row`` holds all columns of the input row.
+    """
     proposed = _proposed(docs, id_col, text_col)
     learnt = learn(proposed, trees, rate)
     kinds = F.array(*(F.lit(k) for k in KINDS))
     plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kinds[s["kind_no"]].alias("kind")))
     if learnt is None:
-        return proposed.select("doc_id", "text", plain(F.col("base")).alias("base"), plain(F.col("base")).alias("spans"))
+        return proposed.select("doc_id", "text", "row", plain(F.col("base")).alias("base"), plain(F.col("base")).alias("spans"))
     model, a, b = learnt
     least = math.log(threshold / (1 - threshold))
     scored = F.expr(f"transform(candidates, c -> struct(c.start, c.end, c.kind_no, c.s, {_vector()} AS x))")
@@ -221,7 +224,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn("more", F.filter("likely", lambda c: ~F.exists("likely", lambda d: overlaps(c, d) & (rank(d) < rank(c)))))
     short = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end")))
     every = F.array_sort(F.concat(short(F.col("base")), short(F.col("more"))))
-    return rows.select("doc_id", "text", plain(F.col("base")).alias("base"), plain(every).alias("spans"))
+    return rows.select("doc_id", "text", "row", plain(F.col("base")).alias("base"), plain(every).alias("spans"))
 
 
 def written(spans: Column) -> Column:
