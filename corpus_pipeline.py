@@ -1,7 +1,64 @@
-"""Corpus preparation: quality, exact copies, near copies, personal data, packing."""
-STAGES = []
+"""Corpus preparation in five stages: quality, exact copies, near copies, personal data, packing.
+
+Each stage works on all rows that the one before kept; between stages rows are written as Parquet.
+The last stage returns the placement of each document's pieces in the packed bins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meridian.llm.best_fit_packing import best_fit_packing
+from meridian.llm.common import cut, table
+from meridian.llm.exact_dedup import exact_dedup
+from meridian.llm.jaccard_join import jaccard_components
+from meridian.llm.line_crf import crf_filter
+from meridian.llm.pii import personal_data, redacted
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line model accepts."""
+    return crf_filter(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id."""
+    found = exact_dedup(docs, keep="largest")
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
+    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("gone_sha"))
+    return docs.join(gone, same, "left_anti")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (word 5-grams, Jaccard similarity 0.8 or more), the row with the smallest id."""
+    gone = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts replaced by its kind; n_chars follows."""
+    found = personal_data(docs)
+    new = F.when(F.col("row.text").isNotNull(), redacted(F.col("text"), F.col("spans")))
+    new_chars = F.when(F.size("spans") > 0, F.length(redacted(F.col("text"), F.col("spans"))).cast("long")).otherwise(F.col("row.n_chars"))
+    return found.select(*(new.alias(c) if c == "text" else new_chars.alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces' places: doc_id, piece, start, n_tokens, bin_id, bin_offset."""
+    return best_fit_packing(docs)
+
+
+STAGES = [("quality", quality), ("exact copies", exact_copies), ("near copies", near_copies), ("personal data", personal), ("packing", packing)]
+
+#: SQL can't express the first, fourth and last stage; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs)
+    return docs
