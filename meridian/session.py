@@ -1,10 +1,11 @@
-"""Shipping this package to the executors."""
+"""Shipping this package to the executors, and folders they share with the driver."""
 
 from __future__ import annotations
 
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,9 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _shipped.add(sc.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
