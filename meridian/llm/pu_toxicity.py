@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, U64, as_bytes, mix, planes, polynomial, unplanes
+from .common import BYTE_CODE, RUNTIME_FILTER, U64, as_bytes, mix, only_ids, planes, polynomial, settings, unplanes
+from .common import cut as written
 from .labelled import fold, smallest_hashes
 from .line_crf import grouped
 
@@ -54,28 +55,30 @@ def slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every slot, the texts and the confirmed toxic texts that hold it."""
-    counts, n = np.zeros((2, 1 << SLOT_BITS), dtype=np.int64), np.zeros(2, dtype=np.int64)
+    """Of every slot, the texts that hold it."""
+    counts, n = np.zeros(1 << SLOT_BITS, dtype=np.int64), 0
     for batch in batches:
-        texts, toxic = as_bytes(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        at = 0
+        texts = as_bytes(batch.column(0))
         for group in grouped(texts):
             slot, owner = slots(group)
-            key = np.unique((owner << SLOT_BITS) | slot)
-            slot, owner = key & ((1 << SLOT_BITS) - 1), key >> SLOT_BITS
-            counts[0] += np.bincount(slot, minlength=1 << SLOT_BITS)
-            np.add.at(counts[1], slot[toxic[at : at + len(group)][owner]], 1)
-            at += len(group)
-        n += (len(texts), toxic.sum())
-    step = (1 << SLOT_BITS) // CHUNKS
-    parts = [planes(np.minimum(counts[:, i * step : (i + 1) * step].ravel(), 2**32 - 1).astype(np.uint32)) for i in range(CHUNKS)]
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([int(n[0])] * CHUNKS, pa.int64()), pa.array([int(n[1])] * CHUNKS, pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "n", "n_toxic", "counts"])
+            counts += np.bincount(np.unique((owner << SLOT_BITS) | slot) & ((1 << SLOT_BITS) - 1), minlength=1 << SLOT_BITS)
+        n += len(texts)
+    parts = [planes(np.minimum(x, 2**32 - 1).astype(np.uint32)) for x in np.split(counts, CHUNKS)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([n] * CHUNKS, pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "n", "counts"])
 
 
 def _sum(table: pa.Table) -> pa.Table:
     total = sum(unplanes(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
-    n, t = (sum(table.column(c).to_pylist()) for c in ("n", "n_toxic"))
-    return pa.table({"chunk": table.column("chunk")[:1].cast(pa.int32()), "n": pa.array([n], pa.int64()), "n_toxic": pa.array([t], pa.int64()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+    return pa.table({"chunk": table.column("chunk")[:1].cast(pa.int32()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+
+def occurrences(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Texts that hold each slot, and all texts: 2**19 counters, whatever the input."""
+    schema = "chunk int, n long, counts binary"
+    found = sorted(texts.mapInArrow(_occurrences, schema).groupBy("chunk").applyInArrow(_sum, schema).collect(), key=lambda r: r.chunk)
+    if not found:
+        return np.zeros(1 << SLOT_BITS), 0
+    return np.concatenate([np.frombuffer(r.counts, np.uint32) for r in found]).astype(np.float64), found[0].n
 
 
 def pick(counts: np.ndarray, n: int, n_toxic: int, most: int) -> np.ndarray:
@@ -176,16 +179,16 @@ def pu_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if totals.toxic:
         prior = totals.toxic / totals.n
         toxic = known.where("label = 1").select("label_id").distinct()
-        marked = rows.join(toxic, rows.doc_id == toxic.label_id, "left").select("text", F.col("label_id").isNotNull().alias("toxic"))
-        summed = marked.mapInArrow(_occurrences, "chunk int, n long, n_toxic long, counts binary").groupBy("chunk").applyInArrow(_sum, "chunk int, n long, n_toxic long, counts binary").collect()  # 2**20 counters, whatever the input
-        summed.sort(key=lambda r: r.chunk)
-        counts = np.concatenate([np.frombuffer(r.counts, np.uint32).reshape(2, -1) for r in summed], axis=1).astype(np.float64)
-        if summed[0].n_toxic:
-            chosen = pick(counts, summed[0].n, summed[0].n_toxic, features)
+        toxic = written(toxic)
+        everywhere, n = occurrences(rows.select("text"))
+        with settings(rows.sparkSession, **RUNTIME_FILTER):
+            confirmed, n_toxic = occurrences(only_ids(rows, toxic.withColumnRenamed("label_id", "doc_id"), "doc_id").select("text"))
+        if n_toxic:
+            chosen = pick(np.stack([everywhere, confirmed]), n, n_toxic, features)
     if chosen is not None and len(chosen):
         unlabelled = smallest_hashes(rows.where(fold("doc_id", folds) != held_out).join(toxic, rows.doc_id == toxic.label_id, "left_anti").select(F.col("doc_id").alias("label_id"), F.lit(0).alias("label")), "label_id", 2 * sample_docs)
         sample = smallest_hashes(toxic.select("label_id", F.lit(1).alias("label")), "label_id", sample_docs).unionByName(unlabelled)
-        found = rows.join(sample, rows.doc_id == sample.label_id).select("label", "text").mapInArrow(_extract(chosen), "label int, features binary, values binary").collect()  # bounded by sample_docs
+        found = rows.join(F.broadcast(sample), rows.doc_id == sample.label_id).select("label", "text").mapInArrow(_extract(chosen), "label int, features binary, values binary").collect()  # bounded by sample_docs
         found = sorted((r.label, bytes(r.features), bytes(r["values"])) for r in found)
         x = np.zeros((len(found), len(chosen)), dtype=np.float32)
         for i, r in enumerate(found):
