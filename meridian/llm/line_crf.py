@@ -149,12 +149,12 @@ def best_cut(x: np.ndarray, good: np.ndarray) -> float:
     return float(np.clip(edges[max(best, key=lambda i: at[i + 1] - at[i])], 0.02, 0.98))
 
 
-def grouped(texts: list[bytes]) -> Iterator[list[bytes]]:
+def grouped(texts: list[bytes], most: int = GROUP_BYTES) -> Iterator[list[bytes]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
         size += len(t)
-        if size >= GROUP_BYTES:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:

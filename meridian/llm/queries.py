@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from .line_crf import crf_quality
 from .ngram_quality import ngram_quality
 from .pii import personal_data, written
 from .pu_toxicity import pu_toxicity
+from .sentencepiece_sampling import sampled_encodings
 from .substring_dedup import substring_dedup
 from .url_filter import rule_table, url_filter
 
@@ -49,6 +51,15 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in ("email", "ip", "card", "phone")), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+#: The piece model's file; a parameter of the operator.
+PIECE_MODEL = os.environ.get("MERIDIAN_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sampled_encodings(table(spark, sf_dir, "documents"), PIECE_MODEL, k=2)
+    return found.select("doc_id", "rank", "n_pieces", "log_prob", "perturbed", "inclusion", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -68,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filter": op5_url_filter,
     "op6_pii": op6_pii,
+    "op7_sentencepiece_sampling": op7_sentencepiece_sampling,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_crf": op9_line_crf,
     "op10_substring_dedup": op10_substring_dedup,
