@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,9 +35,18 @@ ORDER = 5
 CHUNK_IDS = 4096
 FLUSH_BYTES = 4 << 20
 SYMBOLS = b"#*$%&|<>"
+STEP = 1000  # log-probabilities are looked up in thousandths
 COUNTED = "bucket int, chunk long, grams binary, counts binary"
 
 
+def small(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def large(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def gram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the 5-gram that ends at each byte (zeros before a text's first), and the text of each."""
     pad = bytes(ORDER - 1)
@@ -62,7 +72,7 @@ def _count(buckets: int):
         grams, counts, edges = grams[order], counts[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
         out = [(b, grams[i:j], counts[i:j]) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([pack_sorted(r[1]) for r in out], pa.binary()), pa.array([planes(r[2].astype(np.uint32)) for r in out], pa.binary())],
+            [pa.array([r[0] for r in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([small(pack_sorted(r[1])) for r in out], pa.binary()), pa.array([small(planes(r[2].astype(np.uint32))) for r in out], pa.binary())],
             names=["bucket", "chunk", "grams", "counts"],
         )
 
@@ -88,8 +98,8 @@ def _count(buckets: int):
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    grams = np.concatenate([unpack_sorted(x) for x in table.column("grams").to_pylist()])
-    counts = np.concatenate([unplanes(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+    grams = np.concatenate([unpack_sorted(large(x)) for x in table.column("grams").to_pylist()])
+    counts = np.concatenate([unplanes(large(x), np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
     order = np.argsort(grams, kind="stable")
     grams, counts = grams[order], counts[order]
     starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
@@ -131,8 +141,8 @@ def _look_up(asked: pa.Table, model: pa.Table) -> pa.Table:
     grams, logp = grams[order], model.column("logp").to_numpy()[order]
     answers = []
     for r in asked.column("grams").to_pylist():
-        at = np.searchsorted(grams, unpack_sorted(r))
-        answers.append(planes(logp[at]))
+        at = np.searchsorted(grams, unpack_sorted(large(r)))
+        answers.append(small(planes(np.maximum(-32767, np.round(logp[at] * STEP)).astype(np.int16))))
     return pa.table({"chunk": asked.column("chunk"), "grams": asked.column("grams"), "logps": pa.array(answers, pa.binary())})
 
 
@@ -155,13 +165,46 @@ def surface(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk as compressed blocks, half as large in the shuffle as rows are."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        blocks = []
+        for parts in held.values():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema) as w:
+                for p in parts:
+                    w.write_batch(p)
+            blocks.append(small(sink.getvalue().to_pybytes()))
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blocks, pa.binary())], names=["chunk", "block"])
+
+    for batch in batches:
+        chunks = batch.column(0).to_numpy()
+        rows = batch.select(["doc_id", "lang", "text"])
+        for chunk in np.unique(chunks):
+            part = rows.take(pa.array(np.flatnonzero(chunks == chunk)))
+            held.setdefault(int(chunk), []).append(part)
+            size += part.nbytes
+        if size >= FLUSH_BYTES:
+            yield flush()
+            held, size = {}, 0
+    if held:
+        yield flush()
+
+
 def _measure(docs: pa.Table, model: pa.Table) -> pa.Table:
     """The surface counts of each text of a chunk, and the sum of its bytes' log-probabilities."""
-    if model.num_rows:
-        grams = np.concatenate([unpack_sorted(x) for x in model.column("grams").to_pylist()])
-        logps = np.concatenate([unplanes(x, np.float32) for x in model.column("logps").to_pylist()])
-        grams, first = np.unique(grams, return_index=True)
-        logps = logps[first].astype(np.float64)
+    grams = np.concatenate([np.zeros(0, U64), *(unpack_sorted(large(x)) for x in model.column("grams").to_pylist())])
+    logps = np.concatenate([np.zeros(0, np.int16), *(unplanes(large(x), np.int16) for x in model.column("logps").to_pylist())])
+    grams, first = np.unique(grams, return_index=True)
+    logps = logps[first] / STEP
+    parts = [_measured(pa.ipc.open_stream(large(x)).read_all(), grams, logps) for x in docs.column("block").to_pylist()]
+    return pa.concat_tables(parts)
+
+
+def _measured(docs: pa.Table, grams: np.ndarray, logps: np.ndarray) -> pa.Table:
     texts = as_bytes(docs.column("text").combine_chunks())
     sums, held, size = [], [], 0
     for i, text in enumerate(texts):
@@ -173,7 +216,7 @@ def _measure(docs: pa.Table, model: pa.Table) -> pa.Table:
             held, size = [], 0
     counts = np.array([surface(t) for t in texts], dtype=np.int64).reshape(-1, 5)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), **{c: pa.array(counts[:, i]) for i, c in enumerate(names)}, "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "log_p": pa.array(np.concatenate(sums) if sums else np.zeros(0))})
+    return pa.table({"doc_id": docs.column("doc_id").combine_chunks(), "lang": docs.column("lang").combine_chunks(), **{c: pa.array(counts[:, i]) for i, c in enumerate(names)}, "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "log_p": pa.array(np.concatenate(sums) if sums else np.zeros(0))})
 
 
 MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_p double"
@@ -204,7 +247,8 @@ def ngram_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     asked = counted.select("bucket", "chunk", "grams")
     dealt = model.mapInArrow(_bucket_of(buckets), "bucket int, gram long, logp float")
     answers = asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_look_up, "chunk long, grams binary, logps binary")
-    measured = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_measure, MEASURED)
+    packed = rows.select("chunk", "doc_id", "lang", "text").mapInArrow(_pack, "chunk long, block binary")
+    measured = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_measure, MEASURED)
     scored = cut(
         measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("log_ppl", F.when(F.col("n_bytes") > 0, -F.col("log_p") / F.col("n_bytes")))
     )
