@@ -51,7 +51,8 @@ def _reduce(digests: np.ndarray, ids: np.ndarray, counts: np.ndarray, largest: b
 def _memtables(n_ranges: int, bits: int, width: int, largest: bool, memtable_rows: int):
     def flush(digests, ids):
         d, i, c = _reduce(np.concatenate(digests), np.concatenate(ids), np.ones(sum(map(len, ids)), dtype=np.int64), largest)
-        key = d.view(np.uint8).reshape(len(d), width)[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
+        lead = d.view(np.uint8).reshape(len(d), width)[:, :4].astype(np.int64)
+        key = lead @ np.array([1 << 24, 1 << 16, 1 << 8, 1])[: lead.shape[1]]
         at = (key * n_ranges) >> 32  # in the digests' own order
         edges = np.searchsorted(at, np.arange(n_ranges + 1))
         out = []
@@ -102,12 +103,12 @@ def _compact(bits: int, width: int, largest: bool):
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_rows: int = 200_000, digest_bytes: int = 32, salts: int = 16) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``digest_bytes`` (4 to 32) shortens the index's digests; results don't depend on it, as hits are
+    ``digest_bytes`` (1 to 32) shortens the index's digests; results don't depend on it, as hits are
     compared byte by byte. ``salts`` spreads the rows of one digest over as many join keys.
     Of repeated rows with the kept id, all count as kept.
     """
-    if keep not in ("smallest", "largest") or not 4 <= digest_bytes <= 32:
-        raise ValueError("keep is 'smallest' or 'largest', digest_bytes from 4 to 32")
+    if keep not in ("smallest", "largest") or not 1 <= digest_bytes <= 32:
+        raise ValueError("keep is 'smallest' or 'largest', digest_bytes from 1 to 32")
     spark = docs.sparkSession
     n, largest = partitions(spark), keep == "largest"
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
