@@ -38,10 +38,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts replaced by its kind; n_chars follows."""
-    found = personal_data(docs)
-    new = F.when(F.col("row.text").isNotNull(), redacted(F.col("text"), F.col("spans")))
-    new_chars = F.when(F.size("spans") > 0, F.length(redacted(F.col("text"), F.col("spans"))).cast("long")).otherwise(F.col("row.n_chars"))
-    return found.select(*(new.alias(c) if c == "text" else new_chars.alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns))
+    # named first: inside select() a second use of "text" could mean the new column of that name
+    found = personal_data(docs).withColumn("_clean", redacted(F.col("text"), F.col("spans"))).drop("text", "doc_id")
+    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("_clean")), "n_chars": F.when(F.size("spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
