@@ -202,7 +202,7 @@ def learn(proposed: DataFrame, trees: int, rate: float) -> tuple[list, float, fl
     return model, a, b
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, trees: int = 24, rate: float = 0.4) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, trees: int = 24, rate: float = 0.4) -> DataFrame:
     """doc_id, text, base and spans: arrays of (start, end, kind), by start, then kind; ``spans`` has the base spans and those the trees select.
 
     ``row`` holds all columns of the input row.
