@@ -254,7 +254,7 @@ def ngram_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     limits = bands(scored)
     out = scored.join(limits, scored.lang.eqNullSafe(limits.band_lang), "left")
-    reach = width * F.col("spread") + short / F.sqrt("n_bytes")
+    reach = width * F.col("spread") + short / F.sqrt(F.greatest("n_bytes", F.lit(1)))
     out = out.withColumn("lower", F.col("middle") - reach).withColumn("upper", F.col("middle") + reach)
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_ppl", "lower", "upper")
