@@ -60,6 +60,7 @@ FEATURES = {
     "quoted": ("int(c.before rlike '[\"\\']$')", 2),
     "named": (r"int(c.before rlike '" + NAMED.replace("\\", "\\\\") + "')", 2),
 }
+BLOCK = 256  # matches that are added up at a time
 SPAN = "array<struct<start:int,end:int,kind_no:int,s:string,before:string>>"
 
 
@@ -74,8 +75,15 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
         one = F.struct(begin.alias("start"), (begin + F.length(f)).alias("end"), F.lit(KINDS.index(kind)).alias("kind_no"), f.alias("s"), F.right(p, F.lit(24)).alias("before"))
         return F.when(f.isNull(), a).otherwise(F.struct((begin + F.length(f)).alias("at"), F.concat(a["out"], F.array(one)).alias("out")))
 
+    def block(a: Column, rows: Column) -> Column:
+        part = F.aggregate(rows, F.struct(a["at"].alias("at"), F.array().cast(SPAN).alias("out")), add)
+        return F.struct(part["at"].alias("at"), F.concat(a["out"], part["out"]).alias("out"))
+
+    # in blocks, as adding one by one to a long array would copy it each time; array(...) names what is found once
+    blocks = lambda all: F.transform(F.sequence(F.lit(0), F.floor(F.size(all) / BLOCK).cast("int")), lambda b: F.slice(all, b * BLOCK + 1, BLOCK))
+    summed = F.transform(F.array(found), lambda all: F.aggregate(blocks(all), start, block, lambda a: a["out"]))
     has = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]")
-    return F.when(has, F.aggregate(found, start, add, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(has, summed[0]).otherwise(F.array().cast(SPAN))
 
 
 def _digits(s: Column) -> Column:
