@@ -6,8 +6,8 @@
 2. *Model*. Continuation counts, context totals, discounts and interpolated probabilities of the
    orders 1 to 5 are DataFrame aggregations and joins keyed by gram, context or suffix. The model
    grows with the text and is never broadcast: it stays dealt by hash range, in sorted arrays.
-3. *Scoring*. Each chunk's distinct grams are looked up in these arrays, and the answers meet the
-   chunk's texts. As the model is made of all texts, every gram of a text is in it.
+3. *Scoring*. Each chunk's distinct grams are looked up in these arrays, and the answers, in the
+   grams' order, meet the chunk's texts. As the model is made of all texts, every gram of a text is in it.
 4. *Bands*. Per language, the median and the quartiles of the perplexity's logarithm (per byte) over
    all texts that pass the counts; texts too far below or above the median are rejected. Short
    texts vary more, so the bands widen with 1 / sqrt(bytes).
@@ -30,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import U64, as_bytes, cut, mix, pack_sorted, partitions, planes, unpack_sorted, unplanes
+from .line_crf import grouped
 
 ORDER = 5
 CHUNK_IDS = 4096
@@ -136,14 +137,18 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _look_up(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """For each chunk the log-probabilities of its distinct grams in this bucket, by code; the chunk has the grams themselves."""
     grams = model.column("gram").to_numpy().view(U64)
     order = np.argsort(grams)
     grams, logp = grams[order], model.column("logp").to_numpy()[order]
+    parts: dict[int, list[bytes]] = {}
+    for r in asked.to_pylist():
+        parts.setdefault(r["chunk"], []).append(r["grams"])
     answers = []
-    for r in asked.column("grams").to_pylist():
-        at = np.searchsorted(grams, unpack_sorted(large(r)))
+    for packed in parts.values():
+        at = np.searchsorted(grams, np.unique(np.concatenate([unpack_sorted(large(x)) for x in packed])))
         answers.append(small(planes(np.maximum(-32767, np.round(logp[at] * STEP)).astype(np.int16))))
-    return pa.table({"chunk": asked.column("chunk"), "grams": asked.column("grams"), "logps": pa.array(answers, pa.binary())})
+    return pa.table({"chunk": pa.array(list(parts), pa.int64()), "bucket": pa.array(asked.column("bucket").to_pylist()[:1] * len(parts), pa.int32()), "logps": pa.array(answers, pa.binary())})
 
 
 def surface(text: bytes) -> tuple[int, int, int, int, int]:
@@ -194,14 +199,21 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _measure(docs: pa.Table, model: pa.Table) -> pa.Table:
+def _measure(buckets: int):
     """The surface counts of each text of a chunk, and the sum of its bytes' log-probabilities."""
-    grams = np.concatenate([np.zeros(0, U64), *(unpack_sorted(large(x)) for x in model.column("grams").to_pylist())])
-    logps = np.concatenate([np.zeros(0, np.int16), *(unplanes(large(x), np.int16) for x in model.column("logps").to_pylist())])
-    grams, first = np.unique(grams, return_index=True)
-    logps = logps[first] / STEP
-    parts = [_measured(pa.ipc.open_stream(large(x)).read_all(), grams, logps) for x in docs.column("block").to_pylist()]
-    return pa.concat_tables(parts)
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = [pa.ipc.open_stream(large(x)).read_all() for x in docs.column("block").to_pylist()]
+        found = [np.unique(gram_codes(held)[0]) for part in rows for held in grouped(as_bytes(part.column("text").combine_chunks()))]
+        grams = np.unique(np.concatenate([np.zeros(0, U64), *found]))
+        bucket, logps = bucket_of(grams, buckets), np.zeros(len(grams))
+        order = np.argsort(bucket, kind="stable")  # within a bucket by code, as the answers are
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for r in answers.to_pylist():
+            logps[order[edges[r["bucket"]] : edges[r["bucket"] + 1]]] = unplanes(large(r["logps"]), np.int16) / STEP
+        return pa.concat_tables([_measured(part, grams, logps) for part in rows])
+
+    return run
 
 
 def _measured(docs: pa.Table, grams: np.ndarray, logps: np.ndarray) -> pa.Table:
@@ -246,9 +258,9 @@ def ngram_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = kneser_ney(summed)
     asked = counted.select("bucket", "chunk", "grams")
     dealt = model.mapInArrow(_bucket_of(buckets), "bucket int, gram long, logp float")
-    answers = asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_look_up, "chunk long, grams binary, logps binary")
+    answers = asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_look_up, "chunk long, bucket int, logps binary")
     packed = rows.select("chunk", "doc_id", "lang", "text").mapInArrow(_pack, "chunk long, block binary")
-    measured = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_measure, MEASURED)
+    measured = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_measure(buckets), MEASURED)
     scored = cut(
         measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("log_ppl", F.when(F.col("n_bytes") > 0, -F.col("log_p") / F.col("n_bytes")))
     )
