@@ -23,7 +23,6 @@ from meridian.streaming.chunks import run_stream
 
 YEARS, SEASON, EVENT_DAYS = (1995, 2000), (152, 243), (6, 25)
 N_YEARS, N_LAT, N_LON = 6, 5, 5
-INDEPENDENT_DAYS = (152, 171)
 FILES = ["0601", "0615.nc", "0831"]
 RAW_FILL, RAW_MISSING = -32768, -32767
 
@@ -182,9 +181,9 @@ def _sampled(mode: str, k: int, days: tuple[int, int] = SEASON, per_cell: bool =
 
 
 for _name, _args in {
-    "clim_mc_consistent": ("consistent", 30), "clim_mc_packed": ("packed", 30), "clim_mc_block": ("block", 30), "clim_mc_independent": ("independent", 30, INDEPENDENT_DAYS, True),
+    "clim_mc_consistent": ("consistent", 30), "clim_mc_packed": ("packed", 30), "clim_mc_block": ("block", 30), "clim_mc_independent": ("independent", 30, SEASON, True),
     "clim_source_mc_k30": ("source", 30), "clim_source_mc_k60": ("source", 60), "clim_source_mc_flat10": ("source_flat", 10),
-    "clim_source_mc_exact_mean": ("source", 30, SEASON, False, True), "clim_source_mc_independent": ("source", 30, INDEPENDENT_DAYS, True), "clim_source_mc_flat_independent": ("source_flat", 30, INDEPENDENT_DAYS, True),
+    "clim_source_mc_exact_mean": ("source", 30, SEASON, False, True), "clim_source_mc_independent": ("source", 30, SEASON, True), "clim_source_mc_flat_independent": ("source_flat", 30, SEASON, True),
 }.items():
     QUERIES[_name], ORACLE_SQL[_name] = _sampled(*_args)
 

@@ -1,6 +1,9 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
+from meridian import queries as q
 from meridian.operators import sampling as s
 
 
@@ -51,3 +54,17 @@ def test_plan_multiplicity_and_bands(spark):
     assert plan.count() == 2 * 2 * 30
     cells = spark.range(600).selectExpr("cast(id as int) as cell").select(s.unit_of("source", False, band_start=100).alias("u")).distinct().collect()
     assert sorted(r.u for r in cells) == [-156, 100, 356]
+
+
+@pytest.mark.parametrize("name,mode", [("clim_mc_independent", "independent"), ("clim_source_mc_independent", "source"), ("clim_source_mc_flat_independent", "source_flat")])
+def test_draws_of_each_cell_cover_the_season(spark, sf_dir, name, mode):
+    """Against a plan in plain Python: the number of draws that meet an observation, on every target day of the season."""
+    held = {(r.cell, r.year, r.doy) for r in q._li(spark, sf_dir).where("v is not null").collect()}
+    cells, want = {c for c, _, _ in held}, Counter()
+    for t in range(152, 244):
+        for c in cells:
+            pairs = [(0, r) for r in range(30)] if mode != "source" else [(y, r) for y in range(6) for r in range(5)]
+            year, off = s.plan_offsets(mode, [t] * 30, [c] * 30, *zip(*pairs, strict=True), first=152, n_years=6, k=30)
+            for y, o in zip(year.tolist(), off.tolist(), strict=True):
+                want[t, c] += (c, 1995 + y, t + o - 5) in held
+    assert {(r.doy, r.cell): r.n for r in q.QUERIES[name](spark, sf_dir).collect()} == {k: n for k, n in want.items() if n}
