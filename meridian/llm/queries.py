@@ -16,7 +16,7 @@ from .line_crf import crf_quality
 from .ngram_quality import ngram_quality
 from .pii import personal_data, written
 from .pu_toxicity import pu_toxicity
-from .sentencepiece_sampling import sampled_encodings
+from .sentencepiece_sampling import sampled_and_decoded
 from .substring_dedup import substring_dedup
 from .url_filter import rule_table, url_filter
 
@@ -56,8 +56,7 @@ PIECE_MODEL = os.environ.get("MERIDIAN_PIECE_MODEL", "/opt/tokenizers/piece_bpe_
 
 
 def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sampled_encodings(table(spark, sf_dir, "documents"), PIECE_MODEL, k=2)
-    return found.select("doc_id", "rank", "n_pieces", "log_prob", "perturbed", "inclusion", F.sha2("ids", 256).alias("ids_sha256"))
+    return sampled_and_decoded(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

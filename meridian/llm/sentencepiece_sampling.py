@@ -33,9 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import U64, as_bytes, mix, polynomial
 from .line_crf import grouped
@@ -79,7 +81,7 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text that the ids were made from."""
-        return b"".join(self.raw[i] for i in ids.tolist())[1:]
+        return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:]
 
 
 def char_codes(chars: np.ndarray) -> np.ndarray:
@@ -313,12 +315,25 @@ def _decode(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _open(file, 1.0)
         for batch in batches:
-            texts = [v.decode(np.frombuffer(x, np.int32)) if x else b"" for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["doc_id", "rank", "text"])
+            for part in _slices(batch, batch.schema.get_field_index("ids")):
+                texts = [v.decode(np.frombuffer(x, np.int32)) if x else b"" for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "text"])
 
     return run
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that end where ``column`` passes ``GROUP`` bytes."""
+    first, size = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        size += n or 0
+        if size >= GROUP:
+            yield batch.slice(first, i + 1 - first)
+            first, size = i + 1, 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def _ship(df: DataFrame, model_path: str) -> str:
     """Gives the model file to all executors; its name there."""
     df.sparkSession.sparkContext.addFile(model_path)
@@ -332,5 +347,16 @@ def sampled_encodings(docs: DataFrame, model_path: str, k: int = 4, alpha: float
 
 
 def decoded(encodings: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, rank, text (UTF-8 bytes) of encodings."""
-    return encodings.select("doc_id", "rank", "ids").mapInArrow(_decode(_ship(encodings, model_path)), "doc_id long, rank int, text binary")
+    """The encodings with the text (UTF-8 bytes) of their ids."""
+    return encodings.mapInArrow(_decode(_ship(encodings, model_path)), _with_text(encodings.schema))
+
+
+def sampled_and_decoded(docs: DataFrame, model_path: str, k: int = 4, alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decoded`` of ``sampled_encodings``, both in one Python worker, so that a task needs the memory of one."""
+    file, rows = _ship(docs, model_path), docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    encode, decode = _encode(file, alpha, k), _decode(file)
+    return rows.mapInArrow(lambda batches: decode(encode(batches)), _with_text(StructType.fromDDL(SAMPLED)))
+
+
+def _with_text(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("text", BinaryType())])

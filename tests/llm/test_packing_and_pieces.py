@@ -8,7 +8,7 @@ import corpus_pipeline
 from meridian.llm.best_fit_packing import best_fit, best_fit_packing
 from meridian.llm.exact_dedup import exact_dedup
 from meridian.llm.line_crf import crf_quality
-from meridian.llm.queries import PIECE_MODEL
+from meridian.llm.queries import PIECE_MODEL, QUERIES
 from meridian.llm.sentencepiece_sampling import Vocabulary, decoded, sample_group, sampled_encodings
 
 from . import helpers
@@ -84,6 +84,16 @@ def test_round_trip_and_distinct_samples(spark, sf_dir):
     assert all(bytes(r.text).decode() == texts[r.doc_id] for r in decoded(found, PIECE_MODEL).collect())
 
 
+def test_query_gives_ids_and_decoded_texts(spark, sf_dir):
+    rows, texts = QUERIES["op7_sentencepiece_sampling"](spark, sf_dir).collect(), helpers.texts_of(spark, sf_dir)
+    v, by = Vocabulary(PIECE_MODEL), {}
+    for r in rows:
+        assert len(r.ids) == 4 * r.n_pieces and bytes(r.text).decode() == texts[r.doc_id] == v.decode(np.frombuffer(r.ids, np.int32)).decode()
+        by.setdefault(r.doc_id, set()).add((r.rank, bytes(r.ids)))
+    assert by.keys() == texts.keys()
+    assert all({rank for rank, _ in found} == {1, 2, 3, 4} and len({ids for _, ids in found}) == 4 for found in by.values())
+
+
 def test_odd_texts_come_back():
     v = Vocabulary(PIECE_MODEL)
     texts = ["▁ weird ▁x  two  spaces ".encode(), b"", "日本語 😀\n\n\t".encode(), b"bad \xff\xfe", b" ", b"\n", b"x" * 5000, "\x00\x01".encode()]
