@@ -291,6 +291,13 @@ def missing_file_report(spark, sf_dir):
     return obs.missing_days(_li(spark, sf_dir).where("cell = 3"), (1995, 2001), (147, 248)).groupBy("year").agg(F.count("*").alias("failed"))
 
 
+@query(f"""WITH {LI}, s AS (SELECT cell, y AS year, t AS doy FROM (SELECT DISTINCT cell FROM obs) CROSS JOIN (SELECT CAST(unnest(generate_series(1995, 2001)) AS INTEGER) AS y) CROSS JOIN {_targets(147, 248)})
+    SELECT cell, year, count(*) AS failed FROM s ANTI JOIN (SELECT DISTINCT cell, year, doy FROM obs) o USING (cell, year, doy) GROUP BY cell, year""")
+def missing_cell_report(spark, sf_dir):
+    """Source days without an observation, per cell and year, of all cells seen; years without a gap have no row."""
+    return obs.missing_cell_days(_li(spark, sf_dir), (1995, 2001), (147, 248)).groupBy("cell", "year").agg(F.count("*").alias("failed"))
+
+
 # streams and files -----------------------------------------------------------------------------
 @query(EXACT)
 def stream_chunks(spark, sf_dir):

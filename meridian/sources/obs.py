@@ -62,6 +62,12 @@ def missing_days(obs: DataFrame, years: tuple[int, int], days: tuple[int, int])
     return all_days.join(obs.select("year", "doy").distinct(), ["year", "doy"], "left_anti")
 
 
+def missing_cell_days(obs: DataFrame, years: tuple[int, int], days: tuple[int, int]) -> DataFrame:
+    """(cell, year, doy) of the cells seen without an observation."""
+    all_days = spine(obs, days).withColumn("year", F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))))
+    return all_days.join(obs.select("cell", "year", "doy").distinct(), ["cell", "year", "doy"], "left_anti").select("cell", "year", "doy")
+
+
 def with_grid(obs: DataFrame, n_lon: int) -> DataFrame:
     return obs.withColumn("lat_idx", F.expr(f"cell div {n_lon}").cast("int")).withColumn("lon_idx", (F.col("cell") % n_lon).cast("int"))
 

@@ -49,3 +49,9 @@ def test_report_files(spark, sf_dir, tmp_path):
     write_report(q.rmse_daily(spark, sf_dir), str(tmp_path))
     lines = spark.read.text(f"{tmp_path}/rmse_clim_daily").collect()
     assert len(lines) == 92 and all("." in r.value for r in lines)
+
+
+def test_gaps_of_every_cell_are_reported(spark, sf_dir):
+    held = {(r.cell, r.year, r.doy) for r in q._li(spark, sf_dir).select("cell", "year", "doy").collect()}
+    want = {(c, y): sum((c, y, d) not in held for d in range(147, 249)) for c in {c for c, _, _ in held} for y in range(1995, 2002)}
+    assert {(r.cell, r.year): r.failed for r in q.missing_cell_report(spark, sf_dir).collect()} == {k: n for k, n in want.items() if n}
