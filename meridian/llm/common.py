@@ -7,9 +7,11 @@ exactly that set, so both forms below agree.
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,10 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
-SEGMENT = 1 << 20
+SEGMENT = 1 << 20  # bytes of a text that are split into words at a time
+MOST_WORDS = 1 << 19  # distinct words whose digests are kept
+GROUP_WORDS = 1 << 18
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -60,12 +65,12 @@ def settings(spark: SparkSession, **conf: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids``, as a semi join that Spark may prune by a runtime Bloom filter.
+def only_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids``, by a join that Spark may prune by a runtime Bloom filter.
 
     The comparison on the id makes the ids' side count as selective, which that rule asks for.
     """
-    return docs.join(ids.where(F.col(id_col) >= F.lit(-(2**63))), id_col, "left_semi")
+    return docs.join(ids.where(F.col(id_col) >= F.lit(-(2**63))), id_col, how)
 
 
 RUNTIME_FILTER = {
@@ -84,10 +89,135 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of ``mix``."""
+    x = x ^ (x >> U64(33))
+    x = x * U64(pow(0xC4CEB9FE1A85EC53, -1, 2**64))
+    x = x ^ (x >> U64(33))
+    x = x * U64(pow(0xFF51AFD7ED558CCD, -1, 2**64))
+    return x ^ (x >> U64(33))
+
+
+# words -----------------------------------------------------------------------------------------
+class Words(dict):
+    """Numbers distinct words as they come up and keeps a 128-bit BLAKE2b digest of each."""
+
+    def __init__(self):
+        self.raw = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        number = len(self.raw) // 16
+        self.raw += blake2b(word, digest_size=16).digest()
+        if len(word) <= 64:
+            self[word] = number
+        return number
+
+    def digests(self, words: list[bytes]) -> np.ndarray:
+        if len(self.raw) > 16 * MOST_WORDS:
+            self.clear()
+            self.raw.clear()
+        if not words:
+            return np.zeros((0, 2), dtype=U64)
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.frombuffer(self.raw, U64).reshape(-1, 2)[numbers]
+
+
+_words = Words()
+
+
+def word_digests(data: bytes) -> np.ndarray:
+    """128-bit digests of all words of ``data``, in order, as (n, 2); works through segments, so memory stays bounded."""
+    out, at = [np.zeros((0, 2), dtype=U64)], 0
+    while at < len(data):
+        gap = GAP.search(data, at + SEGMENT)  # never inside a word
+        end = gap.start() if gap else len(data)
+        out.append(_words.digests(data[at:end].split()))
+        at = end
+    return np.concatenate(out)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """The first 64 bits of each word's digest."""
+    return word_digests(data)[:, 0]
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``size`` words; the words are folded in one by one through ``mix``."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=U64)
+    h = mix(words[:n] + U64(size))
+    for i in range(1, size):
+        h = mix(h * U64(BASE) + words[i : i + n])
+    return h
+
+
+# Rabin-Karp hashes over the prime field of 2**31 - 1 -----------------------------------------------
+PRIME = U64(2**31 - 1)
+RADIX = (1_103_515_245, 1_566_083_941, 1_812_433_253)  # one for each of the three residues
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2**62."""
+    x = (x & PRIME) + (x >> U64(31))
+    return np.where(x >= PRIME, x - PRIME, x)
 
 
 class Powers:
+    """Powers of a radix and of its inverse, grown on demand by doubling."""
+
+    held: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def upto(cls, radix: int, n: int) -> np.ndarray:
+        have = cls.held.get(radix, np.ones(1, dtype=U64))
+        while len(have) < n:
+            have = np.concatenate((have, _reduced(have * U64(pow(radix, len(have), int(PRIME))))))
+        cls.held[radix] = have
+        return have[:n]
+
+
+def rabin_karp(digests: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words: 64 bits (from two residues) and 31 bits more (a third one).
+
+    Each residue is a polynomial of other bits of the words' digests, to a radix of its own, modulo a
+    prime: no structure of the words makes two different runs equal, as it does modulo a power of two.
+    """
+    n = len(digests) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.uint32)
+    codes = (digests[:, 0] & PRIME, digests[:, 0] >> U64(33), digests[:, 1] & PRIME)
+    found = []
+    for radix, code in zip(RADIX, codes, strict=True):
+        sums = np.zeros(len(code) + 1, dtype=U64)
+        np.cumsum(_reduced(code * Powers.upto(radix, len(code))), out=sums[1:])
+        found.append(_reduced(_reduced(sums[size:] - sums[:-size]) * Powers.upto(pow(radix, -1, int(PRIME)), n)))
+    return mix((found[0] << U64(31)) | found[1]), found[2].astype(np.uint32)
+
+
+def windows_of(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, hash, check) of all windows of ``size`` words that lie within one text, a group of texts at a time."""
+    held, owners, words = [], [], 0
+    for i, text in enumerate(texts):
+        d = word_digests(text)
+        if len(d) >= size:
+            held.append(d)
+            owners.append(i)
+            words += len(d)
+        if held and (words >= GROUP_WORDS or i + 1 == len(texts)):
+            lengths = np.array([len(d) for d in held])
+            h, c = rabin_karp(np.concatenate(held), size)
+            left = np.repeat(np.cumsum(lengths), lengths) - np.arange(words)  # words to the text's end
+            inside = left[: len(h)] >= size
+            yield np.repeat(np.array(owners), lengths)[: len(h)][inside], h[inside], c[inside]
+            held, owners, words = [], [], 0
+
+
+# byte codes of the letter runs and characters that models take as features --------------------------
+BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
+
+
+class _Powers64:
     """BASE**i and its inverse, grown on demand."""
 
     up = np.ones(1, dtype=U64)
@@ -103,45 +233,13 @@ class Powers:
 
 
 def polynomial(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rabin-Karp hashes of codes[start:end], from one prefix sum: sum(codes[start + i] * BASE**i) mod 2**64."""
-    up, down = Powers.upto(len(codes) + 1)
+    """Hashes of short runs codes[start:end] from one prefix sum, modulo 2**64: for features and look-ups that a wrong match can't break."""
+    up, down = _Powers64.upto(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, dtype=U64)
     np.cumsum(codes * up[: len(codes)], out=sums[1:])
     return (sums[ends] - sums[starts]) * down[starts]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of ``data``, in order; works through segments, so memory stays bounded."""
-    out, at = [], 0
-    while at < len(data):
-        end = min(len(data), at + SEGMENT)
-        if end < len(data):  # never inside a word
-            cuts = np.flatnonzero(SPACE[np.frombuffer(data, np.uint8, end - at, at)])
-            if len(cuts):
-                end = at + int(cuts[-1]) + 1
-            else:
-                while end < len(data) and not SPACE[data[end]]:
-                    end += 1
-        buf = np.frombuffer(data, np.uint8, end - at, at)
-        inside = np.zeros(len(buf) + 2, dtype=np.int8)
-        inside[1:-1] = ~SPACE[buf]
-        edges = np.diff(inside)
-        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        if len(starts):
-            out.append(mix(polynomial(BYTE_CODE[buf], starts, ends) + (ends - starts).astype(U64)))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, dtype=U64)
-
-
-def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """Rabin-Karp hashes of all runs of ``size`` words."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=U64)
-    starts = np.arange(n)
-    return mix(polynomial(words, starts, starts + size) + U64(size))
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
@@ -175,10 +273,85 @@ def groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_keys)))
 
 
-def bucket_edges(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
-    """Where each of ``n`` equal ranges of the hash space begins in a sorted array (n + 1 offsets)."""
-    at = np.array([min(2**64 - 1, (i << 64) // n) for i in range(n)], dtype=U64)
-    return np.append(np.searchsorted(sorted_hashes, at), len(sorted_hashes))
+# packed runs: arrays of one range of a 64-bit key in one row ----------------------------------------
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of the key space, of ``buckets`` equal ones, that each key lies in."""
+    return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+def deal(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Bucket numbers, and for each bucket with rows its packed keys and columns; ``keys`` are sorted."""
+    at = bucket_of(keys, buckets)
+    starts, counts = groups(at)
+    parts = [slice(a, a + n) for a, n in zip(starts, counts, strict=True)]
+    return at[starts], [[pack_sorted(keys[p]) for p in parts], *([planes(c[p]) for p in parts] for c in columns)]
+
+
+def run_batch(numbers: np.ndarray, columns: list[list[bytes]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", *names])
+
+
+def runs_in(rows: list[dict], names: list[str], types: list) -> list[np.ndarray]:
+    """The arrays of packed runs, one after the other."""
+    first = np.concatenate([unpack_sorted(r[names[0]]) for r in rows])
+    return [first, *(np.concatenate([unplanes(r[c], t) for r in rows]) for c, t in zip(names[1:], types[1:], strict=True))]
+
+
+FAN = 4096  # ranges that a task deals its rows to at a time
+RUN_ROWS = 2_000_000
+
+
+def first_fan(buckets: int) -> int:
+    """Ranges to deal to at first: all, or few enough that packed runs stay long; ``dealt`` splits them further."""
+    return buckets if buckets <= FAN else min(FAN, -(-buckets // 64))
+
+
+def dealt(runs: DataFrame, buckets: int, names: list[str], types: list) -> DataFrame:
+    """Packed runs of ``first_fan(buckets)`` ranges, as runs of all ``buckets`` (or a few more): one more exchange where those are very many."""
+    coarse = first_fan(buckets)
+    if coarse == buckets:
+        return runs
+    fine = coarse * -(-buckets // coarse)
+
+    def split(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for apart in (False, True):  # runs of negative numbers keep apart
+            part = [r for r in rows if (r["bucket"] < 0) == apart]
+            if part:
+                arrays = runs_in(part, names, types)
+                order = np.argsort(arrays[0], kind="stable")
+                at, columns = deal(arrays[0][order], fine, *(a[order] for a in arrays[1:]))
+                yield run_batch(-1 - at if apart else at, columns, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.append(row)
+                size += len(row[names[0]]) // 8
+                if size >= RUN_ROWS:
+                    yield from split(held)
+                    held, size = [], 0
+        if held:
+            yield from split(held)
+
+    return runs.repartition("bucket").mapInArrow(run, runs.schema)
+
+
+def ranges(texts: DataFrame, text_col: str = "text", each: int = 16 << 20) -> int:
+    """A number of ranges for work on texts: by their bytes, so that a range's share doesn't grow with the input; four per shuffle partition at least, which evens them out."""
+    size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(4 * partitions(texts.sparkSession), -(-size // each))
+
+
+def summed(counters: DataFrame, add) -> DataFrame:
+    """Adds up rows (part, chunk, ...) by chunk, at most 64 rows of a chunk at a time; ``part`` numbers the tasks that made them."""
+    counters = cut(counters)
+    most = counters.agg(F.max("part")).first()[0] or 0
+    while True:
+        counters = counters.withColumn("part", F.expr("part div 64").cast("int")).groupBy("chunk", "part").applyInArrow(add, counters.schema)
+        most //= 64
+        if not most:
+            return counters
 
 
 def batches_of(rows: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:

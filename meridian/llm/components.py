@@ -22,16 +22,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of ``edges`` (columns u and v)."""
     now, before = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
-    for _ in range(max_rounds):
+    while True:
         now = cut(_small_star(_large_star(now)))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select("v", "v").distinct())

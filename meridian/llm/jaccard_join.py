@@ -6,84 +6,117 @@ share at least k tokens among the first ``n - required + k`` of each, for every
 its own k: a longer prefix adds postings, but fewer documents share k tokens of it. A pair is verified
 if its prefixes share as many tokens as the smaller k of the two.
 
-1. One pass counts shingles and describes each document: set size, a 128-bit set key, and a parity
-   bitmap. Equal sets are one *class* from here on (copies are never expanded into pairs).
+1. One pass counts shingles and describes each document: set size, a 128-bit BLAKE2b key of the set, and
+   a parity bitmap with at least as many bits as the set has tokens. Equal sets are one *class* from
+   here on, named by its key (copies are never expanded into pairs).
 2. A second pass posts the prefixes, packed by token range, one posting per class and batch.
-3. Per token range: short lists make counted candidate pairs. Long lists (a hot token) come back as
-   rows; their members are compared block by block through the parity bitmaps, whose differing bits
-   never exceed the size of the sets' difference, so that no similar pair is lost. Of a long list
-   first every member's nearest partner and the list's best connected member are tried; then all
-   remaining pairs that cross the components found so far.
-4. Pairs are verified on the whole sets; verified links make components.
+3. Per token range: short lists make counted candidate pairs. Long lists come back as rows (tokens that
+   the counts show to be hot don't meet in one range at all); their members are compared block by
+   block through the parity bitmaps, whose differing bits never exceed the size of the sets'
+   difference, so that no similar pair is lost. Of a long list first every member's nearest partner
+   and each block's best connected member are tried; then all remaining pairs that cross the
+   components found so far.
+4. Pairs are verified on the whole sets; verified links make components. A class's set is that of any
+   of its rows, found again by the row's hash and recognised by the set's key.
+
+Words are told apart by 128-bit digests, shingles by 64-bit hashes folded word by word: of a pair's
+some thousands of shingles two differing ones fall together with odds of about 1e-13.
 
 Defined results: null or empty text has no shingles and is linked with nothing; texts with fewer
 words than a shingle have one shingle, the whole sequence; documents with a null id take part as
-members of their class but name no component; repeated rows are members of one class; an empty
-table gives an empty result; other columns aren't read.
+members of their class but name no component; repeated rows are members of one class, rows with one
+id and different texts are members of several, which it doesn't link; an empty table gives an empty
+result; other columns aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUNTIME_FILTER, U64, as_bytes, bucket_edges, cut, groups, mix, only_ids, pack_sorted, partitions, planes, settings, unpack_sorted, unplanes, windows, word_hashes
+from .common import RUNTIME_FILTER, U64, as_bytes, bucket_of, cut, deal, dealt, first_fan, groups, mix, planes, ranges, run_batch, runs_in, settings, shingle_hashes, summed, unplanes, word_hashes
 from .components import components
 
 WIDTH_BITS = 20  # counters for the token order: 2**20 of 4 bytes
 CHUNKS = 16
-BITMAP_WORDS = 8
+LEAST_BITS = 512
 SHORT = 32  # lists up to this length make pairs at once
+HOT = 1 << 16  # tokens counted more often than this don't meet in one range
 BLOCK = 2048  # members of a long list that are compared with one another at a time
 MOST_K = 6
 BATCH_TOKENS = 1_000_000
-PAIR = "a long, b long, na int, nb int"
+NO_ID = -(2**63)
+PAIR = "a binary, b binary"
+NAMES, TYPES = ["tokens", "keys", "sizes", "ks"], (U64, "S16", np.uint32, np.uint8)
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of the text, A-Z lower-cased."""
     words = word_hashes(text.lower())
-    return np.unique(windows(words, min(size, max(1, len(words)))))
+    return np.unique(shingle_hashes(words, min(size, max(1, len(words)))))
+
+
+def set_key(tokens: np.ndarray) -> bytes:
+    return blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Each token flips one bit; so two bitmaps differ in at most as many bits as the sets in tokens."""
-    flips = np.bincount((mix(tokens + U64(77)) >> U64(55)).astype(np.int64), minlength=64 * BITMAP_WORDS)
+    """Each token flips one bit; so two bitmaps differ in at most as many bits as the sets in tokens, folded to the same length or not."""
+    bits = max(LEAST_BITS, 1 << max(0, len(tokens) - 1).bit_length())
+    flips = np.bincount((mix(tokens + U64(77)) & U64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((flips & 1).astype(np.uint8)).view(U64)
 
 
+def folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (n, more words) as those of ``words`` words."""
+    while bitmaps.shape[1] > words:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
+
+
+def binary(keys: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys).tobytes())]).cast(pa.binary())
+
+
+def keys_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "S16")
+
+
+DESCRIBED = "part int, chunk int, doc_id long, hash long, n int, key binary, bitmap binary, counts binary"
+
+
 def _describe(size: int):
+    names = [f.split()[0] for f in DESCRIBED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << WIDTH_BITS, dtype=np.int64)
+        counters, part = np.zeros(1 << WIDTH_BITS, dtype=np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            n, key, key2, maps = [], [], [], []
-            for text in as_bytes(batch.column(1)):
+            n, key, maps = [], [], []
+            for text in as_bytes(batch.column(2)):
                 tokens = shingles(text, size)
                 np.add.at(counters, (tokens >> U64(64 - WIDTH_BITS)).astype(np.int64), 1)
                 n.append(len(tokens))
-                key.append(int(mix(np.array([mix(tokens).sum(dtype=U64)]))[0].view(np.int64)) if len(tokens) else 0)
-                key2.append(int(mix(tokens + U64(5)).sum(dtype=U64).view(np.int64)) if len(tokens) else 0)
-                maps.append(parity_bitmap(tokens).tobytes())
-            none = pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.array(maps, pa.binary()), none], names=DESCRIBED)
-        step = len(counters) // CHUNKS
-        parts = [planes(np.minimum(counters[i * step : (i + 1) * step], 2**32 - 1).astype(np.uint32)) for i in range(CHUNKS)]
-        empty = pa.nulls(CHUNKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, CHUNKS + 1, dtype=np.int32)), empty, pa.nulls(CHUNKS, pa.int32()), empty, empty, pa.nulls(CHUNKS, pa.binary()), pa.array(parts, pa.binary())], names=DESCRIBED)
+                key.append(set_key(tokens) if len(tokens) else None)
+                maps.append(parity_bitmap(tokens).tobytes() if len(tokens) else None)
+            rows = len(n)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * rows, pa.int32()), pa.nulls(rows, pa.int32()), batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(key, pa.binary()), pa.array(maps, pa.binary()), pa.nulls(rows, pa.binary())], names=names)
+        counts = [planes(np.minimum(c, 2**32 - 1).astype(np.uint32)) for c in np.split(counters, CHUNKS)]
+        none = [pa.nulls(CHUNKS, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array([part] * CHUNKS, pa.int32()), pa.array(np.arange(CHUNKS, dtype=np.int32)), *none, pa.array(counts, pa.binary())], names=names)
 
     return run
 
 
-DESCRIBED = ["kind", "doc_id", "n", "key", "key2", "bitmap", "counts"]
-
-
 def _add_counts(table: pa.Table) -> pa.Table:
     total = sum(unplanes(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"chunk": table.column("kind")[:1].cast(pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+    return table.slice(0, 1).set_column(2, "counts", pa.array([planes(np.minimum(total, 2**32 - 1).astype(np.uint32))], pa.binary()))
 
 
 def prefix(tokens: np.ndarray, counts: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, int]:
@@ -100,68 +133,74 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, mean: float, percent: int) ->
 
 
 def _post(size: int, percent: int, buckets: int, shared):
-    def flush(held: list) -> pa.RecordBatch:
+    fan = first_fan(buckets)
+
+    def flush(held: list, hot: np.ndarray, batch: int) -> pa.RecordBatch:
         tokens = np.concatenate([x[0] for x in held])
         lengths = [len(x[0]) for x in held]
-        cols = [np.repeat(np.array([x[j] for x in held], dtype=t), lengths) for j, t in ((1, np.int64), (2, np.uint32), (3, np.uint8))]
-        order = np.argsort(tokens, kind="stable")
-        tokens, cols = tokens[order], [c[order] for c in cols]
-        edges, out = bucket_edges(tokens, buckets), []
-        for i in range(buckets):
-            a, b = edges[i], edges[i + 1]
-            if a < b:
-                out.append((i, pack_sorted(tokens[a:b]), *(planes(c[a:b]) for c in cols)))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[j] for r in out], pa.binary()) for j in range(1, 5))], names=["bucket", "tokens", "keys", "sizes", "ks"])
+        cols = [np.repeat(np.array([x[j] for x in held], dtype=t), lengths) for j, t in enumerate(TYPES[1:], 1)]
+        runs = []
+        often = hot[(tokens >> U64(64 - WIDTH_BITS)).astype(np.int64)]
+        for which in (~often, often):
+            order = np.flatnonzero(which)
+            order = order[np.argsort(tokens[order], kind="stable")]
+            runs.append(deal(tokens[order], fan, *(c[order] for c in cols)))
+        # hot tokens: in buckets numbered -1 and below, another one for each batch
+        away = -1 - bucket_of(mix(runs[1][0].astype(U64) * U64(2**20) + U64(batch)), fan)
+        return run_batch(np.concatenate((runs[0][0], away)), [a + b for a, b in zip(runs[0][1], runs[1][1], strict=True)], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(shared.value, np.uint32).astype(np.int64)
-        mean, held, total, classes = counts.mean(), [], 0, set()
+        mean, hot, number = counts.mean(), counts > HOT, TaskContext.get().partitionId() << 8
+        held, total, classes = [], 0, set()
         for batch in batches:
             for text in as_bytes(batch.column(0)):
                 tokens = shingles(text, size)
                 if len(tokens):
-                    key = int(mix(np.array([mix(tokens).sum(dtype=U64)]))[0].view(np.int64))
+                    key = set_key(tokens)
                     if key not in classes:
                         classes.add(key)
                         head, k = prefix(tokens, counts, mean, percent)
                         held.append((head, key, len(tokens), k))
                         total += len(head)
                         if total >= BATCH_TOKENS:
-                            yield flush(held)
-                            held, total, classes = [], 0, set()
+                            yield flush(held, hot, number)
+                            held, total, classes, number = [], 0, set(), number + 1
         if held:
-            yield flush(held)
+            yield flush(held, hot, number)
 
     return run
 
 
-LISTS = "kind int, a long, b long, na int, nb int, k int, c long"
+LISTS = "a binary, b binary, token long, n int, k int, c long"
 
 
 def _lists(percent: int):
-    """kind 0: counted candidate pairs (a < b) of the short lists; kind 1: postings of long lists (a: token, b: class, na: size, c: length)."""
+    """Counted candidate pairs (a < b) of the short lists; and postings (token, b, its size n) of long lists."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        t = np.concatenate([unpack_sorted(r["tokens"]) for r in rows])
-        key, n, k = (np.concatenate([unplanes(r[c], d) for r in rows]) for c, d in (("keys", np.int64), ("sizes", np.uint32), ("ks", np.uint8)))
+        t, names, n, k = runs_in(table.to_pylist(), NAMES, TYPES)
+        names, key = np.unique(names, return_inverse=True)
         order = np.lexsort((key, t))
         t, key, n, k = t[order], key[order], n[order].astype(np.int64), k[order]
         fresh = np.ones(len(t), dtype=bool)
         fresh[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
         t, key, n, k = t[fresh], key[fresh], n[fresh], k[fresh]
         starts, lengths = groups(t)
-        left, right = [], []
+        if table.column("bucket")[0].as_py() < 0:
+            lengths = np.full(len(starts), SHORT + 1)  # parts of longer lists
+            long = np.arange(len(t))
+        else:
+            long = np.flatnonzero(np.repeat(lengths > SHORT, lengths))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for m in np.unique(lengths[(lengths > 1) & (lengths <= SHORT)]):
-            i, j = np.triu_indices(m, 1)
+            i, j = np.triu_indices(m, 1)  # keys are in order within a list
             at = starts[lengths == m]
             x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
             ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
             left.append(x[ok])
             right.append(y[ok])
-        x, y = (np.concatenate(s) if s else np.zeros(0, dtype=np.int64) for s in (left, right))
-        swap = key[x] > key[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        x, y = np.concatenate(left), np.concatenate(right)
         order = np.lexsort((key[y], key[x]))
         x, y = x[order], y[order]
         new = np.ones(len(x), dtype=bool)
@@ -169,65 +208,86 @@ def _lists(percent: int):
         at = np.flatnonzero(new)
         count = np.diff(np.append(at, len(x)))
         x, y = x[at], y[at]
-        long = np.flatnonzero(np.repeat(lengths > SHORT, lengths))
-        size = np.repeat(lengths, lengths)[long]
-        zero = np.zeros(len(long), dtype=np.int64)
-        cols = {
-            "kind": (np.zeros(len(x), np.int32), np.ones(len(long), np.int32)), "a": (key[x], t[long].view(np.int64)), "b": (key[y], key[long]), "na": (n[x], n[long]), "nb": (n[y], zero),
-            "k": (np.minimum(k[x], k[y]), zero), "c": (count, size),
-        }
-        kinds = {"kind": np.int32, "na": np.int32, "nb": np.int32, "k": np.int32}
-        return pa.table({c: pa.array(np.concatenate([v.astype(kinds.get(c, np.int64)) for v in vs])) for c, vs in cols.items()})
+        pairs = [binary(names[key[x]]), binary(names[key[y]]), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int32()), pa.array(np.minimum(k[x], k[y]).astype(np.int32)), pa.array(count)]
+        posts = [pa.nulls(len(long), pa.binary()), binary(names[key[long]]), pa.array(t[long].view(np.int64)), pa.array(n[long].astype(np.int32)), pa.nulls(len(long), pa.int32()), pa.nulls(len(long), pa.int64())]
+        return pa.table({f.split()[0]: pa.chunked_array(c) for f, c in zip(LISTS.split(", "), zip(pairs, posts, strict=True), strict=True)})
 
     return run
 
 
-def _close(bm_x, n_x, bm_y, n_y, percent: int) -> np.ndarray:
-    """Bits that differ, or a large number where sizes or bits rule the pair out."""
-    differ = np.bitwise_count(bm_x[:, None, :] ^ bm_y[None, :, :]).sum(axis=2, dtype=np.int64)
-    total = n_x[:, None] + n_y[None, :]
-    most = total - 2 * -(-percent * total // (100 + percent))
-    ok = (differ <= most) & (100 * np.minimum(n_x[:, None], n_y[None, :]) >= percent * np.maximum(n_x[:, None], n_y[None, :]))
-    return np.where(ok, differ, 1 << 30)
+FAR = 1 << 30
+
+
+class Side:
+    """Members of one side of a block: keys, sizes, components (numbers) and bitmaps."""
+
+    def __init__(self, table: pa.Table, rows: np.ndarray, components: np.ndarray):
+        self.key, self.n = keys_of(table.column("key"))[rows], table.column("n").to_numpy()[rows].astype(np.int64)
+        maps = table.column("bitmap").to_pylist()
+        self.maps = [maps[i] for i in rows]
+        self.words, self.comp = np.array([len(m) // 8 for m in self.maps]), components[rows]
+
+    def bitmaps(self, rows: np.ndarray, words: int) -> np.ndarray:
+        raw = np.frombuffer(b"".join(self.maps[i] for i in rows), U64)
+        return folded(raw.reshape(len(rows), -1), words)
 
 
-def _blocks(table: pa.Table):
-    """The two sides of one block of a long list: keys, sizes, bitmaps and components of each."""
-    t = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "side", "comp")}
-    bitmaps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), U64).reshape(-1, BITMAP_WORDS)
-    order = np.argsort(t["key"], kind="stable")
-    t, bitmaps = {c: v[order] for c, v in t.items()}, bitmaps[order]
-    sides = [t["side"] == s for s in (0, 1)]
-    if not sides[1].any():
-        sides[1] = sides[0]
-    return [(t["key"][s], t["n"][s].astype(np.int64), bitmaps[s], t["comp"][s]) for s in sides], sides[0] is sides[1]
+def compared(x: Side, y: Side, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of x, rows of y, and the bits that each pair of them differs in: ``FAR`` where sizes or bits rule it out."""
+    for a in np.unique(x.words):
+        for b in np.unique(y.words):
+            xs, ys, words = np.flatnonzero(x.words == a), np.flatnonzero(y.words == b), min(a, b)
+            if 100 * min(x.n[xs].max(), y.n[ys].max()) < percent * max(x.n[xs].min(), y.n[ys].min()):
+                continue
+            bx, by, ny = x.bitmaps(xs, words), y.bitmaps(ys, words), y.n[ys][None, :]
+            step = max(1, (1 << 22) // (len(ys) * int(words)))
+            for i in range(0, len(xs), step):
+                nx = x.n[xs[i : i + step]][:, None]
+                total = nx + ny
+                ok = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+                differ = np.bitwise_count(bx[i : i + step, None, :] ^ by[None, :, :]).sum(axis=2, dtype=np.int64)
+                ok &= differ <= total - 2 * -(-percent * total // (100 + percent))
+                yield xs[i : i + step], ys, np.where(ok, differ, FAR)
+
+
+def _sides(table: pa.Table) -> tuple[Side, Side, bool]:
+    """The two sides of one block of a long list, and whether they are the same."""
+    side = table.column("side").to_numpy()
+    order = np.argsort(keys_of(table.column("key")), kind="stable")
+    components = np.unique(keys_of(table.column("comp")), return_inverse=True)[1]
+    first, second = (order[side[order] == s] for s in (0, 1))
+    x = Side(table, first, components)
+    return (x, Side(table, second, components), False) if len(second) else (x, x, True)
 
 
 def _pairs_table(pairs: list) -> pa.Table:
-    cols = [np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in range(4)]
-    return pa.table({"a": pa.array(cols[0].astype(np.int64)), "b": pa.array(cols[1].astype(np.int64)), "na": pa.array(cols[2].astype(np.int32)), "nb": pa.array(cols[3].astype(np.int32))})
+    a, b = (np.concatenate([np.zeros(0, "S16"), *(p[i] for p in pairs)]) for i in (0, 1))
+    return pa.table({"a": binary(a), "b": binary(b)})
 
 
 def _nearest(percent: int):
     """Every member with its nearest partner, and with the member that has most partners: at most two pairs a member."""
 
     def run(table: pa.Table) -> pa.Table:
-        ((kx, nx, bx, _), (ky, ny, by, _)), same = _blocks(table)
-        degree, pairs = np.zeros(len(ky), dtype=np.int64), []
-        for i in range(0, len(kx), 128):
-            d = _close(bx[i : i + 128], nx[i : i + 128], by, ny, percent)
+        x, y, same = _sides(table)
+        degree, best, partner, pairs = np.zeros(len(y.key), dtype=np.int64), np.full(len(x.key), FAR), np.zeros(len(x.key), dtype=np.int64), []
+        for xs, ys, d in compared(x, y, percent):
             if same:
-                d[np.arange(len(d)), np.arange(i, i + len(d))] = 1 << 30
-            degree += (d < 1 << 30).sum(axis=0)
-            best = d.argmin(axis=1)
-            ok = d[np.arange(len(d)), best] < 1 << 30
-            x, y = np.arange(i, i + len(d))[ok], best[ok]
-            pairs.append((kx[x], ky[y], nx[x], ny[y]))
+                d[xs[:, None] == ys[None, :]] = FAR
+            degree[ys] += (d < FAR).sum(axis=0)
+            j = d.argmin(axis=1)
+            least = d[np.arange(len(xs)), j]
+            nearer = least < best[xs]
+            best[xs[nearer]], partner[xs[nearer]] = least[nearer], ys[j[nearer]]
+        ok = np.flatnonzero(best < FAR)
+        pairs.append((x.key[ok], y.key[partner[ok]]))
         hub = int(degree.argmax()) if len(degree) else 0
         if len(degree) and degree[hub]:
-            d = _close(bx, nx, by[hub : hub + 1], ny[hub : hub + 1], percent)[:, 0]
-            x = np.flatnonzero((d < 1 << 30) & (kx != ky[hub]))
-            pairs.append((kx[x], np.full(len(x), ky[hub]), nx[x], np.full(len(x), ny[hub])))
+            one = Side.__new__(Side)
+            one.key, one.n, one.maps, one.words, one.comp = y.key[hub : hub + 1], y.n[hub : hub + 1], y.maps[hub : hub + 1], y.words[hub : hub + 1], y.comp[hub : hub + 1]
+            for xs, _, d in compared(x, one, percent):
+                near = xs[(d[:, 0] < FAR) & (x.key[xs] != y.key[hub])]
+                pairs.append((x.key[near], np.repeat(one.key, len(near))))
         return _pairs_table(pairs)
 
     return run
@@ -237,25 +297,35 @@ def _crossing(percent: int):
     """All pairs of a block that the bitmaps allow and that lie in different components."""
 
     def run(table: pa.Table) -> pa.Table:
-        ((kx, nx, bx, cx), (ky, ny, by, cy)), same = _blocks(table)
+        x, y, same = _sides(table)
         pairs = []
-        if len(np.unique(np.concatenate((cx, cy)))) > 1:
-            for i in range(0, len(kx), 128):
-                ok = (_close(bx[i : i + 128], nx[i : i + 128], by, ny, percent) < 1 << 30) & (cx[i : i + 128, None] != cy[None, :])
-                x, y = np.nonzero(ok)
-                x += i
+        if len(np.unique(np.concatenate((x.comp, y.comp)))) > 1:
+            for xs, ys, d in compared(x, y, percent):
+                i, j = np.nonzero((d < FAR) & (x.comp[xs][:, None] != y.comp[ys][None, :]))
+                i, j = xs[i], ys[j]
                 if same:
-                    x, y = x[x < y], y[x < y]
-                pairs.append((kx[x], ky[y], nx[x], ny[y]))
+                    i, j = i[i < j], j[i < j]
+                pairs.append((x.key[i], y.key[j]))
         return _pairs_table(pairs)
 
     return run
 
 
 def _sets(size: int):
+    """Key and tokens of each row's set, once for each task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "tokens"])
+            keys, sets = [], []
+            for text in as_bytes(batch.column(0)):
+                tokens = shingles(text, size)
+                key = set_key(tokens)
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    sets.append(tokens.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "tokens"])
 
     return run
 
@@ -275,55 +345,59 @@ def _verify(percent: int):
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest id that links of similarity ``percent`` / 100 or more reach."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = cut(rows.mapInArrow(_describe(shingle), "kind int, doc_id long, n int, key long, key2 long, bitmap binary, counts binary"))
-    counts = described.where("kind > 0").select("kind", "counts").groupBy("kind").applyInArrow(_add_counts, "chunk int, counts binary").orderBy("chunk").collect()  # 2**20 counters, whatever the input
-    shared = spark.sparkContext.broadcast(b"".join(bytes(r.counts) for r in counts) or bytes(4 << WIDTH_BITS))
-    # classes of equal sets; a class is named by its key
-    members = described.where("kind = 0")
-    classes = cut(members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("key2").alias("k2"), F.max("key2").alias("k3")))
-    # (two sets under one 64-bit key would differ in the second key)
-    if not classes.where("k2 <> k3").isEmpty():
-        raise RuntimeError("two different sets have the same key")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    buckets = ranges(rows)
+    described = cut(rows.select("doc_id", "hash", "text").mapInArrow(_describe(shingle), DESCRIBED))
+    members = described.where("chunk is null")
+    found = _components(rows, buckets, described, members, shingle, percent)
+    empty = members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = members.where("n > 0").select("doc_id", "n", "key").join(found, "key", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(empty)
+
+
+def _components(rows: DataFrame, buckets: int, described: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(key, component_id) of every class."""
+    spark = rows.sparkSession
+    counts = summed(described.where("chunk is not null").select("part", "chunk", "counts"), _add_counts).orderBy("chunk").collect()  # 2**20 counters, whatever the input
+    shared = spark.sparkContext.broadcast(b"".join(unplanes(bytes(r.counts), np.uint32).tobytes() for r in counts) or bytes(4 << WIDTH_BITS))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    classes = cut(members.where("n > 0").groupBy("key").agg(least.alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")).select("key", F.col("rep.doc_id").alias("rep"), F.col("rep.hash").alias("hash"), "n", "bitmap"))
     posted = rows.select("text").mapInArrow(_post(shingle, percent, buckets, shared), "bucket int, tokens binary, keys binary, sizes binary, ks binary")
-    lists = cut(posted.groupBy("bucket").applyInArrow(_lists(percent), LISTS))
-    short = lists.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("k").alias("k")).where("c >= k").select("a", "b")
-    long = lists.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), F.expr(f"cast(ceil(c / {BLOCK}) as int)").alias("blocks"))
-    long = long.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    lists = cut(dealt(posted, buckets, NAMES, TYPES).groupBy("bucket").applyInArrow(_lists(percent), LISTS))
+    short = lists.where("token is null").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("k").alias("k")).where("c >= k").select("a", "b")
+    long = lists.where("token is not null").select("token", F.col("b").alias("key")).distinct()
+    long = long.join(long.groupBy("token").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks")), "token")
+    long = cut(long.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
 
-    def compared(labels: DataFrame, f) -> DataFrame:
+    def blockwise(labels: DataFrame, f) -> DataFrame:
         """``f`` over every block, or pair of blocks, of each long list."""
         sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
-        dealt = long.withColumn("at", F.explode(sides)).join(labels, "key").select("token", "key", "n", "bitmap", "comp", "at.i", "at.j", "at.side")
-        return dealt.groupBy("token", "i", "j").applyInArrow(f, PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = long.join(labels, "key").withColumn("at", F.explode(sides)).select("token", "key", "n", "bitmap", "comp", "at.i", "at.j", "at.side")
+        return pairs.groupBy("token", "i", "j").applyInArrow(f, PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """pairs with ``linked``, by the documents' whole sets."""
-        at = lambda c: classes.select(F.col("key").alias(c), F.col("rep").alias(f"{c}_rep"))
-        named = cut(pairs.join(at("a"), "a").join(at("b"), "b"))
-        ids = named.select(F.explode(F.array("a_rep", "b_rep")).alias("doc_id")).distinct()
+        """pairs with ``linked``, by the whole sets of the two classes."""
+        pairs = cut(pairs)
+        named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key")
+        wanted = cut(named.select("hash", F.coalesce("rep", F.lit(NO_ID)).alias("row_id")).distinct())
+        texts = rows.select("hash", F.coalesce("doc_id", F.lit(NO_ID)).alias("row_id"), "text")
         with settings(spark, **RUNTIME_FILTER):
-            sets = cut(only_ids(rows, cut(ids), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, tokens binary"))
-        side = lambda c: sets.select(F.col("doc_id").alias(f"{c}_rep"), F.col("tokens").alias(f"{c}_tokens"))
-        return cut(named.join(side("a"), "a_rep").join(side("b"), "b_rep").select("a", "b", "a_tokens", "b_tokens").mapInArrow(_verify(percent), "a long, b long, linked boolean"))
+            found = texts.join(wanted.where(F.col("row_id") >= F.lit(NO_ID)), ["hash", "row_id"], "left_semi")
+            sets = cut(found.select("text").mapInArrow(_sets(shingle), "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens")))
+        side = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+        return cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(_verify(percent), "a binary, b binary, linked boolean"))
 
     def linked(checked: DataFrame) -> DataFrame:
         return components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     labels = classes.select("key", "n", "bitmap")
     has_long = not long.isEmpty()
-    first = short.union(compared(labels.withColumn("comp", F.col("key")), _nearest(percent))).distinct() if has_long else short
-    checked = verified(first)
+    checked = verified(short.union(blockwise(labels.withColumn("comp", F.col("key")), _nearest(percent))).distinct() if has_long else short)
     found = linked(checked)
     if has_long:
         now = labels.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "bitmap", F.coalesce("component", "key").alias("comp"))
-        rest = compared(now, _crossing(percent)).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        rest = blockwise(now, _crossing(percent)).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         found = linked(checked.union(verified(rest)))
-    # from classes back to documents; a component is named by its smallest document
+    # a component is named by its smallest document
     named = classes.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("key", "component_id")
-    out = members.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(named, "key", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("key", "component_id")

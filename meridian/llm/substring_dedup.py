@@ -1,15 +1,18 @@
 """Substring deduplication: words covered by a fixed-length window that an earlier document holds too.
 
-1. Every task hashes each window of ``window`` words (Rabin-Karp over word hashes) and keeps one
+1. Every task hashes each window of ``window`` words (Rabin-Karp over word digests) and keeps one
    posting per distinct window of its batch, with the smallest id; windows that a smaller id of the
    same batch holds too are decided on the spot. So a window that a third of all documents share
    leaves one posting per batch.
-2. Postings meet by hash range; of each window all ids but the smallest are told to drop it.
-3. The answers go to their documents (one join), whose windows are hashed again; covered words form
-   maximal removal intervals.
+2. Postings meet by hash range; of each window all ids but the smallest are told to drop it. The number
+   of ranges follows the bytes of the texts.
+3. The answers go to their documents, whose windows are hashed again; covered words form maximal
+   removal intervals.
 
-Windows are judged on the input, not on what is left. Windows are held equal when their 64-bit
-hashes are: over n windows some two differing ones collide with odds of about n**2 / 2**65.
+Windows are judged on the input, not on what is left. Two windows count as equal when 95 bits agree:
+three Rabin-Karp residues modulo a prime, each to a radix of its own and over other bits of the words'
+128-bit BLAKE2b digests. No structure of words makes different windows agree; by chance some two of n
+do with odds of about n**2 / 2**94: 1e-9 for the windows of 30 GB of text.
 
 Defined results: null or empty text has no words; texts shorter than the window lose nothing; a
 null id neither removes nor loses words; rows with the same id don't remove from one another; an
@@ -26,131 +29,178 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, bucket_edges, groups, mix, pack_sorted, partitions, planes, unpack_sorted, unplanes, windows, word_hashes
+from .common import RUNTIME_FILTER, U64, as_bytes, cut, deal, dealt, first_fan, groups, mix, only_ids, planes, ranges, run_batch, runs_in, settings, unmix, unplanes, windows_of
 
 BATCH_WINDOWS = 2_000_000
-POSTINGS = "bucket int, own boolean, hashes binary, ids binary"
+#: Packed runs of postings (window, id, check) and, in buckets numbered -1 and below, of answers (mixed id, window, check).
+RUNS = "bucket int, first binary, second binary, third binary"
+NAMES, TYPES = ["first", "second", "third"], (U64, U64, np.uint32)
 
 
-def _decide(hashes: np.ndarray, ids: np.ndarray):
-    """Distinct (hash, id) pairs by hash, and which of them hold the smallest id of their hash."""
-    order = np.lexsort((ids, hashes))
-    hashes, ids = hashes[order], ids[order]
-    fresh = np.ones(len(hashes), dtype=bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])
-    hashes, ids = hashes[fresh], ids[fresh]
-    first = np.ones(len(hashes), dtype=bool)
-    first[1:] = hashes[1:] != hashes[:-1]
-    return hashes, ids, first
+def _decide(h: np.ndarray, c: np.ndarray, ids: np.ndarray):
+    """Distinct (window, check, id) by window, and which of them hold the smallest id of their window."""
+    order = np.lexsort((ids, c, h))
+    h, c, ids = h[order], c[order], ids[order]
+    other = np.ones(len(h), dtype=bool)  # another window than the one before
+    other[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    fresh = other.copy()
+    fresh[1:] |= ids[1:] != ids[:-1]
+    return h[fresh], c[fresh], ids[fresh], other[fresh]
+
+
+def _answered(h: np.ndarray, c: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Packed runs of (id, window) pairs to drop, by range of the mixed ids."""
+    who = mix(ids.astype(U64))
+    order = np.lexsort((h, who))
+    return deal(who[order], buckets, h[order], c[order])
 
 
 def _postings(size: int, buckets: int):
-    def flush(hashes: list, ids: list) -> pa.RecordBatch:
-        h, d, first = _decide(np.concatenate(hashes), np.concatenate(ids))
-        out = []
-        ph, pd = h[first], d[first]
-        edges = bucket_edges(ph, buckets)
-        for k in range(buckets):
-            a, b = edges[k], edges[k + 1]
-            if a < b:
-                out.append((k, False, pack_sorted(ph[a:b]), planes(pd[a:b])))
-        h, d = h[~first], d[~first]
-        at = (mix(d.astype(U64)) % U64(buckets)).astype(np.int64)
-        order = np.argsort(at, kind="stable")  # by bucket, then by hash
-        h, d, at = h[order], d[order], at[order]
-        starts, counts = groups(at)
-        for a, c in zip(starts, counts, strict=True):
-            out.append((int(at[a]), True, pack_sorted(h[a : a + c]), planes(d[a : a + c])))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.bool_()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())],
-            names=["bucket", "own", "hashes", "ids"],
-        )
+    fan = first_fan(buckets)
+
+    def flush(held: list) -> pa.RecordBatch:
+        h, c, d, first = _decide(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        at, posted = deal(h[first], fan, d[first], c[first])
+        own_at, own = _answered(h[~first], c[~first], d[~first], fan)
+        return run_batch(np.concatenate((at, -1 - own_at)), [a + b for a, b in zip(posted, own, strict=True)], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, held = [], [], 0
+        held, n = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                h = windows(word_hashes(text), size)
-                if len(h):
-                    hashes.append(h)
-                    ids.append(np.full(len(h), doc_id, dtype=np.int64))
-                    held += len(h)
-                    if held >= BATCH_WINDOWS:
-                        yield flush(hashes, ids)
-                        hashes, ids, held = [], [], 0
-        if held:
-            yield flush(hashes, ids)
+            ids = batch.column(0).to_numpy()
+            for text, h, c in windows_of(as_bytes(batch.column(1)), size):
+                held.append((h, c, ids[text]))
+                n += len(h)
+                if n >= BATCH_WINDOWS:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
 
     return run
 
 
 def _answers(buckets: int):
-    """(id, window) pairs to drop, packed by range of ids: a row for each range, not for each id."""
+    """The answers to all postings of a range of windows; those that tasks gave themselves go on."""
+    fan = first_fan(buckets)
 
     def run(table: pa.Table) -> pa.Table:
-        own, shared = [], []
-        for r in table.to_pylist():
-            (own if r["own"] else shared).append((unpack_sorted(r["hashes"]), unplanes(r["ids"], np.int64)))
-        if shared:
-            h, d, first = _decide(np.concatenate([x[0] for x in shared]), np.concatenate([x[1] for x in shared]))
-            own.append((h[~first], d[~first]))
-        h, d = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
-        at = (mix(d.astype(U64)) % U64(buckets)).astype(np.int32)
-        order = np.lexsort((h, d, at))
-        h, d, at = h[order], d[order], at[order]
-        starts, counts = groups(at)
-        parts = [slice(a, a + c) for a, c in zip(starts, counts, strict=True)]
-        return pa.table({"id_range": pa.array(at[starts], pa.int32()), "ids": pa.array([planes(d[x]) for x in parts], pa.binary()), "hashes": pa.array([planes(h[x]) for x in parts], pa.binary())})
+        number = table.column("bucket")[0].as_py()
+        if number < 0:
+            return table.set_column(0, "bucket", pa.array([-1 - number] * table.num_rows, pa.int32()))
+        h, d, c = runs_in(table.to_pylist(), NAMES, TYPES)
+        h, c, d, first = _decide(h, c, d.view(np.int64))
+        return pa.Table.from_batches([run_batch(*_answered(h[~first], c[~first], d[~first], fan), NAMES)])
 
     return run
 
 
 def _by_id(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    d, h = np.concatenate([unplanes(r["ids"], np.int64) for r in rows]), np.concatenate([unplanes(r["hashes"], U64) for r in rows])
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    starts, counts = groups(d)
-    return pa.table({"answer_id": pa.array(d[starts], pa.int64()), "drops": pa.array([pack_sorted(np.unique(h[a : a + c])) for a, c in zip(starts, counts, strict=True)], pa.binary())})
+    who, h, c = runs_in(table.to_pylist(), NAMES, TYPES)
+    order = np.lexsort((c, h, who))
+    who, h, c = who[order], h[order], c[order]
+    starts, counts = groups(who)
+    parts = [slice(a, a + n) for a, n in zip(starts, counts, strict=True)]
+    return pa.table({"doc_id": pa.array(unmix(who[starts]).view(np.int64)), "drops": pa.array([planes(h[p]) for p in parts], pa.binary()), "checks": pa.array([planes(c[p]) for p in parts], pa.binary())})
+
+
+def answers(rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, drops, checks) of the documents that lose words, from rows (doc_id, text)."""
+    buckets = ranges(rows)
+    posted = rows.where("doc_id is not null").mapInArrow(_postings(window, buckets), RUNS)
+    told = dealt(posted, buckets, NAMES, TYPES).groupBy("bucket").applyInArrow(_answers(buckets), RUNS)
+    return cut(dealt(told, buckets, NAMES, TYPES).groupBy("bucket").applyInArrow(_by_id, "doc_id long, drops binary, checks binary"))
+
+
+def spans(text: bytes, size: int, drops: bytes, checks: bytes) -> list[list[int]]:
+    """Maximal intervals of words that windows to be dropped cover."""
+    found = list(windows_of([text], size))
+    if not found:
+        return []
+    _, h, c = found[0]
+    dh, dc = unplanes(drops, U64), unplanes(checks, np.uint32)
+    at = np.searchsorted(dh, h)
+    gone = np.zeros(len(h), dtype=bool)
+    todo = np.flatnonzero(at < len(dh))
+    while len(todo):  # one step, but where two windows to drop agree in their 64 bits
+        todo = todo[dh[at[todo]] == h[todo]]
+        gone[todo] |= dc[at[todo]] == c[todo]
+        at[todo] += 1
+        todo = todo[~gone[todo] & (at[todo] < len(dh))]
+    starts = np.flatnonzero(gone)
+    cover = np.zeros(len(h) + size, dtype=np.int64)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, starts + size, -1)
+    covered = np.cumsum(cover)[:-1] > 0
+    return np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0])))).reshape(-1, 2).tolist()
 
 
 def _remove(size: int):
+    """What is left of (doc_id, text, drops, checks)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, shas, removed = [], [], [], []
-            for text, drops in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words, spans = text.split(), []
-                if drops:
-                    starts = np.flatnonzero(np.isin(windows(word_hashes(text), size), unpack_sorted(drops)))
-                    if len(starts):
-                        cover = np.zeros(len(words) + 1, dtype=np.int64)
-                        np.add.at(cover, starts, 1)
-                        np.add.at(cover, starts + size, -1)
-                        gone = np.cumsum(cover)[:-1] > 0
-                        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-                        spans = edges.reshape(-1, 2).tolist()
-                kept, at = [], 0
-                for a, b in spans:
+            n_words, n_removed, whole, left, removed = [], [], [], [], []
+            for text, drops, checks in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                words, kept, at = text.split(), [], 0
+                gone = spans(text, size, drops, checks) if drops else []
+                for a, b in gone:
                     kept += words[at:a]
                     at = b
                 kept += words[at:]
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
-                shas.append(b" ".join(kept))
-                removed.append([{"start": a, "end": b} for a, b in spans])
+                whole.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                left.append(b" ".join(kept))
+                removed.append([{"start": a, "end": b} for a, b in gone])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(shas, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_words", "n_removed", "removed", "kept_text"],
+                [batch.column(0), pa.array(whole, pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(left, pa.binary()).cast(pa.string())],
+                names=["doc_id", "words_key", "n_words", "n_removed", "removed", "kept_text"],
             )
 
     return run
 
 
+REMOVED = "doc_id long, words_key binary, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
+
+
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, number and digest of the words of each text."""
+    for batch in batches:
+        rows = []
+        for text in as_bytes(batch.column(1)):
+            words = text.split()
+            joined = b" ".join(words)
+            rows.append((hashlib.blake2b(joined, digest_size=16).digest(), len(words), hashlib.sha256(joined).hexdigest()))
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "words_key", "n_words", "whole_sha256"])
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """The rows that lose words: doc_id, words_key (digest of the row's words), n_words, n_removed, removed (word intervals, end exclusive), kept_text (kept words joined by a space).
+
+    Only their texts are shuffled: the others stay behind a runtime Bloom filter, as far as that has room for the ids.
+    """
+    rows = _named(docs, id_col, text_col)
+    told = answers(rows, window)
+    with settings(docs.sparkSession, **RUNTIME_FILTER):
+        return cut(only_ids(rows, told, "doc_id", "inner").select("doc_id", "text", "drops", "checks").mapInArrow(_remove(window), REMOVED).where("n_removed > 0"))
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, removed (word intervals, end exclusive) and kept_text (kept words joined by a space)."""
-    buckets = partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    posted = rows.where("doc_id is not null").mapInArrow(_postings(window, buckets), POSTINGS)
-    answers = posted.groupBy("bucket").applyInArrow(_answers(buckets), "id_range int, ids binary, hashes binary").groupBy("id_range").applyInArrow(_by_id, "answer_id long, drops binary")
-    joined = rows.join(answers, rows.doc_id == answers.answer_id, "left").select("doc_id", "text", "drops")
-    return joined.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
+    """Every row: doc_id, n_words, n_removed, removed and kept_text, as in ``removals``."""
+    rows = _named(docs, id_col, text_col)
+    joined = rows.join(answers(rows, window), "doc_id", "left").select("doc_id", "text", "drops", "checks")
+    return joined.mapInArrow(_remove(window), REMOVED).drop("words_key")
+
+
+def substring_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """Every row: doc_id, n_words, n_removed and kept_sha256. Texts that lose nothing are digested where they are read."""
+    changed = removals(docs, id_col, text_col, window).select("doc_id", "words_key", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")).dropDuplicates(["doc_id", "words_key"])
+    every = _named(docs, id_col, text_col).mapInArrow(_plain, "doc_id long, words_key binary, n_words long, whole_sha256 string")
+    out = every.join(changed, ["doc_id", "words_key"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from meridian.llm import jaccard_join
 from meridian.llm.components import components
 from meridian.llm.exact_dedup import exact_dedup
 from meridian.llm.jaccard_join import jaccard_components, parity_bitmap
-from meridian.llm.substring_dedup import substring_dedup
+from meridian.llm import common, substring_dedup as sub
+from meridian.llm.substring_dedup import substring_digests, substring_dedup
 
 from . import helpers
 
@@ -50,8 +52,46 @@ def test_substring_dedup_is_exact(spark):
         parts = [" ".join(f"u{rng.randrange(50)}" for _ in range(rng.randrange(20))) for _ in range(3)]
         docs[i] = f" {rng.choice(passages)}\n".join(parts) + rng.choice(["", " " + rng.choice(passages)])
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(6)
+    want = brute_removed(docs, 8)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, window=8).collect()}
-    assert got == brute_removed(docs, 8)
+    assert got == want
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_digests(df, window=8).collect()}
+    assert got == {d: (n, m, hashlib.sha256(t.encode()).hexdigest()) for d, (n, m, t) in want.items()}
+
+
+def test_substring_dedup_with_very_many_ranges(spark, monkeypatch):
+    """Runs that are dealt in two steps."""
+    monkeypatch.setattr(common, "FAN", 8)
+    monkeypatch.setattr(sub, "ranges", lambda rows: 100)
+    rng = random.Random(6)
+    docs = {i: " ".join(f"w{rng.randrange(3)}" for _ in range(rng.randrange(60))) for i in range(80)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, window=8).collect()} == brute_removed(docs, 8)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_structured_words_and_windows_stay_apart(spark):
+    """A Thue-Morse word and its complement, which polynomials modulo 2**64 take for equal; and windows of such words."""
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(49))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, " ".join(a[:64])), (4, " ".join(b[:64]))], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup(df).collect()} == {0}
+    pairs = spark.createDataFrame([(1, f"{a} x y"), (2, f"{b} x y"), (3, " ".join(a)), (4, " ".join(b))], "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in jaccard_components(pairs).where("doc_id < 3").collect())
+
+
+def test_rolling_hashes_equal_their_definition():
+    d = common.word_digests(" ".join(f"w{i % 7}" for i in range(40)).encode())
+    h, c = common.rabin_karp(d, 6)
+    fresh = [common.rabin_karp(d[i : i + 6], 6) for i in range(35)]
+    assert h.tolist() == [int(x[0][0]) for x in fresh] and c.tolist() == [int(x[1][0]) for x in fresh]
+    assert len(set(zip(h.tolist(), c.tolist(), strict=True))) == 7
+    x = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert (common.unmix(common.mix(x)) == x).all()
 
 
 def near_copies(rng, n, edits):
@@ -88,12 +128,55 @@ def test_join_on_the_tables(spark, sf_dir):
     check_components(spark, docs, 5, 80)
 
 
+def chain():
+    """Three texts: the ends are less than 0.9 alike, the middle one is over 0.9 like either."""
+    w = [f"w{i}" for i in range(104)]
+    middle, end = list(w), list(w)
+    middle[100:] = ["m1", "m2", "m3", "m4"]
+    end[:4] = ["e1", "e2", "e3", "e4"]
+    end[100:] = middle[100:]
+    return " ".join(w), " ".join(middle), " ".join(end)
+
+
+def test_links_through_null_and_repeated_ids(spark):
+    a, b, c = chain()
+    other = " ".join(f"o{i}" for i in range(90))
+    link = lambda rows: {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4, percent=90).collect()}
+    assert link([(1, a), (2, b), (3, c)])[3, 101] == 1 and link([(1, a), (3, c)])[3, 101] == 3
+    got = link([(1, a), (None, b), (None, b), (3, c)])
+    assert got[3, 101] == got[None, 101] == 1
+    # one id, two texts: each has its own links
+    assert link([(5, other), (5, b), (1, a), (7, c)])[7, 101] == 1
+    assert link([(5, a), (5, other), (9, other + " x"), (8, b)])[9, 88] == 5
+
+
+def test_hot_tokens_meet_in_blocks_only(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 10)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "BATCH_TOKENS", 500)
+    rng = random.Random(12)
+    texts = near_copies(rng, 60, 8) + [f"short {i % 9} text of five words" for i in range(60)]
+    check_components(spark, dict(enumerate(texts)), 4, 85)
+
+
+def test_long_disjoint_sets_are_not_paired():
+    """Of 3,000 tokens each: the bitmaps grow with the sets."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)) for _ in range(30)]
+    near = np.unique(np.append(sets[0][:2900], rng.integers(0, 2**63, 700).astype(np.uint64)))
+    sets.append(near)
+    keys = [jaccard_join.set_key(x) for x in sets]
+    table = pa.table({"key": pa.array(keys, pa.binary()), "comp": pa.array(keys, pa.binary()), "n": pa.array([len(x) for x in sets], pa.int32()), "bitmap": pa.array([parity_bitmap(x).tobytes() for x in sets], pa.binary()), "side": pa.array([0] * len(sets), pa.int32())})
+    found = jaccard_join._crossing(70)(table).to_pylist()
+    assert [{keys.index(p["a"]), keys.index(p["b"])} for p in found] == [{0, 30}]
+
+
 def test_prefixes_keep_similar_pairs():
     """Any two sets at the threshold share the smaller k among their prefixes."""
     rng = np.random.default_rng(1)
     counts = rng.integers(1, 5000, 1 << jaccard_join.WIDTH_BITS)
     for _ in range(300):
-        n = int(rng.integers(5, 400))
+        n = int(rng.integers(5, 1500))
         x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         y = x.copy()
         for i in rng.choice(len(x), max(1, int(len(x) * rng.uniform(0, 0.09))), replace=False):
@@ -103,7 +186,9 @@ def test_prefixes_keep_similar_pairs():
         if 100 * both >= 85 * (len(x) + len(y) - both):
             (a, k), (b, m) = (jaccard_join.prefix(s, counts, float(counts.mean()), 85) for s in (x, y))
             assert len(np.intersect1d(a, b)) >= min(k, m)
-            assert np.bitwise_count(parity_bitmap(x) ^ parity_bitmap(y)).sum() <= len(np.setxor1d(x, y))
+            p, q = (parity_bitmap(s)[None, :] for s in (x, y))
+            words = min(p.shape[1], q.shape[1])
+            assert np.bitwise_count(jaccard_join.folded(p, words) ^ jaccard_join.folded(q, words)).sum() <= len(np.setxor1d(x, y))
 
 
 def test_components_of_chains_stars_and_cycles(spark):
