@@ -15,14 +15,15 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
 SEGMENT = 1 << 20  # bytes of a text that are split into words at a time
-MOST_WORDS = 1 << 19  # distinct words whose digests are kept
-GROUP_WORDS = 1 << 18
+MOST_WORDS = 1 << 18  # distinct words whose digests are kept
+GROUP_WORDS = 1 << 17
 GAP = re.compile(rb"[\x20\x09-\x0D]")
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -273,6 +274,17 @@ def groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_keys)))
 
 
+_squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def small(data: bytes) -> bytes:
+    return _squeeze.compress(data)
+
+
+def large(data: bytes) -> bytes:
+    return _expand.decompress(data)
+
+
 # packed runs: arrays of one range of a 64-bit key in one row ----------------------------------------
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The range of the key space, of ``buckets`` equal ones, that each key lies in."""
@@ -284,7 +296,7 @@ def deal(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> tuple[np.ndarr
     at = bucket_of(keys, buckets)
     starts, counts = groups(at)
     parts = [slice(a, a + n) for a, n in zip(starts, counts, strict=True)]
-    return at[starts], [[pack_sorted(keys[p]) for p in parts], *([planes(c[p]) for p in parts] for c in columns)]
+    return at[starts], [[small(pack_sorted(keys[p])) for p in parts], *([small(planes(c[p])) for p in parts] for c in columns)]
 
 
 def run_batch(numbers: np.ndarray, columns: list[list[bytes]], names: list[str]) -> pa.RecordBatch:
@@ -293,12 +305,12 @@ def run_batch(numbers: np.ndarray, columns: list[list[bytes]], names: list[str])
 
 def runs_in(rows: list[dict], names: list[str], types: list) -> list[np.ndarray]:
     """The arrays of packed runs, one after the other."""
-    first = np.concatenate([unpack_sorted(r[names[0]]) for r in rows])
-    return [first, *(np.concatenate([unplanes(r[c], t) for r in rows]) for c, t in zip(names[1:], types[1:], strict=True))]
+    first = np.concatenate([unpack_sorted(large(r[names[0]])) for r in rows])
+    return [first, *(np.concatenate([unplanes(large(r[c]), t) for r in rows]) for c, t in zip(names[1:], types[1:], strict=True))]
 
 
 FAN = 4096  # ranges that a task deals its rows to at a time
-RUN_ROWS = 2_000_000
+RUN_BYTES = 16 << 20
 
 
 def first_fan(buckets: int) -> int:
@@ -327,8 +339,8 @@ def dealt(runs: DataFrame, buckets: int, names: list[str], types: list) -> DataF
         for batch in batches:
             for row in batch.to_pylist():
                 held.append(row)
-                size += len(row[names[0]]) // 8
-                if size >= RUN_ROWS:
+                size += sum(len(row[c]) for c in names)
+                if size >= RUN_BYTES:
                     yield from split(held)
                     held, size = [], 0
         if held:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import RUNTIME_FILTER, U64, as_bytes, cut, deal, dealt, first_fan, groups, mix, only_ids, planes, ranges, run_batch, runs_in, settings, unmix, unplanes, windows_of
 
-BATCH_WINDOWS = 2_000_000
+BATCH_WINDOWS = 1_000_000
 #: Packed runs of postings (window, id, check) and, in buckets numbered -1 and below, of answers (mixed id, window, check).
 RUNS = "bucket int, first binary, second binary, third binary"
 NAMES, TYPES = ["first", "second", "third"], (U64, U64, np.uint32)
