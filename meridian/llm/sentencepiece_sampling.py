@@ -11,21 +11,23 @@ phi has been included with probability 1 - exp(-exp(phi - kappa)).
 
 Pieces never reach across the start of a word (a run of spaces and what follows) or a line end, so the
 lattice falls apart into words: lattices are built once per distinct word of a group of texts, in
-numpy, and words are sampled together. Characters without a piece are their UTF-8 bytes.
+numpy, and the words of all texts of a group are sampled together. A segmentation of a text is an array
+of numbers of its words' segmentations. Characters without a piece are their UTF-8 bytes.
 
 Probabilities: a unigram model's scores; a BPE model has only ranks, which count as Zipf's law. All
 random numbers are hashes of the row's key, so a row's samples don't depend on its neighbours.
 Decoding gives back the text exactly.
 
 Defined results: null or empty text has the one empty segmentation; texts with fewer than k
-segmentations have fewer rows (sets of mass below 1e-12 count as empty), with kappa -inf and
-probability 1; rows with the same key and text get the same samples; a null key counts as -1; an
-empty table gives an empty result; other columns aren't read.
+segmentations (the lattices' paths are counted) have fewer rows, with kappa -inf and probability 1;
+rows with the same key and text get the same samples; a null key counts as -1; an empty table gives
+an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import os
 import re
@@ -33,18 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import U64, as_bytes, mix, polynomial
+from .common import BASE, U64, as_bytes, mix
 from .line_crf import grouped
 
 SPACE, LITERAL = "▁", "\ud800"  # the model's space; what stands for that very character in a text
 WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-TINY = 1e-12
+LEAST = 1e-17  # mass of a set whose mass is lost to rounding
 GROUP = 2 << 20  # bytes of text that share lattices
 SAMPLED = "doc_id long, rank int, n_pieces int, log_prob double, perturbed double, inclusion double, ids binary"
 
@@ -72,24 +73,71 @@ class Vocabulary:
         logs = np.array([-math.log(2.7 - s) if ranks else s for _, _, s in plain])  # Zipf-Mandelbrot over merge ranks
         logs -= np.log(np.exp(logs).sum())
         self.longest = max((len(p) for _, p, _ in plain), default=1)
-        hashes = np.concatenate([piece_hashes(char_codes(np.array([ord(c) for c in p], dtype=U64)), np.array([0]), np.array([len(p)])) for _, p, _ in plain])
-        order = np.argsort(hashes)
-        self.hashes, self.ids, self.logs = hashes[order], np.array([i for i, _, _ in plain])[order], alpha * logs[order]
-        self.maybe = np.zeros(1 << 20, dtype=bool)  # by the hashes' high bits: rules out most strings that are no piece
-        self.maybe[(self.hashes >> U64(44)).astype(np.int64)] = True
+        prefixes = [self._prefixes(p) for _, p, _ in plain]
+        hashes = np.array([x[-1] for x in prefixes], dtype=U64)
+        self.begins = np.zeros(1 << SLOT_BITS, dtype=bool)
+        self.begins[slot_of(np.array(sorted({h for x in prefixes for h in x}), dtype=U64))] = True
+        order = np.argsort(slot_of(hashes), kind="stable")
+        self.hashes, self.ids, self.logs = hashes[order], np.array([i for i, _, _ in plain], dtype=np.int32)[order], alpha * logs[order]
+        # the first piece of each slot; those of a slot follow one another
+        slots = slot_of(self.hashes)
+        self.slot = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+        self.slot[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
+        self.crowd = int(np.bincount(slots).max(initial=1))
         self.fallback = alpha * (float(logs.min()) - 1)
+        lengths = np.array([len(r) for r in self.raw], dtype=np.int64)
+        self.flat, self.length, self.offset = np.frombuffer(b"".join(self.raw), np.uint8), lengths, np.cumsum(lengths) - lengths
+
+    @staticmethod
+    def _prefixes(piece: str) -> list[int]:
+        """Hashes of the piece's beginnings, the piece itself last."""
+        h, out = 0, []
+        for code in char_codes(np.array([ord(c) for c in piece], dtype=U64)).tolist():
+            h = (h * BASE + code) % 2**64
+            out.append(h)
+        return out
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of the piece of each hash, or -1."""
+        i = self.slot[slot_of(h)]
+        todo = np.flatnonzero(i >= 0)
+        at, wanted = i[todo], h[todo]
+        i[:] = -1
+        for _ in range(self.crowd):
+            has = self.hashes[at] == wanted
+            i[todo[has]] = at[has]
+            more = ~has & (at + 1 < len(self.hashes))
+            todo, at, wanted = todo[more], at[more] + 1, wanted[more]
+            if not len(todo):
+                break
+        return i
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the texts that runs of ids were made from, one after the other, and where each ends."""
+        length, offset = self.length[ids], self.offset[ids]
+        first = np.concatenate(([0], ends[:-1]))
+        first = first[first < ends]
+        length[first] -= 1  # the space that encoding puts in front
+        offset[first] += 1
+        upto = np.cumsum(length)
+        index = np.repeat(offset - (upto - length), length)
+        index += np.arange(len(index))
+        return self.flat[index], np.concatenate(([0], upto))[ends]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text that the ids were made from."""
-        return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:]
+        return self.decode_all(ids, np.array([len(ids)]))[0].tobytes()
 
 
-def char_codes(chars: np.ndarray) -> np.ndarray:
-    return mix(chars + U64(1))
+SLOT_BITS = 21
 
 
-def piece_hashes(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(polynomial(chars, starts, ends) + (ends - starts).astype(U64))
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * U64(0x9E3779B97F4A7C15) >> U64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def char_codes(chars: np.ndarray) -> np.ndarray:
+    return mix(chars + U64(1))
 
 
 class Lattices:
@@ -98,39 +146,37 @@ class Lattices:
     def __init__(self, words: list[str], vocabulary: Vocabulary):
         v = vocabulary
         lengths = np.array([len(w) for w in words])
-        self.chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+        self.chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(lengths)
-        self.first = ends - lengths
+        self.first = (ends - lengths).astype(np.int32)
         n = len(self.chars)
         left = np.repeat(ends, lengths) - np.arange(n)  # characters to the word's end
-        codes = char_codes(self.chars)
-        src, size, ids, logs, known = [], [], [], [], np.zeros(n, dtype=bool)
-        for m in range(1, min(v.longest, int(lengths.max(initial=0))) + 1):
-            at = np.flatnonzero(left >= m)
-            h = piece_hashes(codes, at, at + m)
-            likely = v.maybe[(h >> U64(44)).astype(np.int64)]
-            at, h = at[likely], h[likely]
-            i = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-            has = v.hashes[i] == h
-            at, i = at[has], i[has]
+        codes = char_codes(self.chars.astype(U64))
+        at, h, found = np.arange(n, dtype=np.int32), np.zeros(n, dtype=U64), []
+        for m in range(1, v.longest + 1):
+            h = h * U64(BASE) + codes[at + (m - 1)]
+            going = v.begins[slot_of(h)]  # a piece may begin so
+            if m == 1:
+                going[:] = True
+            at, h = at[going], h[going]
+            piece = v.find(h)
             if m == 1:
-                known[at] = True
-            src.append(at)
-            size.append(np.full(len(at), m))
-            ids.append(v.ids[i])
-            logs.append(v.logs[i])
-        at = np.flatnonzero(~known)
-        src.append(at)
-        size.append(np.ones(len(at), dtype=np.int64))
-        ids.append(np.full(len(at), -1))
-        logs.append(np.full(len(at), v.fallback))
-        src, size, ids, logs = (np.concatenate(x) for x in (src, size, ids, logs))
-        order = np.argsort(src, kind="stable")
-        self.src, self.size, self.ids, logs = src[order], size[order], ids[order], logs[order]
-        self.begin = np.searchsorted(self.src, np.arange(n + 1))
-        # log-mass from each node to its word's end, from the last characters backwards
-        beta = np.zeros(n + 1)
-        total = np.empty(len(self.src))
+                piece[piece < 0] = len(v.hashes)  # a character without a piece
+            has = piece >= 0
+            found.append((m, at[has], piece[has]))
+            going = left[at] > m
+            at, h = at[going], h[going]
+        self.begin = np.concatenate(([0], np.cumsum(sum(np.bincount(a, minlength=n) for _, a, _ in found)))).astype(np.int32)
+        piece, size, src, free = np.empty(self.begin[-1], dtype=np.int32), np.empty(self.begin[-1], dtype=np.int32), np.empty(self.begin[-1], dtype=np.int32), self.begin[:-1].copy()
+        for m, a, i in reversed(found):  # the longest piece of a node comes first
+            e = free[a]
+            free[a] += 1
+            piece[e], size[e], src[e] = i, m, a
+        del found
+        self.src, self.ids, logs = src, np.append(v.ids, np.int32(-1))[piece], np.append(v.logs, v.fallback)[piece]
+        self.next = np.where(left[src] > size, src + size, -1).astype(np.int32)  # -1: the word's end
+        # log-mass and number of paths from each node to its word's end, from the last characters backwards
+        beta, self.paths, total = np.zeros(n + 1), np.ones(n + 1), np.empty(len(src))
         by_left = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -138,175 +184,263 @@ class Lattices:
             counts = self.begin[nodes + 1] - self.begin[nodes]
             offsets = np.cumsum(counts) - counts
             e = np.repeat(self.begin[nodes] - offsets, counts) + np.arange(counts.sum())
-            to = self.src[e] + self.size[e]
-            value = logs[e] + np.where(left[self.src[e]] > self.size[e], beta[np.minimum(to, n)], 0.0)
-            total[e] = value
-            beta[nodes] = np.logaddexp.reduceat(value, offsets)
+            total[e] = logs[e] + beta[self.next[e]]  # beta[-1] stays 0, paths[-1] 1
+            beta[nodes] = np.logaddexp.reduceat(total[e], offsets)
+            with np.errstate(over="ignore"):
+                self.paths[nodes] = np.add.reduceat(self.paths[self.next[e]], offsets)
         self.log_p = total - beta[self.src]  # of each edge, given its node
         running = np.cumsum(np.exp(self.log_p))
-        before = np.concatenate(([0.0], running))[self.begin[self.src]]
-        self.cumulative = self.src + np.minimum(running - before, 1.0)  # increasing over all edges
-        self.left = left
-
-    def sample(self, words: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A segmentation of each word: edges in order, number of edges and log-probability of each; ``key``: random words."""
-        nodes, active, picked, owner, step = self.first[words].copy(), np.arange(len(words)), [], [], 0
-        log_p = np.zeros(len(words))
-        while len(active):
-            u = (mix(key[active] + U64(step * 0x9E3779B97F4A7C15 % 2**64)) >> U64(11)).astype(np.float64) / 2**53
-            at = nodes[active]
-            e = np.clip(np.searchsorted(self.cumulative, at + u, side="right"), self.begin[at], self.begin[at + 1] - 1)
+        self.cumulative = running - np.concatenate(([0.0], running))[self.begin[self.src]]
+        self.cumulative[self.begin[1:] - 1] = 2.0  # a node's last edge takes what is left
+        # the words' segmentations drawn so far: their edges, by number
+        self.edges, self.starts, self.counts, self.weights, self.size = [], [], [], [], 0
+        self.edge_total = 0
+
+    def keep(self, edges: np.ndarray, counts: np.ndarray) -> int:
+        """Adds segmentations (edges one after the other); the first one's number."""
+        offsets = np.cumsum(counts) - counts
+        self.edges.append(edges.astype(np.int32))
+        self.starts.append(offsets + self.edge_total)
+        self.counts.append(counts)
+        self.weights.append(np.add.reduceat(self.log_p[edges], offsets) if len(counts) else np.zeros(0))
+        self.edge_total += len(edges)
+        self.size += len(counts)
+        return self.size - len(counts)
+
+    def sample(self, words: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A segmentation of each word: edges in order and their number; ``key``: random words."""
+        active, at, picked, owner = np.arange(len(words)), self.first[words], [], []
+        counts = np.zeros(len(words), dtype=np.int64)
+        for step in itertools.count():
+            if not len(active):
+                break
+            u = (mix(key + U64(step * 0x9E3779B97F4A7C15 % 2**64)) >> U64(11)).astype(np.float64) / 2**53
+            e = self.begin[at]
+            miss = np.flatnonzero(u >= self.cumulative[e])
+            while len(miss):
+                e[miss] += 1
+                miss = miss[u[miss] >= self.cumulative[e[miss]]]
             picked.append(e)
             owner.append(active)
-            log_p[active] += self.log_p[e]
-            more = self.left[at] > self.size[e]
-            nodes[active] = at + self.size[e]
-            active, step = active[more], step + 1
-        if not picked:
-            return np.zeros(0, np.int64), np.zeros(len(words), np.int64), log_p
-        picked, owner = np.concatenate(picked), np.concatenate(owner)
-        order = np.argsort(owner, kind="stable")  # steps stay in order
-        return picked[order], np.bincount(owner, minlength=len(words)), log_p
-
-    def sample_other(self, word: int, taken: list[tuple[int, ...]], u: np.random.Generator) -> tuple[int, ...]:
+            counts[active] += 1
+            at = self.next[e]
+            more = np.flatnonzero(at >= 0)
+            at, active, key = at[more], active[more], key[more]
+        offsets = np.cumsum(counts) - counts
+        edges = np.empty(int(counts.sum()), dtype=np.int32)
+        for step, (e, o) in enumerate(zip(picked, owner, strict=True)):
+            edges[offsets[o] + step] = e
+        return edges, counts
+
+    def sample_other(self, word: int, taken: list[tuple[int, ...]], seed: int) -> tuple[int, ...]:
         """A segmentation of one word, given that it is none of ``taken``."""
         node, path, mass = int(self.first[word]), (), 0.0
+        weight_of = [math.exp(sum(self.log_p[list(t)].tolist())) for t in taken]
         while True:
-            edges = np.arange(self.begin[node], self.begin[node + 1])
-            weights = np.exp(mass + self.log_p[edges])
-            for t in taken:
-                if t[: len(path)] == path and len(t) > len(path):
-                    weights[t[len(path)] - edges[0]] -= math.exp(float(self.log_p[list(t)].sum()))
-            weights = np.maximum(weights, 0)
-            e = int(edges[np.searchsorted(np.cumsum(weights), u.random() * weights.sum(), side="right").clip(0, len(edges) - 1)])
-            path, mass = (*path, e), mass + float(self.log_p[e])
-            if self.left[node] <= self.size[e]:
+            a, b = int(self.begin[node]), int(self.begin[node + 1])
+            nexts, weights = self.next[a:b].tolist(), [math.exp(mass + x) for x in self.log_p[a:b].tolist()]
+            there = [0] * len(weights)
+            for t, w in zip(taken, weight_of, strict=True):
+                if len(t) > len(path) and t[: len(path)] == path:
+                    weights[t[len(path)] - a] -= w
+                    there[t[len(path)] - a] += 1
+            # by paths, as rounding may hide what is left of an edge
+            weights = [max(w, LEAST * math.exp(mass)) if self.paths[to] > gone else 0.0 for w, to, gone in zip(weights, nexts, there, strict=True)]
+            seed = (seed * 0xD1342543DE82EF95 + 0x9E3779B97F4A7C15) % 2**64
+            u, e = ((seed ^ seed >> 32) * 0xD6E8FEB86659FD93 % 2**64 >> 11) / 2**53 * sum(weights), -1
+            for i, w in enumerate(weights):
+                if w > 0:
+                    e = i
+                    u -= w
+                    if u < 0:
+                        break
+            path, mass, node = (*path, a + e), mass + float(self.log_p[a + e]), nexts[e]
+            if node < 0:
                 return path
-            node += int(self.size[e])
 
 
-class _Found:
-    """A segmentation of a text: its edges, the edges of each word and the words' log-probabilities."""
-
-    def __init__(self, edges, counts, log_p):
-        self.edges, self.ends, self.log_p = edges, np.cumsum(counts), log_p
-
-    def word(self, j: int) -> tuple[int, ...]:
-        return tuple(self.edges[(self.ends[j - 1] if j else 0) : self.ends[j]].tolist())
-
-
-def _truncated(phi: np.ndarray, most: float, u: np.ndarray) -> np.ndarray:
-    """Gumbel variables at ``phi``, given that they don't exceed ``most``."""
-    with np.errstate(divide="ignore", over="ignore"):
-        return np.where(phi > -np.inf, -np.logaddexp(-most, np.log(-np.log(u)) - phi), -np.inf)
-
-
-def _uniform(seed: int, salt: int, n: int) -> np.ndarray:
-    x = mix(np.arange(n, dtype=U64) * U64(0xD1B54A32D192ED03) + mix(np.array([(seed + salt * 0x632BE59BD9B4E019) % 2**64], dtype=U64)))
+def _uniform(seeds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each seed as many uniform numbers as its length says."""
+    starts = np.cumsum(lengths) - lengths
+    number = (np.arange(lengths.sum()) - np.repeat(starts, lengths)).astype(U64)
+    x = mix(number * U64(0xD1B54A32D192ED03) + np.repeat(mix(seeds), lengths))
     return ((x >> U64(11)).astype(np.float64) + 0.5) / 2**53
 
 
-def _split(heap: list, k: int, doc: int, found: _Found, value: float, start: int, head: float, taken: list, seed: int, salt: int) -> None:
-    """Queues what is left of a node: the segmentations that first differ from ``found`` in a word from ``start`` on."""
-    log_p = found.log_p[start:]
-    before = head + np.concatenate(([0.0], np.cumsum(log_p)[:-1])) if len(log_p) else np.zeros(0)
-    gone = np.exp(log_p)
-    if len(gone) and taken:
-        gone[0] += sum(p for _, p in taken)
-    rest = 1 - gone
-    with np.errstate(divide="ignore"):
-        phi = before + np.log(np.where(rest > TINY, rest, 0))
-    values = _truncated(phi, value, _uniform(seed, salt, len(phi)))
-    top = np.argpartition(-values, k)[: k + 1] if len(values) > k + 1 else np.arange(len(values))  # no more of these can come up
-    for j in top:
-        if values[j] > -np.inf:
-            word = (found.word(start + int(j)), float(math.exp(log_p[j])))
-            heapq.heappush(heap, (-float(values[j]), salt, start + int(j), found, float(before[j]), [*taken, word] if j == 0 else [word]))
-
-
-def sample_group(texts: list[bytes], keys: list[int], k: int, v: Vocabulary) -> list[list[tuple]]:
-    """For each text up to k (log_prob, perturbed, inclusion, ids), the largest perturbed value first."""
-    split = []
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class _Search:
+    """The perturbed A* search of all texts of a group, one member of each at a time."""
+
+    def __init__(self, words: list[np.ndarray], seeds: list[int], k: int, lattices: Lattices):
+        self.words, self.k, self.lattices = words, k, lattices
+        self.seeds = np.array(seeds, dtype=U64)
+        self.heaps: list[list] = [[] for _ in words]
+        self.found: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in words]
+        self.many = lattices.paths[lattices.first]
+
+    def draw(self, docs: list[int], starts: list[int], turn: int) -> list[np.ndarray]:
+        """Numbers of new segmentations of the words of each text from ``start`` on."""
+        lengths = np.array([len(self.words[d]) - a for d, a in zip(docs, starts, strict=True)])
+        parts = np.concatenate([self.words[d][a:] for d, a in zip(docs, starts, strict=True)])
+        number = np.arange(len(parts)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        key = mix(number.astype(U64) * U64(0xA0761D6478BD642F) + np.repeat(self.seeds[docs] + U64(turn * 0xE7037ED1A0B428DB % 2**64), lengths))
+        first = self.lattices.keep(*self.lattices.sample(parts, key))
+        return np.split(np.arange(first, first + len(parts)), np.cumsum(lengths)[:-1])
+
+    def split(self, docs: list[int], starts: list[int], heads: list[float], taken: list[list[int]], turn: int) -> None:
+        """Queues what is left of each text's last node: the segmentations that first differ from the found one in a word from ``start`` on."""
+        weights = np.concatenate(self.lattices.weights)
+        self.lattices.weights = [weights]
+        lengths = np.array([len(self.words[d]) - a for d, a in zip(docs, starts, strict=True)])
+        first = np.cumsum(lengths) - lengths
+        segments = np.concatenate([self.found[d][-1][0][a:] for d, a in zip(docs, starts, strict=True)])
+        log_p = weights[segments]
+        before = np.cumsum(log_p) - log_p
+        before += np.repeat(np.array(heads) - before[first], lengths)
+        rest, gone = -np.expm1(log_p), np.ones(len(log_p))
+        gone[first] += [len(t) for t in taken]
+        rest[first] -= [np.exp(weights[t]).sum() for t in taken]
+        left = self.many[np.concatenate([self.words[d][a:] for d, a in zip(docs, starts, strict=True)])] > gone
+        at = np.flatnonzero(left)  # Gumbel variables at phi, given that they don't exceed the node's own
+        owner = np.repeat(np.arange(len(docs)), lengths)[at]
+        phi = before[at] + np.log(np.maximum(rest[at], LEAST))
+        most = np.array([self.found[d][-1][2] for d in docs])
+        u = _uniform(self.seeds[docs] + U64(turn * 0x632BE59BD9B4E019 % 2**64), lengths)[at]
+        values = -np.logaddexp(-most[owner], np.log(-np.log(u)) - phi)
+        edges = np.searchsorted(owner, np.arange(len(docs) + 1))
+        for i, d in enumerate(docs):
+            a, b = edges[i], edges[i + 1]
+            top = a + np.argpartition(-values[a:b], self.k)[: self.k + 1] if b - a > self.k + 1 else np.arange(a, b)  # no more of these can come up
+            for x in top.tolist():
+                j = int(at[x] - first[i])
+                own = int(segments[at[x]])
+                heapq.heappush(self.heaps[d], (-float(values[x]), turn, starts[i] + j, self.found[d][-1][0], float(before[at[x]]), [*taken[i], own] if not j else [own]))
+
+    def run(self) -> None:
+        docs = [d for d in range(len(self.words)) if len(self.words[d])]
+        if not docs:
+            return
+        roots = -np.log(-np.log(_uniform(self.seeds[docs] + U64(0x632BE59BD9B4E019), np.ones(len(docs), dtype=np.int64))))
+        for d, segments, root in zip(docs, self.draw(docs, [0] * len(docs), 0), roots.tolist(), strict=True):
+            self.found[d].append((segments, 0.0, root))
+        self.split(docs, [0] * len(docs), [0.0] * len(docs), [[] for _ in docs], 2)
+        for r in range(1, self.k):
+            docs = [d for d in docs if self.heaps[d]]
+            if not docs:
+                return
+            nodes = [heapq.heappop(self.heaps[d]) for d in docs]
+            starts = [n[2] for n in nodes]
+            tails = self.draw(docs, [a + 1 for a in starts], r) if any(a + 1 < len(self.words[d]) for d, a in zip(docs, starts, strict=True)) else [np.zeros(0, np.int64)] * len(docs)
+            edges, at = np.concatenate(self.lattices.edges), np.concatenate(self.lattices.starts)
+            counts = np.concatenate(self.lattices.counts)
+            self.lattices.edges, self.lattices.starts, self.lattices.counts = [edges], [at], [counts]
+            path = lambda i: tuple(edges[at[i] : at[i] + counts[i]].tolist())
+            others = [self.lattices.sample_other(int(self.words[d][n[2]]), [path(i) for i in n[5]], int(self.seeds[d]) + r) for d, n in zip(docs, nodes, strict=True)]
+            number = self.lattices.keep(np.array([e for o in others for e in o], dtype=np.int64), np.array([len(o) for o in others]))
+            for i, (d, (value, _, j, base, *_), tail) in enumerate(zip(docs, nodes, tails, strict=True)):
+                self.found[d].append((np.concatenate((base[:j], [number + i], tail)), 0.0, -value))
+            self.split(docs, starts, [n[4] for n in nodes], [n[5] for n in nodes], 2 + r)
+
+
+def sample_columns(texts: list[bytes], keys: list[int], k: int, v: Vocabulary) -> tuple[np.ndarray, ...]:
+    """Columns of up to k samples of each text, the largest perturbed value first: text, rank, log_prob, perturbed, inclusion, end of its ids; and all ids."""
+    numbers = _Numbers()
+    words = []
     for t in texts:
         s = t.decode("utf-8", "surrogateescape").replace(SPACE, LITERAL).replace(" ", SPACE)
-        split.append(WORDS.findall(SPACE + s) if s else [])
-    number: dict[str, int] = {}
-    words = [np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int64) for ws in split]
-    if not number:
-        return [[(0.0, 0.0, 1.0, np.zeros(0, np.int32))] for _ in texts]
-    lattices = Lattices(list(number), v)
-    seeds = [int(x) for x in mix(np.array([key % 2**64 for key in keys], dtype=U64) + U64(99))]
-    results: list[list[tuple[_Found, float, float]]] = [[] for _ in texts]
-    heaps: list[list] = [[] for _ in texts]
-
-    def fresh(wanted: list[tuple[int, int, int]]) -> list[_Found]:
-        """Samples of the words of texts (text, from word, round)."""
-        parts = [words[d][a:] for d, a, _ in wanted]
-        random = [mix(np.arange(len(p), dtype=U64) * U64(0xA0761D6478BD642F) + U64((seeds[d] + r * 0xE7037ED1A0B428DB) % 2**64)) for p, (d, _, r) in zip(parts, wanted, strict=True)]
-        edges, counts, log_p = lattices.sample(np.concatenate(parts), np.concatenate(random))
-        at = np.cumsum([0, *map(len, parts)])
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        return [_Found(edges[ends[a] : ends[b]], counts[a:b], log_p[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    docs = [d for d in range(len(texts)) if len(words[d])]
-    for d, found in zip(docs, fresh([(d, 0, 0) for d in docs]), strict=True):
-        root = -math.log(-math.log(_uniform(seeds[d], 1, 1)[0]))
-        results[d].append((found, float(found.log_p.sum()), root))
-        _split(heaps[d], k, d, found, root, 0, 0.0, [], seeds[d], 2)
-    for r in range(1, k):
-        docs = [d for d in docs if heaps[d]]
-        if not docs:
-            break
-        nodes = [heapq.heappop(heaps[d]) for d in docs]
-        tails = fresh([(d, node[2] + 1, r) for d, node in zip(docs, nodes, strict=True)])
-        for d, (value, _, j, base, head, taken), tail in zip(docs, nodes, tails, strict=True):
-            other = lattices.sample_other(int(words[d][j]), [t for t, _ in taken], np.random.Generator(np.random.Philox(key=(seeds[d] + r) % 2**64)))
-            before = int(base.ends[j - 1]) if j else 0
-            counts = np.concatenate((np.diff(base.ends[:j], prepend=0), [len(other)], np.diff(tail.ends, prepend=0)))
-            log_p = np.concatenate((base.log_p[:j], [float(lattices.log_p[list(other)].sum())], tail.log_p))
-            found = _Found(np.concatenate((base.edges[:before], np.array(other, dtype=np.int64), tail.edges)), counts, log_p)
-            results[d].append((found, float(log_p.sum()), -value))
-            _split(heaps[d], k, d, found, -value, j, head, taken, seeds[d], 2 + r)
-    out = []
+        ws = WORDS.findall(SPACE + s) if s else []
+        words.append(np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws)))
+    lattices = Lattices(list(numbers), v) if numbers else None
+    search = _Search(words, [int(x) for x in mix(np.array([key % 2**64 for key in keys], dtype=U64) + U64(99))], k, lattices) if lattices else None
+    if search:
+        search.run()
+    text, rank, log_prob, value, kappa, segments, n_words = [], [], [], [], [], [], []
+    weights = np.concatenate(lattices.weights) if lattices else np.zeros(0)
     for d in range(len(texts)):
         if not len(words[d]):
-            out.append([(0.0, 0.0, 1.0, np.zeros(0, np.int32))])
-            continue
-        kappa = -heaps[d][0][0] if heaps[d] else -math.inf
-        out.append([(phi, value, -math.expm1(-math.exp(min(700.0, phi - kappa))), _ids(lattices, v, found.edges)) for found, phi, value in results[d]])
-    return out
+            rows, least = [(np.zeros(0, np.int64), 0.0, 0.0)], -math.inf
+        else:
+            rows, least = search.found[d], -search.heaps[d][0][0] if search.heaps[d] else -math.inf
+        for r, (found, _, perturbed) in enumerate(rows):
+            text.append(d)
+            rank.append(r + 1)
+            log_prob.append(float(weights[found].sum()))
+            value.append(perturbed)
+            kappa.append(least)
+            segments.append(found)
+            n_words.append(len(found))
+    phi = np.array(log_prob)
+    inclusion = -np.expm1(-np.exp(np.minimum(700.0, phi - np.array(kappa))))
+    ids, ends = _ids(lattices, v, np.concatenate(segments), np.array(n_words)) if lattices else (np.zeros(0, np.int32), np.zeros(len(text), np.int64))
+    return np.array(text, dtype=np.int64), np.array(rank, dtype=np.int32), phi, np.array(value), inclusion, ends, ids
+
+
+def _ids(lattices: Lattices, v: Vocabulary, segments: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of segmentations, and where those of each sample end."""
+    starts, counts, edges = (np.concatenate(x) for x in (lattices.starts, lattices.counts, lattices.edges))
+    count = counts[segments]
+    upto = np.cumsum(count)
+    index = np.repeat(starts[segments] - (upto - count), count)
+    index += np.arange(len(index))
+    edges = edges[index]
+    ids, ends = lattices.ids[edges], np.concatenate(([0], upto))[np.cumsum(n_words)]
+    odd = np.flatnonzero(ids < 0)
+    if len(odd):
+        each, which = np.unique(edges[odd], return_inverse=True)
+        raws = []
+        for e in each.tolist():
+            char = chr(int(lattices.chars[lattices.src[e]]))
+            raws.append([v.bytes[b] for b in (SPACE.encode() if char == LITERAL else char.encode("utf-8", "surrogateescape"))])
+        width = np.ones(len(ids), dtype=np.int64)
+        width[odd] = np.array([len(r) for r in raws])[which]
+        upto = np.cumsum(width)
+        ends = np.concatenate(([0], upto))[ends]
+        ids = np.repeat(ids, width)
+        table = np.full((len(raws), max(map(len, raws))), -1, dtype=np.int32)
+        for i, r in enumerate(raws):
+            table[i, : len(r)] = r
+        for b in range(table.shape[1]):
+            has = table[which, b] >= 0
+            ids[(upto - width)[odd[has]] + b] = table[which[has], b]
+    return ids, ends
 
 
-def _ids(lattices: Lattices, v: Vocabulary, edges: np.ndarray) -> np.ndarray:
-    ids = lattices.ids[edges]
-    odd = np.flatnonzero(ids < 0)
-    if not len(odd):
-        return ids.astype(np.int32)
-    pieces, last = [], 0
-    for i in odd:
-        char = chr(int(lattices.chars[lattices.src[edges[i]]]))
-        raw = SPACE.encode() if char == LITERAL else char.encode("utf-8", "surrogateescape")
-        pieces += [ids[last:i], np.array([v.bytes[b] for b in raw])]
-        last = i + 1
-    return np.concatenate([*pieces, ids[last:]]).astype(np.int32)
+def sample_group(texts: list[bytes], keys: list[int], k: int, v: Vocabulary) -> list[list[tuple]]:
+    """For each text up to k (log_prob, perturbed, inclusion, ids), the largest perturbed value first."""
+    text, _, phi, value, inclusion, ends, ids = sample_columns(texts, keys, k, v)
+    out: list[list[tuple]] = [[] for _ in texts]
+    for row in zip(text.tolist(), phi.tolist(), value.tolist(), inclusion.tolist(), np.split(ids, ends[:-1]), strict=True):
+        out[row[0]].append(row[1:])
+    return out
 
 
 def _open(file: str, alpha: float) -> Vocabulary:
     return Vocabulary(SparkFiles.get(file), alpha)
 
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _encode(file: str, alpha: float, k: int):
+    names = [f.split()[0] for f in SAMPLED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _open(file, alpha)
         for batch in batches:
-            keys, at = [-1 if x is None else x for x in batch.column(0).to_pylist()], 0
-            doc_ids = batch.column(0).to_pylist()
+            keys, at = batch.column(0).to_pylist(), 0
             for texts in grouped(as_bytes(batch.column(1)), GROUP):
-                rows = [(doc_ids[at + i], r + 1, len(ids), phi, value, q, ids.tobytes()) for i, found in enumerate(sample_group(texts, keys[at : at + len(texts)], k, v)) for r, (phi, value, q, ids) in enumerate(found)]
+                own = keys[at : at + len(texts)]
                 at += len(texts)
-                cols = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "rank", "n_pieces", "log_prob", "perturbed", "inclusion", "ids"])
+                text, rank, phi, value, inclusion, ends, ids = sample_columns(texts, [-1 if x is None else x for x in own], k, v)
+                pieces = np.diff(ends, prepend=0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()).take(pa.array(text)), pa.array(rank), pa.array(pieces), pa.array(phi), pa.array(value), pa.array(inclusion), _binary(ids.astype("<i4"), 4 * ends)], names=names)
 
     return run
 
@@ -316,8 +450,9 @@ def _decode(file: str):
         v = _open(file, 1.0)
         for batch in batches:
             for part in _slices(batch, batch.schema.get_field_index("ids")):
-                texts = [v.decode(np.frombuffer(x, np.int32)) if x else b"" for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "text"])
+                held = [x or b"" for x in part.column("ids").to_pylist()]
+                texts = v.decode_all(np.frombuffer(b"".join(held), "<i4"), np.cumsum([len(x) // 4 for x in held]))
+                yield pa.RecordBatch.from_arrays([*part.columns, _binary(*texts)], names=[*part.schema.names, "text"])
 
     return run
 
@@ -325,8 +460,8 @@ def _decode(file: str):
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that end where ``column`` passes ``GROUP`` bytes."""
     first, size = 0, 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        size += n or 0
+    for i, x in enumerate(batch.column(column)):
+        size += x.as_buffer().size if x.is_valid else 0
         if size >= GROUP:
             yield batch.slice(first, i + 1 - first)
             first, size = i + 1, 0
