@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import RUNTIME_FILTER, U64, as_bytes, cut, deal, dealt, first_fan, groups, mix, only_ids, planes, ranges, run_batch, runs_in, settings, unmix, unplanes, windows_of
 
 BATCH_WINDOWS = 1_000_000
+IDS_RANGE = 4  # ranges of windows to one of ids: answers are far fewer than postings
 #: Packed runs of postings (window, id, check) and, in buckets numbered -1 and below, of answers (mixed id, window, check).
 RUNS = "bucket int, first binary, second binary, third binary"
 NAMES, TYPES = ["first", "second", "third"], (U64, U64, np.uint32)
@@ -61,7 +62,7 @@ def _postings(size: int, buckets: int):
     def flush(held: list) -> pa.RecordBatch:
         h, c, d, first = _decide(*(np.concatenate(x) for x in zip(*held, strict=True)))
         at, posted = deal(h[first], fan, d[first], c[first])
-        own_at, own = _answered(h[~first], c[~first], d[~first], fan)
+        own_at, own = _answered(h[~first], c[~first], d[~first], first_fan(-(-buckets // IDS_RANGE)))
         return run_batch(np.concatenate((at, -1 - own_at)), [a + b for a, b in zip(posted, own, strict=True)], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +83,7 @@ def _postings(size: int, buckets: int):
 
 def _answers(buckets: int):
     """The answers to all postings of a range of windows; those that tasks gave themselves go on."""
-    fan = first_fan(buckets)
+    fan = first_fan(-(-buckets // IDS_RANGE))
 
     def run(table: pa.Table) -> pa.Table:
         number = table.column("bucket")[0].as_py()
@@ -109,7 +110,7 @@ def answers(rows: DataFrame, window: int) -> DataFrame:
     buckets = ranges(rows)
     posted = rows.where("doc_id is not null").mapInArrow(_postings(window, buckets), RUNS)
     told = dealt(posted, buckets, NAMES, TYPES).groupBy("bucket").applyInArrow(_answers(buckets), RUNS)
-    return cut(dealt(told, buckets, NAMES, TYPES).groupBy("bucket").applyInArrow(_by_id, "doc_id long, drops binary, checks binary"))
+    return cut(dealt(told, -(-buckets // IDS_RANGE), NAMES, TYPES).groupBy("bucket").applyInArrow(_by_id, "doc_id long, drops binary, checks binary"))
 
 
 def spans(text: bytes, size: int, drops: bytes, checks: bytes) -> list[list[int]]:
