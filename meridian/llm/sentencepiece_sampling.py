@@ -35,16 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import BASE, U64, as_bytes, mix
-from .line_crf import grouped
+from .common import BASE, BYTE_CODE, U64, as_bytes, mix, polynomial
 
 SPACE, LITERAL = "▁", "\ud800"  # the model's space; what stands for that very character in a text
-WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 LEAST = 1e-17  # mass of a set whose mass is lost to rounding
 GROUP = 2 << 20  # bytes of text that share lattices
 SAMPLED = "doc_id long, rank int, n_pieces int, log_prob double, perturbed double, inclusion double, ids binary"
@@ -146,7 +145,8 @@ class Lattices:
     def __init__(self, words: list[str], vocabulary: Vocabulary):
         v = vocabulary
         lengths = np.array([len(w) for w in words])
-        self.chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        joined = "".join(words).replace(SPACE, LITERAL).replace(" ", SPACE)
+        self.chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(lengths)
         self.first = (ends - lengths).astype(np.int32)
         n = len(self.chars)
@@ -267,10 +267,39 @@ def _uniform(seeds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return ((x >> U64(11)).astype(np.float64) + 0.5) / 2**53
 
 
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+def words_of(texts: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words of a group of texts, and each text's words by number.
+
+    A word is a run of spaces and what follows up to the next space or line end; a line end is a word,
+    and so are spaces before one. Every text begins with a space more.
+    """
+    data = b"".join(b" " + t for t in texts if t)
+    buf = np.frombuffer(data, np.uint8)
+    if not len(buf):
+        return [], [np.zeros(0, np.int64)] * len(texts)
+    sizes = np.array([len(t) + 1 if t else 0 for t in texts])
+    ends = np.cumsum(sizes)
+    line, space = buf == 10, buf == 32
+    begins = line | space
+    begins[1:] &= line[1:] | ~space[:-1]
+    begins[1:] |= line[:-1]
+    begins[(ends - sizes)[sizes > 0]] = True
+    starts = np.flatnonzero(begins)
+    upto = np.append(starts[1:], len(buf))
+    lengths = upto - starts
+    hashes = mix(polynomial(BYTE_CODE[buf], starts, upto) + lengths.astype(U64))
+    _, example, number = np.unique(hashes, return_index=True, return_inverse=True)
+    # the same bytes, not only the same hash
+    shift = np.repeat(starts[example][number] - starts, lengths)
+    if (lengths[example][number] != lengths).any() or (buf[np.arange(len(buf)) + shift] != buf).any():
+        by_bytes: dict[bytes, int] = {}
+        number = np.array([by_bytes.setdefault(data[a:b], len(by_bytes)) for a, b in zip(starts.tolist(), upto.tolist(), strict=True)])
+        words = list(by_bytes)
+    else:
+        order = np.argsort(example)  # as they come up, frequent words first: their lattices are near one another
+        number = np.argsort(order)[number]
+        words = [data[a:b] for a, b in zip(starts[example[order]].tolist(), upto[example[order]].tolist(), strict=True)]
+    return [w.decode("utf-8", "surrogateescape") for w in words], np.split(number, np.searchsorted(starts, ends[:-1]))
 
 
 class _Search:
@@ -349,13 +378,8 @@ class _Search:
 
 def sample_columns(texts: list[bytes], keys: list[int], k: int, v: Vocabulary) -> tuple[np.ndarray, ...]:
     """Columns of up to k samples of each text, the largest perturbed value first: text, rank, log_prob, perturbed, inclusion, end of its ids; and all ids."""
-    numbers = _Numbers()
-    words = []
-    for t in texts:
-        s = t.decode("utf-8", "surrogateescape").replace(SPACE, LITERAL).replace(" ", SPACE)
-        ws = WORDS.findall(SPACE + s) if s else []
-        words.append(np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws)))
-    lattices = Lattices(list(numbers), v) if numbers else None
+    distinct, words = words_of(texts)
+    lattices = Lattices(distinct, v) if distinct else None
     search = _Search(words, [int(x) for x in mix(np.array([key % 2**64 for key in keys], dtype=U64) + U64(99))], k, lattices) if lattices else None
     if search:
         search.run()
@@ -434,10 +458,8 @@ def _encode(file: str, alpha: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _open(file, alpha)
         for batch in batches:
-            keys, at = batch.column(0).to_pylist(), 0
-            for texts in grouped(as_bytes(batch.column(1)), GROUP):
-                own = keys[at : at + len(texts)]
-                at += len(texts)
+            for part in _slices(batch, 1):
+                own, texts = part.column(0).to_pylist(), as_bytes(part.column(1))
                 text, rank, phi, value, inclusion, ends, ids = sample_columns(texts, [-1 if x is None else x for x in own], k, v)
                 pieces = np.diff(ends, prepend=0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()).take(pa.array(text)), pa.array(rank), pa.array(pieces), pa.array(phi), pa.array(value), pa.array(inclusion), _binary(ids.astype("<i4"), 4 * ends)], names=names)
@@ -459,14 +481,12 @@ def _decode(file: str):
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that end where ``column`` passes ``GROUP`` bytes."""
-    first, size = 0, 0
-    for i, x in enumerate(batch.column(column)):
-        size += x.as_buffer().size if x.is_valid else 0
-        if size >= GROUP:
-            yield batch.slice(first, i + 1 - first)
-            first, size = i + 1, 0
-    if first < batch.num_rows:
-        yield batch.slice(first)
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < batch.num_rows:
+        last = min(batch.num_rows, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + GROUP)) + 1)
+        yield batch.slice(first, last - first)
+        first = last
 
 
 def _ship(df: DataFrame, model_path: str) -> str:

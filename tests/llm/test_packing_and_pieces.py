@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,8 @@ from meridian.llm.best_fit_packing import best_fit, best_fit_packing
 from meridian.llm.exact_dedup import exact_dedup
 from meridian.llm.line_crf import crf_quality
 from meridian.llm.queries import PIECE_MODEL, QUERIES
-from meridian.llm.sentencepiece_sampling import Vocabulary, decoded, sample_group, sampled_encodings
+from meridian.llm import sentencepiece_sampling as pieces
+from meridian.llm.sentencepiece_sampling import Lattices, Vocabulary, decoded, sample_group, sampled_encodings
 
 from . import helpers
 
@@ -101,6 +103,27 @@ def test_odd_texts_come_back():
         assert found and all(v.decode(ids) == t for _, _, _, ids in found)
 
 
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "é", " ", "  ", "\n", "▁", "x y"]) for _ in range(rng.randrange(12))).encode() for _ in range(300)]
+    distinct, numbers = pieces.words_of(texts)
+    assert len(set(distinct)) == len(distinct)
+    for t, n in zip(texts, numbers, strict=True):
+        assert [distinct[i] for i in n] == (re.findall(r" *[^ \n]+| +|\n", " " + t.decode()) if t else [])
+
+
+def test_few_segmentations_are_all_found():
+    """Sets are counted by paths, however little mass they have."""
+    v = Vocabulary(PIECE_MODEL)
+    v.logs = np.where(np.arange(len(v.logs)) % 2, v.logs, v.logs - 60)  # masses far below what a double's sum can hold
+    for text in (b"a", b"th", b"the", b"of a"):
+        one, all_ids = Lattices(["".join(w) for w in pieces.words_of([text])[0]], v), set()
+        n = int(np.prod(one.paths[one.first]))
+        found = sample_group([text], [3], 400, v)[0]
+        all_ids = {tuple(x[3].tolist()) for x in found}
+        assert n <= 400 and len(found) == len(all_ids) == n and found[0][2] == 1.0
+
+
 def test_samples_depend_on_the_key_and_not_on_neighbours():
     v = Vocabulary(PIECE_MODEL)
     alone = sample_group([b"some words here"], [7], 3, v)[0]
