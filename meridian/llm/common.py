@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import contextlib
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -19,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridian.session import shared_folder
+
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
 SEGMENT = 1 << 20  # bytes of a text that are split into words at a time
@@ -37,20 +37,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meridian-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends in files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager

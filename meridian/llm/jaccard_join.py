@@ -343,21 +343,28 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest id that links of similarity ``percent`` / 100 or more reach."""
+def jaccard_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, text_hash (xxhash64 of the text), n_shingles, component (the key of one of its classes; null without shingles) and component_id.
+
+    ``component_id`` is the smallest id that links of similarity ``percent`` / 100 or more reach; null where all ids of a component are.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     buckets = ranges(rows)
     described = cut(rows.select("doc_id", "hash", "text").mapInArrow(_describe(shingle), DESCRIBED))
-    members = described.where("chunk is null")
-    found = _components(rows, buckets, described, members, shingle, percent)
-    empty = members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = members.where("n > 0").select("doc_id", "n", "key").join(found, "key", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(empty)
+    members = described.where("chunk is null").select("doc_id", F.col("hash").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"), "key")
+    found = _components(rows, buckets, described, shingle, percent)
+    empty = members.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("component_id"))
+    return members.where("n_shingles > 0").join(found, "key", "left").select("doc_id", "text_hash", "n_shingles", "component", "component_id").unionByName(empty)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of ``jaccard_members``."""
+    return jaccard_members(docs, id_col, text_col, shingle, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def _components(rows: DataFrame, buckets: int, described: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(key, component_id) of every class."""
-    spark = rows.sparkSession
+def _components(rows: DataFrame, buckets: int, described: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(key, component, component_id) of every class."""
+    spark, members = rows.sparkSession, described.where("chunk is null")
     counts = summed(described.where("chunk is not null").select("part", "chunk", "counts"), _add_counts).orderBy("chunk").collect()  # 2**20 counters, whatever the input
     shared = spark.sparkContext.broadcast(b"".join(unplanes(bytes(r.counts), np.uint32).tobytes() for r in counts) or bytes(4 << WIDTH_BITS))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
@@ -400,4 +407,4 @@ def _components(rows: DataFrame, buckets: int, described: DataFrame, members: Da
         found = linked(checked.union(verified(rest)))
     # a component is named by its smallest document
     named = classes.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    return named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("key", "component_id")
+    return named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("key", "component", "component_id")

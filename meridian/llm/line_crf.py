@@ -1,15 +1,19 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line that holds a word is good or bad; its features are those of the line and of its
-neighbours. The field is trained in numpy on the lines of a bounded sample of labelled documents,
-each line taking its document's label. A document's quality is the mean of its lines' marginal
-probabilities of being good, weighted by their length, and mapped so that the best cut on the
-training sample lies at 0.7.
+neighbours. The field is trained in numpy on the lines of a bounded sample of labelled documents. At
+first each line takes its document's label; then, in rounds, lines whose marginals contradict it most
+change sides, up to half of a document's length, and the field is trained on: so a junk line in a
+good text may be bad, and the moves between states are learnt from texts of both. A document's
+quality is the mean of its lines' marginal probabilities of being good, weighted by their length,
+and mapped so that the best cut over all labelled documents of the training folds lies at 0.7. In
+choosing the cut a good text that is lost weighs as much as three bad ones that pass: a filter
+should leave clean documents alone.
 
 Defined results: null, empty or blank text has no lines and scores 0; a null id is scored like any
-other; repeated rows get equal scores; without labelled rows of both kinds every text with a line
-scores 0.7 (nothing is known against it); an empty table gives an empty result; columns other than
-id and text are never read.
+other; repeated rows get equal scores; very long texts are scored whole, and sampled ones too; without
+labelled rows of both kinds every text with a line scores 0.7 (nothing is known against it); an empty
+table gives an empty result; columns other than id and text are never read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes, word_hashes
+from .common import SPACE, as_bytes, cut, word_hashes
 from .labelled import fold, smallest_hashes
 
 GROUP_BYTES = 1 << 20  # documents are worked on together up to this size
@@ -112,10 +116,10 @@ def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tup
     return p, np.exp(pair).sum(axis=0), float(log_z[starts].sum())
 
 
-def train(features: np.ndarray, lengths: np.ndarray, good: np.ndarray, rounds: int = 250, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(features: np.ndarray, lengths: np.ndarray, good: np.ndarray, rounds: int = 250, l2: float = 1e-4, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and moves that maximise the likelihood of the lines' labels (Adam, full batches)."""
     lengths = lengths[lengths > 0]
-    weights, moves = np.zeros(features.shape[1]), np.zeros((2, 2))
+    weights, moves = start or (np.zeros(features.shape[1]), np.zeros((2, 2)))
     inner = np.ones(len(good), dtype=bool)
     inner[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = False
     at = np.flatnonzero(inner)
@@ -138,15 +142,37 @@ def quality_of(p: np.ndarray, size: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return np.bincount(text, p * size, minlength=len(lengths)) / np.maximum(weight, 1e-9)
 
 
-def best_cut(x: np.ndarray, good: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts with the best accuracies; losing a good text weighs as much as passing three bad ones."""
-    at = np.unique(x)
-    edges = (at[1:] + at[:-1]) / 2
-    if not len(edges):
+def contradicted(p: np.ndarray, size: np.ndarray, good: np.ndarray, lengths: np.ndarray, sure: float = 0.9) -> np.ndarray:
+    """The documents' labels of all lines, but for those lines that the marginals are ``sure`` to be otherwise: the surest first, up to half of a document's length."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    labels = good[text]
+    against = np.where(labels == 1, 1 - p, p)
+    order = np.lexsort((-against, text))
+    upto = np.cumsum(size[order])
+    before = np.concatenate(([0.0], upto))[np.searchsorted(text[order], text[order])]
+    whole = np.bincount(text, size, minlength=len(lengths))[text[order]]
+    flip = order[(against[order] > sure) & (2 * (upto - before) <= whole)]
+    labels[flip] = 1 - labels[flip]
+    return labels
+
+
+def learn(features: np.ndarray, size: np.ndarray, lengths: np.ndarray, good: np.ndarray, rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and moves, the lines' labels being re-estimated ``rounds`` times."""
+    model = train(features, lengths, np.repeat(good, lengths))
+    for _ in range(rounds):
+        p = marginals(features @ model[0], model[1], lengths)[0]
+        model = train(features, lengths, contradicted(p, size, good, lengths), rounds=100, start=model)
+    return model
+
+
+def best_cut(at: np.ndarray, bad: np.ndarray, good: np.ndarray) -> float:
+    """The middle of the widest gap among the cuts with the best accuracies, from counts of texts by quality; losing a good text weighs as much as passing three bad ones."""
+    if len(at) < 2:
         return 0.5
-    hit = [(3 * (x[good == 1] >= e).mean() + (x[good == 0] < e).mean()) / 4 for e in edges]
-    best = np.flatnonzero(np.array(hit) >= max(hit) - 1e-12)
-    return float(np.clip(edges[max(best, key=lambda i: at[i + 1] - at[i])], 0.02, 0.98))
+    hit = 3 * (1 - np.cumsum(good)[:-1] / max(1, good.sum())) + np.cumsum(bad)[:-1] / max(1, bad.sum())
+    best = np.flatnonzero(hit >= hit.max() - 1e-12)
+    i = max(best.tolist(), key=lambda i: at[i + 1] - at[i])
+    return float(np.clip((at[i] + at[i + 1]) / 2, 0.02, 0.98))
 
 
 def grouped(texts: list[bytes], most: int = GROUP_BYTES) -> Iterator[list[bytes]]:
@@ -170,42 +196,43 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["label", "features", "sizes"])
 
 
-def scores(model, texts: list[bytes]) -> np.ndarray:
+def qualities(model, texts: list[bytes]) -> np.ndarray:
+    """Length-weighted marginals of the texts; -1 for texts without lines."""
     out = [np.zeros(0)]
     for group in grouped(texts):
         features, size, lengths = line_features(group)
-        if model is None:
-            out.append(np.where(lengths > 0, 0.7, 0.0))
-            continue
-        weights, moves, cut = model
-        x = quality_of(marginals(features @ weights, moves, lengths)[0], size, lengths)
-        out.append(np.where(lengths > 0, np.where(x < cut, 0.7 * x / cut, 0.7 + 0.3 * (x - cut) / (1 - cut)), 0.0))
-    return np.clip(np.concatenate(out), 0, 1)
+        p = np.ones(len(size)) if model is None else marginals(features @ model[0], model[1], lengths)[0]
+        out.append(np.where(lengths > 0, quality_of(p, size, lengths), -1))
+    return np.concatenate(out)
 
 
-def _score(model):
+def _rate(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = scores(model, as_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score, pa.float64()), pa.array((score >= 0.7).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(qualities(model, as_bytes(batch.column(1))))], names=["doc_id", "x"])
 
     return run
 
 
-def _keep(model, at: int):
+def _keep(model, at: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scores(model, as_bytes(batch.column(at))) >= 0.7))
+            yield batch.filter(pa.array(qualities(model, as_bytes(batch.column(at))) >= least))
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held_out: int, sample_docs: int):
-    known = labels.where(F.col("quality").isin(0, 1)).where(fold("doc_id", folds) != held_out).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label"))
-    rows = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).alias("text"))
-    # half of the sample for each label, at most
+def labelled(labels: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """(label_id, label) of the training folds, one row an id (the worse one where there are several)."""
+    known = labels.where(F.col("quality").isin(0, 1)).where(fold("doc_id", folds) != held_out)
+    return known.groupBy(F.col("doc_id").alias("label_id")).agg(F.min(F.col("quality").cast("int")).alias("label"))
+
+
+def fit(rows: DataFrame, known: DataFrame, sample_docs: int):
+    """Weights and moves from a bounded sample of (doc_id, text), or nothing without labels of both kinds."""
+    # half of the sample for each label, at most; one text an id, so that repeated ids don't break the bound
     sample = [smallest_hashes(known.where(F.col("label") == y), "label_id", sample_docs // 2) for y in (0, 1)]
-    sample = rows.join(sample[0].unionByName(sample[1]), "label_id").select("label", "text")
+    sample = rows.join(F.broadcast(sample[0].unionByName(sample[1])), rows.doc_id == F.col("label_id")).groupBy("label_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     found = sample.mapInArrow(_extract, "label int, features binary, sizes binary").collect()  # bounded by sample_docs
     width = 1 + 4 * len(OWN)
     found = sorted(((r.label, bytes(r.features), bytes(r.sizes)) for r in found if len(r.sizes)), key=lambda r: r[1:])
@@ -214,10 +241,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: i
         return None
     features = np.concatenate([np.frombuffer(r[1], np.float32).reshape(-1, width) for r in found]).astype(np.float64)
     sizes = [np.frombuffer(r[2], np.float64) for r in found]
-    lengths = np.array([len(s) for s in sizes])
-    weights, moves = train(features, lengths, np.repeat(y, lengths))
-    x = quality_of(marginals(features @ weights, moves, lengths)[0], np.concatenate(sizes), lengths)
-    return weights, moves, best_cut(x, y)
+    return learn(features, np.concatenate(sizes), np.array([len(s) for s in sizes]), y)
+
+
+STEPS = 2000  # the cut is chosen in steps of 1/2000 of the quality
+
+
+def rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held_out: int, sample_docs: int):
+    """The model, the cut, and (doc_id, x) of all documents; without a model the cut is 0.5 and x is 1 for texts with lines."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = labelled(labels, folds, held_out)
+    model = fit(rows, known, sample_docs)
+    x = cut(rows.mapInArrow(_rate(model), "doc_id long, x double"))
+    if model is None:
+        return None, 0.5, x
+    seen = x.where("x >= 0").join(known, F.col("doc_id") == F.col("label_id"))
+    counts = sorted(seen.groupBy(F.floor(F.col("x") * STEPS).alias("step")).agg(F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good")).collect())  # 2,001 steps at most
+    return model, best_cut((np.array([r.step for r in counts]) + 0.5) / STEPS, *(np.array([r[c] for r in counts]) for c in ("bad", "good"))), x
 
 
 def crf_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, sample_docs: int = 4000) -> DataFrame:
@@ -226,11 +266,14 @@ def crf_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     Labels (doc_id, quality) are learnt from the other folds only; ``sample_docs`` bounds the labelled
     documents that the field is fitted on (those with the smallest hash of their id, half per label).
     """
-    model = fit(docs, labels, id_col, text_col, folds, held_out, sample_docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.select("doc_id", "text", (fold("doc_id", folds) == held_out).alias("held_out")).mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
+    model, least, x = rated(docs, labels, id_col, text_col, folds, held_out, sample_docs)
+    q = F.col("x")
+    score = F.lit(0.7) if model is None else F.when(q < least, 0.7 * q / least).otherwise(F.least(F.lit(1.0), 0.7 + 0.3 * (q - least) / (1 - least)))
+    score = F.when(q >= 0, score).otherwise(0.0)
+    return x.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
 
 
 def crf_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, sample_docs: int = 4000) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score reaches 0.7; in one pass, without a shuffle."""
-    return docs.mapInArrow(_keep(fit(docs, labels, id_col, text_col, folds, held_out, sample_docs), docs.columns.index(text_col)), docs.schema)
+    """The rows of ``docs``, with all their columns, whose score reaches 0.7; without a shuffle of texts."""
+    model, least, _ = rated(docs, labels, id_col, text_col, folds, held_out, sample_docs)
+    return docs.mapInArrow(_keep(model, docs.columns.index(text_col), least), docs.schema)

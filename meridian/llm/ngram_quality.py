@@ -1,11 +1,12 @@
 """Quality rules: surface counts, and perplexity under a modified Kneser-Ney model of byte 5-grams.
 
-1. *Counting*. Tasks count the 5-grams of their texts, chunk by chunk (a chunk is a range of ids), as
-   sorted arrays of codes, dealt by range of the codes' hashes; Spark adds them up. The code of a
-   5-gram is its five bytes in a long, a hash without collisions.
+1. *Counting*. Tasks count the 5-grams of their texts, chunk by chunk (a chunk is a run of rows of one
+   file, whatever their ids), as sorted arrays of codes, dealt by range of the codes' hashes; Spark
+   adds them up. The code of a 5-gram is its five bytes in a long, a hash without collisions.
 2. *Model*. Continuation counts, context totals, discounts and interpolated probabilities of the
    orders 1 to 5 are DataFrame aggregations and joins keyed by gram, context or suffix. The model
-   grows with the text and is never broadcast: it stays dealt by hash range, in sorted arrays.
+   grows with the text and is never broadcast: it is written to the shared folder as one pair of
+   arrays (sorted codes, log-probabilities) for each hash range.
 3. *Scoring*. Each chunk's distinct grams are looked up in these arrays, and the answers, in the
    grams' order, meet the chunk's texts. As the model is made of all texts, every gram of a text is in it.
 4. *Bands*. Per language, the median and the quartiles of the perplexity's logarithm (per byte) over
@@ -13,8 +14,9 @@
    texts vary more, so the bands widen with 1 / sqrt(bytes).
 
 Defined results: null or empty text has no words and fails the counts; a null language is a language
-of its own; rows with a null id are spread by their text; repeated rows get equal results; an empty
-table gives an empty result; columns other than id, text and lang aren't read.
+of its own; rows with a null id and repeated rows get the results of their texts; long texts are
+worked on as a whole, a chunk at a time; an empty table gives an empty result; columns other than id,
+text and lang aren't read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,10 +36,9 @@ from .common import U64, as_bytes, cut, mix, pack_sorted, partitions, planes, un
 from .line_crf import grouped
 
 ORDER = 5
-CHUNK_IDS = 4096
+CHUNK_ROWS = 4096
 FLUSH_BYTES = 4 << 20
 SYMBOLS = b"#*$%&|<>"
-STEP = 1000  # log-probabilities are looked up in thousandths
 COUNTED = "bucket int, chunk long, grams binary, counts binary"
 
 
@@ -136,18 +138,25 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return p.select("gram", F.log("p").cast("float").alias("logp"))
 
 
+def _store(table: pa.Table) -> pa.Table:
+    """A bucket of the model as arrays sorted by code."""
+    grams = table.column("gram").to_numpy().view(U64)
+    order = np.argsort(grams)
+    arrays = small(pack_sorted(grams[order])), small(planes(table.column("logp").to_numpy()[order].astype(np.float32)))
+    return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()), "grams": pa.array([arrays[0]], pa.binary()), "logps": pa.array([arrays[1]], pa.binary())})
+
+
 def _look_up(asked: pa.Table, model: pa.Table) -> pa.Table:
     """For each chunk the log-probabilities of its distinct grams in this bucket, by code; the chunk has the grams themselves."""
-    grams = model.column("gram").to_numpy().view(U64)
-    order = np.argsort(grams)
-    grams, logp = grams[order], model.column("logp").to_numpy()[order]
+    stored = model.to_pylist()[0]
+    grams, logp = unpack_sorted(large(stored["grams"])), unplanes(large(stored["logps"]), np.float32)
     parts: dict[int, list[bytes]] = {}
     for r in asked.to_pylist():
         parts.setdefault(r["chunk"], []).append(r["grams"])
     answers = []
     for packed in parts.values():
         at = np.searchsorted(grams, np.unique(np.concatenate([unpack_sorted(large(x)) for x in packed])))
-        answers.append(small(planes(np.maximum(-32767, np.round(logp[at] * STEP)).astype(np.int16))))
+        answers.append(small(planes(logp[at])))
     return pa.table({"chunk": pa.array(list(parts), pa.int64()), "bucket": pa.array(asked.column("bucket").to_pylist()[:1] * len(parts), pa.int32()), "logps": pa.array(answers, pa.binary())})
 
 
@@ -210,7 +219,7 @@ def _measure(buckets: int):
         order = np.argsort(bucket, kind="stable")  # within a bucket by code, as the answers are
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for r in answers.to_pylist():
-            logps[order[edges[r["bucket"]] : edges[r["bucket"] + 1]]] = unplanes(large(r["logps"]), np.int16) / STEP
+            logps[order[edges[r["bucket"]] : edges[r["bucket"] + 1]]] = unplanes(large(r["logps"]), np.float32)
         return pa.concat_tables([_measured(part, grams, logps) for part in rows])
 
     return run
@@ -244,6 +253,16 @@ def bands(scored: DataFrame) -> DataFrame:
     return found.select(F.col("lang").alias("band_lang"), F.col("q2").alias("middle"), ((F.col("q3") - F.col("q1")) / 1.349).alias("spread"))
 
 
+def in_chunks(docs: DataFrame, columns: list[Column]) -> DataFrame:
+    """The columns with ``chunk``, a hash of the row's file and its place there in steps of CHUNK_ROWS; rows that aren't read from files are written first."""
+    chunk = F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {CHUNK_ROWS}")).alias("chunk")
+    try:
+        return docs.select(*columns, chunk)
+    except AnalysisException:
+        written = cut(docs.select(*columns))
+        return written.select(*written.columns, chunk)
+
+
 def ngram_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 2.0, short: float = 3.0) -> DataFrame:
     """doc_id, the surface counts, base_failed, log_ppl (per byte), lower, upper, kept.
 
@@ -251,14 +270,14 @@ def ngram_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    chunk: Column = F.coalesce(F.expr(f"doc_id div {CHUNK_IDS}"), -1 - F.pmod(F.xxhash64("text"), F.lit(1024)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).withColumn("chunk", chunk)
+    rows = in_chunks(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")])
     counted = cut(rows.select("chunk", "text").mapInArrow(_count(buckets), COUNTED))
     summed = cut(counted.select("bucket", "grams", "counts").groupBy("bucket").applyInArrow(_add_up, "gram long, c long"))
     model = kneser_ney(summed)
     asked = counted.select("bucket", "chunk", "grams")
     dealt = model.mapInArrow(_bucket_of(buckets), "bucket int, gram long, logp float")
-    answers = asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_look_up, "chunk long, bucket int, logps binary")
+    stored = cut(dealt.groupBy("bucket").applyInArrow(_store, "bucket int, grams binary, logps binary"))
+    answers = asked.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInArrow(_look_up, "chunk long, bucket int, logps binary")
     packed = rows.select("chunk", "doc_id", "lang", "text").mapInArrow(_pack, "chunk long, block binary")
     measured = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_measure(buckets), MEASURED)
     scored = cut(

@@ -5,7 +5,8 @@ hashed. 1. Spark counts, over all documents, in how many texts each hash slot oc
 confirmed toxic ones; the slots that toxic texts hold most in excess become features. 2. A linear
 model is trained in numpy on a bounded sample of confirmed toxic texts against unlabelled ones: the
 risk of the unlabelled as negative, less the class prior's share of the positives' risk as negative,
-never below zero. 3. The cut that minimises the same corrected risk of the 0-1 loss is mapped to 0.7.
+never below zero. 3. All texts get their margin; the cut that minimises the same corrected risk of the
+0-1 loss over all texts of the training folds is mapped to 0.7.
 
 Only positive labels are learnt from; the class prior is the share of them among labelled rows of the
 training folds. Defined results: null, empty and letterless texts get the score of a text without
@@ -15,14 +16,16 @@ toxic row all texts score 0; an empty table gives an empty result; only id and t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, RUNTIME_FILTER, U64, as_bytes, mix, only_ids, planes, polynomial, settings, unplanes
+from .common import BYTE_CODE, RUNTIME_FILTER, U64, as_bytes, mix, only_ids, planes, polynomial, settings, summed, unplanes
 from .common import cut as written
 from .labelled import fold, smallest_hashes
 from .line_crf import grouped
@@ -63,22 +66,23 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slot, owner = slots(group)
             counts += np.bincount(np.unique((owner << SLOT_BITS) | slot) & ((1 << SLOT_BITS) - 1), minlength=1 << SLOT_BITS)
         n += len(texts)
+    part = TaskContext.get().partitionId()
     parts = [planes(np.minimum(x, 2**32 - 1).astype(np.uint32)) for x in np.split(counts, CHUNKS)]
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([n] * CHUNKS, pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "n", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array([part] * CHUNKS, pa.int32()), pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([n] * CHUNKS, pa.int64()), pa.array(parts, pa.binary())], names=["part", "chunk", "n", "counts"])
 
 
 def _sum(table: pa.Table) -> pa.Table:
     total = sum(unplanes(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"chunk": table.column("chunk")[:1].cast(pa.int32()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+    counts = pa.array([planes(np.minimum(total, 2**32 - 1).astype(np.uint32))], pa.binary())
+    return pa.table({"part": table.column("part")[:1], "chunk": table.column("chunk")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "counts": counts})
 
 
 def occurrences(texts: DataFrame) -> tuple[np.ndarray, int]:
     """Texts that hold each slot, and all texts: 2**19 counters, whatever the input."""
-    schema = "chunk int, n long, counts binary"
-    found = sorted(texts.mapInArrow(_occurrences, schema).groupBy("chunk").applyInArrow(_sum, schema).collect(), key=lambda r: r.chunk)
+    found = sorted(summed(texts.mapInArrow(_occurrences, "part int, chunk int, n long, counts binary"), _sum).collect(), key=lambda r: r.chunk)
     if not found:
         return np.zeros(1 << SLOT_BITS), 0
-    return np.concatenate([np.frombuffer(r.counts, np.uint32) for r in found]).astype(np.float64), found[0].n
+    return np.concatenate([unplanes(bytes(r.counts), np.uint32) for r in found]).astype(np.float64), found[0].n
 
 
 def pick(counts: np.ndarray, n: int, n_toxic: int, most: int) -> np.ndarray:
@@ -136,69 +140,81 @@ def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, round
     return w[:-1], float(w[-1])
 
 
-def best_cut(z_positive: np.ndarray, z_unlabelled: np.ndarray, prior: float) -> float:
-    """The cut of least corrected 0-1 risk: prior * missed positives + the unlabelled above it that are not the prior's share."""
-    at = np.unique(np.concatenate((z_positive, z_unlabelled)))
-    edges = (at[1:] + at[:-1]) / 2 if len(at) > 1 else at
-    hit = 1 - np.searchsorted(np.sort(z_positive), edges) / len(z_positive)
-    above = 1 - np.searchsorted(np.sort(z_unlabelled), edges) / len(z_unlabelled)
+def best_cut(at: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The cut of least corrected 0-1 risk: prior * missed positives + the unlabelled above it that are not the prior's share.
+
+    ``positive`` and ``unlabelled`` count the texts that score ``at`` each of the ascending values.
+    """
+    hit, above = (1 - np.cumsum(x)[:-1] / max(1, x.sum()) for x in (positive, unlabelled))
+    if not len(hit):
+        return float(at[0])
     risk = prior * (1 - hit) + np.maximum(0, above - prior * hit)
-    return float(edges[int(np.argmin(risk))])
+    best = int(np.argmin(risk))
+    return float((at[best] + at[best + 1]) / 2)
 
 
-def _score(chosen, weights, bias, cut):
+def _margins(chosen: np.ndarray, weights: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _features(chosen) if weights is not None else None
+        of = _features(chosen)
         for batch in batches:
-            scores = []
-            for texts in grouped(as_bytes(batch.column(1))):
-                z = np.zeros(len(texts))
-                if of is None:
-                    scores.append(z)
-                    continue
+            found = [np.zeros(0)]
+            for texts in grouped(as_bytes(batch.column(2))):
                 owner, f, x = of(texts)
-                z += bias + np.bincount(owner, x * weights[f], minlength=len(texts))
-                scores.append(1 / (1 + np.exp(-np.clip(z - cut + np.log(0.7 / 0.3), -50, 50))))
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score, pa.float64()), pa.array((score >= 0.7).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+                found.append(bias + np.bincount(owner, x * weights[f], minlength=len(texts)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(found))], names=["doc_id", "held_out", "z"])
 
     return run
 
 
-def pu_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1, sample_docs: int = 3000, features: int = 768) -> DataFrame:
+def fit(rows: DataFrame, toxic: DataFrame, prior: float, folds: int, held_out: int, sample_docs: int, features: int):
+    """Slots, weights and bias, or nothing where no confirmed text stands out."""
+    everywhere, n = occurrences(rows.select("text"))
+    with settings(rows.sparkSession, **RUNTIME_FILTER):
+        confirmed, n_toxic = occurrences(only_ids(rows, toxic.withColumnRenamed("label_id", "doc_id"), "doc_id").select("text"))
+    chosen = pick(np.stack([everywhere, confirmed]), n, n_toxic, features) if n_toxic else np.zeros(0)
+    if not len(chosen):
+        return None
+    others = rows.where(fold("doc_id", folds) != held_out).join(toxic, rows.doc_id == toxic.label_id, "left_anti").select(F.col("doc_id").alias("label_id"), F.lit(0).alias("label"))
+    sample = smallest_hashes(toxic.select("label_id", F.lit(1).alias("label")), "label_id", sample_docs).unionByName(smallest_hashes(others.distinct(), "label_id", 2 * sample_docs))
+    # one text an id, so that repeated ids don't break the bound
+    found = rows.join(F.broadcast(sample), rows.doc_id == sample.label_id).groupBy("label_id", "label").agg(F.min("text").alias("text")).select("label", "text")
+    found = found.mapInArrow(_extract(chosen), "label int, features binary, values binary").collect()  # bounded by sample_docs
+    found = sorted((r.label, bytes(r.features), bytes(r["values"])) for r in found)
+    x = np.zeros((len(found), len(chosen)), dtype=np.float32)
+    for i, r in enumerate(found):
+        x[i, np.frombuffer(r[1], np.int32)] = np.frombuffer(r[2], np.float64)
+    y = np.array([r[0] for r in found])
+    # the unlabelled are all texts: the confirmed ones at their prior's share
+    positive, others = x[y == 1], x[y == 0]
+    if not len(positive):
+        return None
+    share = min(len(positive), max(1, round(prior * len(others) / (1 - prior)))) if prior < 1 else len(positive)
+    return chosen, *train_nnpu(positive, np.concatenate([others, positive[:: max(1, len(positive) // share)][:share]]), prior)
+
+
+STEPS = 64  # the cut is chosen in steps of 1/64 of the margin
+
+
+def pu_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1, sample_docs: int = 3000, features: int = 2048) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
     Labels (doc_id, toxic) are learnt from the other folds only. ``sample_docs`` bounds the confirmed
-    toxic texts, and twice it the unlabelled ones, that the model is fitted on.
+    toxic texts, and twice it the unlabelled ones, that the weights are fitted on; ``features`` bounds
+    the slots. The cut is chosen on the margins of all texts of the training folds.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = labels.where(F.col("toxic").isin(0, 1)).where(fold("doc_id", folds) != held_out).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("label"))
+    known = labels.where(F.col("toxic").isin(0, 1)).where(fold("doc_id", folds) != held_out).groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     totals = known.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
-    chosen = weights = None
-    bias = cut = 0.0
-    if totals.toxic:
-        prior = totals.toxic / totals.n
-        toxic = known.where("label = 1").select("label_id").distinct()
-        toxic = written(toxic)
-        everywhere, n = occurrences(rows.select("text"))
-        with settings(rows.sparkSession, **RUNTIME_FILTER):
-            confirmed, n_toxic = occurrences(only_ids(rows, toxic.withColumnRenamed("label_id", "doc_id"), "doc_id").select("text"))
-        if n_toxic:
-            chosen = pick(np.stack([everywhere, confirmed]), n, n_toxic, features)
-    if chosen is not None and len(chosen):
-        unlabelled = smallest_hashes(rows.where(fold("doc_id", folds) != held_out).join(toxic, rows.doc_id == toxic.label_id, "left_anti").select(F.col("doc_id").alias("label_id"), F.lit(0).alias("label")), "label_id", 2 * sample_docs)
-        sample = smallest_hashes(toxic.select("label_id", F.lit(1).alias("label")), "label_id", sample_docs).unionByName(unlabelled)
-        found = rows.join(F.broadcast(sample), rows.doc_id == sample.label_id).select("label", "text").mapInArrow(_extract(chosen), "label int, features binary, values binary").collect()  # bounded by sample_docs
-        found = sorted((r.label, bytes(r.features), bytes(r["values"])) for r in found)
-        x = np.zeros((len(found), len(chosen)), dtype=np.float32)
-        for i, r in enumerate(found):
-            x[i, np.frombuffer(r[1], np.int32)] = np.frombuffer(r[2], np.float64)
-        y = np.array([r[0] for r in found])
-        # the unlabelled are all texts: the confirmed ones at their prior's share
-        positive, others = x[y == 1], x[y == 0]
-        if len(positive):
-            share = min(len(positive), max(1, round(prior * len(others) / (1 - prior)))) if prior < 1 else len(positive)
-            mixed = np.concatenate([others, positive[:: max(1, len(positive) // share)][:share]])
-            weights, bias = train_nnpu(positive, mixed, prior)
-            cut = best_cut(positive @ weights + bias, mixed @ weights + bias, prior)
-    return rows.select("doc_id", "text", (fold("doc_id", folds) == held_out).alias("held_out")).mapInArrow(_score(chosen, weights, bias, cut), "doc_id long, held_out boolean, score double, predicted int")
+    prior = (totals.toxic or 0) / max(1, totals.n)
+    toxic = written(known.where("label = 1").select("label_id"))
+    model = fit(rows, toxic, prior, folds, held_out, sample_docs, features) if totals.toxic else None
+    out = (fold("doc_id", folds) == held_out).alias("held_out")
+    if model is None:
+        return rows.select("doc_id", out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    scored = written(rows.select("doc_id", out, "text").mapInArrow(_margins(*model), "doc_id long, held_out boolean, z double"))
+    step = F.least(F.lit(50 * STEPS), F.greatest(F.lit(-50 * STEPS), F.floor(F.col("z") * STEPS))).cast("int")
+    seen = scored.where("not held_out").join(toxic, F.col("doc_id") == F.col("label_id"), "left").groupBy(step.alias("step")).agg(F.count("label_id").alias("positive"), F.count("*").alias("every"))
+    steps = sorted(seen.collect())  # 6,401 steps at most
+    cut = best_cut(np.array([r.step for r in steps]) / STEPS + 0.5 / STEPS, np.array([r.positive for r in steps]), np.array([r.every for r in steps]), prior) if steps else 0.0
+    score = 1 / (1 + F.exp(-F.least(F.lit(50.0), F.greatest(F.lit(-50.0), F.col("z") - cut + math.log(0.7 / 0.3)))))
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))

@@ -6,11 +6,13 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.llm import jaccard_join
 from meridian.llm.components import components
 from meridian.llm.exact_dedup import exact_dedup
 from meridian.llm.jaccard_join import jaccard_components, parity_bitmap
-from meridian.llm import common, substring_dedup as sub
+from meridian.llm import common
+from meridian.llm import exact_dedup as exact
+from meridian.llm import jaccard_join
+from meridian.llm import substring_dedup as sub
 from meridian.llm.substring_dedup import substring_digests, substring_dedup
 
 from . import helpers
@@ -31,6 +33,44 @@ def test_exact_dedup_even_where_digests_collide(spark, digest_bytes, memtable):
             assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_compaction_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(common, "FAN", 4)
+    rng = random.Random(9)
+    rows = [(i, f"text {rng.randrange(300)}") for i in range(1000)]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), range_rows=10, memtable_rows=40).collect()
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, []).append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, min(first[t]), len(first[t])) for i, t in rows}
+
+
+def test_filters_prune_unique_digests_however_many_runs():
+    rng = np.random.default_rng(3)
+    digest = lambda n: np.sort(rng.integers(0, 256, (n, 32), dtype=np.uint8).view("S32").ravel())
+    shared = digest(50)
+    runs = []
+    for k in range(40):
+        d = np.sort(np.concatenate((digest(2000), shared)))
+        runs.append((d, np.arange(len(d)) + 10_000 * k, np.ones(len(d), dtype=np.int64), exact.bloom(d)))
+    tested = passed = 0
+    plain = exact.maybe_in
+
+    def counted(digests, other):
+        nonlocal tested, passed
+        found = plain(digests, other)
+        new = ~np.isin(digests, shared)
+        tested, passed = tested + new.sum(), passed + (found & new).sum()
+        return found
+
+    exact.maybe_in = counted
+    try:
+        d, i, c, _ = exact.compacted(runs, False)
+    finally:
+        exact.maybe_in = plain
+    assert len(d) == 80_050 and (np.sort(d) == d).all() and (c == np.where(np.isin(d, shared), 40, 1)).all() and (i[c == 40] < 10_000).all()
+    assert tested >= 40_000 and passed < 0.1 * tested
+
+
 def brute_removed(docs, size):
     first = {}
     ws = {d: helpers.words(t) for d, t in docs.items()}

@@ -1,8 +1,12 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from meridian.llm.best_fit_packing import best_fit_packing
 from meridian.llm.exact_dedup import exact_dedup
 from meridian.llm.jaccard_join import jaccard_components
@@ -15,8 +19,7 @@ from meridian.llm.sentencepiece_sampling import sampled_encodings
 from meridian.llm.substring_dedup import substring_dedup
 from meridian.llm.url_filter import rule_table, url_filter
 
-CLASH = ["row", "base", "candidates", "spans", "keep_id", "kept", "group_size", "key", "n", "id", "sha", "bucket", "chunk", "score", "label", "shard", "cluster", "total", "component", "digest", "salt"]
-LONG = "word%d other " * 3
+CLASH = ["fate_id", "fate_mark", "gone_id", "_clean", "mark", "gone", "part", "hash", "rep", "hot", "cold", "step", "x", "z", "row", "base", "candidates", "spans", "keep_id", "kept", "group_size", "key", "n", "id", "sha", "bucket", "chunk", "score", "label", "shard", "cluster", "total", "component", "digest", "salt"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -107,3 +110,73 @@ def test_urls(spark, odd):
     got = {r.page_id: r for r in RUN["urls"](spark, odd, None).collect() if r.page_id is not None}
     assert (got[3].host, got[3].path, got[3].rule, got[3].verdict) == ("", "", None, "allow")
     assert (got[8].host, got[8].rule, got[8].verdict) == ("www.example.org", "example.org/es/", "block")
+
+
+def test_long_and_repeated_texts_in_pieces(spark, odd):
+    rows = [r for r in sampled_encodings(odd, PIECE_MODEL, k=2).collect()]
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append((r.rank, bytes(r.ids)))
+    assert len(by[6]) == 2 and len(by[7]) == 2 and by[6][0][1] != by[6][1][1]
+    assert len(by[1]) == 4 and len(set(by[1])) == 2  # repeated rows: the same samples
+    assert len(by[None]) == 3  # a text with two, and one without words
+
+
+# the pipeline's stages -----------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def sf(spark, labels, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("sf"))
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_on_an_empty_table(spark, odd, sf, name, stage):
+    assert stage(spark, odd.limit(0), sf).collect() == []
+
+
+def kept(df):
+    """(id, digest of the text) of the rows."""
+    return sorted(((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()[:8] if r.text is not None else None) for r in df.select("doc_id", "text").collect()), key=str)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
+def test_stage_keeps_columns(spark, odd, sf, name, stage):
+    out = stage(spark, odd, sf)
+    assert out.columns == odd.columns and out.count() > 0
+
+
+def test_quality_stage_drops_what_has_no_line(spark, odd, sf):
+    ids = [r.doc_id for r in corpus_pipeline.quality(spark, odd, sf).select("doc_id").collect()]
+    assert not {3, 4, 5} & set(ids)
+
+
+def test_exact_copies_stage(spark, odd, sf):
+    rows = corpus_pipeline.exact_copies(spark, odd, sf).select("doc_id", "text").collect()
+    ids = sorted((r.doc_id for r in rows), key=lambda x: (x is None, x))
+    assert ids == [2, 4, 5, 6, 7, 8, 9]  # null, null-id and repeated rows are copies of others
+    twice = odd.unionByName(odd)
+    assert kept(corpus_pipeline.exact_copies(spark, twice, sf)) == kept(corpus_pipeline.exact_copies(spark, odd, sf))
+
+
+def test_near_copies_stage(spark, odd, sf):
+    rows = corpus_pipeline.near_copies(spark, odd, sf).select("doc_id", "text").collect()
+    ids = sorted((r.doc_id for r in rows), key=lambda x: (x is None, x))
+    assert ids == [1, 3, 4, 5, 6, 7, 8, 9, None] and [r.text for r in rows if r.doc_id is None] == [None]
+    text = " ".join(f"w{i}" for i in range(60))
+    null_only = spark.createDataFrame([(None, text), (None, text), (None, text + " x"), (None, "other words stand here alone now")], "doc_id long, text string")
+    assert corpus_pipeline.near_copies(spark, null_only, sf).count() == 2
+
+
+def test_later_stages_keep_all_rows(spark, odd, sf):
+    assert corpus_pipeline.personal(spark, odd, sf).count() == odd.count()
+    packed = corpus_pipeline.packing(spark, odd, sf).collect()
+    assert sum(r.n_tokens for r in packed) == sum(len((r.text or "").split()) for r in odd.select("text").collect())
+
+
+def test_all_stages_in_a_row(spark, sf_dir, sf):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    now = {0: docs, 1: docs.unionByName(docs)}
+    for _, stage in corpus_pipeline.STAGES[1:3]:  # a table given twice comes out as if given once
+        now = {k: stage(spark, df, sf_dir) for k, df in now.items()}
+    assert kept(now[0]) == kept(now[1])

@@ -45,7 +45,7 @@ def test_kneser_ney_and_counts(spark, sf_dir):
         t, b = docs[r.doc_id] or "", bytes(4) + texts[r.doc_id]
         if len(b) > 4:
             want = -sum(math.log(p[b[i : i + 5]]) for i in range(len(b) - 4)) / (len(b) - 4)
-            assert r.log_ppl == pytest.approx(want, abs=6e-4)
+            assert r.log_ppl == pytest.approx(want, abs=1e-5)
         w = helpers.words(t)
         lines, runs = [x for x in t.split("\n") if helpers.words(x)], list(zip(w, w[1:], w[2:], strict=False))
         often = Counter(runs)
@@ -55,6 +55,14 @@ def test_kneser_ney_and_counts(spark, sf_dir):
         assert r.kept == (not r.base_failed and r.lower <= r.log_ppl <= r.upper)
 
 
+def test_rules_do_not_depend_on_ids_or_layout(spark, sf_dir):
+    docs = helpers.table(spark, sf_dir, "documents")
+    key = lambda df: sorted((r.n_words, r.word_chars, r.kept, round(r.log_ppl or 0, 6)) for r in df.collect())
+    want = key(ng.ngram_quality(docs))
+    assert key(ng.ngram_quality(docs.withColumn("doc_id", F.xxhash64("doc_id")).repartition(7))) == want
+    assert key(ng.ngram_quality(docs.withColumn("doc_id", F.lit(5)).orderBy("text"))) == want
+
+
 # conditional random field ----------------------------------------------------------------------
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
@@ -105,7 +113,7 @@ def test_scores_do_not_depend_on_the_layout(spark, sf_dir):
 # positive-unlabelled learning --------------------------------------------------------------------
 def test_toxicity_on_the_held_out_fold(spark, sf_dir):
     right, found = accuracy(spark, sf_dir.replace("sf0.001", "sf0.01"), "op3_pu_toxicity", "toxic")
-    assert right > 0.93 and found > 0.5
+    assert right > 0.95 and found > 0.85
 
 
 def test_nnpu_separates_what_it_has_no_negatives_for():
@@ -114,7 +122,8 @@ def test_nnpu_separates_what_it_has_no_negatives_for():
     clean = lambda n: (rng.random((n, 23)) < np.array([0.02] * 3 + [0.1] * 20)).astype(float)
     positive, unlabelled = toxic(300), np.concatenate([toxic(200), clean(1800)])
     w, b = pu.train_nnpu(positive, unlabelled, 0.1)
-    cut = pu.best_cut(positive @ w + b, unlabelled @ w + b, 0.1)
+    at, where = np.unique(np.concatenate((positive, unlabelled)) @ w + b, return_inverse=True)
+    cut = pu.best_cut(at, np.bincount(where[:300], minlength=len(at)), np.bincount(where[300:], minlength=len(at)), 0.1)
     assert (toxic(500) @ w + b > cut).mean() > 0.9 and (clean(2000) @ w + b > cut).mean() < 0.05
 
 
