@@ -1,8 +1,10 @@
 """Exact day-of-year statistics over a centred window of days and all years.
 
 The window is an expansion of each observation to the at most 2 * delta + 1 target days that it
-counts for, so the work is one equi-aggregation keyed by (day, cell): no range join, and partial
-sums on the map side. Targets keep delta days of distance from the ends of the year.
+counts for, so the work is one equi-aggregation keyed by (day, cell): no range join. Observations
+(one a cell, year and day) are dealt by cell before they are expanded: a percentile can't be reduced
+on the map side, so the shuffle would carry every row 2 * delta + 1 times. Targets keep delta days
+of distance from the ends of the year.
 """
 
 from __future__ import annotations
@@ -22,13 +24,20 @@ def check_targets(targets: tuple[int, int], delta: int = DELTA) -> tuple[int, in
     return targets
 
 
-def in_windows(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: int = DELTA, years: tuple[int, int] | None = None) -> DataFrame:
-    """obs with ``target``: one row for each target day whose window holds the observation."""
+def in_windows(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: int = DELTA, days: list[int] | None = None, by_cell: bool = False) -> DataFrame:
+    """obs with ``target``: one row for each target day (of ``days`` only, if given) whose window holds the observation.
+
+    ``by_cell`` deals the rows by cell first; an aggregation by target and cell then needs no other
+    exchange. It is for observations of which a cell has a bounded number.
+    """
     b, e = check_targets(targets, delta)
     rows = obs.where(F.col("doy").between(b - delta, e + delta))
-    if years:
-        rows = rows.where(F.col("year").between(*years))
-    return rows.withColumn("target", F.explode(F.sequence(F.greatest(F.lit(b), F.col("doy") - delta), F.least(F.lit(e), F.col("doy") + delta))))
+    if by_cell:
+        rows = rows.repartition("cell")
+    found = F.sequence(F.greatest(F.lit(b), F.col("doy") - delta), F.least(F.lit(e), F.col("doy") + delta))
+    if days is not None:
+        found = F.filter(found, lambda t: t.isin(days))
+    return rows.withColumn("target", F.explode(found))
 
 
 def mean_of(v: str = "v") -> Column:
@@ -56,12 +65,13 @@ def statistics(windowed: DataFrame, zero_mask: tuple[int, int] | None = None) ->
 
 
 def climatology(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: int = DELTA, zero_mask_year: int | None = None) -> DataFrame:
-    return statistics(in_windows(obs, targets, delta), (zero_mask_year, delta) if zero_mask_year is not None else None)
+    """doy, cell, n, clim_mean, p90 of observations, one row a cell, year and day (``obs.daily``)."""
+    return statistics(in_windows(obs, targets, delta, by_cell=True), (zero_mask_year, delta) if zero_mask_year is not None else None)
 
 
 def by_selection(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: int = DELTA) -> DataFrame:
     """The percentile from the k-th elements of each window's sorted values."""
-    held = in_windows(obs, targets, delta).where("v is not null").groupBy("target", "cell").agg(F.array_sort(F.collect_list(F.col("v").cast("double"))).alias("x"))
+    held = in_windows(obs.where("v is not null"), targets, delta, by_cell=True).groupBy("target", "cell").agg(F.array_sort(F.collect_list(F.col("v").cast("double"))).alias("x"))
     rank = 0.9 * (F.size("x") - 1)
     at = F.floor(rank).cast("int")
     low, high = F.element_at("x", at + 1), F.element_at("x", F.least(at + 2, F.size("x")))

@@ -52,11 +52,13 @@ def fixed_collect(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: int
     ranked = bins.where(holds(low) | holds(high)).groupBy("target", "cell").agg(
         F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.min("before").alias("before"), F.sum("cnt").alias("m"), F.first("n").alias("n"), F.first("r").alias("r")
     )
-    # only values of the rank's bins come together
-    values = in_windows(obs.where("v is not null"), targets, delta).withColumn("bin", bin_of()).join(ranked, ["target", "cell"]).where("bin = lo or bin = hi")
-    out = values.groupBy("target", "cell").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("lo").alias("lo"), F.first("r").alias("r"), F.first("before").alias("before"), F.array_sort(F.collect_list(F.col("v").cast("double"))).alias("x"))
-    at = (F.floor("r") - F.col("before")).cast("int")
-    a, b = F.element_at("x", at + 1), F.element_at("x", F.least(at + 2, F.size("x")))
-    exact = a + (F.col("r") - F.floor("r")) * (b - a)
+    # of the rank's bins, distinct values with their counts, in order: the rank's values by running counts
+    daily = obs.where("v is not null").groupBy("cell", "doy", F.col("v").cast("double").alias("v")).agg(F.count("*").alias("c"))
+    values = in_windows(daily, targets, delta).withColumn("bin", bin_of()).join(ranked, ["target", "cell"]).where("bin = lo or bin = hi")
+    values = values.groupBy("target", "cell", "v").agg(F.sum("c").alias("c"), *(F.first(c).alias(c) for c in ("n", "m", "lo", "r", "before")))
+    upto = F.col("before") + F.sum("c").over(W.partitionBy("target", "cell").orderBy("v"))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    out = values.withColumn("upto", upto).groupBy("target", "cell").agg(at(low).alias("a"), at(high).alias("b"), *(F.first(c).alias(c) for c in ("n", "m", "lo", "r")))
+    exact = F.col("a") + (F.col("r") - F.floor("r")) * (F.col("b") - F.col("a"))
     p90 = exact if most is None else F.when(F.col("m") > most, LOW + (F.col("lo") + 0.5) * WIDTH).otherwise(exact)
     return out.select(F.col("target").alias("doy"), "cell", "n", F.round(p90, 6).alias("p90"))

@@ -17,7 +17,7 @@ def anchored_climatology(obs: DataFrame, stride: int, targets: tuple[int, int] =
     """doy, cell, clim_mean, p90: exact at the anchors; elsewhere null unless both neighbours are present."""
     b, e = targets
     days = anchors(targets, stride)
-    at = statistics(in_windows(obs, targets, delta).where(F.col("target").isin(days))).select("doy", "cell", "clim_mean", "p90")
+    at = statistics(in_windows(obs, targets, delta, days, by_cell=True)).select("doy", "cell", "clim_mean", "p90")
     left = F.when(F.col("doy") == e, e).otherwise(b + F.floor((F.col("doy") - b) / stride) * stride).cast("int")
     rows = at.select("cell").distinct().select("cell", F.explode(F.sequence(F.lit(b), F.lit(e))).alias("doy")).withColumn("l", left)
     rows = rows.withColumn("r", F.when(F.col("doy") == F.col("l"), F.col("l")).otherwise(F.least(F.col("l") + stride, F.lit(e))))

@@ -63,9 +63,15 @@ def stratum(draw: np.ndarray, rep: np.ndarray, parts: int, size: int) -> np.ndar
     return low + (draw % (high - low).astype(U)).astype(np.int64)
 
 
-def draws_per_year(k: int, n_years: int) -> int:
-    """One rule for all modes: k is cut to 1..120 and to a whole number of draws in each year."""
-    return max(1, min(max(k, 0), MOST_DRAWS) // n_years)
+def draws_per_year(k: int, n_years: int, mode: str = "", delta: int = DELTA) -> int:
+    """k is cut to 1..120 and to a whole number of draws in each year; packed draws are distinct offsets, so no more than the window has."""
+    each = max(1, min(max(k, 0), MOST_DRAWS) // n_years)
+    return min(each, 2 * delta + 1) if mode == "packed" else each
+
+
+def settled_mode(mode: str, k: int, n_years: int) -> str:
+    """Fewer draws than years are strata of all slots."""
+    return "source_flat" if mode == "source" and k < n_years else mode
 
 
 def plan_offsets(mode: str, doy, unit, year, rep, *, first: int, n_years: int, k: int, delta: int = DELTA) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +83,7 @@ def plan_offsets(mode: str, doy, unit, year, rep, *, first: int, n_years: int, k
     """
     doy, unit, year, rep = (np.asarray(x, dtype=np.int64) for x in (doy, unit, year, rep))
     size = 2 * delta + 1
-    each = draws_per_year(k, n_years)
+    each = draws_per_year(k, n_years, mode, delta)
     if mode == "source":
         d = cell_draws(unit + YEAR_STEP * year + REP_STEP * rep, doy - first + DAY_SHIFT)[0]
         return year, stratum(d, rep, each, size)
@@ -125,7 +131,8 @@ def _fill(mode: str, options: dict):
 
 def sample_plan(spark: SparkSession, units: DataFrame, mode: str, k: int, n_years: int, targets: tuple[int, int] = SEASON, delta: int = DELTA) -> DataFrame:
     """(target, unit, year_idx, doy) rows of all draws; ``units`` has the distinct units (column unit)."""
-    each = draws_per_year(k, n_years)
+    mode = settled_mode(mode, k, n_years)
+    each = draws_per_year(k, n_years, mode, delta)
     flat = mode in ("source_flat", "independent")
     k = max(1, min(k, MOST_DRAWS)) if mode == "source_flat" else each * n_years
     days = F.explode(F.sequence(F.lit(targets[0]), F.lit(targets[1])))
@@ -145,12 +152,21 @@ def unit_of(mode: str, per_cell: bool, band_start: int = 0):
 
 
 def sampled_climatology(obs: DataFrame, mode: str, k: int, years: tuple[int, int], targets: tuple[int, int] = SEASON, delta: int = DELTA, per_cell: bool = False, exact_mean: bool = False, band_start: int = 0) -> DataFrame:
-    """doy, cell, n, clim_mean, p90 of the sampled observations; with ``exact_mean`` the mean is that of all."""
+    """doy, cell, n, clim_mean, p90 of the sampled observations; with ``exact_mean`` the mean is that of all.
+
+    Where all cells share their draws the plan is small (at most 365 days x 120 draws) and goes to the
+    observations by broadcast; those of other days are dropped where they are read, and whole files of
+    them are skipped if the observations are partitioned by year and doy.
+    """
     from .climatology import climatology
 
+    mode = settled_mode(mode, k, years[1] - years[0] + 1)
     keyed = obs.where(F.col("year").between(*years)).withColumn("unit", unit_of(mode, per_cell, band_start))
-    plan = sample_plan(obs.sparkSession, keyed.select("unit").distinct(), mode, k, years[1] - years[0] + 1, targets, delta)
+    units = obs.sparkSession.range(1).select(F.lit(0).alias("unit")) if mode in ("packed", "consistent") else keyed.select("unit").distinct()
+    plan = sample_plan(obs.sparkSession, units, mode, k, years[1] - years[0] + 1, targets, delta)
     plan = plan.withColumn("year", F.col("year_idx") + years[0])
+    if mode in ("packed", "consistent"):
+        plan = F.broadcast(plan)
     out = statistics(keyed.join(plan, ["unit", "year", "doy"]))
     if exact_mean:
         whole = climatology(obs, targets, delta).select("doy", "cell", F.col("clim_mean").alias("whole"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.functions.calendar import mmdd
+from meridian.functions.calendar import mmdd, noleap_doy
+from meridian.sources.grid_nc import read_fields
 
 
 def field_statistics(result: DataFrame, column: str) -> DataFrame:
@@ -24,6 +25,25 @@ def daily_rmse(reference: DataFrame, candidate: DataFrame, days: list[str] | Non
     return both.groupBy("doy").agg(rmse("clim_mean", "r_mean").alias("rmse_clim"), rmse("p90", "r_p90").alias("rmse_p90"))
 
 
+def unmatched_cells(reference: DataFrame, candidate: DataFrame) -> DataFrame:
+    """doy, only_reference, only_candidate: numbers of cells that one side lacks, for the days on which there are any."""
+    side = lambda df, name: df.select("doy", "cell", F.lit(True).alias(name))
+    both = side(reference, "r").join(side(candidate, "c"), ["doy", "cell"], "full")
+    counts = both.groupBy("doy").agg(F.count_if(F.col("c").isNull()).alias("only_reference"), F.count_if(F.col("r").isNull()).alias("only_candidate"))
+    return counts.where("only_reference + only_candidate > 0")
+
+
+def rmse_of_files(spark: SparkSession, reference: str, candidate: str, days: list[str] | None = None, on_error: str = "fail") -> DataFrame:
+    """``daily_rmse`` of two folders of MMDD.nc files (variables Climmean and P90_sst over Lat and Lon)."""
+
+    def side(folder: str) -> DataFrame:
+        fields = read_fields(spark, f"{folder.rstrip('/')}/*.nc", ["Climmean", "P90_sst"], "Lat", "Lon", on_error)
+        day = noleap_doy(F.to_date(F.concat(F.lit("2001"), F.substring("file", 1, 4)), "yyyyMMdd")).cast("int")
+        return fields.select(day.alias("doy"), F.struct("lat_idx", "lon_idx").alias("cell"), F.col("Climmean").alias("clim_mean"), F.col("P90_sst").alias("p90"))
+
+    return daily_rmse(side(reference), side(candidate), days)
+
+
 def season_rmse(daily: DataFrame) -> DataFrame:
     return daily.agg(*(f(c).alias(f"{name}_{c}") for c in ("rmse_clim", "rmse_p90") for name, f in (("mean", lambda x: F.round(F.avg(x), 4)), ("max", F.max))))
 
@@ -37,9 +57,10 @@ def threshold_report(daily: DataFrame, day_limit: float, season_limit: float) ->
 
 
 def write_report(daily: DataFrame, folder: str) -> None:
-    """The daily errors as text, a line per day in order (92 lines a season)."""
-    for column in ("rmse_clim", "rmse_p90"):
-        daily.orderBy("doy").select(F.format_string("%.6f", column)).coalesce(1).write.mode("overwrite").text(f"{folder}/{column}_daily")
+    """The errors as text: RMSE_*_daily, a line per day in order (92 lines a season), and RMSE_*, the season's mean."""
+    for column, name in (("rmse_clim", "RMSE_clim"), ("rmse_p90", "RMSE_P90")):
+        daily.orderBy("doy").select(F.format_string("%.6f", column)).coalesce(1).write.mode("overwrite").text(f"{folder}/{name}_daily")
+        daily.agg(F.avg(column).alias("mean")).select(F.format_string("%.4f", "mean")).write.mode("overwrite").text(f"{folder}/{name}")
 
 
 def spot_check(exact: DataFrame, estimate: DataFrame, stride: int = 97, most: int = 8) -> DataFrame:

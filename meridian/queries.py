@@ -157,7 +157,8 @@ def cumulative_hist(spark, sf_dir):
 
 # Monte-Carlo -----------------------------------------------------------------------------------
 def _plan_rows(mode: str, k: int, days: tuple[int, int], units: list[int]) -> str:
-    each = sampling.draws_per_year(k, N_YEARS)
+    mode = sampling.settled_mode(mode, k, N_YEARS)
+    each = sampling.draws_per_year(k, N_YEARS, mode)
     flat = mode in ("source_flat", "independent")
     k = k if mode == "source_flat" else each * N_YEARS
     grid = np.array([(t, u, y, r) for t in range(days[0], days[1] + 1) for u in units for y in range(1 if flat else N_YEARS) for r in range(k if flat else each)]).T
@@ -181,7 +182,7 @@ def _sampled(mode: str, k: int, days: tuple[int, int] = SEASON, per_cell: bool =
 
 
 for _name, _args in {
-    "clim_mc_consistent": ("consistent", 30), "clim_mc_packed": ("packed", 30), "clim_mc_block": ("block", 30), "clim_mc_independent": ("independent", 30, SEASON, True),
+    "clim_mc_consistent": ("consistent", 30), "clim_mc_packed": ("packed", 30), "clim_mc_packed_k120": ("packed", 120), "clim_source_mc_k4": ("source", 4), "clim_mc_block": ("block", 30), "clim_mc_independent": ("independent", 30, SEASON, True),
     "clim_source_mc_k30": ("source", 30), "clim_source_mc_k60": ("source", 60), "clim_source_mc_flat10": ("source_flat", 10),
     "clim_source_mc_exact_mean": ("source", 30, SEASON, False, True), "clim_source_mc_independent": ("source", 30, SEASON, True), "clim_source_mc_flat_independent": ("source_flat", 30, SEASON, True),
 }.items():
@@ -273,6 +274,25 @@ def rmse_files(spark, sf_dir):
     return _rmse(spark, sf_dir, FILES)
 
 
+@query(f"{_DAILY} SELECT * FROM daily")
+def rmse_from_files(spark, sf_dir):
+    """The daily errors from two folders of NetCDF files, one file a day."""
+    folder = shared_folder(spark, "validation")
+    for name, rows in (("reference", _li(spark, sf_dir)), ("candidate", obs.from_orders(spark, sf_dir, YEARS))):
+        grid_nc.write_fields(obs.with_grid(clim.climatology(rows, SEASON), N_LON), f"{folder}/{name}", N_LAT, N_LON, value_type="double")
+    return validate.rmse_of_files(spark, f"{folder}/reference", f"{folder}/candidate")
+
+
+@query(f"""WITH {LI}, {ORD}, {_clim('a', 'obs')}, {_clim('b', 'ord')},
+    x AS (SELECT coalesce(a.doy, b.doy) AS doy, count(*) FILTER (b.doy IS NULL) AS only_reference, count(*) FILTER (a.doy IS NULL) AS only_candidate
+          FROM (SELECT * FROM a WHERE cell <> 7) a FULL JOIN (SELECT * FROM b WHERE doy % 5 > 0) b ON a.doy = b.doy AND a.cell = b.cell GROUP BY 1)
+    SELECT * FROM x WHERE only_reference + only_candidate > 0""")
+def rmse_unmatched(spark, sf_dir):
+    """Cells that only one side has; here the reference lacks cell 7 and the candidate every fifth day."""
+    reference, candidate = clim_exact(spark, sf_dir), clim.climatology(obs.from_orders(spark, sf_dir, YEARS), SEASON)
+    return validate.unmatched_cells(reference.where("cell <> 7"), candidate.where("doy % 5 > 0"))
+
+
 @query(f"{_DAILY} SELECT round(avg(rmse_clim), 4) AS mean_rmse_clim, max(rmse_clim) AS max_rmse_clim, round(avg(rmse_p90), 4) AS mean_rmse_p90, max(rmse_p90) AS max_rmse_p90 FROM daily")
 def rmse_season(spark, sf_dir):
     return validate.season_rmse(_rmse(spark, sf_dir))

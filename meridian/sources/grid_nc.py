@@ -1,9 +1,10 @@
-"""Daily fields in NetCDF classic files (CDF-1, CDF-2 and CDF-5).
+"""Daily fields in NetCDF files: classic ones (CDF-1, CDF-2 and CDF-5), and plain NetCDF-4 (HDF5) to read.
 
 Reading goes through Spark's binaryFile source, so any file system that Spark reads will do; the
 bytes are parsed in Arrow batches. Writing packs each day's field into one file's bytes on the
 executors and stores them through a Python data source, whose path must be a folder that driver
-and executors share. NetCDF-4 (HDF5) files are recognised and reported; there is no HDF5 library here.
+and executors share. Of NetCDF-4 files contiguous data are read (see ``hdf5``); compressed ones are
+reported.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from meridian.functions.calendar import mmdd
 
+from . import hdf5
+
 # fixed values of the file format
 DIMENSION, VARIABLE, ATTRIBUTE = 0x0A, 0x0B, 0x0C
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
@@ -28,8 +31,6 @@ CODES = {"text": 2, "float": 5, "double": 6}
 
 class _Reader:
     def __init__(self, data: bytes):
-        if data[:4] == b"\x89HDF":
-            raise ValueError("NetCDF-4 (HDF5) file: only the classic formats CDF-1, CDF-2 and CDF-5 are read")
         if data[:3] != b"CDF" or data[3] not in (1, 2, 5):
             raise ValueError("not a NetCDF classic file")
         self.data, self.version, self.at = data, data[3], 4
@@ -71,6 +72,8 @@ class _Reader:
 
 def decode(data: bytes) -> dict[str, tuple[list[str], np.ndarray, dict]]:
     """Variables of a file: names of dimensions, values, attributes."""
+    if data[:8] == hdf5.SIGNATURE:
+        return hdf5.decode(data)
     r = _Reader(data)
     r.count()
     dims = r.listed(DIMENSION, lambda: (r.name(), r.count()))
@@ -83,8 +86,8 @@ def decode(data: bytes) -> dict[str, tuple[list[str], np.ndarray, dict]]:
     return out
 
 
-def encode(dims: dict[str, int], variables: list[tuple[str, list[str], np.ndarray, str, dict[str, str]]], version: int = 2) -> bytes:
-    """A classic file of fixed-size variables (name, dimensions, values, 'float' or 'double', text attributes)."""
+def encode(dims: dict[str, int], variables: list[tuple[str, list[str], np.ndarray, str, dict[str, str | float]]], version: int = 2) -> bytes:
+    """A classic file of fixed-size variables (name, dimensions, values, 'float' or 'double', attributes: texts or numbers)."""
     if version not in (1, 2, 5):
         raise ValueError("version is 1, 2 or 5")
     count = (lambda n: struct.pack(">q", n)) if version == 5 else (lambda n: struct.pack(">i", n))
@@ -93,10 +96,14 @@ def encode(dims: dict[str, int], variables: list[tuple[str, list[str], np.ndarra
     listed = lambda tag, items: struct.pack(">i", tag if items else 0) + count(len(items)) + b"".join(items)
     order = list(dims)
 
+    def attribute(k: str, t: str | float) -> bytes:
+        kind, n, raw = (CODES["text"], len(t.encode()), t.encode()) if isinstance(t, str) else (CODES["double"], 1, struct.pack(">d", t))
+        return name(k) + struct.pack(">i", kind) + count(n) + pad(raw)
+
     def header(begins: list[int]) -> bytes:
         entries = []
         for (v, ids, values, kind, notes), begin in zip(variables, begins, strict=True):
-            attributes = [name(k) + struct.pack(">i", CODES["text"]) + count(len(t.encode())) + pad(t.encode()) for k, t in notes.items()]
+            attributes = [attribute(k, t) for k, t in notes.items()]
             size = -(-values.size * np.dtype(TYPES[CODES[kind]]).itemsize // 4) * 4
             place = struct.pack(">i" if version == 1 else ">q", begin)
             entries.append(name(v) + count(len(ids)) + b"".join(count(order.index(d)) for d in ids) + listed(ATTRIBUTE, attributes) + struct.pack(">i", CODES[kind]) + count(size) + place)
@@ -110,26 +117,31 @@ def encode(dims: dict[str, int], variables: list[tuple[str, list[str], np.ndarra
     return header(begins) + b"".join(payload)
 
 
+def field(found: dict, variable: str, lat: str, lon: str) -> np.ndarray:
+    """A variable as doubles over (lat, lon): marks for missing values (compared before scaling) are NaN, scale and offset applied."""
+    if isinstance(found[variable], hdf5.Unreadable):
+        raise ValueError(f"{variable}: {found[variable].reason}")
+    dims, values, notes = found[variable]
+    values = values.astype(np.float64)
+    gone = np.isnan(values)
+    for mark in ("_FillValue", "missing_value"):
+        if mark in notes:
+            gone |= values == notes[mark][0]
+    values = values * notes.get("scale_factor", [1.0])[0] + notes.get("add_offset", [0.0])[0]
+    values = np.where(gone, np.nan, values).reshape([n for n, d in zip(values.shape, dims, strict=True) if d in (lat, lon)] or values.shape)
+    kept = [d for d in dims if d in (lat, lon)]
+    if kept not in ([lat, lon], [lon, lat]):
+        raise ValueError(f"{variable} is not a field over {lat} and {lon}")
+    return values if kept == [lat, lon] else values.T
+
+
 def _rows(variables: list[str], lat: str, lon: str, on_error: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fields = []
                 try:
                     found = decode(content)
-                    for v in variables:
-                        dims, values, notes = found[v]
-                        values = values.astype(np.float64)
-                        gone = np.isnan(values)
-                        for mark in ("_FillValue", "missing_value"):  # compared before scaling
-                            if mark in notes:
-                                gone |= values == notes[mark][0]
-                        values = values * notes.get("scale_factor", [1.0])[0] + notes.get("add_offset", [0.0])[0]
-                        values = np.where(gone, np.nan, values).reshape([n for n, d in zip(values.shape, dims, strict=True) if d in (lat, lon)] or values.shape)
-                        kept = [d for d in dims if d in (lat, lon)]
-                        if kept not in ([lat, lon], [lon, lat]):
-                            raise ValueError(f"{v} is not a field over {lat} and {lon}")
-                        fields.append(values if kept == [lat, lon] else values.T)
+                    fields = [field(found, v, lat, lon) for v in variables]
                 except (ValueError, KeyError, struct.error) as e:
                     if on_error == "fail":
                         raise ValueError(f"{path}: {e}") from e
@@ -142,6 +154,35 @@ def _rows(variables: list[str], lat: str, lon: str, on_error: str):
     return run
 
 
+PROBED = "file string, dims array<string>, shape array<int>, type string, attributes map<string, string>, problem string"
+
+
+def probe(spark: SparkSession, path: str, variable: str, shape: tuple[int, int] | None = None, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """What each file holds of a variable: dimensions, shape, type and attributes, and the problem it has, if any; ``shape`` is the grid expected (lat, lon)."""
+
+    def look(path: str, content: bytes) -> dict:
+        row = {"file": os.path.basename(path), "dims": None, "shape": None, "type": None, "attributes": None, "problem": None}
+        try:
+            found = decode(content)
+            size = field(found, variable, lat, lon).shape
+            dims, values, notes = found[variable]
+            row |= {"dims": dims, "shape": list(values.shape), "type": values.dtype.name, "attributes": [(k, v if isinstance(v, str) else " ".join(map(str, v))) for k, v in notes.items()]}
+            if shape is not None and tuple(size) != tuple(shape):
+                row["problem"] = f"grid of {size[0]} x {size[1]}, not {shape[0]} x {shape[1]}"
+        except (ValueError, KeyError, struct.error) as e:
+            row["problem"] = f"{variable} is missing" if isinstance(e, KeyError) else str(e)
+        return row
+
+    kinds = [("file", pa.string()), ("dims", pa.list_(pa.string())), ("shape", pa.list_(pa.int32())), ("type", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("problem", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [look(p, c) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds], names=[k for k, _ in kinds])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, PROBED)
+
+
 def read_fields(spark: SparkSession, path: str, variables: list[str], lat: str = "lat", lon: str = "lon", on_error: str = "null") -> DataFrame:
     """file, lat_idx, lon_idx and the variables as doubles, null where missing; either order of dimensions.
 

@@ -68,3 +68,16 @@ def test_draws_of_each_cell_cover_the_season(spark, sf_dir, name, mode):
             for y, o in zip(year.tolist(), off.tolist(), strict=True):
                 want[t, c] += (c, 1995 + y, t + o - 5) in held
     assert {(r.doy, r.cell): r.n for r in q.QUERIES[name](spark, sf_dir).collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_packed_draws_are_distinct_however_many_are_asked_for():
+    assert s.draws_per_year(120, 6, "packed") == 11 and s.draws_per_year(120, 6) == 20
+    year, off = s.plan_offsets("packed", [152] * 66, [0] * 66, [y for y in range(6) for _ in range(11)], list(range(11)) * 6, first=152, n_years=6, k=120)
+    assert all(sorted(off[year == y]) == list(range(11)) for y in range(6))
+
+
+def test_fewer_draws_than_years_are_flat_strata(spark):
+    assert s.settled_mode("source", 29, 30) == "source_flat" and s.settled_mode("source", 30, 30) == "source"
+    units = spark.createDataFrame([(0,)], "unit int")
+    plan = lambda mode: sorted(map(tuple, s.sample_plan(spark, units, mode, 4, 6, (160, 162)).collect()))
+    assert plan("source") == plan("source_flat") and len(plan("source")) == 12
