@@ -6,10 +6,11 @@ a rule fits a URL exactly if, for the URL's host cut to the rule's number of lab
 a prefix of the URL's key: each rule is an interval of keys, and intervals are nested or disjoint.
 
 1. Distinct (host, path) pairs get one key for each number of labels that some rule has.
-2. Keys are dealt to salts by hash, and the rules' keys to every salt: rows are the URLs' plus rules
-   times salts. Each salt is sorted once; a running window carries the last rule opened together with
-   the stack of rules that it is nested in. Of the stack, rules that the key has left (no longer
-   prefixes) are popped; the top is the tightest.
+2. The URLs' keys and the rules' keys are sorted into ranges together, so that each rule is in one
+   range and equal keys may spread over several; the ranges are written down. A running window over
+   each range carries the last rule opened with the stack of rules that it is nested in; what was
+   opened before a range and still holds at its first key, is looked up by that key's prefixes. Of
+   the stack, rules that the key has left (no longer prefixes) are popped; the top is the tightest.
 3. The longest rule over a URL's keys gives the verdict, which is joined back to the pages.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and gets the default;
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import cut, partitions
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,26 +53,31 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 
 def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (or null), verdict, for every page; ``rules`` has verdict, host and path."""
-    spark = pages.sparkSession
-    salts = partitions(spark)
     n_labels = F.size(F.split("host", r"\."))
     opened = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # 'block' > 'allow'
     opened = opened.select("verdict", "host", "path", n_labels.alias("labels")).withColumn("key", key_of(F.col("host"), F.col("labels"), F.col("path")))
-    # the stack at a rule's opening: itself and the rules whose keys are prefixes of its own
-    nested = opened.select(F.col("key").alias("inner"), F.explode(F.sequence(F.lit(1), F.length("key"))).alias("n")).select("inner", F.substring("inner", F.lit(1), F.col("n")).alias("key"))
     entry = F.struct("key", F.concat("host", "path").alias("rule"), "verdict")
-    stacks = nested.join(opened, "key").groupBy("inner").agg(F.sort_array(F.collect_list(entry)).alias("stack"))
-    levels = [r.labels for r in opened.select("labels").distinct().collect()]  # numbers of labels that rules have: a few small integers
 
+    def stacks(keys: DataFrame, name: str) -> DataFrame:
+        """(name, stack): the rules whose keys are prefixes of ``key``, itself included, outermost first."""
+        heads = keys.select(name, F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n))).alias("key"))
+        return heads.join(opened, "key").groupBy(name).agg(F.sort_array(F.collect_list(entry)).alias("stack"))
+
+    levels = [r.labels for r in opened.select("labels").distinct().collect()]  # numbers of labels that rules have: a few small integers
     host, path = host_and_path(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    if not levels:
+        return judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     urls = judged.select("host", "path").distinct()
-    keyed = urls.withColumn("labels", F.explode(F.filter(F.lit(sorted(levels)).cast("array<int>"), lambda k: k <= n_labels))) if levels else urls.withColumn("labels", F.lit(0)).limit(0)
-    keyed = keyed.select(F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int").alias("salt"), key_of(F.col("host"), F.col("labels"), F.col("path")).alias("key"), F.lit(1).alias("turn"), "host", "path", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
-    opening = stacks.select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("inner").alias("key"), F.lit(0).alias("turn"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack")
-    sweep = W.partitionBy("salt").orderBy("key", "turn").rowsBetween(W.unboundedPreceding, W.currentRow)
-    swept = keyed.unionByName(opening).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("turn = 1")
-    open_now = F.filter("stack", lambda s: F.col("key").startswith(s["key"]))
+    keyed = urls.withColumn("labels", F.explode(F.filter(F.lit(sorted(levels)).cast("array<int>"), lambda k: k <= n_labels)))
+    keyed = keyed.select(key_of(F.col("host"), F.col("labels"), F.col("path")).alias("key"), F.lit(1).alias("turn"), "host", "path")
+    opening = stacks(opened.select(F.col("key").alias("inner"), "key"), "inner").select(F.col("inner").alias("key"), F.lit(0).alias("turn"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack")
+    merged = opening.unionByName(keyed, allowMissingColumns=True)
+    ranged = cut(merged.repartitionByRange(partitions(pages.sparkSession), "key", "turn", "host", "path").withColumn("part", F.spark_partition_id()))
+    before = stacks(ranged.groupBy("part").agg(F.min("key").alias("key")), "part").withColumnRenamed("stack", "before")  # a row for each range
+    sweep = W.partitionBy("part").orderBy("key", "turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = ranged.withColumn("last", F.last("stack", ignorenulls=True).over(sweep)).where("turn = 1").join(before, "part", "left")
+    open_now = F.filter(F.coalesce("last", "before"), lambda s: F.col("key").startswith(s["key"]))
     fits = swept.select("host", "path", F.try_element_at(open_now, F.lit(-1)).alias("top")).where("top is not null")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("top.rule").alias("n"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))).alias("best"))
     return judged.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
