@@ -6,13 +6,18 @@ separators) and ``secret`` (long runs that mix letters and digits). Each candida
 its format (digits, length, share of letters, hex, separators, dots, plus) and of the text before it
 (assignment, quote, a word for personal data).
 
-Boosted trees select among the candidates. They are trained at each run on silver labels: a candidate
-is positive if it covers a valid base span or, for secrets, if the text before it assigns it to a
-token, key or password. Features are small integers, so the training set is a table of counts by
-feature vector, made by one aggregation over all documents and bounded by the product of the
-features' ranges; the trees are grown on that table and become one SQL expression. The margin is
-calibrated (Platt) on the half of the documents that the trees haven't seen; a candidate is a span
-if its calibrated probability reaches ``threshold``, it overlaps no base span and no likelier candidate.
+Boosted trees select among the candidates. They are trained at each run on silver labels that no
+feature repeats: a contact or number is positive if it covers a span that passes its kind's check (a
+checksum, ranges of parts, numbers of digits), which the features of its format don't show; a secret
+is positive if the text before it assigns it to a token, key or password, while its features are those
+of its own characters. Secrets without an assignment count as negatives there, so the probability of
+being assigned is divided by its mean over known positives (Elkan and Noto's correction): what looks
+like assigned strings is a secret, however many of them stand alone. Features are small integers, so the training set is a table of counts by feature
+vector, made by one aggregation over all documents and bounded by the product of the features' ranges;
+the trees are grown on that table and become one SQL expression. The margin is calibrated (Platt) for
+each kind, on the half of the documents that the trees haven't seen. A candidate is a span if its
+calibrated probability reaches its kind's threshold, no base span lies within it or holds it, and no
+likelier candidate overlaps it. A kind without labels of both sorts adds nothing.
 
 Patterns are written so that Java's matcher needs neither recursion nor quadratic time: runs are
 possessive, and a run that can't match is tried at its first character only.
@@ -45,7 +50,8 @@ CANDIDATES = {
 KINDS = [*BASE, *CANDIDATES]
 NEEDS = {"email": "@", "contact": "@", "phone": "+"}
 ASSIGNED = r"(?i)(token|secret|key|password|passwd|pwd|auth)[\"']?\s*[=:]\s*[\"']?$"
-NAMED = r"(?i)(mail|phone|tel|call|card|iban|ssn|ip|token|key|password)\W*$"
+NAMED = r"(?i)(mail|phone|tel|call|card|iban|ssn|ip)\W*$"
+THRESHOLDS = {"contact": 0.8, "number": 0.8, "secret": 0.8}
 #: Features as SQL over a candidate ``c`` (kind_no, s, before), with their numbers of values.
 FEATURES = {
     "kind": ("c.kind_no - 4", 3),
@@ -56,8 +62,7 @@ FEATURES = {
     "separators": ("least(3, length(regexp_replace(c.s, '[^ ()/-]', '')))", 4),
     "dots": ("least(3, length(regexp_replace(c.s, '[^.]', '')))", 4),
     "plus": ("int(startswith(c.s, '+'))", 2),
-    "assigned": ("int(c.before rlike '[=:]\\\\s*[\"\\']?$')", 2),
-    "quoted": ("int(c.before rlike '[\"\\']$')", 2),
+    "quoted": ("int(c.kind_no < 6 and c.before rlike '[\"\\']$')", 2),
     "named": (r"int(c.before rlike '" + NAMED.replace("\\", "\\\\") + "')", 2),
 }
 BLOCK = 256  # matches that are added up at a time
@@ -108,6 +113,10 @@ def overlaps(x: Column, y: Column) -> Column:
     return (x["start"] < y["end"]) & (y["start"] < x["end"])
 
 
+def nested(x: Column, y: Column) -> Column:
+    return ((x["start"] <= y["start"]) & (y["end"] <= x["end"])) | ((y["start"] <= x["start"]) & (x["end"] <= y["end"]))
+
+
 def _proposed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("row"))
     valid = lambda kind: lambda x: CHECKS[kind](x["s"])
@@ -195,39 +204,48 @@ def _vector(c: str = "c") -> str:
     return "array(" + ", ".join(f"int({sql})" for sql, _ in FEATURES.values()) + ")"
 
 
-def learn(proposed: DataFrame, trees: int, rate: float) -> tuple[list, float, float] | None:
-    """Trees and calibration, or nothing where the silver labels are all of one kind."""
-    silver = F.exists("base", lambda b: (b["start"] >= F.col("c.start")) & (b["end"] <= F.col("c.end"))) | ((F.col("c.kind_no") == KINDS.index("secret")) & F.col("c.before").rlike(ASSIGNED))
-    cells = proposed.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), "base", F.explode("candidates").alias("c")).select("half", silver.alias("y"), F.expr(_vector()).alias("x"))
-    # at most 2 halves x the product of the features' ranges, however many documents there are
-    rows = cells.groupBy("half", "x").agg(F.count_if(~F.col("y")).alias("neg"), F.count_if("y").alias("pos")).collect()
-    seen = sorted((tuple(r.x), r.neg, r.pos) for r in rows if r.half == 0)
-    held = sorted((tuple(r.x), r.neg, r.pos) for r in rows if r.half == 1)
-    if not all(sum(c[i] for c in part) for part in (seen, held) for i in (1, 2)):
-        return None
-    model = grow(seen, trees, rate)
-    a, b = platt([(margin_of(model, x), neg, pos) for x, neg, pos in held])
-    return model, a, b
+def silver(base: Column, c: Column) -> Column:
+    """The label of a candidate: by checks of what it covers or, for secrets, by what stands before it."""
+    assigned = c["before"].rlike(ASSIGNED)
+    return F.when(c["kind_no"] == KINDS.index("secret"), assigned).otherwise(F.exists(base, lambda b: (b["start"] >= c["start"]) & (b["end"] <= c["end"])))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, trees: int = 24, rate: float = 0.4) -> DataFrame:
+def learn(proposed: DataFrame, trees: int, rate: float) -> tuple[list, dict[str, tuple[float, float, float]]]:
+    """Trees, and of each kind that has labels of both sorts in either half: its calibration, and the share of positives that the labels know."""
+    cells = proposed.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).alias("half"), "base", F.explode("candidates").alias("c")).select("half", silver(F.col("base"), F.col("c")).alias("y"), F.expr(_vector()).alias("x"))
+    # at most 2 halves x the product of the features' ranges, however many documents there are
+    rows = cells.groupBy("half", "x").agg(F.count_if(~F.col("y")).alias("neg"), F.count_if("y").alias("pos")).collect()
+    halves = [sorted((tuple(r.x), r.neg, r.pos) for r in rows if r.half == h) for h in (0, 1)]
+    both = lambda part: all(sum(c[i] for c in part) for i in (1, 2))
+    model = grow(halves[0], trees, rate) if both(halves[0]) else []
+    found = {}
+    for n, kind in enumerate(CANDIDATES):
+        seen, held = ([c for c in half if c[0][0] == n] for half in halves)
+        if both(seen) and both(held):
+            a, b = platt([(margin_of(model, x), neg, pos) for x, neg, pos in held])
+            known = sum(pos / (1 + math.exp(-(a * margin_of(model, x) + b))) for x, _, pos in held) / sum(c[2] for c in held)
+            found[kind] = a, b, known if kind == "secret" else 1.0
+    return model, found
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds: dict[str, float] = THRESHOLDS, trees: int = 24, rate: float = 0.4) -> DataFrame:
     """doc_id, text, base and spans: arrays of (start, end, kind), by start, then kind; ``spans`` has the base spans and those the trees select.
 
     ``row`` holds all columns of the input row.
     """
     proposed = _proposed(docs, id_col, text_col)
-    learnt = learn(proposed, trees, rate)
+    model, calibrated = learn(proposed, trees, rate)
     kinds = F.array(*(F.lit(k) for k in KINDS))
     plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kinds[s["kind_no"]].alias("kind")))
-    if learnt is None:
+    if not calibrated:
         return proposed.select("doc_id", "text", "row", plain(F.col("base")).alias("base"), plain(F.col("base")).alias("spans"))
-    model, a, b = learnt
-    least = math.log(threshold / (1 - threshold))
-    scored = F.expr(f"transform(candidates, c -> struct(c.start, c.end, c.kind_no, c.s, {_vector()} AS x))")
-    scored = F.transform(scored, lambda c: c)
-    rows = proposed.withColumn("scored", scored)
-    rows = rows.withColumn("scored", F.expr(f"transform(scored, c -> struct(c.start, c.end, c.kind_no, {a!r}d * ({margin_sql(model).replace('x[', 'c.x[')}) + {b!r}d AS z))"))
-    rows = rows.withColumn("likely", F.filter("scored", lambda c: (c["z"] >= least) & ~F.exists("base", lambda s: overlaps(s, c))))
+    # z: by how much the log-odds exceed the kind's threshold
+    margin = f"({margin_sql(model).replace('x[', 'c.x[')})"
+    logit = lambda p: math.log(p / (1 - p))
+    excess = " ".join(f"WHEN {KINDS.index(k)} THEN {a!r}d * {margin} + {b - logit(thresholds[k] * known)!r}d" for k, (a, b, known) in calibrated.items())
+    rows = proposed.withColumn("scored", F.expr(f"transform(candidates, c -> struct(c.start, c.end, c.kind_no, {_vector()} AS x))"))
+    rows = rows.withColumn("scored", F.expr(f"transform(scored, c -> struct(c.start, c.end, c.kind_no, CASE c.kind_no {excess} ELSE -1d END AS z))"))
+    rows = rows.withColumn("likely", F.filter("scored", lambda c: (c["z"] >= 0) & ~F.exists("base", lambda s: nested(s, c))))
     rank = lambda c: F.struct(-c["z"], c["start"], c["kind_no"])
     rows = rows.withColumn("more", F.filter("likely", lambda c: ~F.exists("likely", lambda d: overlaps(c, d) & (rank(d) < rank(c)))))
     short = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end")))

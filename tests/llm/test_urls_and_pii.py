@@ -81,6 +81,36 @@ def test_trees_find_assigned_secrets_and_redaction(spark, sf_dir):
     assert secrets > 5
 
 
+def planted(rng, n):
+    """Texts with secrets: some assigned to a token, some bare; and what only looks a little like one."""
+    letters, rows, bare, other = "bcdfghklmnprstvw", [], [], []
+    word = lambda: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(rng.randrange(1, 5)))
+    code = lambda size: "".join(rng.choice("0123456789abcdef") for _ in range(size))
+    for i in range(n):
+        words, what = [word() for _ in range(40)], i % 4
+        if what == 0:
+            words[20] = f'token = "{code(40)}"'
+        elif what == 1:
+            words[20] = code(40)
+            bare.append((i, words[20]))
+        elif what == 2:
+            words[20] = f"{word()}_{word()}_{word()}_{word()}_{rng.randrange(100)}"
+            other.append((i, words[20]))
+        rows.append((i, " ".join(words)))
+    return rows, bare, other
+
+
+def test_secrets_are_known_by_their_looks(spark):
+    """Bare ones are positives by none of the labels: the trees know them from the assigned ones. The table wasn't used to set the threshold."""
+    rows, bare, other = planted(random.Random(71), 1200)
+    got = {r.doc_id: (r.text, [tuple(s) for s in r.spans]) for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "text", "spans").collect()}
+    hit = lambda i, w: any(k == "secret" and got[i][0][a:b] == w for a, b, k in got[i][1])
+    assert len(other) > 200 and not any(hit(i, w) for i, w in other)
+    clean = [i for i, _ in rows if i % 4 == 3]
+    assert not any(got[i][1] for i in clean)
+    assert sum(hit(i, w) for i, w in bare) > 0.95 * len(bare)
+
+
 def test_pii_is_native(spark, sf_dir):
     plan = pii.personal_data(helpers.table(spark, sf_dir, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
