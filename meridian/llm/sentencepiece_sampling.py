@@ -119,8 +119,8 @@ class Vocabulary:
         length[first] -= 1  # the space that encoding puts in front
         offset[first] += 1
         upto = np.cumsum(length)
-        index = np.repeat(offset - (upto - length), length)
-        index += np.arange(len(index))
+        index = np.repeat((offset - (upto - length)).astype(np.int32), length)
+        index += np.arange(len(index), dtype=np.int32)
         return self.flat[index], np.concatenate(([0], upto))[ends]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -148,11 +148,16 @@ class Lattices:
         joined = "".join(words).replace(SPACE, LITERAL).replace(" ", SPACE)
         self.chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(lengths)
-        self.first = (ends - lengths).astype(np.int32)
         n = len(self.chars)
-        left = np.repeat(ends, lengths) - np.arange(n)  # characters to the word's end
+        left = (np.repeat(ends, lengths) - np.arange(n)).astype(np.int32)  # characters to the word's end
+        # nodes are numbered by what is left of their word, so that each step of the sums below is a slice
+        by_left = np.argsort(left, kind="stable")
+        node = np.empty(n, dtype=np.int32)
+        node[by_left] = np.arange(n, dtype=np.int32)
+        self.first = node[ends - lengths]
         codes = char_codes(self.chars.astype(U64))
         at, h, found = np.arange(n, dtype=np.int32), np.zeros(n, dtype=U64), []
+        counts = np.zeros(n, dtype=np.int32)
         for m in range(1, v.longest + 1):
             h = h * U64(BASE) + codes[at + (m - 1)]
             going = v.begins[slot_of(h)]  # a piece may begin so
@@ -164,33 +169,35 @@ class Lattices:
                 piece[piece < 0] = len(v.hashes)  # a character without a piece
             has = piece >= 0
             found.append((m, at[has], piece[has]))
+            counts[node[found[-1][1]]] += 1
             going = left[at] > m
             at, h = at[going], h[going]
-        self.begin = np.concatenate(([0], np.cumsum(sum(np.bincount(a, minlength=n) for _, a, _ in found)))).astype(np.int32)
-        piece, size, src, free = np.empty(self.begin[-1], dtype=np.int32), np.empty(self.begin[-1], dtype=np.int32), np.empty(self.begin[-1], dtype=np.int32), self.begin[:-1].copy()
+        self.begin = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        piece, self.next, self.src = (np.empty(self.begin[-1], dtype=np.int32) for _ in range(3))
+        free = self.begin[:-1].copy()
         for m, a, i in reversed(found):  # the longest piece of a node comes first
-            e = free[a]
-            free[a] += 1
-            piece[e], size[e], src[e] = i, m, a
+            own = node[a]
+            e = free[own]
+            free[own] = e + 1
+            piece[e], self.src[e] = i, a
+            whole = left[a] == m
+            self.next[e] = np.where(whole, -1, node[np.where(whole, 0, a + m)])  # -1: the word's end
         del found
-        self.src, self.ids, logs = src, np.append(v.ids, np.int32(-1))[piece], np.append(v.logs, v.fallback)[piece]
-        self.next = np.where(left[src] > size, src + size, -1).astype(np.int32)  # -1: the word's end
+        self.ids, total = np.append(v.ids, np.int32(-1))[piece], np.append(v.logs, v.fallback)[piece]
         # log-mass and number of paths from each node to its word's end, from the last characters backwards
-        beta, self.paths, total = np.zeros(n + 1), np.ones(n + 1), np.empty(len(src))
-        by_left = np.argsort(left, kind="stable")
+        beta, self.paths = np.zeros(n + 1), np.ones(n + 1)  # the last one stands for the end
         cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            nodes = by_left[a:b]
-            counts = self.begin[nodes + 1] - self.begin[nodes]
-            offsets = np.cumsum(counts) - counts
-            e = np.repeat(self.begin[nodes] - offsets, counts) + np.arange(counts.sum())
-            total[e] = logs[e] + beta[self.next[e]]  # beta[-1] stays 0, paths[-1] 1
-            beta[nodes] = np.logaddexp.reduceat(total[e], offsets)
-            with np.errstate(over="ignore"):
-                self.paths[nodes] = np.add.reduceat(self.paths[self.next[e]], offsets)
-        self.log_p = total - beta[self.src]  # of each edge, given its node
-        running = np.cumsum(np.exp(self.log_p))
-        self.cumulative = running - np.concatenate(([0.0], running))[self.begin[self.src]]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a < b:
+                part = slice(self.begin[a], self.begin[b])
+                offsets, to = self.begin[a:b] - self.begin[a], self.next[part]
+                total[part] += beta[to]
+                beta[a:b] = np.logaddexp.reduceat(total[part], offsets)
+                with np.errstate(over="ignore"):
+                    self.paths[a:b] = np.add.reduceat(self.paths[to], offsets)
+        self.log_p = total - np.repeat(beta[:-1], counts)  # of each edge, given its node
+        self.cumulative = np.cumsum(np.exp(self.log_p))
+        self.cumulative -= np.repeat(np.concatenate(([0.0], self.cumulative))[self.begin[:-1]], counts)
         self.cumulative[self.begin[1:] - 1] = 2.0  # a node's last edge takes what is left
         # the words' segmentations drawn so far: their edges, by number
         self.edges, self.starts, self.counts, self.weights, self.size = [], [], [], [], 0
@@ -328,19 +335,22 @@ class _Search:
         lengths = np.array([len(self.words[d]) - a for d, a in zip(docs, starts, strict=True)])
         first = np.cumsum(lengths) - lengths
         segments = np.concatenate([self.found[d][-1][0][a:] for d, a in zip(docs, starts, strict=True)])
+        parts = np.concatenate([self.words[d][a:] for d, a in zip(docs, starts, strict=True)])
         log_p = weights[segments]
         before = np.cumsum(log_p) - log_p
         before += np.repeat(np.array(heads) - before[first], lengths)
         rest, gone = -np.expm1(log_p), np.ones(len(log_p))
         gone[first] += [len(t) for t in taken]
         rest[first] -= [np.exp(weights[t]).sum() for t in taken]
-        left = self.many[np.concatenate([self.words[d][a:] for d, a in zip(docs, starts, strict=True)])] > gone
-        at = np.flatnonzero(left)  # Gumbel variables at phi, given that they don't exceed the node's own
+        at = np.flatnonzero(self.many[parts] > gone)  # Gumbel variables at phi, given that they don't exceed the node's own
         owner = np.repeat(np.arange(len(docs)), lengths)[at]
         phi = before[at] + np.log(np.maximum(rest[at], LEAST))
         most = np.array([self.found[d][-1][2] for d in docs])
         u = _uniform(self.seeds[docs] + U64(turn * 0x632BE59BD9B4E019 % 2**64), lengths)[at]
-        values = -np.logaddexp(-most[owner], np.log(-np.log(u)) - phi)
+        with np.errstate(over="ignore"):
+            values = -np.log(np.exp(-most)[owner] - np.log(u) * np.exp(-phi))
+        low = np.flatnonzero(~(values > -700))  # where the exponentials leave the range of a double
+        values[low] = -np.logaddexp(-most[owner[low]], np.log(-np.log(u[low])) - phi[low])
         edges = np.searchsorted(owner, np.arange(len(docs) + 1))
         for i, d in enumerate(docs):
             a, b = edges[i], edges[i + 1]
@@ -409,8 +419,8 @@ def _ids(lattices: Lattices, v: Vocabulary, segments: np.ndarray, n_words: np.nd
     starts, counts, edges = (np.concatenate(x) for x in (lattices.starts, lattices.counts, lattices.edges))
     count = counts[segments]
     upto = np.cumsum(count)
-    index = np.repeat(starts[segments] - (upto - count), count)
-    index += np.arange(len(index))
+    index = np.repeat((starts[segments] - (upto - count)).astype(np.int32), count)
+    index += np.arange(len(index), dtype=np.int32)
     edges = edges[index]
     ids, ends = lattices.ids[edges], np.concatenate(([0], upto))[np.cumsum(n_words)]
     odd = np.flatnonzero(ids < 0)
