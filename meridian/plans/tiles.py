@@ -10,30 +10,39 @@ from pyspark.sql import functions as F
 from meridian.operators.climatology import DELTA, SEASON
 
 
-def _tile(targets: tuple[int, int], delta: int, years: tuple[int, int]):
+def _tile(targets: tuple[int, int], delta: int, years: tuple[int, int], zero_mask_year: int | None):
+    first = None if zero_mask_year is None else zero_mask_year - years[0]
+
     def run(table: pa.Table) -> pa.Table:
-        cell, year, doy, v = (table.column(c).to_numpy() for c in ("cell", "year", "doy", "v"))
+        cell, year, doy = (table.column(c).to_numpy() for c in ("cell", "year", "doy"))
+        v = table.column("v").to_numpy()  # nulls as NaN
         cells, at = np.unique(cell, return_inverse=True)
-        cube = np.full((targets[1] - targets[0] + 2 * delta + 1, years[1] - years[0] + 1, len(cells)), np.nan)
-        cube[doy - targets[0] + delta, year - years[0], at] = v
+        shape = (targets[1] - targets[0] + 2 * delta + 1, years[1] - years[0] + 1, len(cells))
+        cube, seen = np.full(shape, np.nan), np.zeros(shape, dtype=bool)
+        place = (doy - targets[0] + delta, year - years[0], at)
+        cube[place], seen[place] = v, True
         out = {c: [] for c in ("doy", "cell", "n", "clim_mean", "p90")}
         for t in range(targets[0], targets[1] + 1):
-            window = cube[t - targets[0] : t - targets[0] + 2 * delta + 1].reshape(-1, len(cells))
+            days = slice(t - targets[0], t - targets[0] + 2 * delta + 1)
+            window = cube[days].reshape(-1, len(cells))
             n = (~np.isnan(window)).sum(axis=0)
+            mean, p90 = np.full(len(cells), np.nan), np.full(len(cells), np.nan)
             has = n > 0
-            out["doy"].append(np.full(has.sum(), t))
-            out["cell"].append(cells[has])
-            out["n"].append(n[has])
-            out["clim_mean"].append(np.nanmean(window[:, has], axis=0))
-            out["p90"].append(np.nanquantile(window[:, has], 0.9, axis=0, method="linear"))
+            mean[has], p90[has] = np.nanmean(window[:, has], axis=0), np.nanquantile(window[:, has], 0.9, axis=0, method="linear")
+            if first is not None and 0 <= first < shape[1]:
+                masked = cube[days.start, first] == 0
+                mean[masked] = p90[masked] = 0.0
+            rows = seen[days].any(axis=(0, 1))
+            for c, x in (("doy", np.full(len(cells), t)), ("cell", cells), ("n", n), ("clim_mean", mean), ("p90", p90)):
+                out[c].append(x[rows])
         types = {"doy": pa.int32(), "cell": pa.int32(), "n": pa.int64(), "clim_mean": pa.float64(), "p90": pa.float64()}
-        return pa.table({c: pa.array(np.concatenate(x), types[c]) for c, x in out.items()})
+        return pa.table({c: pa.array(np.concatenate(x), types[c], from_pandas=True) for c, x in out.items()})
 
     return run
 
 
-def tiled_climatology(obs: DataFrame, years: tuple[int, int], targets: tuple[int, int] = SEASON, delta: int = DELTA, tile_cells: int = 256) -> DataFrame:
-    """doy, cell, n, clim_mean, p90; a task holds one tile at a time (256 cells x 102 days x 30 years: 6 MB)."""
-    rows = obs.where(F.col("doy").between(targets[0] - delta, targets[1] + delta) & F.col("year").between(*years) & F.col("v").isNotNull())
+def tiled_climatology(obs: DataFrame, years: tuple[int, int], targets: tuple[int, int] = SEASON, delta: int = DELTA, tile_cells: int = 256, zero_mask_year: int | None = None) -> DataFrame:
+    """doy, cell, n, clim_mean, p90, as ``climatology`` gives them but for rounding; a task holds one tile at a time (256 cells x 102 days x 30 years: 6 MB)."""
+    rows = obs.where(F.col("doy").between(targets[0] - delta, targets[1] + delta) & F.col("year").between(*years))
     rows = rows.select(F.expr(f"cell div {tile_cells}").cast("int").alias("tile"), "cell", "year", "doy", F.col("v").cast("double").alias("v"))
-    return rows.groupBy("tile").applyInArrow(_tile(targets, delta, years), "doy int, cell int, n long, clim_mean double, p90 double")
+    return rows.groupBy("tile").applyInArrow(_tile(targets, delta, years, zero_mask_year), "doy int, cell int, n long, clim_mean double, p90 double")

@@ -91,3 +91,16 @@ def test_aggregation_has_one_shuffle_and_prunes_columns(spark, sf_dir):
     plan = clim.climatology(sources.from_lineitem(spark, sf_dir))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "l_comment" not in plan and "ReadSchema: struct<l_suppkey:bigint,l_extendedprice:double,l_shipdate:timestamp" in plan
+
+
+def test_tiles_have_masks_and_cells_without_values(spark):
+    from meridian.plans.tiles import tiled_climatology
+
+    rows = [(c, y, d, None if c == 1 or (c + d) % 7 == 0 else float((c * 31 + y * 7 + d * 3) % 11)) for c in range(6) for y in (2000, 2001, 2002) for d in range(147, 165) if (c + y + d) % 4]
+    df = spark.createDataFrame(rows, "cell int, year int, doy int, v double")
+    key = lambda x: {(r.doy, r.cell): (r.n, r.clim_mean and round(r.clim_mean, 9), r.p90 and round(r.p90, 6)) for r in x.collect()}
+    for year in (None, 2000):
+        want = key(clim.climatology(df, (152, 159), zero_mask_year=year))
+        assert key(tiled_climatology(df, (2000, 2002), (152, 159), tile_cells=4, zero_mask_year=year)) == want
+        assert any(c == 1 and n == 0 for (_, c), (n, _, _) in want.items())
+    assert any(v == (v[0], 0.0, 0.0) and v[0] > 0 for v in want.values())
