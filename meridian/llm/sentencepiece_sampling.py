@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import BASE, BYTE_CODE, U64, as_bytes, mix, polynomial
+from .common import BASE, U64, as_bytes, mix
 
 SPACE, LITERAL = "▁", "\ud800"  # the model's space; what stands for that very character in a text
 LEAST = 1e-17  # mass of a set whose mass is lost to rounding
@@ -68,6 +68,7 @@ class Vocabulary:
                 self.raw.append(piece.replace(SPACE, " ").encode())
                 if not re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", piece):
                     plain.append((i, piece, sp.get_score(i)))
+        self.byte_ids = np.array([self.bytes.get(b, -1) for b in range(128)], dtype=np.int32)
         ranks = all(s == int(s) for _, _, s in plain)
         logs = np.array([-math.log(2.7 - s) if ranks else s for _, _, s in plain])  # Zipf-Mandelbrot over merge ranks
         logs -= np.log(np.exp(logs).sum())
@@ -184,6 +185,9 @@ class Lattices:
             self.next[e] = np.where(whole, -1, node[np.where(whole, 0, a + m)])  # -1: the word's end
         del found
         self.ids, total = np.append(v.ids, np.int32(-1))[piece], np.append(v.logs, v.fallback)[piece]
+        plain = np.flatnonzero(self.ids < 0)  # characters without a piece: those of one byte are that byte's piece, the others wait for _ids
+        plain = plain[self.chars[self.src[plain]] < 128]
+        self.ids[plain] = v.byte_ids[self.chars[self.src[plain]]]
         # log-mass and number of paths from each node to its word's end, from the last characters backwards
         beta, self.paths = np.zeros(n + 1), np.ones(n + 1)  # the last one stands for the end
         cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
@@ -274,6 +278,22 @@ def _uniform(seeds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return ((x >> U64(11)).astype(np.float64) + 0.5) / 2**53
 
 
+MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], dtype=U64)
+
+
+def _blocks(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """A hash of each run of bytes, and its bytes as numbers of eight: (runs that are so long, number) for each eighth byte."""
+    padded = np.concatenate((buf, np.zeros(8, dtype=np.uint8)))
+    h, found, at, begin = mix(lengths.astype(U64)), [], np.arange(len(starts), dtype=np.int32), 0
+    while len(at):
+        values = padded[(starts[at] + begin)[:, None] + np.arange(8, dtype=np.int32)].view("<u8").ravel() & MASK[np.minimum(8, lengths[at] - begin)]
+        h[at] = mix(h[at] * U64(BASE) ^ values)
+        found.append((at, values))
+        begin += 8
+        at = at[lengths[at] > begin]
+    return h, found
+
+
 def words_of(texts: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
     """The distinct words of a group of texts, and each text's words by number.
 
@@ -291,21 +311,25 @@ def words_of(texts: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
     begins[1:] &= line[1:] | ~space[:-1]
     begins[1:] |= line[:-1]
     begins[(ends - sizes)[sizes > 0]] = True
-    starts = np.flatnonzero(begins)
-    upto = np.append(starts[1:], len(buf))
-    lengths = upto - starts
-    hashes = mix(polynomial(BYTE_CODE[buf], starts, upto) + lengths.astype(U64))
+    starts = np.flatnonzero(begins).astype(np.int32)
+    lengths = np.diff(starts, append=np.int32(len(buf)))
+    hashes, blocks = _blocks(buf, starts, lengths)
     _, example, number = np.unique(hashes, return_index=True, return_inverse=True)
-    # the same bytes, not only the same hash
-    shift = np.repeat(starts[example][number] - starts, lengths)
-    if (lengths[example][number] != lengths).any() or (buf[np.arange(len(buf)) + shift] != buf).any():
+    order = np.argsort(example)  # as they come up, frequent words first: their lattices are near one another
+    number, example = np.argsort(order)[number], example[order]
+    first = example[number]
+    same = (lengths[first] == lengths).all()  # the same bytes, not only the same hash
+    for at, values in blocks:
+        if same:
+            place = np.zeros(len(starts), dtype=np.int32)
+            place[at] = np.arange(len(at), dtype=np.int32)
+            same = (values[place[first[at]]] == values).all()
+    if same:
+        words = [data[a : a + n] for a, n in zip(starts[example].tolist(), lengths[example].tolist(), strict=True)]
+    else:
         by_bytes: dict[bytes, int] = {}
-        number = np.array([by_bytes.setdefault(data[a:b], len(by_bytes)) for a, b in zip(starts.tolist(), upto.tolist(), strict=True)])
+        number = np.array([by_bytes.setdefault(data[a : a + n], len(by_bytes)) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)])
         words = list(by_bytes)
-    else:
-        order = np.argsort(example)  # as they come up, frequent words first: their lattices are near one another
-        number = np.argsort(order)[number]
-        words = [data[a:b] for a, b in zip(starts[example[order]].tolist(), upto[example[order]].tolist(), strict=True)]
     return [w.decode("utf-8", "surrogateescape") for w in words], np.split(number, np.searchsorted(starts, ends[:-1]))
 
 
@@ -417,6 +441,7 @@ def sample_columns(texts: list[bytes], keys: list[int], k: int, v: Vocabulary) -
 def _ids(lattices: Lattices, v: Vocabulary, segments: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of segmentations, and where those of each sample end."""
     starts, counts, edges = (np.concatenate(x) for x in (lattices.starts, lattices.counts, lattices.edges))
+    lattices.log_p = lattices.cumulative = lattices.starts = lattices.counts = lattices.edges = None  # done with
     count = counts[segments]
     upto = np.cumsum(count)
     index = np.repeat((starts[segments] - (upto - count)).astype(np.int32), count)
@@ -430,9 +455,9 @@ def _ids(lattices: Lattices, v: Vocabulary, segments: np.ndarray, n_words: np.nd
         for e in each.tolist():
             char = chr(int(lattices.chars[lattices.src[e]]))
             raws.append([v.bytes[b] for b in (SPACE.encode() if char == LITERAL else char.encode("utf-8", "surrogateescape"))])
-        width = np.ones(len(ids), dtype=np.int64)
+        width = np.ones(len(ids), dtype=np.int32)
         width[odd] = np.array([len(r) for r in raws])[which]
-        upto = np.cumsum(width)
+        upto = np.cumsum(width, dtype=np.int32)
         ends = np.concatenate(([0], upto))[ends]
         ids = np.repeat(ids, width)
         table = np.full((len(raws), max(map(len, raws))), -1, dtype=np.int32)
