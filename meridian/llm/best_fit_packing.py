@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut
+from .common import as_bytes, cut, tidy
 
 SHARD_PIECES = 4096
 PLACED = "doc_id long, piece int, start long, n_tokens long, bin_id string, bin_offset long"
@@ -81,7 +81,7 @@ def _pack(capacity: int, per_source: int):
 def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = 4096, per_source: int = 4, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, start (word of the text), n_tokens, bin_id, bin_offset."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    sizes = cut(rows.mapInArrow(_measure, "doc_id long, source string, total long, cluster long"))
+    sizes = cut(rows.mapInArrow(tidy(_measure), "doc_id long, source string, total long, cluster long"))
     sizes = sizes.withColumn("row", F.monotonically_increasing_id())  # of a written table: the same on every attempt
     numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(total - 1) div {capacity}").cast("int")))
     pieces = sizes.withColumn("piece", F.explode(numbers)).withColumn("start", F.col("piece").cast("long") * capacity).withColumn("n_tokens", F.least(F.col("total") - F.col("start"), F.lit(capacity)))

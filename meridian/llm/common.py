@@ -7,6 +7,7 @@ exactly that set, so both forms below agree.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -115,6 +116,28 @@ class Words(dict):
 
 
 _words = Words()
+_libc = ctypes.CDLL(None)
+
+
+def free() -> None:
+    """Gives memory that a task has used back to the system: a Python worker lives on after its task."""
+    _words.clear()
+    _words.raw.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def tidy(run):
+    """The function of a mapInArrow, followed by ``free``."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            free()
+
+    return tidied
 
 
 def word_digests(data: bytes) -> np.ndarray:
@@ -205,6 +228,25 @@ def windows_of(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.n
             held, owners, words = [], [], 0
 
 
+MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], dtype=U64)
+
+
+def run_hashes(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """A 64-bit hash of each run of bytes, and its bytes as numbers of eight: (runs that are so long, number) for each eighth byte.
+
+    For features, and where equal hashes are followed by a look at the bytes.
+    """
+    padded = np.concatenate((buf, np.zeros(8, dtype=np.uint8)))
+    h, found, at, begin = mix(lengths.astype(U64)), [], np.arange(len(starts), dtype=np.int32), 0
+    while len(at):
+        values = padded[(starts[at] + begin)[:, None] + np.arange(8, dtype=np.int32)].view("<u8").ravel() & MASK[np.minimum(8, lengths[at] - begin)]
+        h[at] = mix(h[at] * U64(BASE) ^ values)
+        found.append((at, values))
+        begin += 8
+        at = at[lengths[at] > begin]
+    return h, found
+
+
 # byte codes of the letter runs and characters that models take as features --------------------------
 BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUNTIME_FILTER, U64, as_bytes, bucket_of, cut, deal, dealt, first_fan, groups, mix, planes, ranges, run_batch, runs_in, settings, shingle_hashes, summed, unplanes, word_hashes
+from .common import RUNTIME_FILTER, U64, as_bytes, bucket_of, cut, deal, dealt, first_fan, groups, mix, planes, ranges, run_batch, runs_in, settings, shingle_hashes, summed, tidy, unplanes, word_hashes
 from .components import components
 
 WIDTH_BITS = 20  # counters for the token order: 2**20 of 4 bytes
@@ -350,7 +350,7 @@ def jaccard_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     buckets = ranges(rows)
-    described = cut(rows.select("doc_id", "hash", "text").mapInArrow(_describe(shingle), DESCRIBED))
+    described = cut(rows.select("doc_id", "hash", "text").mapInArrow(tidy(_describe(shingle)), DESCRIBED))
     members = described.where("chunk is null").select("doc_id", F.col("hash").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"), "key")
     found = _components(rows, buckets, described, shingle, percent)
     empty = members.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("component_id"))
@@ -369,7 +369,7 @@ def _components(rows: DataFrame, buckets: int, described: DataFrame, shingle: in
     shared = spark.sparkContext.broadcast(b"".join(unplanes(bytes(r.counts), np.uint32).tobytes() for r in counts) or bytes(4 << WIDTH_BITS))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
     classes = cut(members.where("n > 0").groupBy("key").agg(least.alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")).select("key", F.col("rep.doc_id").alias("rep"), F.col("rep.hash").alias("hash"), "n", "bitmap"))
-    posted = rows.select("text").mapInArrow(_post(shingle, percent, buckets, shared), "bucket int, tokens binary, keys binary, sizes binary, ks binary")
+    posted = rows.select("text").mapInArrow(tidy(_post(shingle, percent, buckets, shared)), "bucket int, tokens binary, keys binary, sizes binary, ks binary")
     lists = cut(dealt(posted, buckets, NAMES, TYPES).groupBy("bucket").applyInArrow(_lists(percent), LISTS))
     short = lists.where("token is null").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("k").alias("k")).where("c >= k").select("a", "b")
     long = lists.where("token is not null").select("token", F.col("b").alias("key")).distinct()
@@ -390,9 +390,9 @@ def _components(rows: DataFrame, buckets: int, described: DataFrame, shingle: in
         texts = rows.select("hash", F.coalesce("doc_id", F.lit(NO_ID)).alias("row_id"), "text")
         with settings(spark, **RUNTIME_FILTER):
             found = texts.join(wanted.where(F.col("row_id") >= F.lit(NO_ID)), ["hash", "row_id"], "left_semi")
-            sets = cut(found.select("text").mapInArrow(_sets(shingle), "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens")))
+            sets = cut(found.select("text").mapInArrow(tidy(_sets(shingle)), "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens")))
         side = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-        return cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(_verify(percent), "a binary, b binary, linked boolean"))
+        return cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(tidy(_verify(percent)), "a binary, b binary, linked boolean"))
 
     def linked(checked: DataFrame) -> DataFrame:
         return components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))

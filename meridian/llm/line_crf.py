@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes, cut, word_hashes
+from .common import SPACE, as_bytes, cut, run_hashes, tidy
 from .labelled import fold, smallest_hashes
 
 GROUP_BYTES = 1 << 20  # documents are worked on together up to this size
@@ -63,7 +63,8 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n_words = np.bincount(word_line, minlength=len(starts))
     odd = (kind >= 3) & (kind <= 4)
     end_symbol = np.add.reduceat(odd & np.concatenate((space[1:], [True])), starts, dtype=np.int64)
-    hashes = word_hashes(data)
+    begins = np.flatnonzero(first)
+    hashes = run_hashes(buf, begins, np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1 - begins)[0]
     same_line = word_line[1:] == word_line[:-1]
     twins = np.bincount(word_line[1:][same_line & (hashes[1:] == hashes[:-1])], minlength=len(starts))
     order = np.lexsort((hashes, word_line))
@@ -252,7 +253,7 @@ def rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labelled(labels, folds, held_out)
     model = fit(rows, known, sample_docs)
-    x = cut(rows.mapInArrow(_rate(model), "doc_id long, x double"))
+    x = cut(rows.mapInArrow(tidy(_rate(model)), "doc_id long, x double"))
     if model is None:
         return None, 0.5, x
     seen = x.where("x >= 0").join(known, F.col("doc_id") == F.col("label_id"))
@@ -276,4 +277,4 @@ def crf_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def crf_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, sample_docs: int = 4000) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score reaches 0.7; without a shuffle of texts."""
     model, least, _ = rated(docs, labels, id_col, text_col, folds, held_out, sample_docs)
-    return docs.mapInArrow(_keep(model, docs.columns.index(text_col), least), docs.schema)
+    return docs.mapInArrow(tidy(_keep(model, docs.columns.index(text_col), least)), docs.schema)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import BASE, U64, as_bytes, mix
+from .common import BASE, U64, as_bytes, mix, run_hashes, tidy
 
 SPACE, LITERAL = "▁", "\ud800"  # the model's space; what stands for that very character in a text
 LEAST = 1e-17  # mass of a set whose mass is lost to rounding
@@ -278,22 +278,6 @@ def _uniform(seeds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return ((x >> U64(11)).astype(np.float64) + 0.5) / 2**53
 
 
-MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], dtype=U64)
-
-
-def _blocks(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """A hash of each run of bytes, and its bytes as numbers of eight: (runs that are so long, number) for each eighth byte."""
-    padded = np.concatenate((buf, np.zeros(8, dtype=np.uint8)))
-    h, found, at, begin = mix(lengths.astype(U64)), [], np.arange(len(starts), dtype=np.int32), 0
-    while len(at):
-        values = padded[(starts[at] + begin)[:, None] + np.arange(8, dtype=np.int32)].view("<u8").ravel() & MASK[np.minimum(8, lengths[at] - begin)]
-        h[at] = mix(h[at] * U64(BASE) ^ values)
-        found.append((at, values))
-        begin += 8
-        at = at[lengths[at] > begin]
-    return h, found
-
-
 def words_of(texts: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
     """The distinct words of a group of texts, and each text's words by number.
 
@@ -313,7 +297,7 @@ def words_of(texts: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
     begins[(ends - sizes)[sizes > 0]] = True
     starts = np.flatnonzero(begins).astype(np.int32)
     lengths = np.diff(starts, append=np.int32(len(buf)))
-    hashes, blocks = _blocks(buf, starts, lengths)
+    hashes, blocks = run_hashes(buf, starts, lengths)
     _, example, number = np.unique(hashes, return_index=True, return_inverse=True)
     order = np.argsort(example)  # as they come up, frequent words first: their lattices are near one another
     number, example = np.argsort(order)[number], example[order]
@@ -533,7 +517,7 @@ def _ship(df: DataFrame, model_path: str) -> str:
 def sampled_encodings(docs: DataFrame, model_path: str, k: int = 4, alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rank (1: largest perturbed value), n_pieces, log_prob, perturbed, inclusion, ids (int32, little-endian)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(_ship(docs, model_path), alpha, k), SAMPLED)
+    return rows.mapInArrow(tidy(_encode(_ship(docs, model_path), alpha, k)), SAMPLED)
 
 
 def decoded(encodings: DataFrame, model_path: str) -> DataFrame:
@@ -545,7 +529,7 @@ def sampled_and_decoded(docs: DataFrame, model_path: str, k: int = 4, alpha: flo
     """``decoded`` of ``sampled_encodings``, both in one Python worker, so that a task needs the memory of one."""
     file, rows = _ship(docs, model_path), docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     encode, decode = _encode(file, alpha, k), _decode(file)
-    return rows.mapInArrow(lambda batches: decode(encode(batches)), _with_text(StructType.fromDDL(SAMPLED)))
+    return rows.mapInArrow(tidy(lambda batches: decode(encode(batches))), _with_text(StructType.fromDDL(SAMPLED)))
 
 
 def _with_text(schema: StructType) -> StructType:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUNTIME_FILTER, U64, as_bytes, cut, deal, dealt, first_fan, groups, mix, only_ids, planes, ranges, run_batch, runs_in, settings, unmix, unplanes, windows_of
+from .common import RUNTIME_FILTER, U64, as_bytes, cut, deal, dealt, first_fan, groups, mix, only_ids, planes, ranges, run_batch, runs_in, settings, tidy, unmix, unplanes, windows_of
 
 BATCH_WINDOWS = 1_000_000
 IDS_RANGE = 4  # ranges of windows to one of ids: answers are far fewer than postings
@@ -108,7 +108,7 @@ def _by_id(table: pa.Table) -> pa.Table:
 def answers(rows: DataFrame, window: int) -> DataFrame:
     """(doc_id, drops, checks) of the documents that lose words, from rows (doc_id, text)."""
     buckets = ranges(rows)
-    posted = rows.where("doc_id is not null").mapInArrow(_postings(window, buckets), RUNS)
+    posted = rows.where("doc_id is not null").mapInArrow(tidy(_postings(window, buckets)), RUNS)
     told = dealt(posted, buckets, NAMES, TYPES).groupBy("bucket").applyInArrow(_answers(buckets), RUNS)
     return cut(dealt(told, -(-buckets // IDS_RANGE), NAMES, TYPES).groupBy("bucket").applyInArrow(_by_id, "doc_id long, drops binary, checks binary"))
 
@@ -189,19 +189,19 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows = _named(docs, id_col, text_col)
     told = answers(rows, window)
     with settings(docs.sparkSession, **RUNTIME_FILTER):
-        return cut(only_ids(rows, told, "doc_id", "inner").select("doc_id", "text", "drops", "checks").mapInArrow(_remove(window), REMOVED).where("n_removed > 0"))
+        return cut(only_ids(rows, told, "doc_id", "inner").select("doc_id", "text", "drops", "checks").mapInArrow(tidy(_remove(window)), REMOVED).where("n_removed > 0"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """Every row: doc_id, n_words, n_removed, removed and kept_text, as in ``removals``."""
     rows = _named(docs, id_col, text_col)
     joined = rows.join(answers(rows, window), "doc_id", "left").select("doc_id", "text", "drops", "checks")
-    return joined.mapInArrow(_remove(window), REMOVED).drop("words_key")
+    return joined.mapInArrow(tidy(_remove(window)), REMOVED).drop("words_key")
 
 
 def substring_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """Every row: doc_id, n_words, n_removed and kept_sha256. Texts that lose nothing are digested where they are read."""
     changed = removals(docs, id_col, text_col, window).select("doc_id", "words_key", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")).dropDuplicates(["doc_id", "words_key"])
-    every = _named(docs, id_col, text_col).mapInArrow(_plain, "doc_id long, words_key binary, n_words long, whole_sha256 string")
+    every = _named(docs, id_col, text_col).mapInArrow(tidy(_plain), "doc_id long, words_key binary, n_words long, whole_sha256 string")
     out = every.join(changed, ["doc_id", "words_key"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
