@@ -52,6 +52,11 @@ NEEDS = {"email": "@", "contact": "@", "phone": "+"}
 ASSIGNED = r"(?i)(token|secret|key|password|passwd|pwd|auth)[\"']?\s*[=:]\s*[\"']?$"
 NAMED = r"(?i)(mail|phone|tel|call|card|iban|ssn|ip)\W*$"
 THRESHOLDS = {"contact": 0.8, "number": 0.8, "secret": 0.8}
+def _quoted(pattern: str) -> str:
+    """A pattern within an SQL literal."""
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
 #: Features as SQL over a candidate ``c`` (kind_no, s, before), with their numbers of values.
 FEATURES = {
     "kind": ("c.kind_no - 4", 3),
@@ -63,7 +68,7 @@ FEATURES = {
     "dots": ("least(3, length(regexp_replace(c.s, '[^.]', '')))", 4),
     "plus": ("int(startswith(c.s, '+'))", 2),
     "quoted": ("int(c.kind_no < 6 and c.before rlike '[\"\\']$')", 2),
-    "named": (r"int(c.before rlike '" + NAMED.replace("\\", "\\\\") + "')", 2),
+    "named": (f"int(c.before rlike '{_quoted(NAMED)}')", 2),
 }
 BLOCK = 256  # matches that are added up at a time
 SPAN = "array<struct<start:int,end:int,kind_no:int,s:string,before:string>>"
@@ -204,15 +209,17 @@ def _vector(c: str = "c") -> str:
     return "array(" + ", ".join(f"int({sql})" for sql, _ in FEATURES.values()) + ")"
 
 
-def silver(base: Column, c: Column) -> Column:
-    """The label of a candidate: by checks of what it covers or, for secrets, by what stands before it."""
-    assigned = c["before"].rlike(ASSIGNED)
-    return F.when(c["kind_no"] == KINDS.index("secret"), assigned).otherwise(F.exists(base, lambda b: (b["start"] >= c["start"]) & (b["end"] <= c["end"])))
+#: The label of a candidate ``c``: by checks of what it covers or, for secrets, by what stands before it.
+SILVER = f"if(c.kind_no = {KINDS.index('secret')}, c.before rlike '{_quoted(ASSIGNED)}', exists(r.base, b -> b.start >= c.start and b.end <= c.end))"
 
 
 def learn(proposed: DataFrame, trees: int, rate: float) -> tuple[list, dict[str, tuple[float, float, float]]]:
     """Trees, and of each kind that has labels of both sorts in either half: its calibration, and the share of positives that the labels know."""
-    cells = proposed.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).alias("half"), "base", F.explode("candidates").alias("c")).select("half", silver(F.col("base"), F.col("c")).alias("y"), F.expr(_vector()).alias("x"))
+    # label and features before the explosion, so that its rows carry neither texts nor spans; ``r`` names base
+    # and candidates once, as the optimiser would put the whole search for base spans in the place of each use
+    each = f"struct({SILVER} AS y, {_vector()} AS x)"
+    labelled = F.expr(f"transform(array(struct(base, candidates)), r -> transform(r.candidates, c -> {each}))[0]")
+    cells = proposed.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).alias("half"), F.explode(labelled).alias("c")).select("half", "c.y", "c.x")
     # at most 2 halves x the product of the features' ranges, however many documents there are
     rows = cells.groupBy("half", "x").agg(F.count_if(~F.col("y")).alias("neg"), F.count_if("y").alias("pos")).collect()
     halves = [sorted((tuple(r.x), r.neg, r.pos) for r in rows if r.half == h) for h in (0, 1)]
