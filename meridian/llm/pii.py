@@ -52,6 +52,8 @@ NEEDS = {"email": "@", "contact": "@", "phone": "+"}
 ASSIGNED = r"(?i)(token|secret|key|password|passwd|pwd|auth)[\"']?\s*[=:]\s*[\"']?$"
 NAMED = r"(?i)(mail|phone|tel|call|card|iban|ssn|ip)\W*$"
 THRESHOLDS = {"contact": 0.8, "number": 0.8, "secret": 0.8}
+
+
 def _quoted(pattern: str) -> str:
     """A pattern within an SQL literal."""
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
