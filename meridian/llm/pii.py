@@ -72,6 +72,7 @@ FEATURES = {
     "quoted": ("int(c.kind_no < 6 and c.before rlike '[\"\\']$')", 2),
     "named": (f"int(c.before rlike '{_quoted(NAMED)}')", 2),
 }
+LEAST_KNOWN = 0.25  # assigned secrets that look like much else don't make all of that secrets
 BLOCK = 256  # matches that are added up at a time
 SPAN = "array<struct<start:int,end:int,kind_no:int,s:string,before:string>>"
 
@@ -156,7 +157,7 @@ def grow(cells: list[tuple], trees: int, rate: float) -> list:
         return top[1], top[2]
 
     for _ in range(trees):
-        p = [1 / (1 + math.exp(-m)) for m in margin]
+        p = [probability(m) for m in margin]
         g = [c[2] * (1 - q) - c[1] * q for c, q in zip(cells, p, strict=True)]
         h = [(c[1] + c[2]) * q * (1 - q) for c, q in zip(cells, p, strict=True)]
         f, cut = best(range(len(cells)), g, h)
@@ -188,6 +189,10 @@ def margin_sql(model: list) -> str:
     return " + ".join(f"if(x[{f}] > {cut}, {leaf(sides[1])}, {leaf(sides[0])})" for f, cut, sides in model)
 
 
+def probability(z: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
 def platt(points: list[tuple[float, float, float]], rounds: int = 200) -> tuple[float, float]:
     """a, b of P(positive) = 1 / (1 + exp(-(a * margin + b))) on (margin, negatives, positives), by Newton steps."""
     a, b = 1.0, 0.0
@@ -195,7 +200,7 @@ def platt(points: list[tuple[float, float, float]], rounds: int = 200) -> tuple[
         ga = gb = 0.0
         haa = hbb = hab = 1e-3
         for m, neg, pos in points:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * m + b))))
+            p = probability(a * m + b)
             g, h = pos * (1 - p) - neg * p, (pos + neg) * p * (1 - p)
             ga, gb, haa, hab, hbb = ga + g * m, gb + g, haa + h * m * m, hab + h * m, hbb + h
         det = haa * hbb - hab * hab
@@ -232,8 +237,8 @@ def learn(proposed: DataFrame, trees: int, rate: float) -> tuple[list, dict[str,
         seen, held = ([c for c in half if c[0][0] == n] for half in halves)
         if both(seen) and both(held):
             a, b = platt([(margin_of(model, x), neg, pos) for x, neg, pos in held])
-            known = sum(pos / (1 + math.exp(-(a * margin_of(model, x) + b))) for x, _, pos in held) / sum(c[2] for c in held)
-            found[kind] = a, b, known if kind == "secret" else 1.0
+            known = sum(pos * probability(a * margin_of(model, x) + b) for x, _, pos in held) / sum(c[2] for c in held)
+            found[kind] = a, b, max(known, LEAST_KNOWN) if kind == "secret" else 1.0
     return model, found
 
 
