@@ -41,3 +41,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return path
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of its file system, for tasks that open files themselves."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def store(uri: str):
+    """The pyarrow file system of a qualified path, and the path within it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
