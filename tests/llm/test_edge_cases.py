@@ -11,13 +11,16 @@ from meridian.llm.best_fit_packing import best_fit_packing
 from meridian.llm.exact_dedup import exact_dedup
 from meridian.llm.jaccard_join import jaccard_components
 from meridian.llm.line_crf import crf_filter, crf_quality
+from meridian.llm.merkle_manifest import merkle_manifest
 from meridian.llm.ngram_quality import ngram_quality
 from meridian.llm.pii import personal_data, redacted, written
 from meridian.llm.pu_toxicity import pu_toxicity
-from meridian.llm.queries import PIECE_MODEL, URL_RULES
+from meridian.llm.queries import PIECE_MODEL, TOKENIZER, URL_RULES
 from meridian.llm.sentencepiece_sampling import sampled_encodings
 from meridian.llm.substring_dedup import substring_dedup
+from meridian.llm.token_files import read_tokens, write_tokens
 from meridian.llm.url_filter import rule_table, url_filter
+from meridian.session import shared_folder
 
 CLASH = ["fate_id", "fate_mark", "gone_id", "_clean", "mark", "gone", "part", "hash", "rep", "hot", "cold", "step", "x", "z", "row", "base", "candidates", "spans", "keep_id", "kept", "group_size", "key", "n", "id", "sha", "bucket", "chunk", "score", "label", "shard", "cluster", "total", "component", "digest", "salt"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -40,12 +43,19 @@ def pages_of(df):
     return df.withColumnRenamed("doc_id", "page_id").withColumn("url", F.when(F.col("text").isNotNull(), F.concat(F.lit("http://Www.Example.ORG/es/"), F.col("text"))))
 
 
+def written_and_read(spark, df):
+    folder = shared_folder(spark, "tokens")
+    write_tokens(df, folder, TOKENIZER)
+    return read_tokens(spark, folder)
+
+
 RUN = {
     "packing": lambda s, d, y: best_fit_packing(d, capacity=64), "rules": lambda s, d, y: ngram_quality(d), "toxicity": lambda s, d, y: pu_toxicity(d, y), "join": lambda s, d, y: jaccard_components(d),
     "urls": lambda s, d, y: url_filter(pages_of(d), rule_table(s, URL_RULES)), "pii": lambda s, d, y: personal_data(d).withColumn("text", redacted(F.col("text"), F.col("spans"))), "pieces": lambda s, d, y: sampled_encodings(d, PIECE_MODEL, k=2),
     "exact": lambda s, d, y: exact_dedup(d), "crf": lambda s, d, y: crf_quality(d, y), "crf_filter": lambda s, d, y: crf_filter(d, y), "substrings": lambda s, d, y: substring_dedup(d, window=5),
+    "manifest": lambda s, d, y: merkle_manifest(d), "tokens": lambda s, d, y: written_and_read(s, d),
 }
-ROW_FOR_ROW = ["rules", "toxicity", "join", "urls", "pii", "exact", "crf", "substrings"]
+ROW_FOR_ROW = ["rules", "toxicity", "join", "urls", "pii", "exact", "crf", "substrings", "manifest", "tokens"]
 
 
 @pytest.mark.parametrize("name", list(RUN))
