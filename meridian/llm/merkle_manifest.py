@@ -98,11 +98,12 @@ def roots(found: list[DataFrame]) -> DataFrame:
     return out
 
 
-def paths(found: list[DataFrame], top: DataFrame) -> DataFrame:
-    """(tree, pos, item, node, subroot, path) of every leaf; ``top`` has tree, subroot and the path from a tree's root upwards."""
+def paths(found: list[DataFrame], top: DataFrame | None) -> DataFrame:
+    """(tree, pos, item, node, subroot, path) of every leaf; ``top`` has tree, subroot and the path from a tree's root upwards, or is none where nothing is above."""
     nodes = None
     for blocks in reversed(found):
-        above = blocks.where(F.col("width") <= BLOCK).join(top, "tree")
+        above = blocks.where(F.col("width") <= BLOCK)
+        above = above.select("*", F.col("root").alias("subroot"), F.expr(NO_PATH).alias("path")) if top is None else above.join(top, "tree")
         if nodes is not None:
             ours = nodes.select("tree", F.col("pos").alias("block"), "subroot", "path")
             above = above.unionByName(blocks.where(F.col("width") > BLOCK).join(ours, ["tree", "block"]))
@@ -116,7 +117,6 @@ def merkle_manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "s
 
     ``tampered`` gives, from id and text, whether and how a row's text was changed after the manifest was made.
     """
-    spark = docs.sparkSession
     own = [F.col(c) for c in columns]
     hit, text = tampered(F.col(id_col), F.col(text_col))
     changed = leaf_of(*(text if c == text_col else F.col(c) for c in columns))
@@ -128,8 +128,7 @@ def merkle_manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "s
     sources = positioned(roots(by_source).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("node")), ["name"])
     over = rounds(sources.select("tree", "pos", "width", "node", F.col("name").alias("item")))
     root = (roots(over).first() or [None, None])[1]
-    top = paths(over, spark.range(1).select(F.lit("").alias("tree"), F.lit(root).alias("subroot"), F.expr(NO_PATH).alias("path")))
-    top = cut(top.select(F.col("item").alias("tree"), F.col("node").alias("subroot"), "path"))
+    top = cut(paths(over, None).select(F.col("item").alias("tree"), F.col("node").alias("subroot"), "path"))
     rows = paths(by_source, top).select("item.*", F.when(F.col("tree") != "0", F.expr("substr(tree, 2)")).alias("source"), "node", "subroot", "path")
     rows = rows.withColumn("folded_root", F.expr(FOLDED))
     return rows.select("doc_id", "source", F.col("node").alias("leaf"), "subroot", F.lit(root).alias("root"), "path", F.expr(PROOF).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"))
