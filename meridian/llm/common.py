@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
+import secrets
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -38,13 +39,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_cuts: list[str] | None = None
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends in files that outlive executors."""
     path = shared_folder(df.sparkSession, "cut")
+    if _cuts is not None:
+        _cuts.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def cuts():
+    """A list that takes the folders of all tables cut meanwhile, for ``discard`` once nothing reads them any more."""
+    global _cuts
+    outer, _cuts = _cuts, []
+    try:
+        yield _cuts
+    finally:
+        _cuts = outer
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    for path in folders:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **conf: str):
     """Holds SQL settings (``__`` for ``.``) while an eager step runs."""
@@ -71,6 +94,8 @@ RUNTIME_FILTER = {
     "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
     "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1g",
 }
+#: Joins alike at every size: a small side isn't broadcast.
+BY_SHUFFLE = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1"}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,6 +148,7 @@ def free() -> None:
     """Gives memory that a task has used back to the system: a Python worker lives on after its task."""
     _words.clear()
     _words.raw.clear()
+    Powers.held.clear()
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
@@ -169,7 +195,11 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 # Rabin-Karp hashes over the prime field of 2**31 - 1 -----------------------------------------------
 PRIME = U64(2**31 - 1)
-RADIX = (1_103_515_245, 1_566_083_941, 1_812_433_253)  # one for each of the three residues
+
+
+def drawn_radices() -> tuple[int, int, int]:
+    """A radix for each of the three residues, new at each call."""
+    return tuple(secrets.randbelow(int(PRIME) - 2**20) + 2**20 for _ in range(3))
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -192,25 +222,26 @@ class Powers:
         return have[:n]
 
 
-def rabin_karp(digests: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``size`` words: 64 bits (from two residues) and 31 bits more (a third one).
+def rabin_karp(digests: np.ndarray, size: int, radices: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words: 64 bits (from two residues) and 31 bits more (a third one), 93 bits in all.
 
     Each residue is a polynomial of other bits of the words' digests, to a radix of its own, modulo a
-    prime: no structure of the words makes two different runs equal, as it does modulo a power of two.
+    prime. Two different runs agree in one for at most ``size`` of the 2**31 radices, so none are sure
+    to agree while the radices aren't known; to known radices such runs can be made.
     """
     n = len(digests) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.uint32)
     codes = (digests[:, 0] & PRIME, digests[:, 0] >> U64(33), digests[:, 1] & PRIME)
     found = []
-    for radix, code in zip(RADIX, codes, strict=True):
+    for radix, code in zip(radices, codes, strict=True):
         sums = np.zeros(len(code) + 1, dtype=U64)
         np.cumsum(_reduced(code * Powers.upto(radix, len(code))), out=sums[1:])
         found.append(_reduced(_reduced(sums[size:] - sums[:-size]) * Powers.upto(pow(radix, -1, int(PRIME)), n)))
     return mix((found[0] << U64(31)) | found[1]), found[2].astype(np.uint32)
 
 
-def windows_of(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def windows_of(texts: list[bytes], size: int, radices: tuple[int, int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(text, hash, check) of all windows of ``size`` words that lie within one text, a group of texts at a time."""
     held, owners, words = [], [], 0
     for i, text in enumerate(texts):
@@ -221,7 +252,7 @@ def windows_of(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.n
             words += len(d)
         if held and (words >= GROUP_WORDS or i + 1 == len(texts)):
             lengths = np.array([len(d) for d in held])
-            h, c = rabin_karp(np.concatenate(held), size)
+            h, c = rabin_karp(np.concatenate(held), size, radices)
             left = np.repeat(np.cumsum(lengths), lengths) - np.arange(words)  # words to the text's end
             inside = left[: len(h)] >= size
             yield np.repeat(np.array(owners), lengths)[: len(h)][inside], h[inside], c[inside]

@@ -126,14 +126,52 @@ def test_structured_words_and_windows_stay_apart(spark):
 
 def test_rolling_hashes_equal_their_definition():
     d = common.word_digests(" ".join(f"w{i % 7}" for i in range(40)).encode())
-    h, c = common.rabin_karp(d, 6)
-    fresh = [common.rabin_karp(d[i : i + 6], 6) for i in range(35)]
+    radices = common.drawn_radices()
+    h, c = common.rabin_karp(d, 6, radices)
+    fresh = [common.rabin_karp(d[i : i + 6], 6, radices) for i in range(35)]
     assert h.tolist() == [int(x[0][0]) for x in fresh] and c.tolist() == [int(x[1][0]) for x in fresh]
     assert len(set(zip(h.tolist(), c.tolist(), strict=True))) == 7
     x = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert (common.unmix(common.mix(x)) == x).all()
 
 
+#: Numbers of words that, one at each of 32 places, hash as ``q0`` there to the radices below.
+COLLISION = [
+    56584, 124916, 123885, 7695, 106634, 122060, 39084, 78018, 28901, 51656, 12923, 60199, 50354, 10055, 88279, 51697, 76986, 100742, 35988, 72514, 18972, 44169, 49789, 29156,
+    97658, 40448, 9857, 60990, 82132, 115704, 46484, 7845,
+]
+KNOWN_RADICES = (1_103_515_245, 1_566_083_941, 1_812_433_253)
+
+
+def test_windows_made_to_agree_are_told_apart_by_their_words(spark):
+    """Two windows that differ in 32 of 50 words and agree in all residues to known radices: the check by content sees it, and other radices are drawn."""
+    end = [f"z{i}" for i in range(18)]
+    one, two = " ".join([*(f"q{i}" for i in COLLISION), *end]), " ".join(["q0"] * 32 + end)
+    a, b = (common.rabin_karp(common.word_digests(t.encode()), 50, KNOWN_RADICES) for t in (one, two))
+    assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+    used = []
+
+    def draw():
+        used.append(KNOWN_RADICES if not used else common.drawn_radices())
+        return used[-1]
+
+    rows = [(1, one), (2, two), (3, f"x {two} y"), (4, one), (5, "short")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_digests(spark.createDataFrame(rows, "doc_id long, text string"), draw=draw).collect()}
+    assert got == {1: (50, 0), 2: (50, 0), 3: (52, 50), 4: (50, 50), 5: (1, 0)} and len(used) == 2
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(plain).collect()} == {d: m for d, (_, m) in got.items()}
+
+
+def test_runs_that_lie_apart_in_the_earlier_document(spark):
+    """Consecutive windows whose earlier copies aren't consecutive are claimed one by one."""
+    w = [f"w{i}" for i in range(12)]
+    docs = {1: " ".join([*w[:8], "x", *w[1:9], "y", *w[2:10]]), 2: " ".join(w), 3: " ".join(["a"] * 300), 4: " ".join(["a"] * 500 + ["b"]), 5: " ".join(["a"] * 7)}
+    used = []
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, window=8, draw=lambda: used.append(1) or common.drawn_radices()).collect()}
+    assert got == brute_removed(docs, 8) and got[2][1] == 10 and len(used) == 1
+
+
 def near_copies(rng, n, edits):
     base = [f"b{rng.randrange(10**6)}" for _ in range(150)]
     out = []

@@ -191,3 +191,17 @@ def test_pipeline_equals_its_plain_version(spark, sf_dir):
     assert exact_dedup(stages["near copies"]).where("not kept").count() == 0
     for df in stages.values():
         df.unpersist()
+
+
+def test_pipeline_leaves_the_tables_of_its_last_stage_only(spark, sf_dir):
+    import os
+
+    import corpus_pipeline
+
+    from meridian.session import shared_root
+
+    root = shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    rows = corpus_pipeline.run(spark, sf_dir)
+    left = set(os.listdir(root)) - before
+    assert rows.count() and len(left) <= 4  # what the last stage reads: its input, and its own tables
