@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUNTIME_FILTER, U64, as_bytes, bucket_of, cut, deal, dealt, first_fan, groups, mix, planes, ranges, run_batch, runs_in, settings, shingle_hashes, summed, tidy, unplanes, word_hashes
+from .common import BY_SHUFFLE, RUNTIME_FILTER, U64, as_bytes, bucket_of, cut, deal, dealt, first_fan, groups, mix, planes, ranges, run_batch, runs_in, settings, shingle_hashes, summed, tidy, unplanes, word_hashes
 from .components import components
 
 WIDTH_BITS = 20  # counters for the token order: 2**20 of 4 bytes
@@ -388,7 +388,7 @@ def _components(rows: DataFrame, buckets: int, described: DataFrame, shingle: in
         named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key")
         wanted = cut(named.select("hash", F.coalesce("rep", F.lit(NO_ID)).alias("row_id")).distinct())
         texts = rows.select("hash", F.coalesce("doc_id", F.lit(NO_ID)).alias("row_id"), "text")
-        with settings(spark, **RUNTIME_FILTER):
+        with settings(spark, **RUNTIME_FILTER, **BY_SHUFFLE):
             found = texts.join(wanted.where(F.col("row_id") >= F.lit(NO_ID)), ["hash", "row_id"], "left_semi")
             sets = cut(found.select("text").mapInArrow(tidy(_sets(shingle)), "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens")))
         side = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"{c}_tokens"))
