@@ -11,7 +11,8 @@ choosing the cut a good text that is lost weighs as much as three bad ones that
 should leave clean documents alone.
 
 Defined results: null, empty or blank text has no lines and scores 0; a null id is scored like any
-other; repeated rows get equal scores; very long texts are scored whole, and sampled ones too; without
+other; repeated rows get equal scores; very long texts are scored whole, while of a sampled one at most
+4,096 lines train the field (``doc_lines``; 2**18 lines in all, ``sample_lines``); without
 labelled rows of both kinds every text with a line scores 0.7 (nothing is known against it); an empty
 table gives an empty result; columns other than id and text are never read.
 """
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import SPACE, as_bytes, cut, run_hashes, tidy
+from .common import RUNTIME_FILTER, SPACE, as_bytes, cut, only_ids, run_hashes, settings, tidy
 from .labelled import fold, smallest_hashes
 
 GROUP_BYTES = 1 << 20  # documents are worked on together up to this size
@@ -188,13 +190,19 @@ def grouped(texts: list[bytes], most: int = GROUP_BYTES) -> Iterator[list[bytes]
         yield held
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text in as_bytes(batch.column(1)):
-            f, size, _ = line_features([text])
-            out.append((f.astype(np.float32).tobytes(), size.tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["label", "features", "sizes"])
+def _extract(doc_lines: int):
+    """Features and sizes of the lines of each sampled text; of a longer one, of ``doc_lines`` lines from its middle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in as_bytes(batch.column(2)):
+                f, size, _ = line_features([text])
+                middle = slice(at := max(0, (len(size) - doc_lines) // 2), at + doc_lines)
+                out.append((len(size[middle]), f[middle].astype(np.float32).tobytes(), size[middle].tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary())))], names=["label_id", "label", "n", "features", "sizes"])
+
+    return run
 
 
 def qualities(model, texts: list[bytes]) -> np.ndarray:
@@ -229,12 +237,21 @@ def labelled(labels: DataFrame, folds: int, held_out: int) -> DataFrame:
     return known.groupBy(F.col("doc_id").alias("label_id")).agg(F.min(F.col("quality").cast("int")).alias("label"))
 
 
-def fit(rows: DataFrame, known: DataFrame, sample_docs: int):
-    """Weights and moves from a bounded sample of (doc_id, text), or nothing without labels of both kinds."""
+DOC_LINES, SAMPLE_LINES = 4096, 1 << 18
+
+
+def fit(rows: DataFrame, known: DataFrame, sample_docs: int, doc_lines: int = DOC_LINES, sample_lines: int = SAMPLE_LINES):
+    """Weights and moves from a bounded sample of (doc_id, text), or nothing without labels of both kinds.
+
+    The sample has at most ``sample_docs`` texts, ``doc_lines`` lines of each, and ``sample_lines`` lines
+    in all, half for each label: 100 MB of features at 2**18 lines, however long the texts are.
+    """
     # half of the sample for each label, at most; one text an id, so that repeated ids don't break the bound
     sample = [smallest_hashes(known.where(F.col("label") == y), "label_id", sample_docs // 2) for y in (0, 1)]
-    sample = rows.join(F.broadcast(sample[0].unionByName(sample[1])), rows.doc_id == F.col("label_id")).groupBy("label_id", "label").agg(F.min("text").alias("text")).select("label", "text")
-    found = sample.mapInArrow(_extract, "label int, features binary, sizes binary").collect()  # bounded by sample_docs
+    sample = rows.join(F.broadcast(sample[0].unionByName(sample[1])), rows.doc_id == F.col("label_id")).groupBy("label_id", "label").agg(F.min("text").alias("text")).select("label_id", "label", "text")
+    lines = cut(sample.mapInArrow(tidy(_extract(doc_lines)), "label_id long, label int, n int, features binary, sizes binary"))
+    upto = F.sum("n").over(W.partitionBy("label").orderBy(F.xxhash64("label_id", F.lit(17)), "label_id"))  # of sample_docs rows
+    found = lines.withColumn("upto", upto).where(F.col("upto") <= sample_lines // 2).select("label", "features", "sizes").collect()
     width = 1 + 4 * len(OWN)
     found = sorted(((r.label, bytes(r.features), bytes(r.sizes)) for r in found if len(r.sizes)), key=lambda r: r[1:])
     y = np.array([r[0] for r in found])
@@ -248,12 +265,14 @@ def fit(rows: DataFrame, known: DataFrame, sample_docs: int):
 STEPS = 2000  # the cut is chosen in steps of 1/2000 of the quality
 
 
-def rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held_out: int, sample_docs: int):
-    """The model, the cut, and (doc_id, x) of all documents; without a model the cut is 0.5 and x is 1 for texts with lines."""
+def rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held_out: int, sample_docs: int, every: bool):
+    """The model, the cut, and (doc_id, x) of ``every`` document, or of those whose labels are known; without a model the cut is 0.5 and x is 1 for texts with lines."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labelled(labels, folds, held_out)
     model = fit(rows, known, sample_docs)
-    x = cut(rows.mapInArrow(tidy(_rate(model)), "doc_id long, x double"))
+    with settings(docs.sparkSession, **RUNTIME_FILTER):
+        rows = rows if every or model is None else only_ids(rows, known.select(F.col("label_id").alias("doc_id")), "doc_id")
+        x = cut(rows.mapInArrow(tidy(_rate(model)), "doc_id long, x double"))
     if model is None:
         return None, 0.5, x
     seen = x.where("x >= 0").join(known, F.col("doc_id") == F.col("label_id"))
@@ -267,7 +286,7 @@ def crf_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     Labels (doc_id, quality) are learnt from the other folds only; ``sample_docs`` bounds the labelled
     documents that the field is fitted on (those with the smallest hash of their id, half per label).
     """
-    model, least, x = rated(docs, labels, id_col, text_col, folds, held_out, sample_docs)
+    model, least, x = rated(docs, labels, id_col, text_col, folds, held_out, sample_docs, every=True)
     q = F.col("x")
     score = F.lit(0.7) if model is None else F.when(q < least, 0.7 * q / least).otherwise(F.least(F.lit(1.0), 0.7 + 0.3 * (q - least) / (1 - least)))
     score = F.when(q >= 0, score).otherwise(0.0)
@@ -276,5 +295,5 @@ def crf_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def crf_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, sample_docs: int = 4000) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score reaches 0.7; without a shuffle of texts."""
-    model, least, _ = rated(docs, labels, id_col, text_col, folds, held_out, sample_docs)
+    model, least, _ = rated(docs, labels, id_col, text_col, folds, held_out, sample_docs, every=False)
     return docs.mapInArrow(tidy(_keep(model, docs.columns.index(text_col), least)), docs.schema)
