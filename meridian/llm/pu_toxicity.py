@@ -67,13 +67,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount(np.unique((owner << SLOT_BITS) | slot) & ((1 << SLOT_BITS) - 1), minlength=1 << SLOT_BITS)
         n += len(texts)
     part = TaskContext.get().partitionId()
-    parts = [planes(np.minimum(x, 2**32 - 1).astype(np.uint32)) for x in np.split(counts, CHUNKS)]
+    parts = [planes(x) for x in np.split(counts, CHUNKS)]
     yield pa.RecordBatch.from_arrays([pa.array([part] * CHUNKS, pa.int32()), pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([n] * CHUNKS, pa.int64()), pa.array(parts, pa.binary())], names=["part", "chunk", "n", "counts"])
 
 
 def _sum(table: pa.Table) -> pa.Table:
-    total = sum(unplanes(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
-    counts = pa.array([planes(np.minimum(total, 2**32 - 1).astype(np.uint32))], pa.binary())
+    total = sum(unplanes(x, np.int64) for x in table.column("counts").to_pylist())
+    counts = pa.array([planes(total)], pa.binary())
     return pa.table({"part": table.column("part")[:1], "chunk": table.column("chunk")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "counts": counts})
 
 
@@ -82,7 +82,7 @@ def occurrences(texts: DataFrame) -> tuple[np.ndarray, int]:
     found = sorted(summed(texts.mapInArrow(_occurrences, "part int, chunk int, n long, counts binary"), _sum).collect(), key=lambda r: r.chunk)
     if not found:
         return np.zeros(1 << SLOT_BITS), 0
-    return np.concatenate([unplanes(bytes(r.counts), np.uint32) for r in found]).astype(np.float64), found[0].n
+    return np.concatenate([unplanes(bytes(r.counts), np.int64) for r in found]).astype(np.float64), found[0].n
 
 
 def pick(counts: np.ndarray, n: int, n_toxic: int, most: int) -> np.ndarray:
