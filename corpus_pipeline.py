@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm.best_fit_packing import best_fit_packing
-from meridian.llm.common import cut, table
+from meridian.llm.common import cut, cuts, discard, table
 from meridian.llm.exact_dedup import exact_dedup
 from meridian.llm.jaccard_join import jaccard_members
 from meridian.llm.line_crf import crf_filter
@@ -34,7 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without(docs: DataFrame, mark: Column, fates: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``fates`` (doc_id, mark, gone, n) names as gone; of n > 1 rows with a mark that stays, one.
 
-    Rows are recognised by their id and ``mark``, an expression over their text.
+    Rows are recognised by their id and ``mark``, an expression over their text. The joins are by
+    shuffle at every size: how many rows go grows with the input.
     """
     taken = {c.lower() for c in docs.columns}
     names = []
@@ -43,7 +44,7 @@ def without(docs: DataFrame, mark: Column, fates: DataFrame) -> DataFrame:
             name = f"_{name}"
         names.append(name)
     fates = cut(fates.where("gone or n > 1"))
-    pick = lambda rows: rows.select(F.col("doc_id").alias(names[0]), F.col("mark").alias(names[1]))
+    pick = lambda rows: rows.select(F.col("doc_id").alias(names[0]), F.col("mark").alias(names[1])).hint("merge")
     same = lambda rows: docs["doc_id"].cast("long").eqNullSafe(rows[names[0]]) & mark.eqNullSafe(rows[names[1]])
     gone, again = pick(fates.where("gone")), pick(fates.where("not gone"))
     if again.isEmpty():
@@ -108,9 +109,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over ``documents``; a stage's tables in the shared folder go when its result is written, and the result when the next one is."""
+    docs, old = table(spark, sf_dir, "documents"), []
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with cuts() as own:
+            docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = cut(docs)
+            with cuts() as result:
+                docs = cut(docs)
+            discard(spark, own + old)
+            old = result
     return docs
