@@ -15,9 +15,10 @@ and a reader that wants a few documents decompresses their frames only.
 3. What a document's ids come after is the sum of the files before, one row each in the manifest, and of
    the documents before in its file.
 
-Encoding: the library's normaliser and splitter never join what white space separates, so the words
-between ASCII white space are encoded by themselves, each distinct one once as long as it stays in
-memory. Tests compare this with the encoding of whole texts.
+Encoding: the library's normaliser and splitter never join what white space separates. Runs of printable
+ASCII and Latin-1 letters are split here as the library splits them, and its model encodes each distinct
+unit once as long as it is remembered; all other runs, and tokenizers with another splitter, go through
+the library as they are. Tests compare this with the encoding of whole texts.
 
 Defined results: a null text counts as empty, and an empty text has the end id alone; ids that are null
 come first; repeated rows are documents of their own; very long texts run over as many frames as they
@@ -26,6 +27,10 @@ need; an empty table has no files; other columns aren't read.
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -48,19 +53,38 @@ SKIPPABLE, SEEK_TABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92
 FRAME_IDS = 1 << 16
 FILE_BYTES = 64 << 20  # of text for a file
 GROUP_BYTES = 1 << 20  # of text encoded at a time
-MOST_WORDS = 1 << 18
-LONG_WORD = 64  # bytes; longer words aren't kept
-END = b" "  # stands for the end id among words, which hold no space
+MOST_UNITS = 1 << 18
+LONG_UNIT = 64  # bytes; longer units aren't kept
+END = None  # stands for the end id among units
+#: The splitter that ``UNIT`` follows; texts for a tokenizer with another one are left to the library whole.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 # encoding -------------------------------------------------------------------------------------------
+#: Letters whose class and case all versions of Unicode agree on, in UTF-8 and after A-Z are lower-cased.
+LETTER = rb"[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+#: What the library's splitter makes of a run between white spaces that holds nothing but such letters and printable ASCII; another run is left to the library as it is.
+PARTS = rb"'s|'t|'re|'ve|'m|'ll|'d|(?:LETTER)+|[0-9]|[!-/:-@\[-`{-~]+"
+UNIT, UNIT_OR_RUN = (re.compile(x.replace(b"LETTER", LETTER)) for x in (PARTS, rb"(?:[!-~]|LETTER)*+[^\x09-\x0D\x20]+|" + PARTS))
+ODD = re.compile(rb"[^\x09-\x0D\x20-\x7E\x80-\xBF\xC3]|\xC3[\x97\xB7]|[^\xC3][\x80-\xBF]")
+PLAIN = re.compile(rb"(?:[!-~]|LETTER)+".replace(b"LETTER", LETTER))
+SPECIAL = b"<|"  # how the library's special tokens begin
+
+
 class Encoder(dict):
-    """Numbers the distinct words as they come up; their ids are found by the library, many words at a time."""
+    """Numbers the distinct units of texts as they come up; their ids are the library's, found once as long as a unit is remembered."""
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library, self.end_id = Tokenizer.from_file(path), end_id
+        self.model, self.levels = self.library.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        made = json.loads(self.library.to_str())
+        normalizers, splitters = (made.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+        steps = [n["type"] for n in normalizers.get("normalizers", [])], [p["type"] for p in splitters.get("pretokenizers", [])]
+        self.known = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and splitters["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
         self.forget()
 
     @property
@@ -72,23 +96,49 @@ class Encoder(dict):
         self.new, self.ids, self.lengths = [], np.array([self.end_id], np.uint32), np.ones(1, np.int64)
         self[END] = 0
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, unit: bytes) -> int:
         number = len(self.lengths) + len(self.new)
-        self.new.append(word)
-        if len(word) <= LONG_WORD:
-            self[word] = number
+        self.new.append(unit)
+        if len(unit) <= LONG_UNIT:
+            self[unit] = number
         return number
 
+    def units(self, text: bytes) -> list[bytes]:
+        if not self.known:
+            return [text]
+        if SPECIAL not in text:
+            text = text.lower()
+            return (UNIT_OR_RUN if ODD.search(text) else UNIT).findall(text)
+        return [u for run in text.split() for u in ([run] if SPECIAL in run else UNIT_OR_RUN.findall(run.lower()))]
+
+    def resolve(self) -> list[list[int]]:
+        """Ids of the new units: those of the model for what the splitter leaves whole, those of the library for the rest."""
+        found: list[list[int]] = []
+        rest = []
+        for unit in self.new:
+            if self.known and PLAIN.fullmatch(unit) and SPECIAL not in unit:
+                word = unit.decode()
+                found.append([t.id for t in self.model.tokenize(word if unit.isascii() else self.levels.pre_tokenize_str(word.lower())[0][0])])
+            else:
+                rest.append(len(found))
+                found.append([])
+        for i, e in zip(rest, self.library.encode_batch_fast([self.new[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        return found
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, each with the end id, and their numbers."""
-        if len(self.lengths) > MOST_WORDS:
+        if len(self.lengths) > MOST_UNITS:
             self.forget()
-        words = [w for text in texts for w in (*text.split(), END)]
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        units: list[bytes] = []
+        for text in texts:
+            units += self.units(text)
+            units.append(END)
+        numbers = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
         if self.new:
-            found = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False)]
+            found = self.resolve()
             self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, found), np.int64, len(found))))
-            self.ids = np.concatenate((self.ids, np.array([i for ids in found for i in ids], np.uint32)))
+            self.ids = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32)))
             self.new = []
         each, starts = self.lengths[numbers], (np.cumsum(self.lengths) - self.lengths)[numbers]
         ends = np.cumsum(each)

@@ -99,7 +99,7 @@ def encoder():
     return tf.Encoder(TOKENIZER, 1)
 
 
-ODD = ["", " ", "Hello  World", "it's 12:30", "ΑΣ ΟΔΟΣ", "İstanbul ſ ﬁ", "é ́x", "a b c\x85d", "x<|endoftext|>y <|startoftext|>", "日本語 テキスト", "a\x1cb\x0bc", "l'été d'll 've", "Å ̸", "\r\n\t", "x" * 300]
+ODD = ["", " ", "Hello  World", "it's 12:30", "ΑΣ ΟΔΟΣ", "İstanbul ſ ﬁ", "é ́x", "a b c\x85d", "x<|endoftext|>y <|startoftext|>", "日本語 テキスト", "a\x1cb\x0bc", "l'été d'll 've", "Å ̸", "\r\n\t", "x" * 300, "Él ÀÖ×÷ø ñandú,ÿß Straße's 'S 'RE''ll ,'s", "<|ENDOFTEXT|> don't <|x", "a\x00b \x7f é\u0301", "3¾ ½a ª_º µm"]
 
 
 def same_as_library(encoder, texts):
@@ -112,10 +112,20 @@ def same_as_library(encoder, texts):
 def test_words_encode_as_whole_texts_do(encoder):
     same_as_library(encoder, ODD)
     same_as_library(encoder, [" ".join(ODD), *ODD])
+    assert encoder.known
+
+
+def test_tokenizers_of_another_kind_encode_whole_texts():
+    other = tf.Encoder(TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k"), 50256)
+    assert not other.known
+    ids, lengths = other.encode([t.encode() for t in ODD])
+    at = np.append(0, np.cumsum(lengths))
+    for t, a, b in zip(ODD, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == [*other.library.encode(t, add_special_tokens=False).ids, 50256]
 
 
 @settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n'sdlvret<|endoftext|>ÅΣ̸́ ")), max_size=40), max_size=5))
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n'sdlvret<|endoftext|>ÅΣ̸́ éÀß×÷Ÿ'SRE0!-")), max_size=40), max_size=5))
 def test_any_text_encodes_as_a_whole(encoder, texts):
     same_as_library(encoder, texts)
 
@@ -125,7 +135,7 @@ def test_all_documents_encode_as_whole_texts_do(spark, sf_dir, encoder):
 
 
 def test_words_are_forgotten_and_found_again(encoder, monkeypatch):
-    monkeypatch.setattr(tf, "MOST_WORDS", 3)
+    monkeypatch.setattr(tf, "MOST_UNITS", 3)
     for _ in range(3):
         same_as_library(encoder, ["one two three four five", "two six", ""])
 
