@@ -18,7 +18,7 @@ from meridian.operators import estimators as est
 from meridian.operators import interpolate, sampling, validate
 from meridian.plans.tiles import tiled_climatology
 from meridian.session import shared_folder
-from meridian.sources import grid_nc, obs
+from meridian.sources import grid_nc, grid_source, obs
 from meridian.streaming.chunks import run_stream
 
 YEARS, SEASON, EVENT_DAYS = (1995, 2000), (152, 243), (6, 25)
@@ -333,3 +333,47 @@ def netcdf_roundtrip(spark, sf_dir):
     folder = shared_folder(spark, "fields")
     grid_nc.write_fields(obs.with_grid(clim_exact(spark, sf_dir), N_LON), folder, N_LAT, N_LON, value_type="double")
     return grid_nc.read_fields(spark, f"{folder}/*.nc", ["Climmean", "P90_sst"], "Lat", "Lon", on_error="fail")
+
+
+@query(f"""WITH {LI}, d AS (SELECT DISTINCT year, doy FROM obs WHERE doy BETWEEN 170 AND 189 AND year >= 1997)
+    SELECT d.year, d.doy, CAST(g.cell // 5 AS INTEGER) AS lat_idx, CAST(g.cell % 5 AS INTEGER) AS lon_idx, CAST(o.v AS DOUBLE) AS data
+    FROM d CROSS JOIN (SELECT CAST(unnest(generate_series(10, 19)) AS INTEGER) AS cell) g LEFT JOIN obs o ON o.year = d.year AND o.doy = d.doy AND o.cell = g.cell""")
+def grid_scan_pruned(spark, sf_dir):
+    """A season's archive of daily files, of which the files of some days and the rows of some latitudes are read."""
+    folder = shared_folder(spark, "archive")
+    grid_nc.write_archive(obs.with_grid(_li(spark, sf_dir).where(F.col("doy").between(147, 248)), N_LON), folder, N_LAT, N_LON)
+    rows = grid_source.read_archive(spark, folder, on_error="fail")
+    return rows.where("doy between 170 and 189 and year >= 1997 and lat_idx between 2 and 3").select("year", "doy", "lat_idx", "lon_idx", "data")
+
+
+@query(f"""WITH {LI}, {_clim('c', 'obs')}, g AS (SELECT t AS doy, k.cell FROM {_targets(152, 243)} CROSS JOIN (SELECT CAST(unnest(generate_series(0, 24)) AS INTEGER) AS cell) k)
+    SELECT f.kind, strftime(DATE '2001-01-01' + (g.doy - 1), '%m%d') || '.nc' AS file, g.doy, CAST(g.cell // 5 AS INTEGER) AS lat_idx, CAST(g.cell % 5 AS INTEGER) AS lon_idx,
+           clim_mean AS "Climmean", p90 AS "P90_sst" FROM g CROSS JOIN (VALUES ('netcdf4'), ('netcdf4-compressed')) f(kind) LEFT JOIN c ON c.doy = g.doy AND c.cell = g.cell""")
+def netcdf4_roundtrip(spark, sf_dir):
+    """The exact statistics as NetCDF-4 files, plain and compressed, and read back from the archive source."""
+    rows, out = obs.with_grid(clim_exact(spark, sf_dir), N_LON), None
+    for kind in ("netcdf4", "netcdf4-compressed"):
+        folder = shared_folder(spark, "fields4")
+        grid_nc.write_fields(rows, folder, N_LAT, N_LON, value_type="double", kind=kind)
+        again = grid_source.read_archive(spark, folder, ["Climmean", "P90_sst"], "Lat", "Lon", on_error="fail").select(F.lit(kind).alias("kind"), "file", "doy", "lat_idx", "lon_idx", "Climmean", "P90_sst")
+        out = again if out is None else out.unionByName(again)
+    return out
+
+
+@query(f"""WITH {LI}, d AS (SELECT DISTINCT year, doy, (year * 365 + doy) % 7 AS fate FROM obs WHERE doy BETWEEN 147 AND 248), g AS (SELECT CAST(unnest(generate_series(0, 24)) AS INTEGER) AS cell)
+    SELECT CAST(d.year AS INTEGER) AS year, count(*) AS files, count(*) FILTER (fate < 3) AS failed, CAST(sum(CASE WHEN fate >= 3 THEN n END) AS BIGINT) AS present, CAST(sum(CASE WHEN fate >= 3 THEN total END) AS DECIMAL(38,2)) AS total
+    FROM d JOIN (SELECT year, doy, count(*) AS n, sum(v) AS total FROM obs GROUP BY ALL) s USING (year, doy) GROUP BY d.year""")
+def grid_bad_files(spark, sf_dir):
+    """An archive in which three of seven files are cut short, altered or something else: they count as failed, all others are read."""
+    folder, broken = shared_folder(spark, "archive"), shared_folder(spark, "broken")
+    rows = obs.with_grid(_li(spark, sf_dir).where(F.col("doy").between(147, 248)), N_LON)
+    grid_nc.write_archive(rows, folder, N_LAT, N_LON, kind="netcdf4")
+    fate, content = (F.col("year") * 365 + F.col("doy")) % 7, F.col("content")
+    altered = F.unhex(F.replace(F.hex(content), F.lit("54524545"), F.lit("54524558")))  # no group is found
+    spoilt = F.when(fate == 0, F.lit(b"CDF")).when(fate == 1, F.substring(content, 1, 700)).when(fate == 2, altered).otherwise(content)
+    files = spark.read.format("binaryFile").load(f"{folder}/*").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "content").withColumn("date", F.to_date(F.substring("name", 1, 8), "yyyyMMdd"))
+    files = files.select("name", F.year("date").alias("year"), cal.noleap_doy(F.col("date")).alias("doy"), "content")
+    grid_nc.store_files(files.select("name", spoilt.alias("content")), broken)
+    read = grid_source.read_archive(spark, broken).groupBy("year", "doy").agg(F.count("data").alias("n"), F.sum(F.col("data").cast("decimal(18,2)")).alias("total"))
+    every = files.select("year", "doy").join(read.withColumn("good", F.lit(1)), ["year", "doy"], "left")
+    return every.groupBy("year").agg(F.count("*").alias("files"), F.count_if(F.col("good").isNull()).alias("failed"), F.sum("n").alias("present"), F.sum("total").cast("decimal(38,2)").alias("total"))
