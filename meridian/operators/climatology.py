@@ -4,7 +4,8 @@ The window is an expansion of each observation to the at most 2 * delta + 1 targ
 counts for, so the work is one equi-aggregation keyed by (day, cell): no range join. Observations
 (one a cell, year and day) are dealt by cell before they are expanded: a percentile can't be reduced
 on the map side, so the shuffle would carry every row 2 * delta + 1 times. Targets keep delta days
-of distance from the ends of the year.
+of distance from the ends of the year, unless the windows are circular: then December's last days count
+for January's first ones and the other way round, of all years alike.
 """
 
 from __future__ import annotations
@@ -17,24 +18,38 @@ DELTA = 5
 SEASON = (152, 243)
 
 
-def check_targets(targets: tuple[int, int], delta: int = DELTA) -> tuple[int, int]:
+YEAR = 365
+
+
+def check_targets(targets: tuple[int, int], delta: int = DELTA, circular: bool = False) -> tuple[int, int]:
     b, e = targets
+    if circular:
+        if not (1 <= b <= e <= YEAR and 2 * delta < YEAR):
+            raise ValueError(f"circular targets must be an ascending pair within 1..{YEAR}, and windows shorter than a year")
+        return targets
     if not (1 + delta <= b <= e <= 365 - delta):
         raise ValueError(f"targets must be an ascending pair within {1 + delta}..{365 - delta}")
     return targets
 
 
-def in_windows(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: int = DELTA, days: list[int] | None = None, by_cell: bool = False) -> DataFrame:
+def in_windows(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: int = DELTA, days: list[int] | None = None, by_cell: bool = False, circular: bool = False) -> DataFrame:
     """obs with ``target``: one row for each target day (of ``days`` only, if given) whose window holds the observation.
 
     ``by_cell`` deals the rows by cell first; an aggregation by target and cell then needs no other
     exchange. It is for observations of which a cell has a bounded number.
     """
-    b, e = check_targets(targets, delta)
-    rows = obs.where(F.col("doy").between(b - delta, e + delta))
+    b, e = check_targets(targets, delta, circular)
+    doy = F.col("doy")
+    # days within delta of the targets, around the year's end where windows are circular
+    near = F.pmod(doy - (b - delta), F.lit(YEAR)) <= e - b + 2 * delta if circular else doy.between(b - delta, e + delta)
+    rows = obs.where(near)
     if by_cell:
         rows = rows.repartition("cell")
-    found = F.sequence(F.greatest(F.lit(b), F.col("doy") - delta), F.least(F.lit(e), F.col("doy") + delta))
+    if circular:
+        around = F.transform(F.sequence(doy - delta, doy + delta), lambda t: F.pmod(t - 1, F.lit(YEAR)) + 1)
+        found = F.filter(around, lambda t: t.between(b, e))
+    else:
+        found = F.sequence(F.greatest(F.lit(b), doy - delta), F.least(F.lit(e), doy + delta))
     if days is not None:
         found = F.filter(found, lambda t: t.isin(days))
     return rows.withColumn("target", F.explode(found))
@@ -64,9 +79,11 @@ def statistics(windowed: DataFrame, zero_mask: tuple[int, int] | None = None) ->
     return out.select(F.col("target").alias("doy"), "cell", "n", value("clim_mean"), value("p90"))
 
 
-def climatology(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: int = DELTA, zero_mask_year: int | None = None) -> DataFrame:
+def climatology(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: int = DELTA, zero_mask_year: int | None = None, circular: bool = False) -> DataFrame:
     """doy, cell, n, clim_mean, p90 of observations, one row a cell, year and day (``obs.daily``)."""
-    return statistics(in_windows(obs, targets, delta, by_cell=True), (zero_mask_year, delta) if zero_mask_year is not None else None)
+    if circular and zero_mask_year is not None:
+        raise ValueError("a circular window has no first slot to mask by")
+    return statistics(in_windows(obs, targets, delta, by_cell=True, circular=circular), (zero_mask_year, delta) if zero_mask_year is not None else None)
 
 
 def by_selection(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: int = DELTA) -> DataFrame:

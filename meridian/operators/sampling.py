@@ -155,8 +155,8 @@ def sampled_climatology(obs: DataFrame, mode: str, k: int, years: tuple[int, int
     """doy, cell, n, clim_mean, p90 of the sampled observations; with ``exact_mean`` the mean is that of all.
 
     Where all cells share their draws the plan is small (at most 365 days x 120 draws) and goes to the
-    observations by broadcast; those of other days are dropped where they are read, and whole files of
-    them are skipped if the observations are partitioned by year and doy.
+    observations by broadcast; those of other days are dropped where they are read. Observations stored
+    by day (``sources.store``) are pruned when the plan is there: folders of other days aren't read.
     """
     from .climatology import climatology
 
@@ -164,10 +164,13 @@ def sampled_climatology(obs: DataFrame, mode: str, k: int, years: tuple[int, int
     keyed = obs.where(F.col("year").between(*years)).withColumn("unit", unit_of(mode, per_cell, band_start))
     units = obs.sparkSession.range(1).select(F.lit(0).alias("unit")) if mode in ("packed", "consistent") else keyed.select("unit").distinct()
     plan = sample_plan(obs.sparkSession, units, mode, k, years[1] - years[0] + 1, targets, delta)
-    plan = plan.withColumn("year", F.col("year_idx") + years[0])
+    # the condition, which always holds, tells Spark that the plan selects: it prunes stored days by it
+    plan = plan.withColumn("year", F.col("year_idx") + years[0]).where(F.col("year") >= years[0])
     if mode in ("packed", "consistent"):
         plan = F.broadcast(plan)
-    out = statistics(keyed.join(plan, ["unit", "year", "doy"]))
+    if "day" in obs.columns:  # stored by day
+        plan = plan.select("target", "unit", (F.col("year") * 1000 + F.col("doy")).cast("int").alias("day"))
+    out = statistics(keyed.join(plan, ["unit", "day"] if "day" in obs.columns else ["unit", "year", "doy"]))
     if exact_mean:
         whole = climatology(obs, targets, delta).select("doy", "cell", F.col("clim_mean").alias("whole"))
         out = whole.join(out, ["doy", "cell"], "left").select("doy", "cell", F.coalesce("n", F.lit(0)).alias("n"), F.col("whole").alias("clim_mean"), "p90")

@@ -16,9 +16,11 @@ from meridian.functions import calendar as cal
 from meridian.operators import climatology as clim
 from meridian.operators import estimators as est
 from meridian.operators import interpolate, sampling, validate
-from meridian.plans.tiles import tiled_climatology
+from meridian.plans.choose import Settings, climatology_of
+from meridian.plans.tiles import prefix_histogram, tiled_climatology
 from meridian.session import shared_folder
-from meridian.sources import grid_nc, grid_source, obs
+from meridian.sources import grid_nc, grid_source, obs, store
+from meridian.streaming.archive import run_archive
 from meridian.streaming.chunks import run_stream
 
 YEARS, SEASON, EVENT_DAYS = (1995, 2000), (152, 243), (6, 25)
@@ -124,10 +126,30 @@ def clim_preagg_mean(spark, sf_dir):
     return clim.preaggregated_mean(rows, obs.spine(rows, (SEASON[0] - 5, SEASON[1] + 5)), SEASON)
 
 
-@query(f"WITH {LI}, {_clim('c', 'obs')} SELECT doy, cell, n, round(clim_mean + 1e-7, 4) AS clim_mean, p90 FROM c")
+def _rounded(rows: DataFrame) -> DataFrame:
+    """Sums of doubles, rounded off the ties that the exact sums can lie on."""
+    return rows.withColumns({"clim_mean": F.round(F.col("clim_mean") + 1e-7, 4), "p90": F.round("p90", 6)})
+
+
+ROUNDED = f"WITH {LI}, {_clim('c', 'obs')} SELECT doy, cell, n, round(clim_mean + 1e-7, 4) AS clim_mean, p90 FROM c"
+
+
+@query(ROUNDED)
 def clim_tile_arrow(spark, sf_dir):
-    # sums of doubles: rounded off the ties that the exact sums can lie on
-    return tiled_climatology(_li(spark, sf_dir), YEARS, SEASON, tile_cells=10).withColumns({"clim_mean": F.round(F.col("clim_mean") + 1e-7, 4), "p90": F.round("p90", 6)})
+    return _rounded(tiled_climatology(_li(spark, sf_dir), YEARS, SEASON, tile_cells=10))
+
+
+@query(ROUNDED)
+def clim_tile_bucketed(spark, sf_dir):
+    """The same over observations stored by tile, without an exchange."""
+    return _rounded(tiled_climatology(store.write_by_tile(_li(spark, sf_dir), shared_folder(spark, "tiles"), tile_cells=10, buckets=8), YEARS, SEASON))
+
+
+@query(f"""WITH {LI}, c AS (SELECT t AS doy, cell, {STATS} FROM {_targets(1, 365)} JOIN obs o ON (o.doy - t + 735) % 365 <= 10 GROUP BY t, cell)
+    SELECT doy, cell, n, clim_mean, p90 FROM c""")
+def clim_circular(spark, sf_dir):
+    """Every day of the year, windows going around its end."""
+    return clim.climatology(_li(spark, sf_dir), (1, 365), circular=True)
 
 
 # estimators on bins ----------------------------------------------------------------------------
@@ -137,13 +159,22 @@ _BINS = f"""{EV}, b AS (SELECT t, cell, greatest(0, least(511, CAST(floor((v + 3
     r AS (SELECT *, 0.9::DOUBLE * (n - 1) AS r FROM w)"""
 
 
-@query(f"""WITH {_BINS} SELECT t AS doy, cell, CAST(n AS BIGINT) AS n,
+_FAST = f"""WITH {_BINS} SELECT t AS doy, cell, CAST(n AS BIGINT) AS n,
     round(-3.0e0 + (bin + CASE WHEN n = 1 THEN 0.5e0 ELSE greatest(0e0, least(1e0, (r - before) / cnt)) END) * 0.09375e0, 6) AS p90
-    FROM r WHERE before <= floor(r) AND before + cnt > floor(r)""")
+    FROM r WHERE before <= floor(r) AND before + cnt > floor(r)"""
+
+
+@query(_FAST)
 def clim_fast_hist(spark, sf_dir):
     return est.fast_histogram(obs.from_events(spark, sf_dir), EVENT_DAYS)
 
 
+@query(_FAST)
+def clim_prefix_hist(spark, sf_dir):
+    """The same bins, each window as a difference of running sums."""
+    return prefix_histogram(obs.from_events(spark, sf_dir), EVENT_DAYS)
+
+
 @query(f"WITH {EV} SELECT t AS doy, cell, count(*) AS n, round(quantile_cont(v, 0.9), 6) AS p90 FROM {_targets(*EVENT_DAYS)} JOIN ev o ON o.doy BETWEEN t - 5 AND t + 5 GROUP BY t, cell")
 def clim_fixed_collect(spark, sf_dir):
     return est.fixed_collect(obs.from_events(spark, sf_dir), EVENT_DAYS)
@@ -189,6 +220,26 @@ for _name, _args in {
     QUERIES[_name], ORACLE_SQL[_name] = _sampled(*_args)
 
 
+@query(_sampled("packed", 6)[1])
+def clim_mc_pruned(spark, sf_dir):
+    """One draw a year and day, from observations stored by day: folders that no draw falls on aren't read."""
+    stored = store.write_by_day(_li(spark, sf_dir), shared_folder(spark, "days"))
+    return sampling.sampled_climatology(stored, "packed", 6, YEARS, SEASON)
+
+
+def _planned() -> str:
+    exact, sampled = f"SELECT 'exact' AS settings, * FROM ({EXACT})", f"SELECT 'sampled' AS settings, * FROM ({_sampled('source', 30)[1]()})"
+    return f"{exact} UNION ALL {sampled}"
+
+
+@query(_planned)
+def clim_planned(spark, sf_dir):
+    """Two settings, each by the plan that is chosen for it."""
+    rows = _li(spark, sf_dir)
+    exact, sampled = climatology_of(rows, Settings(YEARS)), climatology_of(rows, Settings(YEARS, sampler="source", draws=30))
+    return exact.select(F.lit("exact").alias("settings"), *exact.columns).unionByName(sampled.select(F.lit("sampled").alias("settings"), *exact.columns))
+
+
 # interpolation ---------------------------------------------------------------------------------
 @query(f"""WITH {LI}, {_clim('c', 'obs')}, a AS (SELECT * FROM c WHERE (doy - 152) % 7 = 0 OR doy = 243),
     g AS (SELECT cell, t AS doy, CASE WHEN t = 243 THEN 243 ELSE 152 + ((t - 152) // 7) * 7 END AS l FROM (SELECT DISTINCT cell FROM a) CROSS JOIN {_targets(152, 243)}),
@@ -215,11 +266,13 @@ def calendar_noleap(spark, sf_dir):
 
 
 @query(f"""WITH c AS (SELECT y AS year, t AS doy, make_date(y, 1, 1) + CAST(t - 1 + CASE WHEN t >= 60 AND {LEAP.format(d='make_date(y, 1, 1)')} THEN 1 ELSE 0 END AS INTEGER) AS center
-        FROM (SELECT CAST(unnest(generate_series(1991, 2020)) AS INTEGER) AS y) CROSS JOIN {_targets(152, 243)})
+        FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders) CROSS JOIN {_targets(152, 243)})
     SELECT doy, year, o AS "offset", CAST(center + o AS DATE) AS date, strftime(center + o, '%Y%m%d') AS ymd FROM c CROSS JOIN (SELECT CAST(unnest(generate_series(-5, 5)) AS INTEGER) AS o)""")
 def sample_dates(spark, sf_dir):
-    years = F.sequence(F.lit(1991), F.lit(2020))
-    rows = spark.range(SEASON[0], SEASON[1] + 1).select(F.col("id").cast("int").alias("doy")).select("doy", F.explode(cal.sample_dates(years, F.col("doy"), 5)).alias("s"))
+    """The dates that each target's window samples in the years of the orders."""
+    years = obs.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    days = years.withColumn("doy", F.explode(F.sequence(F.lit(SEASON[0]), F.lit(SEASON[1]))))
+    rows = days.select("doy", F.explode(cal.sample_dates(F.array("year"), F.col("doy"), 5)).alias("s"))
     return rows.select("doy", "s.year", "s.offset", "s.date", cal.yyyymmdd(F.col("s.date")).alias("ymd"))
 
 
@@ -304,11 +357,15 @@ def rmse_threshold(spark, sf_dir):
     return validate.threshold_report(_rmse(spark, sf_dir), 200_000, 400_000)
 
 
-@query(f"""WITH {LI}, s AS (SELECT y AS year, t AS doy FROM (SELECT CAST(unnest(generate_series(1995, 2001)) AS INTEGER) AS y) CROSS JOIN {_targets(147, 248)})
-    SELECT year, count(*) AS failed FROM s ANTI JOIN (SELECT DISTINCT year, doy FROM obs WHERE cell = 3) o USING (year, doy) GROUP BY year""")
+@query(f"""WITH {LI}, s AS (SELECT y AS year, t AS doy FROM (SELECT CAST(unnest(generate_series(1995, 2001)) AS INTEGER) AS y) CROSS JOIN {_targets(147, 248)}),
+    whole AS (SELECT year, doy FROM obs GROUP BY year, doy HAVING count(DISTINCT cell) = (SELECT count(DISTINCT cell) FROM obs))
+    SELECT year, count(*) AS failed FROM s ANTI JOIN whole USING (year, doy) GROUP BY year""")
 def missing_file_report(spark, sf_dir):
-    """Source days without a file, per year; here the files are the days on which cell 3 was observed, and 2001 has none."""
-    return obs.missing_days(_li(spark, sf_dir).where("cell = 3"), (1995, 2001), (147, 248)).groupBy("year").agg(F.count("*").alias("failed"))
+    """Source days without a whole file, per year: days on which a cell that is seen at all wasn't observed, and all of 2001."""
+    rows = _li(spark, sf_dir)
+    cells = rows.agg(F.countDistinct("cell").alias("cells"))
+    whole = rows.groupBy("year", "doy").agg(F.countDistinct("cell").alias("n")).join(F.broadcast(cells), F.col("n") == F.col("cells"))
+    return obs.missing_days(whole, (1995, 2001), (147, 248)).groupBy("year").agg(F.count("*").alias("failed"))
 
 
 @query(f"""WITH {LI}, s AS (SELECT cell, y AS year, t AS doy FROM (SELECT DISTINCT cell FROM obs) CROSS JOIN (SELECT CAST(unnest(generate_series(1995, 2001)) AS INTEGER) AS y) CROSS JOIN {_targets(147, 248)})
@@ -377,3 +434,14 @@ def grid_bad_files(spark, sf_dir):
     read = grid_source.read_archive(spark, broken).groupBy("year", "doy").agg(F.count("data").alias("n"), F.sum(F.col("data").cast("decimal(18,2)")).alias("total"))
     every = files.select("year", "doy").join(read.withColumn("good", F.lit(1)), ["year", "doy"], "left")
     return every.groupBy("year").agg(F.count("*").alias("files"), F.count_if(F.col("good").isNull()).alias("failed"), F.sum("n").alias("present"), F.sum("total").cast("decimal(38,2)").alias("total"))
+
+
+@query(ROUNDED)
+def stream_files(spark, sf_dir):
+    """The exact statistics from a stream over an archive that grows: half of its days, then the rest, which the stream goes on with."""
+    folder, out = shared_folder(spark, "archive"), shared_folder(spark, "stream")
+    rows = obs.with_grid(_li(spark, sf_dir), N_LON)
+    for days in ((147, 200), (201, 248)):
+        grid_nc.write_archive(rows.where(F.col("doy").between(*days)), folder, N_LAT, N_LON)
+        found = run_archive(spark, folder, out, N_LON, YEARS, SEASON, tile_cells=10)
+    return _rounded(found)

@@ -166,20 +166,20 @@ class GridStream(_Reading, ds.DataSourceStreamReader):
 
     def __init__(self, options):
         super().__init__(options)
-        self.last_day = int(options.get("last_day", 365))
+        self.first_day, self.last_day = int(options.get("first_day", 1)), int(options.get("last_day", 365))
 
     def initialOffset(self) -> dict:
-        return {"day": 0}
+        return {"day": self.first_day - 1}
 
     def latestOffset(self) -> dict:
-        return {"day": max((f.doy for f in archive(self.folder) if f.doy is not None and f.doy <= self.last_day), default=0)}
+        return {"day": max((f.doy for f in archive(self.folder) if f.doy is not None and self.first_day <= f.doy <= self.last_day), default=self.first_day - 1)}
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
         return dealt([f for f in archive(self.folder) if f.doy is not None and start["day"] < f.doy <= end["day"]], (0, None), self.target)
 
 
 class GridSource(ds.DataSource):
-    """Options: path (with its scheme), variables, lat, lon, on_error, partition_bytes, and for a stream last_day."""
+    """Options: path (with its scheme), variables, lat, lon, on_error, partition_bytes, and for a stream first_day and last_day."""
 
     @classmethod
     def name(cls) -> str:

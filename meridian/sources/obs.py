@@ -78,10 +78,18 @@ def with_tiles(obs: DataFrame, n_lat: int, bands: int) -> DataFrame:
 
 
 def packed_planes(obs: DataFrame, n_lat: int, n_lon: int, lon_major: bool) -> DataFrame:
-    """(year, doy, plane): a day's field as an array of n_lat * n_lon values, null where missing."""
+    """(year, doy, plane): a day's field as an array of n_lat * n_lon values, null where missing.
+
+    The day's values are sorted by their place, and the gaps between them filled: n log n for n cells.
+    """
     at = F.col("lon_idx") * n_lat + F.col("lat_idx") if lon_major else F.col("lat_idx") * n_lon + F.col("lon_idx")
-    held = obs.groupBy("year", "doy").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), "v"))).alias("m"))
-    return held.select("year", "doy", F.transform(F.sequence(F.lit(0), F.lit(n_lat * n_lon - 1)), lambda i: F.try_element_at("m", i)).alias("plane"))
+    kind = obs.schema["v"].dataType.simpleString()
+    end = F.array(F.struct(F.lit(n_lat * n_lon).alias("at"), F.lit(None).cast(kind).alias("v")))
+    held = obs.groupBy("year", "doy").agg(F.array_sort(F.collect_list(F.struct(at.cast("int").alias("at"), "v"))).alias("held"))
+    held = held.select("year", "doy", F.concat("held", end).alias("held"))
+    # before each value, a null for each place since the one before
+    gap = f"array_repeat(cast(null as {kind}), x.at - if(i = 0, 0, held[i - 1].at + 1))"
+    return held.select("year", "doy", F.expr(f"slice(flatten(transform(held, (x, i) -> concat({gap}, array(x.v)))), 1, {n_lat * n_lon})").alias("plane"))
 
 
 def unpacked_planes(planes: DataFrame, n_lat: int, n_lon: int, lon_major: bool) -> DataFrame:
