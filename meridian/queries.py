@@ -16,6 +16,7 @@ from meridian.functions import calendar as cal
 from meridian.operators import climatology as clim
 from meridian.operators import estimators as est
 from meridian.operators import interpolate, sampling, validate
+from meridian.operators.metrics import StageMetrics
 from meridian.plans.choose import Settings, climatology_of
 from meridian.plans.tiles import prefix_histogram, tiled_climatology
 from meridian.session import shared_folder
@@ -445,3 +446,15 @@ def stream_files(spark, sf_dir):
         grid_nc.write_archive(rows.where(F.col("doy").between(*days)), folder, N_LAT, N_LON)
         found = run_archive(spark, folder, out, N_LON, YEARS, SEASON, tile_cells=10)
     return _rounded(found)
+
+
+@query(f"""WITH {LI}, {_clim('c', 'obs')} SELECT 'observations' AS stage, count(*) AS "rows", count(v) AS present FROM obs
+    UNION ALL SELECT 'statistics', count(*), count(p90) FROM c UNION ALL SELECT 'files', 92 * 25, count(p90) FROM c""")
+def stage_report(spark, sf_dir):
+    """What each stage from the tables to the files of a season has seen, counted while the stages run."""
+    metrics, folder = StageMetrics(), shared_folder(spark, "fields")
+    found = metrics.watch("statistics", clim.climatology(metrics.watch("observations", _li(spark, sf_dir), "v"), SEASON), "p90")
+    grid_nc.write_fields(obs.with_grid(found, N_LON), folder, N_LAT, N_LON, value_type="double")
+    metrics.watch("files", grid_source.read_archive(spark, folder, ["P90_sst"], "Lat", "Lon", on_error="fail"), "P90_sst").write.format("noop").mode("overwrite").save()
+    counts = [(stage, *seen.values()) for stage, seen in metrics.report().items()]
+    return spark.createDataFrame(counts, "stage string, rows long, present long")
