@@ -1,8 +1,8 @@
 """Quality rules: surface counts, and perplexity under a modified Kneser-Ney model of byte 5-grams.
 
 1. *Counting*. Tasks count the 5-grams of their texts, chunk by chunk (a chunk is a run of rows of one
-   file, whatever their ids), as sorted arrays of codes, dealt by range of the codes' hashes; Spark
-   adds them up. The code of a 5-gram is its five bytes in a long, a hash without collisions.
+   file, whatever their ids, of 64 MB at most, or one text), as sorted arrays of codes, dealt by range of
+   the codes' hashes; Spark adds them up, a range in as many parts as its counts' size asks for. The code of a 5-gram is its five bytes in a long, a hash without collisions.
 2. *Model*. Continuation counts, context totals, discounts and interpolated probabilities of the
    orders 1 to 5 are DataFrame aggregations and joins keyed by gram, context or suffix. The model
    grows with the text and is never broadcast: it is written to the shared folder as one pair of
@@ -36,7 +36,8 @@ from .common import U64, as_bytes, cut, mix, pack_sorted, partitions, planes, un
 from .line_crf import grouped
 
 ORDER = 5
-CHUNK_ROWS = 4096
+CHUNK_ROWS, SMALL_BITS = 4096, 14
+PART_BYTES = 64 << 20  # of compressed counts that are worked on together
 FLUSH_BYTES = 4 << 20
 SYMBOLS = b"#*$%&|<>"
 COUNTED = "bucket int, chunk long, grams binary, counts binary"
@@ -75,7 +76,7 @@ def _count(buckets: int):
         grams, counts, edges = grams[order], counts[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
         out = [(b, grams[i:j], counts[i:j]) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([small(pack_sorted(r[1])) for r in out], pa.binary()), pa.array([small(planes(r[2].astype(np.uint32))) for r in out], pa.binary())],
+            [pa.array([r[0] for r in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([small(pack_sorted(r[1])) for r in out], pa.binary()), pa.array([small(planes(r[2].astype(np.int64))) for r in out], pa.binary())],
             names=["bucket", "chunk", "grams", "counts"],
         )
 
@@ -100,13 +101,37 @@ def _count(buckets: int):
     return run
 
 
-def _add_up(table: pa.Table) -> pa.Table:
+def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     grams = np.concatenate([unpack_sorted(large(x)) for x in table.column("grams").to_pylist()])
-    counts = np.concatenate([unplanes(large(x), np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+    counts = np.concatenate([unplanes(large(x), np.int64) for x in table.column("counts").to_pylist()])
     order = np.argsort(grams, kind="stable")
     grams, counts = grams[order], counts[order]
     starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-    return pa.table({"gram": pa.array(grams[starts].view(np.int64)), "c": pa.array(np.add.reduceat(counts, starts))})
+    return grams[starts], np.add.reduceat(counts, starts)
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    grams, counts = _totals(table)
+    return pa.table({"gram": pa.array(grams.view(np.int64)), "c": pa.array(counts)})
+
+
+def _add_part(table: pa.Table) -> pa.Table:
+    grams, counts = _totals(table)
+    return pa.table({"bucket": table.column("bucket")[:1], "part": table.column("part")[:1], "grams": pa.array([small(pack_sorted(grams))], pa.binary()), "counts": pa.array([small(planes(counts))], pa.binary())})
+
+
+def part_of(parts: int) -> Column:
+    """A bucket's rows are worked on in so many parts, by chunk."""
+    return F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int").alias("part")
+
+
+def added_up(counted: DataFrame, parts: int) -> DataFrame:
+    """(gram, c): the counts of all chunks, added up in parts of each bucket, and these 16 at a time, so that no group grows with the input."""
+    runs = counted.select("bucket", part_of(parts), "grams", "counts")
+    while parts > 1:
+        runs = runs.groupBy("bucket", "part").applyInArrow(_add_part, "bucket int, part int, grams binary, counts binary").withColumn("part", F.expr("cast(part div 16 as int)"))
+        parts = -(-parts // 16)
+    return cut(runs.groupBy("bucket").applyInArrow(_add_up, "gram long, c long"))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -148,6 +173,8 @@ def _store(table: pa.Table) -> pa.Table:
 
 def _look_up(asked: pa.Table, model: pa.Table) -> pa.Table:
     """For each chunk the log-probabilities of its distinct grams in this bucket, by code; the chunk has the grams themselves."""
+    if not asked.num_rows:  # no chunk of this part has a gram of the bucket
+        return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "logps": pa.array([], pa.binary())})
     stored = model.to_pylist()[0]
     grams, logp = unpack_sorted(large(stored["grams"])), unplanes(large(stored["logps"]), np.float32)
     parts: dict[int, list[bytes]] = {}
@@ -253,9 +280,15 @@ def bands(scored: DataFrame) -> DataFrame:
     return found.select(F.col("lang").alias("band_lang"), F.col("q2").alias("middle"), ((F.col("q3") - F.col("q1")) / 1.349).alias("spread"))
 
 
-def in_chunks(docs: DataFrame, columns: list[Column]) -> DataFrame:
-    """The columns with ``chunk``, a hash of the row's file and its place there in steps of CHUNK_ROWS; rows that aren't read from files are written first."""
-    chunk = F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {CHUNK_ROWS}")).alias("chunk")
+def in_chunks(docs: DataFrame, columns: list[Column], text: Column) -> DataFrame:
+    """The columns with ``chunk``, a hash of the row's file, of its place there in steps of CHUNK_ROWS, and of its text's size.
+
+    A text of at least 2**14 bytes has a step half as long for each power of two: a chunk has 2**26 bytes
+    at most, or one text. Rows that aren't read from files are written first.
+    """
+    size = F.greatest(F.lit(0), F.length(F.bin(F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))) - SMALL_BITS)
+    steps = F.greatest(F.lit(1), F.call_function("shiftright", F.lit(CHUNK_ROWS), F.least(size, F.lit(30))))
+    chunk = F.xxhash64(F.col("_metadata.file_path"), size, F.floor(F.col("_metadata.row_index") / steps)).alias("chunk")
     try:
         return docs.select(*columns, chunk)
     except AnalysisException:
@@ -263,21 +296,26 @@ def in_chunks(docs: DataFrame, columns: list[Column]) -> DataFrame:
         return written.select(*written.columns, chunk)
 
 
-def ngram_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 2.0, short: float = 3.0) -> DataFrame:
+def ngram_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 2.0, short: float = 3.0, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, the surface counts, base_failed, log_ppl (per byte), lower, upper, kept.
 
     A text is kept if it passes the counts and lies within ``width`` spreads plus ``short`` / sqrt(bytes) of its language's median.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    rows = in_chunks(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")])
+    rows = in_chunks(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")], F.col(text_col))
     counted = cut(rows.select("chunk", "text").mapInArrow(_count(buckets), COUNTED))
-    summed = cut(counted.select("bucket", "grams", "counts").groupBy("bucket").applyInArrow(_add_up, "gram long, c long"))
-    model = kneser_ney(summed)
-    asked = counted.select("bucket", "chunk", "grams")
+    size = counted.agg(F.sum(F.octet_length("grams") + F.octet_length("counts"))).first()[0] or 0
+    parts = max(1, -(-size // (buckets * part_bytes)))
+    model = kneser_ney(added_up(counted, parts))
+    asked = counted.select("bucket", part_of(parts), "chunk", "grams")
     dealt = model.mapInArrow(_bucket_of(buckets), "bucket int, gram long, logp float")
     stored = cut(dealt.groupBy("bucket").applyInArrow(_store, "bucket int, grams binary, logps binary"))
-    answers = asked.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInArrow(_look_up, "chunk long, bucket int, logps binary")
+    if parts > 1:  # a bucket of the model goes to each of its parts: it holds distinct grams, which grow far slower than what is asked
+        stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    else:
+        stored = stored.withColumn("part", F.lit(0))
+    answers = asked.groupBy("bucket", "part").cogroup(stored.groupBy("bucket", "part")).applyInArrow(_look_up, "chunk long, bucket int, logps binary")
     packed = rows.select("chunk", "doc_id", "lang", "text").mapInArrow(_pack, "chunk long, block binary")
     measured = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_measure(buckets), MEASURED)
     scored = cut(

@@ -131,3 +131,28 @@ def test_slots_hold_words_and_prefixes():
     s, owner = pu.slots([b"Idiot!!", b"", "ÉTÉ idiot".encode()])
     t, _ = pu.slots(["été IDIOT".encode()])
     assert set(s[owner == 0]) < set(s[owner == 2]) and sorted(t) == sorted(s[owner == 2]) and 1 not in owner
+
+
+def test_ranges_of_counts_in_parts_give_the_same_model(spark, sf_dir):
+    """Parts of a few bytes instead of 64 MB: the counts are added up in two steps, and each part looks the model up."""
+    from meridian.llm.ngram_quality import ngram_quality
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = lambda **how: sorted((r.doc_id, r.kept, round(r.log_ppl or 0, 5)) for r in ngram_quality(docs, **how).collect())
+    assert rows() == rows(part_bytes=2000)
+
+
+def test_chunks_are_bounded_by_bytes(spark, tmp_path):
+    from meridian.llm.ngram_quality import in_chunks
+
+    sizes = [0, 100, 10_000, 20_000, 40_000, 1_000_000, 3_000_000]
+    rows = spark.range(700).select(F.col("id").alias("doc_id"), F.expr(f"repeat('x', element_at(array({', '.join(map(str, sizes))}), cast(id % 7 + 1 as int)))").alias("text"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    chunks = in_chunks(docs, [F.col("doc_id"), F.octet_length("text").alias("n")], F.col("text"))
+    again = {r.doc_id: r.chunk for r in in_chunks(docs, [F.col("doc_id")], F.col("text")).collect()}
+    by = {}
+    for r in chunks.collect():
+        assert again[r.doc_id] == r.chunk
+        by.setdefault(r.chunk, []).append(r.n)
+    assert max(map(sum, by.values())) <= 1 << 26 and max(map(len, by.values())) >= 200
