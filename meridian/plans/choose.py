@@ -17,7 +17,7 @@ from meridian.operators import climatology as clim
 from meridian.operators import estimators as est
 from meridian.operators import interpolate, sampling
 
-from .tiles import prefix_histogram, tiled_climatology
+from .tiles import collected_histogram, prefix_histogram, tiled_climatology
 
 ROW_BYTES = 32  # of an expanded observation
 MOST_EXPANDED = 8 << 30  # bytes of a run's expanded observations
@@ -77,7 +77,7 @@ def choose(settings: Settings, size: int) -> Plan:
     cube = days * (s.years[1] - s.years[0] + 1) * 8  # bytes a cell
     cells = max(1, min(4096, TILE_BYTES // cube))
     if s.estimator == "fixed_collect":
-        return Plan("fixed_collect", "the rank's bins and their values were asked for")
+        return Plan("collected_histogram", "the rank's bins and their values were asked for: values in order, running counts", 64)
     if s.estimator == "fast_histogram":
         sums = (days + 1) * est.BINS * 8  # a cell's; one cell is worked on at a time
         return Plan("prefix_histogram", "bins were asked for: windows are differences of running sums", max(1, min(256, TILE_BYTES // sums * 16)))
@@ -96,8 +96,8 @@ def run(obs: DataFrame, settings: Settings, plan: Plan) -> DataFrame:
     mask = s.years[0] if s.zero_mask else None
     if plan.name == "sampled":
         return sampling.sampled_climatology(rows, s.sampler, s.draws, s.years, s.targets, s.delta, per_cell=s.per_cell, exact_mean=s.exact_mean)
-    if plan.name == "fixed_collect":
-        return est.fixed_collect(rows, s.targets, s.delta)
+    if plan.name == "collected_histogram":
+        return collected_histogram(rows, s.targets, s.delta, tile_cells=plan.tile_cells)
     if plan.name == "prefix_histogram":
         return prefix_histogram(rows, s.targets, s.delta, plan.tile_cells)
     if plan.name == "anchored":

@@ -81,6 +81,51 @@ def prefix_histogram(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: i
     return found.withColumn("p90", F.round("p90", 6))
 
 
+def _collected(targets: tuple[int, int], delta: int, most: int | None):
+    """Of each cell the values in order, once for all targets: a window's running counts along them lead to the values of its rank."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cell, doy, v, bin_, c = (table.column(k).to_numpy() for k in ("cell", "doy", "v", "bin", "c"))
+        order = np.lexsort((v, cell))
+        cell, doy, v, bin_, c = cell[order], doy[order], v[order], bin_[order], c[order]
+        starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+        out = {k: [] for k in ("doy", "cell", "n", "p90")}
+        for a, b in zip(starts, np.append(starts[1:], len(cell)), strict=True):
+            days, values, bins, counts = doy[a:b], v[a:b], bin_[a:b], c[a:b]
+            for t in range(targets[0], targets[1] + 1):
+                upto = np.cumsum(np.where(np.abs(days - t) <= delta, counts, 0))
+                n = int(upto[-1])
+                if not n:
+                    continue
+                rank = 0.9 * (n - 1)
+                low = int(rank)
+                i, j = np.searchsorted(upto, [low, min(low + 1, n - 1)], side="right")
+                p90 = values[i] + (rank - low) * (values[j] - values[i])
+                if most is not None:
+                    first, last = np.searchsorted(bins, bins[i]), np.searchsorted(bins, bins[j], side="right")
+                    if upto[last - 1] - (upto[first - 1] if first else 0) > most:
+                        p90 = LOW + (bins[i] + 0.5) * WIDTH
+                for k, x in (("doy", t), ("cell", cell[a]), ("n", n), ("p90", p90)):
+                    out[k].append(x)
+        types = {"doy": pa.int32(), "cell": pa.int32(), "n": pa.int64(), "p90": pa.float64()}
+        return pa.table({k: pa.array(x, types[k]) for k, x in out.items()})
+
+    return run
+
+
+def collected_histogram(obs: DataFrame, targets: tuple[int, int] = SEASON, delta: int = DELTA, most: int | None = None, tile_cells: int = 64) -> DataFrame:
+    """doy, cell, n, p90, as ``estimators.fixed_collect`` gives them, without a copy of any value for the windows that hold it.
+
+    Equal values of a cell's day go as one with their count; a tile's distinct ones are held by a task.
+    """
+    check_targets(targets, delta)
+    inside = obs.where(F.col("v").isNotNull() & F.col("doy").between(targets[0] - delta, targets[1] + delta))
+    daily = inside.groupBy("cell", "doy", F.col("v").cast("double").alias("v")).agg(F.count("*").alias("c"))
+    tiled = daily.select(F.expr(f"cell div {tile_cells}").cast("int").alias("tile"), "cell", "doy", "v", bin_of().alias("bin"), "c")
+    found = tiled.groupBy("tile").applyInArrow(_collected(targets, delta, most), "doy int, cell int, n long, p90 double")
+    return found.withColumn("p90", F.round("p90", 6))
+
+
 def tiled_climatology(obs: DataFrame, years: tuple[int, int], targets: tuple[int, int] = SEASON, delta: int = DELTA, tile_cells: int = 256, zero_mask_year: int | None = None) -> DataFrame:
     """doy, cell, n, clim_mean, p90, as ``climatology`` gives them but for rounding; a task holds one tile at a time (256 cells x 102 days x 30 years: 6 MB).
 

@@ -18,7 +18,7 @@ from meridian.operators import estimators as est
 from meridian.operators import interpolate, sampling, validate
 from meridian.operators.metrics import StageMetrics
 from meridian.plans.choose import Settings, climatology_of
-from meridian.plans.tiles import prefix_histogram, tiled_climatology
+from meridian.plans.tiles import collected_histogram, prefix_histogram, tiled_climatology
 from meridian.session import shared_folder
 from meridian.sources import grid_nc, grid_source, obs, store
 from meridian.streaming.archive import run_archive
@@ -176,11 +176,20 @@ def clim_prefix_hist(spark, sf_dir):
     return prefix_histogram(obs.from_events(spark, sf_dir), EVENT_DAYS)
 
 
-@query(f"WITH {EV} SELECT t AS doy, cell, count(*) AS n, round(quantile_cont(v, 0.9), 6) AS p90 FROM {_targets(*EVENT_DAYS)} JOIN ev o ON o.doy BETWEEN t - 5 AND t + 5 GROUP BY t, cell")
+_COLLECTED = f"WITH {EV} SELECT t AS doy, cell, count(*) AS n, round(quantile_cont(v, 0.9), 6) AS p90 FROM {_targets(*EVENT_DAYS)} JOIN ev o ON o.doy BETWEEN t - 5 AND t + 5 GROUP BY t, cell"
+
+
+@query(_COLLECTED)
 def clim_fixed_collect(spark, sf_dir):
     return est.fixed_collect(obs.from_events(spark, sf_dir), EVENT_DAYS)
 
 
+@query(_COLLECTED)
+def clim_collect_tiles(spark, sf_dir):
+    """The same by tile, each value once."""
+    return collected_histogram(obs.from_events(spark, sf_dir), EVENT_DAYS)
+
+
 @query(f"""WITH {EV}, b AS (SELECT cell, greatest(0, least(511, CAST(floor((v + 3.0e0) / 0.09375e0) AS INTEGER))) AS bin, count(*) AS cnt FROM ev GROUP BY ALL)
     SELECT cell, bin, cnt, CAST(sum(cnt) OVER (PARTITION BY cell ORDER BY bin) AS BIGINT) AS cumulative FROM b""")
 def cumulative_hist(spark, sf_dir):

@@ -15,7 +15,7 @@ from meridian.operators import climatology as clim
 from meridian.operators import estimators as est
 from meridian.operators import sampling
 from meridian.plans import choose
-from meridian.plans.tiles import prefix_histogram, tiled_climatology
+from meridian.plans.tiles import collected_histogram, prefix_histogram, tiled_climatology
 from meridian.session import shared_folder
 from meridian.sources import grid_nc, obs, store
 from meridian.streaming import archive
@@ -123,12 +123,22 @@ def test_running_sums_give_the_same_bins(spark):
     assert rows_of(prefix_histogram(df.limit(0), (6, 22))) == []
 
 
+@pytest.mark.parametrize("most", [None, 3])
+def test_values_in_order_give_the_same_ranks(spark, most):
+    rng = np.random.default_rng(7)
+    rows = [(int(c), int(d), None if v > 46 else round(float(v), 1)) for c, d, v in zip(rng.integers(0, 200, 4000), rng.integers(1, 30, 4000), rng.normal(20, 14, 4000), strict=True)]
+    df = spark.createDataFrame(rows, "cell int, doy int, v double")
+    got = collected_histogram(df, (6, 22), 5, most, tile_cells=16)
+    assert "Generate" not in plan_of(got) and rows_of(got) == rows_of(est.fixed_collect(df, (6, 22), 5, most)) and got.count() > 3000
+    assert rows_of(collected_histogram(df.limit(0), (6, 22))) == []
+
+
 # the choice -----------------------------------------------------------------------------------------
 S = choose.Settings
 
 
 @pytest.mark.parametrize("settings,size,name", [
-    (S((1995, 2000), sampler="source", draws=30, estimator="fixed_collect"), 1, "sampled"), (S((1995, 2000), sampler="source"), 1, "expanded"), (S((1995, 2000), estimator="fixed_collect"), 1, "fixed_collect"),
+    (S((1995, 2000), sampler="source", draws=30, estimator="fixed_collect"), 1, "sampled"), (S((1995, 2000), sampler="source"), 1, "expanded"), (S((1995, 2000), estimator="fixed_collect"), 1, "collected_histogram"),
     (S((1995, 2000), estimator="fast_histogram"), 1, "prefix_histogram"), (S((1995, 2000), anchor_stride=7), 1 << 50, "anchored"), (S((1995, 2000)), 1 << 20, "expanded"), (S((1995, 2000)), 1 << 40, "tiled"),
     (S((1995, 2000), targets=(1, 365), circular=True), 1 << 40, "expanded"), (S((1995, 2000), zero_mask=True), 1 << 40, "tiled"),
 ])
