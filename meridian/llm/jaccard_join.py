@@ -13,9 +13,10 @@ if its prefixes share as many tokens as the smaller k of the two.
 3. Per token range: short lists make counted candidate pairs. Long lists come back as rows (tokens that
    the counts show to be hot don't meet in one range at all); their members are compared block by
    block through the parity bitmaps, whose differing bits never exceed the size of the sets'
-   difference, so that no similar pair is lost. Of a long list first every member's nearest partner
-   and each block's best connected member are tried; then all remaining pairs that cross the
-   components found so far.
+   difference, so that no similar pair is lost. Of a long list first every member's nearest partner in
+   its block and each block's best connected member are tried, and these members among one another; then
+   all remaining pairs of the members outside the list's largest component so far with all others. A
+   group of near copies is one component by then, so its list is sent once and isn't compared again.
 4. Pairs are verified on the whole sets; verified links make components. A class's set is that of any
    of its rows, found again by the row's hash and recognised by the set's key.
 
@@ -250,14 +251,14 @@ def compared(x: Side, y: Side, percent: int) -> Iterator[tuple[np.ndarray, np.nd
                 yield xs[i : i + step], ys, np.where(ok, differ, FAR)
 
 
-def _sides(table: pa.Table) -> tuple[Side, Side, bool]:
-    """The two sides of one block of a long list, and whether they are the same."""
+def _sides(table: pa.Table) -> tuple[Side, Side]:
+    """The two sides of one block of a long list; a block of one side stands against itself."""
     side = table.column("side").to_numpy()
     order = np.argsort(keys_of(table.column("key")), kind="stable")
     components = np.unique(keys_of(table.column("comp")), return_inverse=True)[1]
     first, second = (order[side[order] == s] for s in (0, 1))
     x = Side(table, first, components)
-    return (x, Side(table, second, components), False) if len(second) else (x, x, True)
+    return x, Side(table, second, components) if len(second) else x
 
 
 def _pairs_table(pairs: list) -> pa.Table:
@@ -265,45 +266,49 @@ def _pairs_table(pairs: list) -> pa.Table:
     return pa.table({"a": binary(a), "b": binary(b)})
 
 
+LINKS = f"token long, {PAIR}"
+
+
 def _nearest(percent: int):
-    """Every member with its nearest partner, and with the member that has most partners: at most two pairs a member."""
+    """Every member of a block with its nearest partner there, and with the member that has most partners, the block's hub: at most two pairs a member. The hub with itself stands for the block."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, y, same = _sides(table)
-        degree, best, partner, pairs = np.zeros(len(y.key), dtype=np.int64), np.full(len(x.key), FAR), np.zeros(len(x.key), dtype=np.int64), []
-        for xs, ys, d in compared(x, y, percent):
-            if same:
-                d[xs[:, None] == ys[None, :]] = FAR
+        x, _ = _sides(table)
+        degree, best, partner, pairs = np.zeros(len(x.key), dtype=np.int64), np.full(len(x.key), FAR), np.zeros(len(x.key), dtype=np.int64), []
+        for xs, ys, d in compared(x, x, percent):
+            d[xs[:, None] == ys[None, :]] = FAR
             degree[ys] += (d < FAR).sum(axis=0)
             j = d.argmin(axis=1)
             least = d[np.arange(len(xs)), j]
             nearer = least < best[xs]
             best[xs[nearer]], partner[xs[nearer]] = least[nearer], ys[j[nearer]]
         ok = np.flatnonzero(best < FAR)
-        pairs.append((x.key[ok], y.key[partner[ok]]))
-        hub = int(degree.argmax()) if len(degree) else 0
-        if len(degree) and degree[hub]:
+        pairs.append((x.key[ok], x.key[partner[ok]]))
+        hub = int(degree.argmax())
+        if degree[hub]:
             one = Side.__new__(Side)
-            one.key, one.n, one.maps, one.words, one.comp = y.key[hub : hub + 1], y.n[hub : hub + 1], y.maps[hub : hub + 1], y.words[hub : hub + 1], y.comp[hub : hub + 1]
+            one.key, one.n, one.maps, one.words, one.comp = x.key[hub : hub + 1], x.n[hub : hub + 1], x.maps[hub : hub + 1], x.words[hub : hub + 1], x.comp[hub : hub + 1]
             for xs, _, d in compared(x, one, percent):
-                near = xs[(d[:, 0] < FAR) & (x.key[xs] != y.key[hub])]
+                near = xs[(d[:, 0] < FAR) & (x.key[xs] != x.key[hub])]
                 pairs.append((x.key[near], np.repeat(one.key, len(near))))
-        return _pairs_table(pairs)
+        pairs.append((x.key[hub : hub + 1], x.key[hub : hub + 1]))
+        found = _pairs_table(pairs)
+        return found.add_column(0, "token", pa.array([table.column("token")[0].as_py()] * len(found), pa.int64()))
 
     return run
 
 
 def _crossing(percent: int):
-    """All pairs of a block that the bitmaps allow and that lie in different components."""
+    """All pairs of two blocks that the bitmaps allow and that lie in different components."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, y, same = _sides(table)
+        x, y = _sides(table)
         pairs = []
         if len(np.unique(np.concatenate((x.comp, y.comp)))) > 1:
             for xs, ys, d in compared(x, y, percent):
                 i, j = np.nonzero((d < FAR) & (x.comp[xs][:, None] != y.comp[ys][None, :]))
                 i, j = xs[i], ys[j]
-                if same:
+                if x is y:
                     i, j = i[i < j], j[i < j]
                 pairs.append((x.key[i], y.key[j]))
         return _pairs_table(pairs)
@@ -373,14 +378,40 @@ def _components(rows: DataFrame, buckets: int, described: DataFrame, shingle: in
     lists = cut(dealt(posted, buckets, NAMES, TYPES).groupBy("bucket").applyInArrow(_lists(percent), LISTS))
     short = lists.where("token is null").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("k").alias("k")).where("c >= k").select("a", "b")
     long = lists.where("token is not null").select("token", F.col("b").alias("key")).distinct()
-    long = long.join(long.groupBy("token").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks")), "token")
-    long = cut(long.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
-
-    def blockwise(labels: DataFrame, f) -> DataFrame:
-        """``f`` over every block, or pair of blocks, of each long list."""
-        sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
-        pairs = long.join(labels, "key").withColumn("at", F.explode(sides)).select("token", "key", "n", "bitmap", "comp", "at.i", "at.j", "at.side")
-        return pairs.groupBy("token", "i", "j").applyInArrow(f, PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    long = cut(long)
+
+    def in_order(links: DataFrame) -> DataFrame:
+        return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def blocked(lists: DataFrame, name: str) -> DataFrame:
+        """``lists`` (token, key, ...) with the number of blocks of each list, and each member's block, under ``name``."""
+        sizes = lists.groupBy("token").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias(f"{name}s"))
+        return lists.join(sizes, "token").withColumn(name, F.pmod(F.xxhash64("key"), F.col(f"{name}s")).cast("int"))
+
+    def nearby() -> DataFrame:
+        """Pairs within the blocks of each long list, then within the blocks of these blocks' hubs, until a list is one block: each member is sent once."""
+        found, members = None, long
+        while True:
+            sent = blocked(members, "block").join(labels, "key").withColumns({"comp": F.col("key"), "side": F.lit(0)})
+            links = cut(sent.groupBy("token", "block").applyInArrow(_nearest(percent), LINKS))
+            found = in_order(links) if found is None else found.union(in_order(links))
+            hubs = links.where("a = b").select("token", F.col("a").alias("key"))
+            members = cut(hubs.join(hubs.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "token"))
+            if members.isEmpty():
+                return found.distinct()
+
+    def apart(now: DataFrame) -> DataFrame:
+        """Pairs of each long list that lie in different components: of every member with those outside the list's largest component, block by block."""
+        members = cut(long.join(now, "key"))
+        counts = members.groupBy("token", "comp").agg(F.count("*").alias("c"))
+        largest = counts.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("top.comp").alias("main"))
+        split = cut(blocked(members.join(largest, "token"), "block"))
+        rest = cut(blocked(split.where("comp <> main"), "other"))
+        others = rest.select("token", "others").distinct()
+        every = split.join(others, "token").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        again = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = lambda rows, n: rows.select("token", "block", "other", "key", "n", "bitmap", "comp", F.lit(n).alias("side"))
+        return in_order(side(every, 0).unionByName(side(again, 1)).groupBy("token", "block", "other").applyInArrow(_crossing(percent), PAIR))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs with ``linked``, by the whole sets of the two classes."""
@@ -399,11 +430,11 @@ def _components(rows: DataFrame, buckets: int, described: DataFrame, shingle: in
 
     labels = classes.select("key", "n", "bitmap")
     has_long = not long.isEmpty()
-    checked = verified(short.union(blockwise(labels.withColumn("comp", F.col("key")), _nearest(percent))).distinct() if has_long else short)
+    checked = verified(short.union(nearby()).distinct() if has_long else short)
     found = linked(checked)
     if has_long:
         now = labels.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "bitmap", F.coalesce("component", "key").alias("comp"))
-        rest = blockwise(now, _crossing(percent)).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        rest = apart(now).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         found = linked(checked.union(verified(rest)))
     # a component is named by its smallest document
     named = classes.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))

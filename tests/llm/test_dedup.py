@@ -274,3 +274,20 @@ def test_components_of_chains_stars_and_cycles(spark):
     df = spark.createDataFrame(edges, "u long, v long").select(*(F.col(c) for c in "uv"))
     got = {r.node: r.component for r in components(df).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(60)) and [got[i] for i in (200, 201, 202)] == [200] * 3
+
+
+def test_groups_of_near_copies_are_sent_once(spark, monkeypatch):
+    """Hundreds of different near copies of one text, in blocks of 32: linked within their blocks and through the blocks' hubs, so no two blocks are compared."""
+
+    def never(percent):
+        def run(table):
+            raise AssertionError("two blocks were compared")
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "_crossing", never)
+    rng = random.Random(21)
+    texts = near_copies(rng, 700, 1)
+    got = jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), shingle=4, percent=85).collect()
+    assert {r.component_id for r in got} == {0} and len({t for t in texts}) > 600
