@@ -15,10 +15,11 @@ and a reader that wants a few documents decompresses their frames only.
 3. What a document's ids come after is the sum of the files before, one row each in the manifest, and of
    the documents before in its file.
 
-Encoding: the library's normaliser and splitter never join what white space separates. Runs of printable
-ASCII and Latin-1 letters are split here as the library splits them, and its model encodes each distinct
-unit once as long as it is remembered; all other runs, and tokenizers with another splitter, go through
-the library as they are. Tests compare this with the encoding of whole texts.
+Encoding: the library's normaliser and splitter never join what white space separates, so each distinct
+run between white spaces is encoded once as long as it is remembered. Runs of printable ASCII and Latin-1
+letters are split here as the library splits them, and its model encodes each distinct unit; all other
+runs, and whole texts for tokenizers with another splitter, go through the library as they are. Tests
+compare this with the encoding of whole texts.
 
 Defined results: a null text counts as empty, and an empty text has the end id alone; ids that are null
 come first; repeated rows are documents of their own; very long texts run over as many frames as they
@@ -27,6 +28,7 @@ need; an empty table has no files; other columns aren't read.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import os
@@ -53,9 +55,9 @@ SKIPPABLE, SEEK_TABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92
 FRAME_IDS = 1 << 16
 FILE_BYTES = 64 << 20  # of text for a file
 GROUP_BYTES = 1 << 20  # of text encoded at a time
-MOST_UNITS = 1 << 18
-LONG_UNIT = 64  # bytes; longer units aren't kept
-END = None  # stands for the end id among units
+MOST_RUNS = 1 << 19
+LONG_RUN = 64  # bytes; longer runs aren't kept
+END = None  # stands for the end id among runs
 #: The splitter that ``UNIT`` follows; texts for a tokenizer with another one are left to the library whole.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -63,28 +65,43 @@ SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # encoding -------------------------------------------------------------------------------------------
 #: Letters whose class and case all versions of Unicode agree on, in UTF-8 and after A-Z are lower-cased.
 LETTER = rb"[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
-#: What the library's splitter makes of a run between white spaces that holds nothing but such letters and printable ASCII; another run is left to the library as it is.
-PARTS = rb"'s|'t|'re|'ve|'m|'ll|'d|(?:LETTER)+|[0-9]|[!-/:-@\[-`{-~]+"
-UNIT, UNIT_OR_RUN = (re.compile(x.replace(b"LETTER", LETTER)) for x in (PARTS, rb"(?:[!-~]|LETTER)*+[^\x09-\x0D\x20]+|" + PARTS))
-ODD = re.compile(rb"[^\x09-\x0D\x20-\x7E\x80-\xBF\xC3]|\xC3[\x97\xB7]|[^\xC3][\x80-\xBF]")
-PLAIN = re.compile(rb"(?:[!-~]|LETTER)+".replace(b"LETTER", LETTER))
+#: What the library's splitter makes of a run between white spaces that holds nothing but such letters and printable ASCII; a run that ``ODD`` finds something in is left to the library as it is.
+UNIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:LETTER)+|[0-9]|[!-/:-@\[-`{-~]+".replace(b"LETTER", LETTER))
+ODD = re.compile(rb"[^\x21-\x7E\x80-\xBF\xC3]|\xC3[\x97\xB7]|[^\xC3][\x80-\xBF]")
 SPECIAL = b"<|"  # how the library's special tokens begin
 
 
+class Units(dict):
+    """Ids of the units of runs, found by the tokenizer's model as they come up."""
+
+    def __init__(self, model):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model, self.of = model, {}
+        levels = ByteLevel(add_prefix_space=False, use_regex=False)
+        for n in range(0xC0, 0x100):  # the characters that stand for the bytes of these letters
+            shown = levels.pre_tokenize_str(chr(n))[0][0]
+            self.of |= dict(zip(chr(n).encode(), shown, strict=True))
+
+    def __missing__(self, unit: bytes) -> list[int]:
+        word = unit.decode() if unit.isascii() else unit.decode().lower().encode().decode("latin-1").translate(self.of)
+        self[unit] = ids = [t.id for t in self.model.tokenize(word)]
+        return ids
+
+
 class Encoder(dict):
-    """Numbers the distinct units of texts as they come up; their ids are the library's, found once as long as a unit is remembered."""
+    """Numbers the distinct runs between white spaces as they come up; their ids are found once as long as a run is remembered."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library, self.end_id = Tokenizer.from_file(path), end_id
-        self.model, self.levels = self.library.model, ByteLevel(add_prefix_space=False, use_regex=False)
         made = json.loads(self.library.to_str())
         normalizers, splitters = (made.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
         steps = [n["type"] for n in normalizers.get("normalizers", [])], [p["type"] for p in splitters.get("pretokenizers", [])]
         self.known = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and splitters["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
+        self.units = Units(self.library.model) if self.known else None
         self.forget()
 
     @property
@@ -93,48 +110,49 @@ class Encoder(dict):
 
     def forget(self) -> None:
         self.clear()
+        if self.known:
+            self.units.clear()
         self.new, self.ids, self.lengths = [], np.array([self.end_id], np.uint32), np.ones(1, np.int64)
         self[END] = 0
 
-    def __missing__(self, unit: bytes) -> int:
+    def __missing__(self, run: bytes) -> int:
         number = len(self.lengths) + len(self.new)
-        self.new.append(unit)
-        if len(unit) <= LONG_UNIT:
-            self[unit] = number
+        self.new.append(run)
+        if len(run) <= LONG_RUN:
+            self[run] = number
         return number
 
-    def units(self, text: bytes) -> list[bytes]:
+    def runs(self, text: bytes) -> list[bytes]:
         if not self.known:
             return [text]
         if SPECIAL not in text:
-            text = text.lower()
-            return (UNIT_OR_RUN if ODD.search(text) else UNIT).findall(text)
-        return [u for run in text.split() for u in ([run] if SPECIAL in run else UNIT_OR_RUN.findall(run.lower()))]
+            return text.lower().split()
+        return [run if SPECIAL in run else run.lower() for run in text.split()]
 
     def resolve(self) -> list[list[int]]:
-        """Ids of the new units: those of the model for what the splitter leaves whole, those of the library for the rest."""
+        """Ids of the new runs: those of their units, or what the library makes of a run."""
         found: list[list[int]] = []
-        rest = []
-        for unit in self.new:
-            if self.known and PLAIN.fullmatch(unit) and SPECIAL not in unit:
-                word = unit.decode()
-                found.append([t.id for t in self.model.tokenize(word if unit.isascii() else self.levels.pre_tokenize_str(word.lower())[0][0])])
-            else:
+        rest, units = [], self.units
+        for run in self.new:
+            if not self.known or ODD.search(run) or SPECIAL in run:
                 rest.append(len(found))
                 found.append([])
+                continue
+            parts = UNIT.findall(run)
+            found.append(units[parts[0]] if len(parts) == 1 else [i for u in parts for i in units[u]])
         for i, e in zip(rest, self.library.encode_batch_fast([self.new[i].decode() for i in rest], add_special_tokens=False), strict=True):
             found[i] = e.ids
         return found
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, each with the end id, and their numbers."""
-        if len(self.lengths) > MOST_UNITS:
+        if len(self.lengths) > MOST_RUNS:
             self.forget()
-        units: list[bytes] = []
+        runs: list[bytes | None] = []
         for text in texts:
-            units += self.units(text)
-            units.append(END)
-        numbers = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+            runs += self.runs(text)
+            runs.append(END)
+        numbers = np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
         if self.new:
             found = self.resolve()
             self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, found), np.int64, len(found))))
@@ -252,6 +270,7 @@ def _write(folder: str, path: str, end_id: int):
         task = TaskContext.get()
         part, file, out, writer = task.partitionId(), "", None, None
         encoder = Encoder(path, end_id)
+        gc.disable()  # there are no cycles, and its passes would go through all that is remembered
         try:
             for batch in batches:
                 doc_ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
@@ -273,6 +292,7 @@ def _write(folder: str, path: str, end_id: int):
         finally:
             if out is not None:
                 out.close()
+            gc.enable()
             free()
         if writer is not None:
             known = [d for d in writer.doc_ids if d is not None]

@@ -135,7 +135,7 @@ def test_all_documents_encode_as_whole_texts_do(spark, sf_dir, encoder):
 
 
 def test_words_are_forgotten_and_found_again(encoder, monkeypatch):
-    monkeypatch.setattr(tf, "MOST_UNITS", 3)
+    monkeypatch.setattr(tf, "MOST_RUNS", 3)
     for _ in range(3):
         same_as_library(encoder, ["one two three four five", "two six", ""])
 
