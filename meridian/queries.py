@@ -232,8 +232,8 @@ for _name, _args in {
 
 @query(_sampled("packed", 6)[1])
 def clim_mc_pruned(spark, sf_dir):
-    """One draw a year and day, from observations stored by day: folders that no draw falls on aren't read."""
-    stored = store.write_by_day(_li(spark, sf_dir), shared_folder(spark, "days"))
+    """One draw a year and day, from a season's observations stored by day: folders that no draw falls on aren't read."""
+    stored = store.write_by_day(_li(spark, sf_dir).where(F.col("doy").between(147, 248)), shared_folder(spark, "days"))
     return sampling.sampled_climatology(stored, "packed", 6, YEARS, SEASON)
 
 
