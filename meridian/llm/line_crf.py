@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import RUNTIME_FILTER, SPACE, as_bytes, cut, only_ids, run_hashes, settings, tidy
+from .common import BY_SHUFFLE, RUNTIME_FILTER, SPACE, as_bytes, cut, only_ids, run_hashes, settings, tidy
 from .labelled import fold, smallest_hashes
 
 GROUP_BYTES = 1 << 20  # documents are worked on together up to this size
@@ -270,7 +270,7 @@ def rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labelled(labels, folds, held_out)
     model = fit(rows, known, sample_docs)
-    with settings(docs.sparkSession, **RUNTIME_FILTER):
+    with settings(docs.sparkSession, **RUNTIME_FILTER, **BY_SHUFFLE):
         rows = rows if every or model is None else only_ids(rows, known.select(F.col("label_id").alias("doc_id")), "doc_id")
         x = cut(rows.mapInArrow(tidy(_rate(model)), "doc_id long, x double"))
     if model is None:
