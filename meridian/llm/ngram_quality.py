@@ -1,7 +1,7 @@
 """Quality rules: surface counts, and perplexity under a modified Kneser-Ney model of byte 5-grams.
 
 1. *Counting*. Tasks count the 5-grams of their texts, chunk by chunk (a chunk is a run of rows of one
-   file, whatever their ids, of 64 MB at most, or one text), as sorted arrays of codes, dealt by range of
+   file, whatever their ids, of 128 MB at most, or one text), as sorted arrays of codes, dealt by range of
    the codes' hashes; Spark adds them up, a range in as many parts as its counts' size asks for. The code of a 5-gram is its five bytes in a long, a hash without collisions.
 2. *Model*. Continuation counts, context totals, discounts and interpolated probabilities of the
    orders 1 to 5 are DataFrame aggregations and joins keyed by gram, context or suffix. The model
@@ -36,7 +36,7 @@ from .common import U64, as_bytes, cut, mix, pack_sorted, partitions, planes, un
 from .line_crf import grouped
 
 ORDER = 5
-CHUNK_ROWS, SMALL_BITS = 4096, 14
+CHUNK_ROWS, SMALL_BITS = 2048, 16
 PART_BYTES = 64 << 20  # of compressed counts that are worked on together
 FLUSH_BYTES = 4 << 20
 SYMBOLS = b"#*$%&|<>"
@@ -283,8 +283,9 @@ def bands(scored: DataFrame) -> DataFrame:
 def in_chunks(docs: DataFrame, columns: list[Column], text: Column) -> DataFrame:
     """The columns with ``chunk``, a hash of the row's file, of its place there in steps of CHUNK_ROWS, and of its text's size.
 
-    A text of at least 2**14 bytes has a step half as long for each power of two: a chunk has 2**26 bytes
-    at most, or one text. Rows that aren't read from files are written first.
+    A text of at least 2**16 bytes has a step half as long for each power of two: a chunk has 2**27 bytes
+    at most, or one text. Shorter ones share chunks, whatever their sizes: each chunk asks for its distinct
+    grams, so few texts in a chunk cost more than many. Rows that aren't read from files are written first.
     """
     size = F.greatest(F.lit(0), F.length(F.bin(F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))) - SMALL_BITS)
     steps = F.greatest(F.lit(1), F.call_function("shiftright", F.lit(CHUNK_ROWS), F.least(size, F.lit(30))))
