@@ -11,7 +11,7 @@ phi has been included with probability 1 - exp(-exp(phi - kappa)).
 
 Pieces never reach across the start of a word (a run of spaces and what follows) or a line end, so the
 lattice falls apart into words: lattices are built once per distinct word of a group of texts, in
-numpy, and the words of all texts of a group are sampled together. A segmentation of a text is an array
+numpy, with nodes that words of the same end share, and the words of all texts of a group are sampled together. A segmentation of a text is an array
 of numbers of its words' segmentations. Characters without a piece are their UTF-8 bytes.
 
 Probabilities: a unigram model's scores; a BPE model has only ranks, which count as Zipf's law. All
@@ -26,6 +26,8 @@ an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import heapq
 import itertools
 import math
@@ -46,6 +48,7 @@ from .common import BASE, U64, as_bytes, mix, run_hashes, tidy
 SPACE, LITERAL = "▁", "\ud800"  # the model's space; what stands for that very character in a text
 LEAST = 1e-17  # mass of a set whose mass is lost to rounding
 GROUP = 2 << 20  # bytes of text that share lattices
+REACH = 64  # words in which a split first looks for the sets that can come up
 SAMPLED = "doc_id long, rank int, n_pieces int, log_prob double, perturbed double, inclusion double, ids binary"
 
 
@@ -97,9 +100,9 @@ class Vocabulary:
             out.append(h)
         return out
 
-    def find(self, h: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """The number of the piece of each hash, or -1."""
-        i = self.slot[slot_of(h)]
+        i = self.slot[slots]
         todo = np.flatnonzero(i >= 0)
         at, wanted = i[todo], h[todo]
         i[:] = -1
@@ -141,76 +144,104 @@ def char_codes(chars: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """The lattices of distinct words: nodes are character positions, edges are pieces."""
+    """The lattices of distinct words: nodes are what is left of a word, edges are pieces.
+
+    Words with the same end share its nodes.
+    """
 
     def __init__(self, words: list[str], vocabulary: Vocabulary):
         v = vocabulary
-        lengths = np.array([len(w) for w in words])
-        joined = "".join(words).replace(SPACE, LITERAL).replace(" ", SPACE)
-        self.chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum(lengths)
-        n = len(self.chars)
-        left = (np.repeat(ends, lengths) - np.arange(n)).astype(np.int32)  # characters to the word's end
-        # nodes are numbered by what is left of their word, so that each step of the sums below is a slice
-        by_left = np.argsort(left, kind="stable")
-        node = np.empty(n, dtype=np.int32)
-        node[by_left] = np.arange(n, dtype=np.int32)
-        self.first = node[ends - lengths]
+        after, cuts = self._nodes(words)
+        n = len(after)
         codes = char_codes(self.chars.astype(U64))
         at, h, found = np.arange(n, dtype=np.int32), np.zeros(n, dtype=U64), []
-        counts = np.zeros(n, dtype=np.int32)
+        upto, counts = at, np.zeros(n, dtype=np.int32)
         for m in range(1, v.longest + 1):
-            h = h * U64(BASE) + codes[at + (m - 1)]
-            going = v.begins[slot_of(h)]  # a piece may begin so
-            if m == 1:
-                going[:] = True
-            at, h = at[going], h[going]
-            piece = v.find(h)
+            h = h * U64(BASE) + codes[upto]
+            slots = slot_of(h)
             if m == 1:
+                piece = v.find(h, slots)
                 piece[piece < 0] = len(v.hashes)  # a character without a piece
+            else:
+                going = v.begins[slots]  # a piece may begin so
+                at, h, upto = at[going], h[going], upto[going]
+                piece = v.find(h, slots[going])
+            upto = after[upto]
             has = piece >= 0
-            found.append((m, at[has], piece[has]))
-            counts[node[found[-1][1]]] += 1
-            going = left[at] > m
-            at, h = at[going], h[going]
+            found.append((at[has], piece[has], upto[has]))
+            counts[found[-1][0]] += 1
+            going = upto >= 0
+            at, h, upto = at[going], h[going], upto[going]
         self.begin = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-        piece, self.next, self.src = (np.empty(self.begin[-1], dtype=np.int32) for _ in range(3))
+        piece, self.next = (np.empty(self.begin[-1], dtype=np.int32) for _ in range(2))
         free = self.begin[:-1].copy()
-        for m, a, i in reversed(found):  # the longest piece of a node comes first
-            own = node[a]
+        for own, i, to in reversed(found):  # the longest piece of a node comes first
             e = free[own]
             free[own] = e + 1
-            piece[e], self.src[e] = i, a
-            whole = left[a] == m
-            self.next[e] = np.where(whole, -1, node[np.where(whole, 0, a + m)])  # -1: the word's end
+            piece[e], self.next[e] = i, to
         del found
         self.ids, total = np.append(v.ids, np.int32(-1))[piece], np.append(v.logs, v.fallback)[piece]
         plain = np.flatnonzero(self.ids < 0)  # characters without a piece: those of one byte are that byte's piece, the others wait for _ids
-        plain = plain[self.chars[self.src[plain]] < 128]
-        self.ids[plain] = v.byte_ids[self.chars[self.src[plain]]]
+        plain = plain[self.char(plain) < 128]
+        self.ids[plain] = v.byte_ids[self.char(plain)]
         # log-mass and number of paths from each node to its word's end, from the last characters backwards
         beta, self.paths = np.zeros(n + 1), np.ones(n + 1)  # the last one stands for the end
-        cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if a < b:
+        with np.errstate(over="ignore"):
+            for a, b in itertools.pairwise(cuts):
                 part = slice(self.begin[a], self.begin[b])
                 offsets, to = self.begin[a:b] - self.begin[a], self.next[part]
                 total[part] += beta[to]
                 beta[a:b] = np.logaddexp.reduceat(total[part], offsets)
-                with np.errstate(over="ignore"):
-                    self.paths[a:b] = np.add.reduceat(self.paths[to], offsets)
-        self.log_p = total - np.repeat(beta[:-1], counts)  # of each edge, given its node
-        self.cumulative = np.cumsum(np.exp(self.log_p))
-        self.cumulative -= np.repeat(np.concatenate(([0.0], self.cumulative))[self.begin[:-1]], counts)
+                self.paths[a:b] = np.add.reduceat(self.paths[to], offsets)
+        total -= np.repeat(beta[:-1], counts)
+        self.log_p = total  # of each edge, given its node
+        self.cumulative = np.exp(self.log_p)
+        np.cumsum(self.cumulative, out=self.cumulative)
+        self.cumulative -= np.repeat(np.concatenate(([0.0], self.cumulative[self.begin[1:-1] - 1])), counts)
         self.cumulative[self.begin[1:] - 1] = 2.0  # a node's last edge takes what is left
         # the words' segmentations drawn so far: their edges, by number
         self.edges, self.starts, self.counts, self.weights, self.size = [], [], [], [], 0
-        self.edge_total = 0
+        self.edge_total, self.blocks = 0, []
+
+    def _nodes(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Makes the nodes; the node after each one's first character (-1: the word's end), and where those of each length begin.
+
+        They are numbered by what is left of their words, so that each step of the sums is a slice.
+        """
+        lengths = np.array([len(w) for w in words])
+        joined = "".join(words).replace(SPACE, LITERAL).replace(" ", SPACE)
+        chars, ends = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(lengths)
+        self.first = np.empty(len(words), dtype=np.int32)
+        of, rest, left, cuts, firsts, afters = np.arange(len(words)), np.full(len(words), -1), 0, [0], [], []
+        while len(of) > 1:
+            left += 1
+            distinct, rest = np.unique((rest + 1) << 21 | chars[ends[of] - left], return_inverse=True)
+            rest += cuts[-1]
+            cuts.append(cuts[-1] + len(distinct))
+            firsts.append(distinct & (1 << 21) - 1)
+            afters.append((distinct >> 21) - 1)
+            more = lengths[of] > left
+            self.first[of[~more]] = rest[~more]
+            of, rest = of[more], rest[more]
+        if len(of):  # the longest word's beginning has nodes of its own
+            i, start = int(of[0]), cuts[-1]
+            alone = int(lengths[i]) - left
+            cuts += range(start + 1, start + alone + 1)
+            firsts.append(chars[ends[i] - lengths[i] : ends[i] - left][::-1])
+            afters.append(np.concatenate((rest, np.arange(start, start + alone - 1))))
+            self.first[i] = start + alone - 1
+        self.chars = np.concatenate(firsts).astype(np.uint32)
+        return np.concatenate(afters).astype(np.int32), cuts
+
+    def char(self, edges: np.ndarray) -> np.ndarray:
+        """The first characters of edges."""
+        return self.chars[np.searchsorted(self.begin, edges, side="right") - 1]
 
     def keep(self, edges: np.ndarray, counts: np.ndarray) -> int:
         """Adds segmentations (edges one after the other); the first one's number."""
         offsets = np.cumsum(counts) - counts
-        self.edges.append(edges.astype(np.int32))
+        self.blocks.append((self.size, self.edge_total))
+        self.edges.append(edges.astype(np.int32, copy=False))
         self.starts.append(offsets + self.edge_total)
         self.counts.append(counts)
         self.weights.append(np.add.reduceat(self.log_p[edges], offsets) if len(counts) else np.zeros(0))
@@ -218,6 +249,13 @@ class Lattices:
         self.size += len(counts)
         return self.size - len(counts)
 
+    def path(self, number: int) -> tuple[int, ...]:
+        """The edges of a segmentation."""
+        block = bisect.bisect(self.blocks, (number, self.edge_total)) - 1
+        size, edge_total = self.blocks[block]
+        start = int(self.starts[block][number - size]) - edge_total
+        return tuple(self.edges[block][start : start + int(self.counts[block][number - size])].tolist())
+
     def sample(self, words: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A segmentation of each word: edges in order and their number; ``key``: random words."""
         active, at, picked, owner = np.arange(len(words)), self.first[words], [], []
@@ -225,7 +263,8 @@ class Lattices:
         for step in itertools.count():
             if not len(active):
                 break
-            u = (mix(key + U64(step * 0x9E3779B97F4A7C15 % 2**64)) >> U64(11)).astype(np.float64) / 2**53
+            u = (_mixed(key + U64(step * 0x9E3779B97F4A7C15 % 2**64)) >> U64(11)).astype(np.float64)
+            u /= 2**53
             e = self.begin[at]
             miss = np.flatnonzero(u >= self.cumulative[e])
             while len(miss):
@@ -273,9 +312,32 @@ class Lattices:
 def _uniform(seeds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For each seed as many uniform numbers as its length says."""
     starts = np.cumsum(lengths) - lengths
-    number = (np.arange(lengths.sum()) - np.repeat(starts, lengths)).astype(U64)
-    x = mix(number * U64(0xD1B54A32D192ED03) + np.repeat(mix(seeds), lengths))
-    return ((x >> U64(11)).astype(np.float64) + 0.5) / 2**53
+    x = _hashes(mix(seeds), lengths, 0xD1B54A32D192ED03)
+    x >>= U64(11)
+    u = x.astype(np.float64)
+    u += 0.5
+    u /= 2**53
+    return np.minimum(u, 1 - 2**-53, out=u)  # the sum may have been rounded up
+
+
+def _hashes(seeds: np.ndarray, lengths: np.ndarray, step: int) -> np.ndarray:
+    """``mix`` of seed, seed + step, seed + 2 * step, ... for each seed, as many as its length says."""
+    starts = (np.cumsum(lengths) - lengths).astype(U64)
+    x = np.arange(int(lengths.sum()), dtype=U64)
+    x *= U64(step)
+    x += np.repeat(seeds - starts * U64(step), lengths)
+    return _mixed(x)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``mix`` in place."""
+    y = x >> U64(33)
+    x ^= y
+    x *= U64(0xFF51AFD7ED558CCD)
+    x ^= np.right_shift(x, U64(33), out=y)
+    x *= U64(0xC4CEB9FE1A85EC53)
+    x ^= np.right_shift(x, U64(33), out=y)
+    return x
 
 
 def words_of(texts: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
@@ -309,12 +371,16 @@ def words_of(texts: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
             place[at] = np.arange(len(at), dtype=np.int32)
             same = (values[place[first[at]]] == values).all()
     if same:
-        words = [data[a : a + n] for a, n in zip(starts[example].tolist(), lengths[example].tolist(), strict=True)]
+        byte_by_byte = data.decode("latin-1")
+        words = [byte_by_byte[a : a + n] for a, n in zip(starts[example].tolist(), lengths[example].tolist(), strict=True)]
+        odd = np.searchsorted(starts, np.flatnonzero(buf > 127), side="right") - 1
+        for i in np.unique(number[odd]).tolist():
+            words[i] = words[i].encode("latin-1").decode("utf-8", "surrogateescape")
     else:
         by_bytes: dict[bytes, int] = {}
         number = np.array([by_bytes.setdefault(data[a : a + n], len(by_bytes)) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)])
-        words = list(by_bytes)
-    return [w.decode("utf-8", "surrogateescape") for w in words], np.split(number, np.searchsorted(starts, ends[:-1]))
+        words = [w.decode("utf-8", "surrogateescape") for w in by_bytes]
+    return words, np.split(number, np.searchsorted(starts, ends[:-1]))
 
 
 class _Search:
@@ -331,22 +397,36 @@ class _Search:
         """Numbers of new segmentations of the words of each text from ``start`` on."""
         lengths = np.array([len(self.words[d]) - a for d, a in zip(docs, starts, strict=True)])
         parts = np.concatenate([self.words[d][a:] for d, a in zip(docs, starts, strict=True)])
-        number = np.arange(len(parts)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        key = mix(number.astype(U64) * U64(0xA0761D6478BD642F) + np.repeat(self.seeds[docs] + U64(turn * 0xE7037ED1A0B428DB % 2**64), lengths))
+        key = _hashes(self.seeds[docs] + U64(turn * 0xE7037ED1A0B428DB % 2**64), lengths, 0xA0761D6478BD642F)
         first = self.lattices.keep(*self.lattices.sample(parts, key))
         return np.split(np.arange(first, first + len(parts)), np.cumsum(lengths)[:-1])
 
     def split(self, docs: list[int], starts: list[int], heads: list[float], taken: list[list[int]], turn: int) -> None:
-        """Queues what is left of each text's last node: the segmentations that first differ from the found one in a word from ``start`` on."""
+        """Queues what is left of each text's last node: the segmentations that first differ from the found one in a word from ``start`` on.
+
+        A set's mass is at most that of the words before it, and -log(u) at least 1 - u: where these bounds
+        keep all further sets below the k + 1 best ones among the first words, the further ones aren't worked out.
+        """
         weights = np.concatenate(self.lattices.weights)
         self.lattices.weights = [weights]
-        lengths = np.array([len(self.words[d]) - a for d, a in zip(docs, starts, strict=True)])
+        todo, width = list(zip(docs, starts, heads, taken, strict=True)), REACH
+        while todo:
+            todo = self._queue(todo, width, weights, turn)
+            width *= 8
+
+    def _queue(self, todo: list[tuple], width: int, weights: np.ndarray, turn: int) -> list[tuple]:
+        """Queues the sets of those texts whose best ones are within ``width`` words of the start; the other texts."""
+        docs, starts, heads, taken = zip(*todo, strict=True)
+        docs = list(docs)
+        whole = np.array([len(self.words[d]) - a for d, a in zip(docs, starts, strict=True)])
+        lengths = np.minimum(whole, width)
         first = np.cumsum(lengths) - lengths
-        segments = np.concatenate([self.found[d][-1][0][a:] for d, a in zip(docs, starts, strict=True)])
-        parts = np.concatenate([self.words[d][a:] for d, a in zip(docs, starts, strict=True)])
+        segments = np.concatenate([self.found[d][-1][0][a : a + width] for d, a in zip(docs, starts, strict=True)])
+        parts = np.concatenate([self.words[d][a : a + width] for d, a in zip(docs, starts, strict=True)])
         log_p = weights[segments]
-        before = np.cumsum(log_p) - log_p
-        before += np.repeat(np.array(heads) - before[first], lengths)
+        upto = np.cumsum(log_p)
+        upto += np.repeat(np.array(heads) - (upto - log_p)[first], lengths)
+        before = upto - log_p
         rest, gone = -np.expm1(log_p), np.ones(len(log_p))
         gone[first] += [len(t) for t in taken]
         rest[first] -= [np.exp(weights[t]).sum() for t in taken]
@@ -354,19 +434,27 @@ class _Search:
         owner = np.repeat(np.arange(len(docs)), lengths)[at]
         phi = before[at] + np.log(np.maximum(rest[at], LEAST))
         most = np.array([self.found[d][-1][2] for d in docs])
-        u = _uniform(self.seeds[docs] + U64(turn * 0x632BE59BD9B4E019 % 2**64), lengths)[at]
+        uniform, begin = _uniform(self.seeds[docs] + U64(turn * 0x632BE59BD9B4E019 % 2**64), whole), np.cumsum(whole) - whole
+        near = np.arange(len(parts)) + np.repeat(begin - first, lengths)
+        u = uniform[near[at]]
+        uniform[near] = 0.0
+        beyond = upto[first + lengths - 1] - np.log1p(-np.maximum.reduceat(uniform, begin)) + 1e-6
         with np.errstate(over="ignore"):
             values = -np.log(np.exp(-most)[owner] - np.log(u) * np.exp(-phi))
         low = np.flatnonzero(~(values > -700))  # where the exponentials leave the range of a double
         values[low] = -np.logaddexp(-most[owner[low]], np.log(-np.log(u[low])) - phi[low])
-        edges = np.searchsorted(owner, np.arange(len(docs) + 1))
+        edges, further = np.searchsorted(owner, np.arange(len(docs) + 1)), []
         for i, d in enumerate(docs):
             a, b = edges[i], edges[i + 1]
             top = a + np.argpartition(-values[a:b], self.k)[: self.k + 1] if b - a > self.k + 1 else np.arange(a, b)  # no more of these can come up
+            if width < whole[i] and (len(top) <= self.k or values[top].min() < beyond[i]):
+                further.append(todo[i])
+                continue
             for x in top.tolist():
                 j = int(at[x] - first[i])
                 own = int(segments[at[x]])
                 heapq.heappush(self.heaps[d], (-float(values[x]), turn, starts[i] + j, self.found[d][-1][0], float(before[at[x]]), [*taken[i], own] if not j else [own]))
+        return further
 
     def run(self) -> None:
         docs = [d for d in range(len(self.words)) if len(self.words[d])]
@@ -383,11 +471,7 @@ class _Search:
             nodes = [heapq.heappop(self.heaps[d]) for d in docs]
             starts = [n[2] for n in nodes]
             tails = self.draw(docs, [a + 1 for a in starts], r) if any(a + 1 < len(self.words[d]) for d, a in zip(docs, starts, strict=True)) else [np.zeros(0, np.int64)] * len(docs)
-            edges, at = np.concatenate(self.lattices.edges), np.concatenate(self.lattices.starts)
-            counts = np.concatenate(self.lattices.counts)
-            self.lattices.edges, self.lattices.starts, self.lattices.counts = [edges], [at], [counts]
-            path = lambda i: tuple(edges[at[i] : at[i] + counts[i]].tolist())
-            others = [self.lattices.sample_other(int(self.words[d][n[2]]), [path(i) for i in n[5]], int(self.seeds[d]) + r) for d, n in zip(docs, nodes, strict=True)]
+            others = [self.lattices.sample_other(int(self.words[d][n[2]]), [self.lattices.path(i) for i in n[5]], int(self.seeds[d]) + r) for d, n in zip(docs, nodes, strict=True)]
             number = self.lattices.keep(np.array([e for o in others for e in o], dtype=np.int64), np.array([len(o) for o in others]))
             for i, (d, (value, _, j, base, *_), tail) in enumerate(zip(docs, nodes, tails, strict=True)):
                 self.found[d].append((np.concatenate((base[:j], [number + i], tail)), 0.0, -value))
@@ -437,7 +521,7 @@ def _ids(lattices: Lattices, v: Vocabulary, segments: np.ndarray, n_words: np.nd
         each, which = np.unique(edges[odd], return_inverse=True)
         raws = []
         for e in each.tolist():
-            char = chr(int(lattices.chars[lattices.src[e]]))
+            char = chr(int(lattices.char(e)))
             raws.append([v.bytes[b] for b in (SPACE.encode() if char == LITERAL else char.encode("utf-8", "surrogateescape"))])
         width = np.ones(len(ids), dtype=np.int32)
         width[odd] = np.array([len(r) for r in raws])[which]
@@ -462,8 +546,16 @@ def sample_group(texts: list[bytes], keys: list[int], k: int, v: Vocabulary) ->
     return out
 
 
+@functools.lru_cache(maxsize=2)
+def _vocabulary(path: str, size: int, changed: int, alpha: float) -> Vocabulary:
+    return Vocabulary(path, alpha)
+
+
 def _open(file: str, alpha: float) -> Vocabulary:
-    return Vocabulary(SparkFiles.get(file), alpha)
+    """The vocabulary of a shipped file, built once in a Python worker."""
+    path = SparkFiles.get(file)
+    now = os.stat(path)
+    return _vocabulary(path, now.st_size, now.st_mtime_ns, alpha)
 
 
 def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -155,6 +156,46 @@ def test_model_scores_are_a_distribution():
     assert abs(np.exp(v.logs).sum() - 1) < 1e-9
 
 
+def test_vocabulary_is_built_once_a_worker(monkeypatch, tmp_path):
+    model = tmp_path / "pieces.model"
+    model.write_bytes(open(PIECE_MODEL, "rb").read())
+    monkeypatch.setattr(pieces.SparkFiles, "get", lambda name: str(tmp_path / name))
+    one = pieces._open("pieces.model", 1.0)
+    assert pieces._open("pieces.model", 1.0) is one
+    os.utime(model, ns=(1, 1))  # another file of that name
+    assert pieces._open("pieces.model", 1.0) is not one
+
+
+def test_ends_of_words_are_shared():
+    v, words = Vocabulary(PIECE_MODEL), [" nation", " station", "nation", "ion", " on", "\n", " ", " é", "é", "日本語", " 日本語", " ▁x"]
+    one, known = Lattices(words, v), {v.raw[i] for i in v.ids.tolist()}
+    assert len(one.chars) == len({w[i:] for w in words for i in range(len(w))})
+
+    def paths(w):
+        return sum(paths(w[n:]) for n in range(1, len(w) + 1) if n == 1 or "▁" not in w[:n] and w[:n].encode() in known) if w else 1
+
+    assert one.paths[one.first].tolist() == [paths(w) for w in words]
+    for w in words:  # neighbours don't matter
+        alone = Lattices([w], v)
+        (a, n), (b, m) = (x.sample(np.array([i] * 50), np.arange(50, dtype=np.uint64)) for x, i in ((one, words.index(w)), (alone, 0)))
+        assert n.tolist() == m.tolist() and one.ids[a].tolist() == alone.ids[b].tolist() and np.allclose(one.log_p[a], alone.log_p[b], atol=1e-9)
+
+
+def test_splits_leave_out_no_set_that_can_come_up(monkeypatch):
+    """The first words, if they are enough, give what all words give."""
+    v, rng = Vocabulary(PIECE_MODEL), random.Random(3)
+    texts = [" ".join(rng.choice(["the", "of", "nation", "thonre", "a"]) for _ in range(rng.randrange(1, 900))).encode() for _ in range(60)]
+    found, looked = {}, []
+    for reach in (2, 10**6):
+        monkeypatch.setattr(pieces, "REACH", reach)
+        queue = pieces._Search._queue
+        monkeypatch.setattr(pieces._Search, "_queue", lambda self, todo, width, *rest, queue=queue: looked.append((width, len(todo))) or queue(self, todo, width, *rest))
+        found[reach] = [[(x[3].tolist(), *(round(y, 6) for y in x[:3])) for x in rows] for rows in sample_group(texts, list(range(60)), 4, v)]
+        monkeypatch.undo()
+    assert found[2] == found[10**6]
+    assert 0 < sum(n for width, n in looked if width == 1024) < 60  # of four splits of 60 texts
+
+
 # pipeline --------------------------------------------------------------------------------------
 def test_pipeline_equals_its_plain_version(spark, sf_dir):
     docs = helpers.table(spark, sf_dir, "documents")
