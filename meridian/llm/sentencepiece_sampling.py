@@ -235,7 +235,7 @@ class Lattices:
 
     def char(self, edges: np.ndarray) -> np.ndarray:
         """The first characters of edges."""
-        return self.chars[np.searchsorted(self.begin, edges, side="right") - 1]
+        return self.chars[np.searchsorted(self.begin, edges.astype(np.int32), side="right") - 1]
 
     def keep(self, edges: np.ndarray, counts: np.ndarray) -> int:
         """Adds segmentations (edges one after the other); the first one's number."""
@@ -284,16 +284,15 @@ class Lattices:
 
     def sample_other(self, word: int, taken: list[tuple[int, ...]], seed: int) -> tuple[int, ...]:
         """A segmentation of one word, given that it is none of ``taken``."""
-        node, path, mass = int(self.first[word]), (), 0.0
-        weight_of = [math.exp(sum(self.log_p[list(t)].tolist())) for t in taken]
+        node, path, mass = int(self.first[word]), [], 0.0
+        alike = [(t, math.exp(sum(self.log_p[list(t)].tolist()))) for t in taken]  # those that begin with the path
         while True:
             a, b = int(self.begin[node]), int(self.begin[node + 1])
             nexts, weights = self.next[a:b].tolist(), [math.exp(mass + x) for x in self.log_p[a:b].tolist()]
             there = [0] * len(weights)
-            for t, w in zip(taken, weight_of, strict=True):
-                if len(t) > len(path) and t[: len(path)] == path:
-                    weights[t[len(path)] - a] -= w
-                    there[t[len(path)] - a] += 1
+            for t, w in alike:
+                weights[t[len(path)] - a] -= w
+                there[t[len(path)] - a] += 1
             # by paths, as rounding may hide what is left of an edge
             weights = [max(w, LEAST * math.exp(mass)) if self.paths[to] > gone else 0.0 for w, to, gone in zip(weights, nexts, there, strict=True)]
             seed = (seed * 0xD1342543DE82EF95 + 0x9E3779B97F4A7C15) % 2**64
@@ -304,9 +303,11 @@ class Lattices:
                     u -= w
                     if u < 0:
                         break
-            path, mass, node = (*path, a + e), mass + float(self.log_p[a + e]), nexts[e]
+            alike = [(t, w) for t, w in alike if t[len(path)] == a + e]
+            path.append(a + e)
+            mass, node = mass + float(self.log_p[a + e]), nexts[e]
             if node < 0:
-                return path
+                return tuple(path)
 
 
 def _uniform(seeds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -520,8 +521,7 @@ def _ids(lattices: Lattices, v: Vocabulary, segments: np.ndarray, n_words: np.nd
     if len(odd):
         each, which = np.unique(edges[odd], return_inverse=True)
         raws = []
-        for e in each.tolist():
-            char = chr(int(lattices.char(e)))
+        for char in map(chr, lattices.char(each).tolist()):
             raws.append([v.bytes[b] for b in (SPACE.encode() if char == LITERAL else char.encode("utf-8", "surrogateescape"))])
         width = np.ones(len(ids), dtype=np.int32)
         width[odd] = np.array([len(r) for r in raws])[which]
